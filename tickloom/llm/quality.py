@@ -179,7 +179,8 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), keep
     """
     measured = with_metrics(docs, rules)
     measured = written(measured if keep_input else measured.select("doc_id", "_q"), "quality")
-    cuts = cutoffs(quantile_sketch(measured), rules).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "cuts")
+    sketch = written(quantile_sketch(measured), "sketch")
+    cuts = written(cutoffs(sketch, rules), "cutoffs").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "cuts")
     over = F.exists(F.arrays_zip(F.col("_q.rates").alias("rates"), F.transform("cuts", lambda x: x["cut"]).alias("cut")), lambda x: x["rates"] > x["cut"])
     judged = measured.join(cuts, (F.col("_q.lang") == F.col("_lang")) & (F.col("_q.source") == F.col("_source")), "left").withColumn(
         "_kept", ~F.col("_q.base_failed") & F.coalesce(~over, F.lit(False))
