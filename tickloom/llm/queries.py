@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, sql, token_shards
+from . import byte_bpe, chat, sql, token_shards, warc
 from .common import table
 from .quality import quality_verdicts
 
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversation_digest(chat.with_control_strings(table(spark, sf_dir, "conversations")))
+
+
 def op4_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_file_digest(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
@@ -26,6 +30,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(table(spark, sf_dir, "pages"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,11 +41,15 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_reply_trees": op3_reply_trees,
     "op4_repair_token_shards": op4_repair_token_shards,
     "op5_quality_rules": op5_quality_rules,
+    "op7_warc_transactions": op7_warc_transactions,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
 SQL: dict[str, str] = {
+    "op3_reply_trees": sql.OP3,
     "op5_quality_rules": sql.OP5,
+    "op7_warc_transactions": sql.OP7,
 }

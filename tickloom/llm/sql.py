@@ -1,5 +1,16 @@
 """DuckDB SQL that gives the same rows as the queries, written independently of them."""
 
+OP3 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS et, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<|nl|>') AS er FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(12 + length(er) + 1 + length(et) + 11) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP5 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
 w AS (SELECT rid, doc_id, text, lang, source, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') AS ws,
@@ -27,3 +38,15 @@ bad AS (SELECT DISTINCT r.rid FROM r JOIN cut ON cut.lang = r.lang AND cut.sourc
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept
 FROM b LEFT JOIN bad ON bad.rid = b.rid
 """
+
+OP7 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS n, sha1(b) AS hex FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS largest FROM h),
+d AS (SELECT *, list_transform(range(0, 8), lambda k: CAST('0x' || substr(hex, CAST(5 * k + 1 AS BIGINT), 5) AS BIGINT)) AS parts FROM g)
+SELECT page_id, n AS payload_bytes,
+       list_aggregate(list_transform(parts, lambda v: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < largest THEN largest END AS refers_to,
+       true AS has_request, true AS has_metadata
+FROM d
+"""
