@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, sql, token_shards, warc
+from . import byte_bpe, chat, html, sql, token_shards, warc
 from .common import table
 from .quality import quality_verdicts
 
@@ -40,12 +40,17 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_reply_trees": op3_reply_trees,
     "op4_repair_token_shards": op4_repair_token_shards,
     "op5_quality_rules": op5_quality_rules,
     "op7_warc_transactions": op7_warc_transactions,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_wrapper_induction": op10_wrapper_induction,
 }
 
 SQL: dict[str, str] = {
