@@ -59,16 +59,14 @@ def jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     )
     state, tables, step, size = state.checkpoint(), [], 1, None
     while not state.filter("up IS NOT NULL").isEmpty():
-        tables.append(state.select("tree", "node", "up"))
+        tables.append(state.filter("up IS NOT NULL").select("tree", "node", "up"))
         size = size or state.count()
         if step > size:
             break
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        state = (
-            state.join(above, ["tree", "up"], "left")
-            .select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))
-            .checkpoint()
-        )
+        # only messages that are still on their way are joined
+        moved = state.filter("up IS NOT NULL").join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total"))
+        state = state.filter("up IS NULL").unionByName(moved).checkpoint()
         step *= 2
     return tables, state.filter("up IS NULL").select("tree", "node", "depth", "total")
 
@@ -84,8 +82,9 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     leaves = reached.join(parents, ["tree", "node"], "left_anti").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= branches)
     walk = leaves.select("tree", F.col("node").alias("leaf"), "node", "depth")
     for k in reversed(range(len(tables))):
-        jump = tables[k].select("tree", "node", F.array_compact(F.array(F.struct("node", F.lit(0).alias("back")), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), F.lit(1 << k).alias("back"))))).alias("to"))
-        walk = walk.join(jump, ["tree", "node"]).select("tree", "leaf", "depth", F.explode("to").alias("t")).select("tree", "leaf", F.col("t.node").alias("node"), (F.col("depth") - F.col("t.back")).alias("depth"))
+        jump = tables[k].select("tree", "node", "up")
+        both = F.array_compact(F.array(F.struct("node", F.lit(0).alias("back")), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), F.lit(1 << k).alias("back")))))
+        walk = walk.join(jump, ["tree", "node"], "left").select("tree", "leaf", "depth", F.explode(both).alias("t")).select("tree", "leaf", F.col("t.node").alias("node"), (F.col("depth") - F.col("t.back")).alias("depth"))
     return walk
 
 
