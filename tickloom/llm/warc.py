@@ -1,7 +1,7 @@
 """WARC archives: writing captures as records, reading them back, assembling transactions.
 
 Writing is DataFrame expressions and Spark's text writer: a record is one row, and the line separator
-is the two CRLF that end a record, so the files are WARC files, committed by Spark and split by it.
+is the two CRLF that end a record, so the files are (gzipped) WARC files, committed by Spark and split by it.
 Reading walks each archive by Content-Length. Assembly joins request, response (or revisit) and metadata
 records through WARC-Concurrent-To and gives one nested row a capture.
 """
@@ -9,6 +9,7 @@ records through WARC-Concurrent-To and gives one nested row a capture.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -85,7 +86,7 @@ def write_archives(pages: DataFrame, out: str, date: str = "2024-01-01T00:00:00Z
     host = F.regexp_extract(uri, "^[a-zA-Z]+://([^/]*)", 1)
     request = record(F.lit("request"), name(F.col("page_id"), F.col("ordinal"), "request"), [("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), path, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(RECORD_END)))
     metadata = record(F.lit("metadata"), name(F.col("page_id"), F.col("ordinal"), "metadata"), [("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("payloadBytes: "), F.col("n_bytes").cast("string"), F.lit(CRLF)))
-    rows.select(F.explode(F.array(request, response, metadata)).alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(out)
+    rows.select(F.explode(F.array(request, response, metadata)).alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(out, compression="gzip")
 
 
 def fields_of(head: bytes) -> dict[str, str]:
@@ -96,6 +97,10 @@ def fields_of(head: bytes) -> dict[str, str]:
     return out
 
 
+def unpacked(archive: bytes) -> bytes:
+    return gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive
+
+
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of every record."""
     at = 0
@@ -120,7 +125,7 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
         for batch in batches:
             for archive in batch.column(0):
                 rows = []
-                for f, block in records(archive.as_py()):
+                for f, block in records(unpacked(archive.as_py())):
                     kind, n, digest, text, payload = f["warc-type"], None, None, None, None
                     if kind == "response":
                         body = block[block.index(b"\r\n\r\n") + 4 :]
