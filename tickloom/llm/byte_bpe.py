@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
 #: Pieces a worker remembers before it starts anew; only speed depends on it.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
+#: Rows that are Python objects at the same time.
+ROWS_AT_ONCE = 200
 INTS = ArrayType(IntegerType())
 
 
@@ -70,10 +72,11 @@ class Codec:
             self.ids.clear()
             self.digits.clear()
             new = list(set(pieces))
-        mapped = ["".join(map(self.chars.__getitem__, p.encode("utf-8"))) for p in new]
-        for piece, got in zip(new, self.model.encode_batch(mapped, add_special_tokens=False), strict=True):
-            self.ids[piece] = tuple(got.ids)
-            self.digits[piece] = ",".join(map(str, got.ids))
+        for piece in new:
+            # one piece at a time: a batch call wakes the library's own threads, which costs more than the merges
+            got = [t.id for t in self.model.model.tokenize("".join(map(self.chars.__getitem__, piece.encode("utf-8"))))]
+            self.ids[piece] = tuple(got)
+            self.digits[piece] = ",".join(map(str, got))
 
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces(text)
@@ -117,13 +120,19 @@ def texts_of(column: pa.Array) -> list[str]:
         return [(b or b"").decode("utf-8", errors="replace") for b in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids, starts, ends) per row, offsets in code points; null text encodes as no ids."""
     schema = docs.select(key).schema.add("ids", INTS).add("starts", INTS).add("ends", INTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [c.encode(t) for t in texts_of(batch.column(1))]
             spans = [c.offsets(x) for x in ids]
             ints = pa.list_(pa.int32())
@@ -141,7 +150,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, key: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], names=[key, "text"])
 
     return encoded.select(key, ids).mapInArrow(run, schema)
@@ -157,7 +166,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             counts, digests, decoded = [], [], []
             for t in texts_of(batch.column(1)):
                 ids, digits = c.encode_digits(t)

@@ -13,6 +13,7 @@ lengths (uint32 each), symbols. Keys of the documents are in the row beside it.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,14 +24,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import texts_of
+from .byte_bpe import byte_characters, slices, texts_of
 from .common import scratch
 
 #: A block is closed at the first document end after so many ids.
 BLOCK_IDS = 1_000_000
 #: Rounds of pair replacement, pairs replaced in a round at most, and how often a pair must occur.
-ROUNDS, PAIRS, LEAST = 6, 1500, 24
-REMEMBERED = 1_000_000
+ROUNDS, PAIRS, LEAST = 5, 1500, 24
+#: Runs and pieces that a worker remembers before it starts anew; only speed depends on them.
+REMEMBERED_RUNS, REMEMBERED_PIECES = 600_000, 500_000
+#: Slots of the table that finds chosen pairs; a pair whose slot is taken waits for the next round.
+SLOT_BITS = 18
+
+
+def slot(keys: np.ndarray) -> np.ndarray:
+    """Multiplicative hash of pair keys to SLOT_BITS bits."""
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(2654435769)) >> np.uint32(32 - SLOT_BITS)
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
 
 def compress(ids: np.ndarray, first_symbols: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,12 +71,16 @@ def compress(ids: np.ndarray, first_symbols: np.ndarray, vocab: int) -> tuple[np
         best = frequent[np.argsort(-counts[frequent], kind="stable")[:PAIRS]]
         chosen = np.sort(ordered[starts[best]])
         left, right = (chosen >> wide(bits)).astype(narrow), (chosen & wide((1 << bits) - 1)).astype(narrow)
-        is_left, is_right = np.zeros(following, bool), np.zeros(following, bool)
-        is_left[left] = True
-        is_right[right] = True
-        at = np.flatnonzero(is_left[symbols[:-1]] & is_right[symbols[1:]] & inner)
-        rank = np.searchsorted(chosen, keys[at])
-        hit = chosen[np.minimum(rank, len(chosen) - 1)] == keys[at]
+        slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        slots[slot(chosen)] = np.arange(len(chosen))
+        own = slots[slot(chosen)] == np.arange(len(chosen))
+        chosen, left, right = chosen[own], left[own], right[own]
+        slots[:] = -1
+        slots[slot(chosen)] = np.arange(len(chosen))
+        rank = slots[slot(keys)]
+        at = np.flatnonzero((rank >= 0) & inner)
+        rank = rank[at]
+        hit = chosen[rank] == keys[at]
         at, rank = at[hit], rank[hit]
         run = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
         place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
@@ -130,13 +145,29 @@ class Block:
         return self.expand(self.symbols), sums[self.starts]
 
 
+class Learned(dict):
+    """Computes what it lacks, and keeps it."""
+
+    def __init__(self, compute) -> None:
+        self.compute = compute
+
+    def __missing__(self, key):
+        value = self[key] = self.compute(key)
+        return value
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer file whose pieces never cross white space.
 
-    Every distinct run between white space is encoded once per Python worker and remembered as the
-    bytes of its ids.
+    Every distinct run between white space is encoded once per Python worker and remembered as the bytes
+    of its ids; so is every distinct piece (in lower case, without the commas around it) of such runs. The
+    library does all of it: normalization, and merges by its model. Only the cut into pieces of runs
+    of ordinary letters is made here, by the file's own pattern; other runs are cut by the library.
     """
 
+    #: Up to here the library's letters and the pattern's here are certainly the same.
+    ORDINARY = "\u024f"
+
     def __init__(self, path: str) -> None:
         import regex
         from tokenizers import Tokenizer
@@ -145,20 +176,34 @@ class WordEncoder:
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocab = self.model.get_vocab_size(with_added_tokens=True)
         self.words = regex.compile(r"\P{White_Space}+").findall
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        if [s["type"] for s in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"]:
+            raise ValueError("the tokenizer's pieces must be a pattern's matches, as bytes")
+        self.cut = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
+        self.chars = byte_characters()
+        self.known = Learned(self.word)
+        self.pieces = Learned(lambda p: self.piece("".join(map(self.chars.__getitem__, p.encode("utf-8")))))
 
     def split(self, text: str) -> list[str]:
         # str.split also breaks at these four, which are no white space in Unicode
         return self.words(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
+    def piece(self, mapped: str) -> bytes:
+        return np.array([t.id for t in self.model.model.tokenize(mapped)], "<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        plain = word.lower() if word.isascii() else self.model.normalizer.normalize_str(word)
+        if max(plain) > self.ORDINARY:
+            return b"".join(self.piece(p) for p, _ in self.model.pre_tokenizer.pre_tokenize_str(plain))
+        return b"".join(map(self.pieces.__getitem__, self.cut(plain)))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED_RUNS:
             self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        for word, got in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in split]
+        if len(self.pieces) > REMEMBERED_PIECES:
+            self.pieces.clear()
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, self.split(t))), "<u4") for t in texts]
 
 
 @lru_cache(maxsize=4)
@@ -184,7 +229,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, key: st
             )
 
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             for k, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch.column(1))), strict=True):
                 keys.append(k)
                 parts.append(np.concatenate([ids, end]))
