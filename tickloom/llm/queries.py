@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, html, sql, token_shards, warc
+from . import byte_bpe, chat, html, pii, sql, token_shards, warc
 from .common import table
 from .quality import quality_verdicts
 
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(chat.with_control_strings(table(spark, sf_dir, "conversations")))
 
@@ -45,6 +49,7 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_semi_markov_pii": op1_semi_markov_pii,
     "op3_reply_trees": op3_reply_trees,
     "op4_repair_token_shards": op4_repair_token_shards,
     "op5_quality_rules": op5_quality_rules,
