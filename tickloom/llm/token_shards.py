@@ -32,7 +32,7 @@ BLOCK_IDS = 1_000_000
 #: Rounds of pair replacement, pairs replaced in a round at most, and how often a pair must occur.
 ROUNDS, PAIRS, LEAST = 5, 1500, 24
 #: Runs and pieces that a worker remembers before it starts anew; only speed depends on them.
-REMEMBERED_RUNS, REMEMBERED_PIECES = 600_000, 500_000
+REMEMBERED_RUNS, REMEMBERED_PIECES = 1_000_000, 800_000
 #: Slots of the table that finds chosen pairs; a pair whose slot is taken waits for the next round.
 SLOT_BITS = 18
 
