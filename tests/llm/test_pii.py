@@ -12,7 +12,7 @@ CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().
 
 def brute(t):
     n = lambda m: len(re.findall("[0-9]", m[0]))
-    out = [(m.start(), m.end(), "email") for m in EMAIL.finditer(t)]
+    out = [(m.start(), m.end(), "email") for m in EMAIL.finditer(t)] if "@" in t else []
     out += [(m.start(), m.end(), "ip") for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
     out += [(m.start(), m.end(), "card") for m in CARD.finditer(t) if 12 <= n(m) <= 19 and pii.luhn("".join(re.findall("[0-9]", m[0])))]
     out += [(m.start(), m.end(), "phone") for m in PHONE.finditer(t) if 9 <= n(m) <= 15]

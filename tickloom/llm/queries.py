@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, html, pii, sql, token_shards, warc
+from . import byte_bpe, chat, html, near, pii, sql, token_shards, warc
 from .common import table
 from .quality import quality_verdicts
 
@@ -38,6 +38,10 @@ def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents")).drop("tk")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_repair_token_shards": op4_repair_token_shards,
     "op5_quality_rules": op5_quality_rules,
     "op7_warc_transactions": op7_warc_transactions,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_wrapper_induction": op10_wrapper_induction,
 }
