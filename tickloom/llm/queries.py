@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, html, near, pii, sql, token_shards, warc
+from . import byte_bpe, chat, decontaminate, html, near, pii, sql, token_shards, warc
 from .common import table
 from .quality import quality_verdicts
 
@@ -22,6 +22,10 @@ def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(chat.with_control_strings(table(spark, sf_dir, "conversations")))
 
@@ -54,6 +58,7 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_semi_markov_pii": op1_semi_markov_pii,
+    "op2_template_decontamination": op2_template_decontamination,
     "op3_reply_trees": op3_reply_trees,
     "op4_repair_token_shards": op4_repair_token_shards,
     "op5_quality_rules": op5_quality_rules,
