@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -190,10 +191,12 @@ class WordEncoder:
         return self.words(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def piece(self, mapped: str) -> bytes:
-        return np.array([t.id for t in self.model.model.tokenize(mapped)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.model.tokenize(mapped)]).tobytes()
 
     def word(self, word: str) -> bytes:
-        plain = word.lower() if word.isascii() else self.model.normalizer.normalize_str(word)
+        if word.isascii():
+            return b"".join(map(self.pieces.__getitem__, self.cut(word.lower())))
+        plain = self.model.normalizer.normalize_str(word)
         if max(plain) > self.ORDINARY:
             return b"".join(self.piece(p) for p, _ in self.model.pre_tokenizer.pre_tokenize_str(plain))
         return b"".join(map(self.pieces.__getitem__, self.cut(plain)))
