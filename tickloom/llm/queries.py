@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontaminate, html, near, pii, sql, token_shards, warc
+from . import byte_bpe, chat, decontaminate, html, near, pii, sql, suffix, token_shards, warc
 from .common import table
 from .quality import quality_verdicts
 
@@ -38,6 +38,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(table(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_reply_trees": op3_reply_trees,
     "op4_repair_token_shards": op4_repair_token_shards,
     "op5_quality_rules": op5_quality_rules,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_warc_transactions": op7_warc_transactions,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_byte_bpe": op9_byte_bpe,
