@@ -8,24 +8,25 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.numbers import change_pct, clip, direction, ratio
 
-SERIES = Window.partitionBy("symbol").orderBy("window_start")
+def series():
+    return Window.partitionBy("symbol").orderBy("window_start")
 
 
 def rows(back: int):
     """The current row and `back` rows before it."""
-    return SERIES.rowsBetween(-back, 0)
+    return series().rowsBetween(-back, 0)
 
 
 def lagged(column: str, *steps: int, name: str = "{c}_lag_{k}") -> dict[str, Column]:
-    return {name.format(c=column, k=k): F.lag(column, k).over(SERIES) for k in steps}
+    return {name.format(c=column, k=k): F.lag(column, k).over(series()) for k in steps}
 
 
 def change_from_previous(column: str) -> Column:
-    return change_pct(F.col(column), F.lag(column).over(SERIES))
+    return change_pct(F.col(column), F.lag(column).over(series()))
 
 
 def momentum(column: str = "close", back: int = 5) -> Column:
-    return change_pct(F.col(column), F.lag(column, back).over(SERIES))
+    return change_pct(F.col(column), F.lag(column, back).over(series()))
 
 
 def vwap_deviation() -> Column:
@@ -61,19 +62,19 @@ def time_series(bars: DataFrame, fill: bool = True) -> DataFrame:
 
 def labelled(bars: DataFrame, ahead: int = 5, threshold: float = 0.1) -> DataFrame:
     """Direction of the close `ahead` rows on; rows without that future go."""
-    future = F.lead("close", ahead).over(SERIES)
+    future = F.lead("close", ahead).over(series())
     return bars.withColumn("_future", future).filter("_future IS NOT NULL").withColumn("direction", direction(change_pct(F.col("_future"), F.col("close")), threshold)).drop("_future")
 
 
 def simple_changes(bars: DataFrame) -> DataFrame:
     """Features of the single-node price model: lags 1 to 3, relative and absolute changes (NULL at the start)."""
-    before = F.lag("volume").over(SERIES)
+    before = F.lag("volume").over(series())
     return bars.withColumns(
         {
             "vwap_deviation": F.try_divide((F.col("close") - F.col("vwap")) * 100, F.col("vwap")),
             **lagged("price_change_pct", 1, 2, 3, name="{c}_lag{k}"),
             "volume_change_pct": F.try_divide((F.col("volume") - before) * 100, before),
-            "volatility_change": F.col("volatility") - F.lag("volatility").over(SERIES),
+            "volatility_change": F.col("volatility") - F.lag("volatility").over(series()),
         }
     )
 
@@ -81,7 +82,7 @@ def simple_changes(bars: DataFrame) -> DataFrame:
 def rsi(prices: DataFrame, period: int = 14, column: str = "close") -> DataFrame:
     """Relative strength over the last `period` changes: 50 with fewer prices than that or no movement, 100 if all
     rise, 0 if all fall."""
-    step = F.col(column) - F.lag(column).over(SERIES)
+    step = F.col(column) - F.lag(column).over(series())
     frame = rows(period - 1)
     gain, loss, n = F.avg(F.greatest("_d", F.lit(0.0))).over(frame), F.avg(F.greatest(-F.col("_d"), F.lit(0.0))).over(frame), F.count("_d").over(frame)
     value = F.when(n < period, F.lit(50.0)).when(gain + loss == 0, F.lit(50.0)).otherwise(100 * F.try_divide(gain, gain + loss))

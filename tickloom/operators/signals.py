@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numbers import direction, ratio
-from tickloom.operators.features import SERIES, momentum, rows, vwap_deviation, z_score
+from tickloom.operators.features import momentum, rows, series, vwap_deviation, z_score
 from tickloom.operators.sentiment import with_sentiment
 
 
@@ -31,19 +31,19 @@ def market_signal(bars: DataFrame, back: int = 20) -> DataFrame:
 
 def sentiment_momentum(first_counts: bool = False):
     """Change of the score; at the start 0, or the score itself if a missing one counts as 0."""
-    before = F.lag("sentiment_score").over(SERIES)
+    before = F.lag("sentiment_score").over(series())
     return F.col("sentiment_score") - F.coalesce(before, F.lit(0.0) if first_counts else F.col("sentiment_score"))
 
 
 def sentiment_signal(bars: DataFrame, decay: float = 0.9, back: int = 20) -> DataFrame:
     """Score times confidence where there are articles, else what is left of the previous score."""
-    stale = F.lag("sentiment_score").over(SERIES) * decay
+    stale = F.lag("sentiment_score").over(series()) * decay
     out = bars.withColumns({"sentiment_momentum": sentiment_momentum(True), "sentiment_signal": F.when(F.col("article_count") > 0, F.col("sentiment_score") * F.col("sentiment_confidence")).otherwise(stale)})
     return out.withColumn("sentiment_signal_normalised", z_score("sentiment_signal", back))
 
 
 def timeseries_signal(bars: DataFrame, back: int = 20) -> DataFrame:
-    short, long, before = F.avg("close").over(rows(4)), F.avg("close").over(rows(19)), F.lag("volatility").over(SERIES)
+    short, long, before = F.avg("close").over(rows(4)), F.avg("close").over(rows(19)), F.lag("volatility").over(series())
     out = bars.withColumns({"ema_crossover": ratio((short - long) * 100, long), "price_momentum": momentum(), "volatility_trend": ratio(F.col("volatility") - before, before)})
     out = out.withColumns({f"{c}_normalised": z_score(c, back) for c in ("ema_crossover", "price_momentum")})
     return out.withColumn("timeseries_signal", 0.5 * F.col("ema_crossover_normalised") + 0.3 * F.col("price_momentum_normalised") + 0.2 * F.col("volatility_trend"))
