@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
 #: Pieces a worker remembers before it starts anew; only speed depends on it.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Rows that are Python objects at the same time.
 ROWS_AT_ONCE = 200
 INTS = ArrayType(IntegerType())
