@@ -221,3 +221,12 @@ def test_durations_and_weights():
         durations.seconds("3 fortnights")
     with pytest.raises(ValueError):
         G.Weights(0.5, 0.5, 0.5)
+
+
+def test_blocks_change_nothing(spark):
+    rows = [("long", k, 10.0 + (k * 7919) % 101, 1.0 + k % 5, k % 3 == 0, T0 + dt.timedelta(minutes=7 * k)) for k in range(700)] + [("short", 1000 + k, 5.0 + k, 1.0, True, T0 + dt.timedelta(hours=k)) for k in range(5)]
+    bars = B.bar_features(trades(spark, rows), "1 minute")
+    for operator, back, ahead in ((W.time_series, 20, 0), (W.anomaly_features, 120, 0), (lambda df: W.labelled(df, 5), 0, 5)):
+        want = sorted(map(str, operator(bars).drop("volatility_change", "volatility").collect()))
+        blocks = W.in_blocks(bars, operator, back, ahead, size=150, chunk="hour").drop("volatility_change", "volatility").select(operator(bars).drop("volatility_change", "volatility").columns)
+        assert sorted(map(str, blocks.collect())) == want

@@ -17,6 +17,30 @@ def rows(back: int):
     return series().rowsBetween(-back, 0)
 
 
+def in_blocks(bars: DataFrame, operator, back: int = 120, ahead: int = 0, size: int = 100_000, chunk: str = "day") -> DataFrame:
+    """`operator(bars)`, with long series cut into blocks of `size` rows, so that a symbol with most of the rows is
+    shared by many tasks. Each block also sees `back` rows before it and `ahead` rows after it, which is
+    exact for operators whose frames reach no further. Rows are numbered by counts per symbol and
+    chunk of time, never by one sort of a whole series."""
+    if back > size or ahead > size:
+        raise ValueError("a block must be longer than its surroundings")
+    part = bars.withColumn("_chunk", F.date_trunc(chunk, "window_start"))
+    counts = part.groupBy("symbol", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("symbol", "_chunk", (F.sum("_n").over(Window.partitionBy("symbol").orderBy("_chunk")) - F.col("_n")).alias("_before"))
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("symbol", "_chunk").orderBy("window_start")) - 1
+    own, place = F.floor(F.col("_at") / size), F.col("_at") % size
+    copies = F.array_compact(
+        F.array(
+            F.struct(own.alias("b"), F.lit(True).alias("own")),
+            F.when(place >= size - back, F.struct((own + 1).alias("b"), F.lit(False).alias("own"))),
+            F.when((place < ahead) & (own > 0), F.struct((own - 1).alias("b"), F.lit(False).alias("own"))),
+        )
+    )
+    dealt = part.join(before, ["symbol", "_chunk"]).withColumn("_at", at).withColumn("_to", F.explode(copies)).withColumn("symbol", F.struct(F.col("symbol").alias("s"), F.col("_to.b").alias("b")))
+    out = operator(dealt.withColumn("_own", F.col("_to.own")).drop("_chunk", "_before", "_at", "_to"))
+    return out.filter("_own").drop("_own").withColumn("symbol", F.col("symbol.s"))
+
+
 def lagged(column: str, *steps: int, name: str = "{c}_lag_{k}") -> dict[str, Column]:
     return {name.format(c=column, k=k): F.lag(column, k).over(series()) for k in steps}
 
