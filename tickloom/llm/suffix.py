@@ -6,7 +6,7 @@ A byte goes if a 50-byte string over it also starts in a document with a smaller
    equal strings. Only windows whose anchor occurs in two documents can repeat. Anchors go to buckets as packed
    arrays, one entry for each anchor and slice of documents, so a passage that many share stays small.
 2. Contexts. Windows in a row with the same shared anchor form a context of at most 84 bytes. Equal contexts
-   collapse to one with its least doc_id before they are shuffled.
+   of a task are combined to one with its least doc_id before they are shuffled.
 3. Shards. Contexts meet in shards by anchor. A shard's suffix array is built by Larsson-Sadakane refinement (numpy,
    whole arrays at a time), common prefixes of neighbours are extended as Kasai's are, up to 50, and every
    group of equal windows gets its least doc_id. A bucket that is too large for a shard is split by
@@ -36,6 +36,8 @@ LENGTH, ANCHOR = 50, 16
 PLACE_BITS = 31
 #: Bytes of text whose anchors are packed at once, and of contexts in one suffix array.
 SLICE_BYTES, SHARD_BYTES = 4_000_000, 8_000_000
+#: Buckets of contexts for each shuffle partition: so many that only a very common anchor fills more than a shard.
+CONTEXT_BUCKETS = 16
 NULL_ID = -(1 << 63)
 
 
@@ -160,13 +162,25 @@ def shared_places(rows: DataFrame, buckets: int) -> DataFrame:
     return found.groupBy("rid").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
+#: Distinct contexts that a task remembers before it starts anew.
+REMEMBERED = 200_000
+
+
 def contexts(texts: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, context, did, rid, start): runs of windows with one shared anchor, in every row."""
-    names = ["bucket", "context", "did", "rid", "start"]
+    """(bucket, context, c1, c2, did, rid, start): runs of windows with one shared anchor, in every row.
+
+    A context's bytes stand in a task's first row of it, and again where a smaller did comes, and are NULL
+    elsewhere: equal contexts of a task are combined before they are shuffled. c1 and c2 are 128 bits of its hash.
+    """
+    names = ["bucket", "context", "c1", "c2", "did", "rid", "start"]
+    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        seen: dict[bytes, int] = {}
         for batch in slices(batches):
-            columns = [[] for _ in names]
+            rows = []
             for rid, did, raw, shared in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 at, own, h = anchors(np.frombuffer(raw, np.uint8))
                 begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
@@ -175,12 +189,23 @@ def contexts(texts: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
                 keep = np.isin(h, h[np.isin(own, np.array(shared))])
                 to = (h[keep] % np.uint64(buckets)).astype(np.int64).tolist()
                 for k, s, e in zip(to, begin[keep].tolist(), end[keep].tolist(), strict=True):
-                    for c, v in zip(columns, (k, raw[s : e + LENGTH - 1], did, rid, s), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=names)
+                    context = raw[s : e + LENGTH - 1]
+                    digest = xxhash.xxh3_128_digest(context)
+                    least = seen.get(digest)
+                    first = least is None or did < least
+                    if first:
+                        seen[digest] = did
+                    rows.append((k, context if first else None, digest, did, rid, s))
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            if rows:
+                k, context, digest, did, rid, start = zip(*rows)
+                halves = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+                columns = (k, context, np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]), did, rid, start)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     both = texts.join(places, "rid").select("rid", "did", F.col("text").cast("binary").alias("text"), "places")
-    return both.mapInArrow(run, "bucket int, context binary, did long, rid long, start int")
+    return both.mapInArrow(run, "bucket int, context binary, c1 long, c2 long, did long, rid long, start int")
 
 
 def eights(t: np.ndarray) -> np.ndarray:
@@ -273,12 +298,21 @@ def in_text_order(order: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.argsort(order, kind="stable")]
 
 
+def distinct_contexts(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, their least ids, c1, c2) without repeats."""
+    c1, c2, did = (table.column(x).to_numpy() for x in ("c1", "c2", "did"))
+    order = np.lexsort((c2, c1))
+    c1, c2 = c1[order], c2[order]
+    first = np.flatnonzero(np.concatenate(([True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))))
+    return table.column("context").take(pa.array(order[first])).to_pylist(), np.minimum.reduceat(did[order], first), c1[first], c2[first]
+
+
 def shard_answers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    texts = table.column("context").to_pylist()
-    order, starts, least, _ = shard_windows(texts, table.column("least").to_numpy())
+    texts, ids, c1, c2 = distinct_contexts(table)
+    order, starts, least, _ = shard_windows(texts, ids)
     sizes = np.diff(np.append(starts, len(order)))
     counts = np.array([len(x) - LENGTH + 1 for x in texts])
-    return answer_table(table.column("c1").combine_chunks(), table.column("c2").combine_chunks(), in_text_order(order, np.repeat(least, sizes)), counts)
+    return answer_table(pa.array(c1), pa.array(c2), in_text_order(order, np.repeat(least, sizes)), counts)
 
 
 def sorted_windows(t: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -296,73 +330,81 @@ def merged_answers(a: tuple[list[bytes], np.ndarray], b: tuple[list[bytes], np.n
     return in_text_order(order_a, np.where(have[at] == wanted, least_b[at], np.iinfo(np.int64).max))
 
 
-def answers(distinct: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def answers(found: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Which of a context's windows are how early: within its shard, and merged with the bucket's other shards."""
-    sizes = distinct.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("context")) / shard_bytes).cast("int").alias("shards"))
-    dealt = distinct.join(sizes, "bucket").withColumn("shard", F.pmod(F.col("c2"), F.col("shards")).cast("int"))
+    found = found.filter("context IS NOT NULL").select("bucket", "context", "c1", "c2", "did")
+    sizes = written(found.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("context")) / shard_bytes).cast("int").alias("shards")), "shards")
+    dealt = found.join(sizes, "bucket").withColumn("shard", F.pmod(F.col("c2"), F.col("shards")).cast("int"))
     own = dealt.groupBy("bucket", "shard").applyInArrow(shard_answers, ANSWER)
-    large = dealt.filter("shards > 1")
+    if sizes.filter("shards > 1").isEmpty():
+        return own
     # every pair of shards of a large bucket is one task; a shard goes to as many tasks as it has partners
-    other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other")
-    paired = large.select("*", other).filter("shard <> other").select("bucket", F.least("shard", "other").alias("s"), F.greatest("shard", "other").alias("t"), "shard", "context", "least", "c1", "c2")
+    large = dealt.filter("shards > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).filter("shard <> other")
+    paired = large.select("bucket", F.least("shard", "other").alias("s"), F.greatest("shard", "other").alias("t"), "shard", "context", "did", "c1", "c2")
 
     def pair(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         shard = table.column("shard").to_numpy()
         sides = [table.filter(pa.array(shard == k.as_py())) for k in key[1:]]
         if not all(s.num_rows for s in sides):
             return pa.table({"c1": pa.array([], pa.int64()), "c2": pa.array([], pa.int64()), "runs": pa.array([], RUNS)})
-        data = [(s.column("context").to_pylist(), s.column("least").to_numpy()) for s in sides]
+        data = [distinct_contexts(s) for s in sides]
         out = []
         for k in (0, 1):
             counts = np.array([len(x) - LENGTH + 1 for x in data[k][0]])
-            out.append(answer_table(sides[k].column("c1").combine_chunks(), sides[k].column("c2").combine_chunks(), merged_answers(data[k], data[1 - k]), counts))
+            out.append(answer_table(pa.array(data[k][2]), pa.array(data[k][3]), merged_answers(data[k][:2], data[1 - k][:2]), counts))
         return pa.concat_tables(out)
 
     return own.unionByName(paired.groupBy("bucket", "s", "t").applyInArrow(pair, ANSWER))
 
 
 def remaining(texts: DataFrame, covered: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    """(t1, t2, n_bytes, n_removed, n_spans, kept_sha256) of the given rows."""
+    names = ["t1", "t2", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            columns = [[] for _ in names]
-            for did, raw, ranges in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                spans, kept, at = 0, [], 0
-                end = -1
+            columns = [[] for _ in names[2:]]
+            for raw, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                spans, kept, at, end = 0, [], 0, -1
                 for r in sorted((r["a"], r["b"]) for r in ranges or ()):
                     if r[0] > end:
                         kept.append(raw[at : r[0]])
                         spans += 1
-                    end = max(end, r[1])
-                    at = end
+                    at = end = max(end, r[1])
                 kept = b"".join([*kept, raw[at:]])
-                for c, v in zip(columns, (None if did == NULL_ID else did, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()), strict=True):
+                for c, v in zip(columns, (len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.string()), strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.string()), strict=True))], names=names)
 
-    both = texts.join(covered, "rid", "left").select("did", F.col("text").cast("binary").alias("text"), "ranges")
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    both = texts.join(covered, "rid", "left").select("t1", "t2", F.col("text").cast("binary").alias("text"), "ranges")
+    return both.mapInArrow(run, "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Removes what earlier documents have, and reports it for every row.
 
-    Defined cases: null text is empty; texts under 50 bytes keep all; rows with equal doc_ids are not earlier than
-    each other; a null doc_id is earlier than any other; an empty table gives no row; other columns are not read.
+    Of rows with one text the first by doc_id is looked at; later ones lose everything, as each of their strings
+    is in the first. Defined cases: null text is empty; texts under 50 bytes keep all; rows with equal
+    doc_ids are not earlier than each other; a null doc_id is earlier than any other; an empty table gives
+    no row; other columns are not read.
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tickloom_texts_{uuid.uuid4().hex}"
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.sha1(text)).alias("t2"))
     rows.write.bucketBy(buckets, "rid").option("path", scratch(spark, "texts")).saveAsTable(name)
     texts = spark.table(name)
-    places = shared_places(anchor_rows(texts, buckets), buckets)
-    found = contexts(texts, places, buckets).withColumns({"c1": F.xxhash64("context"), "c2": F.xxhash64("context", F.lit(1))})
-    found = written(found, "contexts")
-    distinct = found.groupBy("bucket", "c1", "c2", "context").agg(F.min("did").alias("least"))
-    known = answers(distinct, shard_bytes)
+    firsts = written(texts.groupBy("t1", "t2").agg(F.min(F.struct("did", "rid")).alias("f")).select("t1", "t2", F.col("f.did").alias("first"), F.col("f.rid").alias("rid")), "first-texts")
+    leading = texts.join(firsts.select("rid"), "rid", "left_semi")
+    places = shared_places(anchor_rows(leading, buckets), buckets)
+    found = written(contexts(texts, places, CONTEXT_BUCKETS * buckets), "contexts")
+    known = written(answers(found, shard_bytes), "answers")
     hits = F.transform(F.filter("runs", lambda r: r["least"] < F.col("did")), lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + (LENGTH - 1)).alias("b")))
     covered = found.select("c1", "c2", "did", "rid", "start").join(known, ["c1", "c2"]).select("rid", hits.alias("h")).filter(F.size("h") > 0).groupBy("rid").agg(F.flatten(F.collect_list("h")).alias("ranges"))
-    return remaining(texts, covered)
+    left = written(remaining(leading, covered).join(firsts.select("t1", "t2", "first"), ["t1", "t2"]), "remaining")
+    again = (F.col("did") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
+    return texts.select("did", "t1", "t2").join(left, ["t1", "t2"]).select(
+        F.nullif("did", F.lit(NULL_ID)).alias("doc_id"), "n_bytes", F.when(again, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(again, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"), F.when(again, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+    )
