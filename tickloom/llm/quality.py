@@ -170,27 +170,26 @@ def cutoffs(sketch: DataFrame, rules: QualityRules) -> DataFrame:
     )
 
 
-def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), keep_input: bool = False) -> DataFrame:
+def judged(measured: DataFrame, sketched: DataFrame, rules: QualityRules) -> DataFrame:
+    """`measured` with `_kept`, by cutoffs from the sketches of `sketched`."""
+    sketch = written(quantile_sketch(sketched), "sketch")
+    cuts = written(cutoffs(sketch, rules), "cutoffs").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "cuts")
+    over = F.exists(F.arrays_zip(F.col("_q.rates").alias("rates"), F.transform("cuts", lambda x: x["cut"]).alias("cut")), lambda x: x["rates"] > x["cut"])
+    return measured.join(cuts, (F.col("_q.lang") == F.col("_lang")) & (F.col("_q.source") == F.col("_source")), "left").withColumn("_kept", ~F.col("_q.base_failed") & F.coalesce(~over, F.lit(False)))
+
+
+def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Counts, base verdict and adaptive verdict for every document.
 
     Defined cases: null or empty text has no words and fails the base rule; null lang or source form
     groups of their own (as ''); repeated rows are judged alike; an empty table gives an empty result;
-    extra columns are ignored, or kept as they are with `keep_input` (then the verdict is `_q`, `_kept`).
+    extra columns are ignored.
     """
-    measured = with_metrics(docs, rules)
-    measured = written(measured if keep_input else measured.select("doc_id", "_q"), "quality")
-    sketch = written(quantile_sketch(measured), "sketch")
-    cuts = written(cutoffs(sketch, rules), "cutoffs").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "cuts")
-    over = F.exists(F.arrays_zip(F.col("_q.rates").alias("rates"), F.transform("cuts", lambda x: x["cut"]).alias("cut")), lambda x: x["rates"] > x["cut"])
-    judged = measured.join(cuts, (F.col("_q.lang") == F.col("_lang")) & (F.col("_q.source") == F.col("_source")), "left").withColumn(
-        "_kept", ~F.col("_q.base_failed") & F.coalesce(~over, F.lit(False))
-    )
-    if keep_input:
-        return judged.select(*docs.columns, "_q", "_kept")
-    return judged.select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", F.col("_kept").alias("kept"))
+    measured = written(with_metrics(docs.select("doc_id", "text", "lang", "source"), rules).select("doc_id", "_q"), "quality")
+    return judged(measured, measured, rules).select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", F.col("_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    judged = quality_verdicts(docs, rules, keep_input=True)
-    return judged.filter("_kept").select(*docs.columns)
+    """The documents that pass, with their own columns. Texts are measured twice rather than written once more."""
+    measured = with_metrics(docs, rules)
+    return judged(measured, with_metrics(docs.select("text", "lang", "source"), rules), rules).filter("_kept").select(*docs.columns)
