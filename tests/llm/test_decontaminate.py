@@ -43,3 +43,20 @@ def test_template(spark):
     r = df.select(D.template(F.col("t")).alias("w"), D.slot_values(F.col("t")).alias("v")).first()
     assert r.w == ["he", "paid", "0", "2", "to", "1", "then", "1", "ran", "0", "2", "in", "0", "then", "end"] or r.w[5] == "1"
     assert r.v.numbers == ["3,50", "5", "2024"] and r.v.names[:2] == ["jo ann", "bob"]
+
+
+def test_sql_gives_the_same(spark, tmp_path):
+    import duckdb
+
+    from tickloom.llm import sql
+
+    docs, bench = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/d")
+    bench.coalesce(1).write.parquet(f"{tmp_path}/b")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{tmp_path}/b/*.parquet')")
+    out = con.execute(sql.OP2)
+    columns = [c[0] for c in out.description]
+    rows = lambda rs: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rs), key=str)
+    assert rows(out.fetchall()) == rows(D.contaminated(docs, bench).select(columns).collect())

@@ -74,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_template_decontamination": sql.OP2,
     "op3_reply_trees": sql.OP3,
     "op5_quality_rules": sql.OP5,
     "op7_warc_transactions": sql.OP7,
