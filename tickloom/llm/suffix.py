@@ -96,77 +96,89 @@ def from_five(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def cut_to_40_bits(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(24)
+
+
 def anchor_rows(texts: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, base, rest, row, place): packed anchors of a slice of rows. Hashes are cut to 40 bits, which can
-    only let more windows through. Anchors of two rows of the slice are known to be shared: their
-    occurrences go to a bucket of their own, and one entry stands for them elsewhere."""
-    names = ["bucket", "base", "rest", "row", "place"]
+    """(bucket, slice, rest, row): packed anchors of a slice of rows. Hashes are cut to 40 bits, which can only let
+    more windows through. Anchors of two rows of the slice are known to be shared: their occurrences go to a
+    bucket of their own, and one entry stands for them elsewhere."""
+    names = ["bucket", "slice", "rest", "row"]
 
-    def pack(rids: list[int], hashes: list[np.ndarray], places: list[np.ndarray], known_bucket: int) -> Iterator[pa.RecordBatch]:
-        base, h, at = min(rids), np.concatenate(hashes), np.concatenate(places)
+    def pack(rids: list[int], hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate(hashes)
         if not len(h):
             return
-        row = np.repeat(np.array(rids, np.int64) - base, [len(x) for x in hashes])
+        row = np.repeat(np.array(rids, np.int64), [len(x) for x in hashes])
         order = np.lexsort((row, h))
-        h, at, row = h[order], at[order], row[order]
+        h, row = h[order], row[order]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         last = np.append(first[1:], len(h)) - 1
         known = np.repeat(row[first] != row[last], last - first + 1)
-        parts = [(known_bucket, np.flatnonzero(known))] if known.any() else []
+        parts = [(buckets + rids[0] % (4 * buckets), np.flatnonzero(known))] if known.any() else []
         to = (h[first] % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(to, kind="stable")
         cut = np.searchsorted(to[by], np.arange(buckets + 1))
         parts += [(k, first[by[cut[k] : cut[k + 1]]]) for k in range(buckets) if cut[k] < cut[k + 1]]
-        values = [(k, base, five_bytes(h[i] >> np.uint64(24)), row[i].astype("<u4").tobytes(), at[i].astype("<u4").tobytes()) for k, i in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*values), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=names)
+        values = [(k, rids[0], five_bytes(cut_to_40_bits(h[i])), row[i].astype("<i8").tobytes()) for k, i in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*values), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rids, hashes, places, size, turn = [], [], [], 0, 0
+        rids, hashes, size = [], [], 0
         for batch in slices(batches):
             for rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                # row numbers of a slice differ by less than 32 bits
-                if rids and (size >= SLICE_BYTES or abs(rid - rids[0]) >= 1 << 31):
-                    yield from pack(rids, hashes, places, buckets + (rids[0] * 31 + turn) % (4 * buckets))
-                    rids, hashes, places, size, turn = [], [], [], 0, turn + 1
-                _, at, h = anchors(np.frombuffer(raw, np.uint8))
                 rids.append(rid)
-                hashes.append(h)
-                places.append(at)
+                hashes.append(np.unique(anchors(np.frombuffer(raw, np.uint8))[2]))
                 size += len(raw)
+                if size >= SLICE_BYTES:
+                    yield from pack(rids, hashes)
+                    rids, hashes, size = [], [], 0
         if rids:
-            yield from pack(rids, hashes, places, buckets + (rids[0] * 31 + turn) % (4 * buckets))
+            yield from pack(rids, hashes)
 
-    return texts.select("rid", F.col("text").cast("binary")).mapInArrow(run, "bucket int, base long, rest binary, row binary, place binary")
+    return texts.select("rid", F.col("text").cast("binary")).mapInArrow(run, "bucket int, slice long, rest binary, row binary")
 
 
-def shared_places(rows: DataFrame, buckets: int) -> DataFrame:
-    """(rid, places) of anchors that occur in two rows or more."""
+def shared_anchors(rows: DataFrame, buckets: int) -> DataFrame:
+    """(rid, shared): the cut hashes of a row's anchors that another row has too.
+
+    A bucket answers each slice with one packed row; a slice's answers are then gathered into its rows."""
 
     def of_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        base = table.column("base").to_pylist()
-        row = [np.frombuffer(x, "<u4").astype(np.int64) + b for x, b in zip(table.column("row").to_pylist(), base, strict=True)]
-        rid, place = np.concatenate(row), np.frombuffer(b"".join(table.column("place").to_pylist()), "<u4")
+        rests = table.column("rest").to_pylist()
+        keep = np.ones(sum(map(len, rests)) // 5, bool)
         if key[0].as_py() < buckets:
-            rest = from_five(b"".join(table.column("rest").to_pylist()))
+            rest = from_five(b"".join(rests))
             order = np.argsort(rest, kind="stable")
             new = np.concatenate(([True], rest[order][1:] != rest[order][:-1]))
-            twice = ~(new & np.append(new[1:], True))
-            rid, place = rid[order[twice]], place[order[twice]]
-        order = np.argsort(rid, kind="stable")
-        rid, place = rid[order], place[order]
-        start = np.flatnonzero(np.concatenate(([True], rid[1:] != rid[:-1]))) if len(rid) else np.zeros(0, int)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(rid)), pa.int32()), pa.array(place.astype(np.int32)))
-        return pa.table({"rid": pa.array(rid[start], pa.int64()), "places": lists})
-
-    found = rows.groupBy("bucket").applyInArrow(of_bucket, "rid long, places array<int>")
-    return found.groupBy("rid").agg(F.flatten(F.collect_list("places")).alias("places"))
+            keep[order] = ~(new & np.append(new[1:], True))
+        out, at = [], 0
+        for part, raw, row in zip(table.column("slice").to_pylist(), rests, table.column("row").to_pylist(), strict=True):
+            own = keep[at : at + len(raw) // 5]
+            at += len(own)
+            if own.any():
+                out.append((part, np.frombuffer(raw, np.uint8).reshape(-1, 5)[own].tobytes(), np.frombuffer(row, "<i8")[own].tobytes()))
+        part, rest, row = zip(*out) if out else ((), (), ())
+        return pa.table({"slice": pa.array(part, pa.int64()), "rest": pa.array(rest, pa.binary()), "row": pa.array(row, pa.binary())})
+
+    def of_slice(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rest = from_five(b"".join(table.column("rest").to_pylist())).astype(np.int64)
+        rid = np.frombuffer(b"".join(table.column("row").to_pylist()), "<i8")
+        order = np.lexsort((rest, rid))
+        rid, rest = rid[order], rest[order]
+        start = np.flatnonzero(np.concatenate(([True], rid[1:] != rid[:-1])))
+        return pa.table({"rid": pa.array(rid[start], pa.int64()), "shared": pa.ListArray.from_arrays(pa.array(np.append(start, len(rid)), pa.int32()), pa.array(rest))})
+
+    found = rows.groupBy("bucket").applyInArrow(of_bucket, "slice long, rest binary, row binary")
+    return found.groupBy("slice").applyInArrow(of_slice, "rid long, shared array<long>")
 
 
 #: Distinct contexts that a task remembers before it starts anew.
 REMEMBERED = 200_000
 
 
-def contexts(texts: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
+def contexts(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     """(bucket, context, c1, c2, did, rid, start): runs of windows with one shared anchor, in every row.
 
     A context's bytes stand in a task's first row of it, and again where a smaller did comes, and are NULL
@@ -182,11 +194,10 @@ def contexts(texts: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
         for batch in slices(batches):
             rows = []
             for rid, did, raw, shared in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                at, own, h = anchors(np.frombuffer(raw, np.uint8))
+                at, _, h = anchors(np.frombuffer(raw, np.uint8))
                 begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
                 end = np.append(begin[1:], len(at))
-                # one place stands for all of an anchor's places in a row
-                keep = np.isin(h, h[np.isin(own, np.array(shared))])
+                keep = np.isin(cut_to_40_bits(h).astype(np.int64), np.array(shared))
                 to = (h[keep] % np.uint64(buckets)).astype(np.int64).tolist()
                 for k, s, e in zip(to, begin[keep].tolist(), end[keep].tolist(), strict=True):
                     context = raw[s : e + LENGTH - 1]
@@ -204,7 +215,7 @@ def contexts(texts: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
                 columns = (k, context, np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]), did, rid, start)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    both = texts.join(places, "rid").select("rid", "did", F.col("text").cast("binary").alias("text"), "places")
+    both = texts.join(shared, "rid").select("rid", "did", F.col("text").cast("binary").alias("text"), "shared")
     return both.mapInArrow(run, "bucket int, context binary, c1 long, c2 long, did long, rid long, start int")
 
 
@@ -393,12 +404,12 @@ def without_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFram
     name = f"tickloom_texts_{uuid.uuid4().hex}"
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.sha1(text)).alias("t2"))
-    rows.write.bucketBy(buckets, "rid").option("path", scratch(spark, "texts")).saveAsTable(name)
+    rows.write.bucketBy(buckets, "rid").option("compression", "zstd").option("path", scratch(spark, "texts")).saveAsTable(name)
     texts = spark.table(name)
     firsts = written(texts.groupBy("t1", "t2").agg(F.min(F.struct("did", "rid")).alias("f")).select("t1", "t2", F.col("f.did").alias("first"), F.col("f.rid").alias("rid")), "first-texts")
     leading = texts.join(firsts.select("rid"), "rid", "left_semi")
-    places = shared_places(anchor_rows(leading, buckets), buckets)
-    found = written(contexts(texts, places, CONTEXT_BUCKETS * buckets), "contexts")
+    shared = shared_anchors(anchor_rows(leading, buckets), buckets)
+    found = written(contexts(texts, shared, CONTEXT_BUCKETS * buckets), "contexts")
     known = written(answers(found, shard_bytes), "answers")
     hits = F.transform(F.filter("runs", lambda r: r["least"] < F.col("did")), lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + (LENGTH - 1)).alias("b")))
     covered = found.select("c1", "c2", "did", "rid", "start").join(known, ["c1", "c2"]).select("rid", hits.alias("h")).filter(F.size("h") > 0).groupBy("rid").agg(F.flatten(F.collect_list("h")).alias("ranges"))
