@@ -83,6 +83,28 @@ def test_large_buckets_and_blocks(spark, monkeypatch):
     assert len(want) > 3 and sorted(sorted(v) for v in got.values()) == sorted(map(sorted, want))
 
 
+def test_links_equal_brute_force(spark, monkeypatch):
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(500)]
+    rows = []
+    for n in (12, 50, 3):
+        base = [r.choice(words) for _ in range(150)]
+        for _ in range(n):
+            w = list(base)
+            for _ in range(r.randrange(1, 5)):
+                w[r.randrange(len(w))] = r.choice(words)
+            rows.append((len(rows), " ".join(w)))
+    rows += [(900, "a b c"), (901, "a  b c"), (902, rows[0][1] + " "), (903, None)]
+    texts = {" ".join((t or "").split()) for _, t in rows}
+    grams = {t: near.ngrams(t) for t in texts}
+    want = {i: sum(near.alike(grams[" ".join((t or "").split())], grams[o]) for o in texts if o != " ".join((t or "").split())) for i, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.n_links for x in near.near_duplicates(df).collect()} == want and max(want.values()) > 11
+    monkeypatch.setattr(near, "LARGE", 3)
+    monkeypatch.setattr(near, "BLOCK", 7)
+    assert {x.doc_id: x.n_links for x in near.near_duplicates(df).collect()} == want
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (200, 100), (7, 7)]
     got = dict(graph.components(spark.createDataFrame(edges, "u long, v long")).collect())

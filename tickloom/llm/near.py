@@ -1,11 +1,11 @@
 """Near-duplicate join by the Jaccard similarity of word n-grams, with Bayesian pruning.
 
 1. Copies (the same words) collapse to one node. 2. MinHash bands put nodes into buckets; at 0.8 a pair
-shares one of 60 bands of 6 values but for 1 in 8e7. 3. Within a bucket nodes are compared with
-its hub, the least member, so candidates grow with the members and not with their square. 4. MinHash values of a candidate are compared step by step, and it is dropped as
-soon as the posterior probability that its similarity reaches the threshold falls below a tolerance. 5. What
-is left is verified exactly on its n-grams. 6. Links join to components; in buckets whose members lie in several
-components the pairs across are then compared block by block, so no component is lost.
+shares one of 60 bands of 6 values but for 1 in 8e7. 3. Nodes that buckets connect form a group; all pairs of a
+group are candidates, compared block by block inside tasks, so that pairs never become rows. 4. MinHash values of
+a candidate are compared step by step, and it is dropped as soon as the posterior probability that its similarity
+reaches the threshold falls below a tolerance. 5. What is left is verified exactly on its n-grams, and counted as
+a link of both nodes. 6. Links join to components.
 """
 
 from __future__ import annotations
@@ -134,19 +134,6 @@ def least_matches() -> list[int]:
     return out
 
 
-def pruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the comparison of MinHash values does not drop."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4000):
-            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, COMPARED) for k in (2, 3))
-            alive = survivors(left, right)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive))], names=["a", "b"])
-
-    sig = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
-
-
 def node_texts(named: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, t): a text of each named node."""
     wanted = written(named.join(nodes.select("node", "id", "tk"), "node"), "near-named")
@@ -155,29 +142,10 @@ def node_texts(named: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     return written(keyed.join(wanted.hint("merge"), ["id", "tk"]).select("node", "t").dropDuplicates(["node"]), "near-texts")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose n-grams are alike. Only the texts that a pair names are moved."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, grams = None, set()
-        for batch in slices(batches):
-            keep = []
-            for k, (a, ta, tb) in enumerate(zip(batch.column(0).to_pylist(), texts_of(batch.column(2)), texts_of(batch.column(3)), strict=True)):
-                if a != last:
-                    last, grams = a, ngrams(ta)
-                if alike(grams, ngrams(tb)):
-                    keep.append(k)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["u", "v"])
-
-    pairs = written(pairs, "near-candidates")
-    texts = node_texts(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), nodes, docs)
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("t").alias(f"t_{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(run, "u long, v long").distinct()
-
-
-#: Members of a group that one task holds, twice; and the members from which on a bucket counts as large.
+#: Members of a block, of which a task holds two; and the members from which on a group is cut into blocks.
 BLOCK, LARGE = 400, 65
+#: Texts whose n-grams are looked up at once.
+LOOKED_UP = 64
 
 
 def survivors(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -190,89 +158,108 @@ def survivors(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return alive
 
 
-def cross_pairs(mixed_buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and two components that survive the comparison of MinHash values.
+def compared(table: pa.Table, s: int, t: int) -> tuple[np.ndarray, dict[int, int]]:
+    """Verified links of each row, and for rows that links connect the least row they reach.
 
-    A bucket is cut into blocks, and each pair of blocks is one task that compares in place: pairs become rows only
-    if they survive, and no task holds more than two blocks.
+    Compares all rows of block s with all of block t, each pair once.
     """
-
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        node, c, block = (table.column(x).to_numpy() for x in ("node", "c", "block"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, COMPARED)
-        sides = [np.flatnonzero(block == k.as_py()) for k in key[1:]]
-        labels, counts = np.unique(c, return_counts=True)
-        main = labels[counts.argmax()]
-        out = []
-        # the largest component's members meet others only from the others' side
-        for one, two in (sides, sides[::-1]):
-            for k in one[c[one] != main]:
-                rest = two[c[two] != c[k]]
-                hit = rest[survivors(np.broadcast_to(sig[k], (len(rest), COMPARED)), sig[rest])]
-                out.append(np.stack([np.minimum(node[k], node[hit]), np.maximum(node[k], node[hit])], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    blocks = mixed_buckets.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = mixed_buckets.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.join(nodes.select("node", "sig"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.select("bucket", F.least("block", "other").alias("s"), F.greatest("block", "other").alias("t"), "node", "c", "block", "sig")
-    return dealt.groupBy("bucket", "s", "t").applyInArrow(compare, "a long, b long").distinct()
-
-
-def cross_links(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (u, v) between the components in large buckets.
-
-    Nodes that large buckets connect form a group, in which a node stands once however many buckets it shares.
-    A group is cut into blocks, and each pair of blocks is one task: it prunes and verifies in place, and
-    passes over pairs whose components it has already joined, so only joining links become rows.
+    block, texts = table.column("block").to_numpy(), table.column("t")
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, COMPARED)
+    one, two = np.flatnonzero(block == s), np.flatnonzero(block == t)
+    known: dict[str, int] = {}
+    grams: dict[int, np.ndarray] = {}
+    mark = np.zeros(1024, bool)
+    parent: dict[int, int] = {}
+    counts = np.zeros(len(block), np.int64)
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def of(k: int) -> np.ndarray:
+        """The text's n-grams as numbers that stand for the very strings."""
+        if k not in grams:
+            grams[k] = np.array([known.setdefault(g, len(known)) for g in ngrams(texts[k].as_py() or "")], np.int32)
+        return grams[k]
+
+    for k in one.tolist():
+        rest = two[two > k] if s == t else two
+        hits = rest[survivors(np.broadcast_to(sig[k], (len(rest), COMPARED)), sig[rest])]
+        for at in range(0, len(hits), LOOKED_UP):
+            some, own = hits[at : at + LOOKED_UP], of(k)
+            theirs = [of(j) for j in some.tolist()]
+            if len(mark) < len(known):
+                mark = np.zeros(2 * len(known), bool)
+            sizes = np.array([len(x) for x in theirs])
+            mark[own] = True
+            both = np.add.reduceat(mark[np.concatenate(theirs)].astype(np.int64), np.cumsum(sizes) - sizes)
+            mark[own] = False
+            linked = some[(both > 0) & (both * THRESHOLD[1] >= (len(own) + sizes - both) * THRESHOLD[0])]
+            counts[k] += len(linked)
+            counts[linked] += 1
+            for j in linked.tolist():
+                x, y = root(k), root(j)
+                parent[max(x, y)] = min(x, y)
+    return counts, {k: root(k) for k in list(parent)}
+
+
+def group_links(groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v, n): with a v, two nodes that verified links connect; without, n of the verified links of u.
+
+    `groups` (node, g): nodes of different groups share no bucket. A large group is cut into blocks, and each
+    pair of blocks is compared in one task, which prunes, verifies and counts in place. So each pair of a group is
+    compared once however many buckets it shares, and a task gives at most two rows a node.
     """
-    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"))
-    groups = components(members.join(hubs, "bucket").select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    placed = written(groups.select("node", F.col("component").alias("g")).join(members.select("node", "c").distinct(), "node"), "near-groups")
-    blocks = written(placed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "near-blocks")
-    texts = node_texts(placed.select("node"), nodes, docs)
-
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        node, c, block = (table.column(x).to_numpy() for x in ("node", "c", "block"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, COMPARED)
-        texts = table.column("t").to_pylist()
-        one, two = (np.flatnonzero(block == k.as_py()) for k in key[1:])
-        grams: dict[int, set[str]] = {}
-        parent = {x: x for x in c.tolist()}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        def of(k: int) -> set[str]:
-            if k not in grams:
-                grams[k] = ngrams(texts[k] or "")
-            return grams[k]
-
-        links = []
-        for k in one.tolist():
-            roots = np.array([root(x) for x in c[two].tolist()])
-            rest = two[roots != root(int(c[k]))]
-            for j in rest[survivors(np.broadcast_to(sig[k], (len(rest), COMPARED)), sig[rest])].tolist():
-                a, b = root(int(c[k])), root(int(c[j]))
-                if a != b and alike(of(k), of(j)):
-                    parent[max(a, b)] = min(a, b)
-                    links.append((min(node[k], node[j]), max(node[k], node[j])))
-        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
-
-    rows = placed.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.join(nodes.select("node", "sig"), "node").join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.select("g", F.least("block", "other").alias("s"), F.greatest("block", "other").alias("t_"), "node", "c", "block", "sig", "t")
-    return dealt.groupBy("g", "s", "t_").applyInArrow(compare, "u long, v long").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int | None, int]] = []
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def end() -> None:
+            table = pa.Table.from_batches(held)
+            node = table.column("node").to_pylist()
+            counts, roots = compared(table, key[1], key[2])
+            out.extend((node[k], None, n) for k, n in enumerate(counts.tolist()) if n)
+            out.extend((node[k], node[r], 0) for k, r in roots.items() if k != r)
+            held.clear()
+
+        def rows() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [(), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["u", "v", "n"])
+
+        for batch in slices(batches):
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(starts, starts[1:]):
+                if hi == lo:
+                    continue
+                now = tuple(keys[lo].tolist())
+                if held and now != key:
+                    end()
+                key = now
+                held.append(batch.slice(lo, hi - lo))
+            yield rows()
+        if held:
+            end()
+            yield rows()
+
+    n = F.count(F.lit(1))
+    blocks = written(groups.groupBy("g").agg(F.when(n < LARGE, 1).otherwise(F.ceil(n / BLOCK)).cast("int").alias("blocks")), "near-blocks")
+    texts = node_texts(groups.select("node"), nodes, docs)
+    placed = groups.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.join(nodes.select("node", "sig"), "node").join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("g", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "node", "block", "sig", "t")
+    return dealt.repartition("g", "b1", "b2").sortWithinPartitions("g", "b1", "b2").mapInArrow(run, "u long, v long, n long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, tk, class_id, n_links, n_copies) of every row; tk is a hash of its text.
 
     class_id: the least doc_id of all documents that links connect. n_links: verified links of the
-    document's text to other texts (in a bucket of many, to its hubs). n_copies: rows with the same words.
+    document's text to other texts, all of them. n_copies: rows with the same words.
     Defined cases: null text is empty; texts without a word are copies of each other; a null doc_id is a
     document of its own id and names its class null if it is alone; repeated rows are copies; an empty
     table gives no row; other columns are not read.
@@ -289,31 +276,14 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "copies_key", "r.*", "n_copies"), "near-nodes")
 
     bands = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("value").cast("long")).alias("bucket"))
-    # the least member is the hub, so the buckets that a group of copies shares mostly have one hub between them
+    # the least member is the hub: an edge a member is enough to connect a bucket
     hubs = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1").select("bucket", "hub")
     members = written(bands.join(written(hubs, "near-hubs").hint("merge"), "bucket"), "near-members")
-    tried = written(members.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "near-tried")
-    links = written(verified(pruned(tried, nodes), nodes, docs), "near-links")
-
-    joined = written(components(links), "near-components")
+    groups = written(components(members.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))).withColumnRenamed("component", "g"), "near-groups")
+    found = written(group_links(groups, nodes, docs), "near-links")
+    joined = written(components(found.filter("v IS NOT NULL").select("u", "v")), "near-components")
+    ends = found.filter("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n_links"))
     label = F.coalesce(F.col("component"), F.col("node"))
-    placed = written(members.select("bucket", "node").join(joined, "node", "left").select("bucket", "node", label.alias("c")), "near-placed")
-    split = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("bucket", "n")
-    mixed_buckets = written(placed.join(split, "bucket"), "near-mixed")
-    small, large = mixed_buckets.filter(F.col("n") < LARGE).drop("n"), mixed_buckets.filter(F.col("n") >= LARGE).drop("n")
-    more = []
-    cross = written(cross_pairs(small, nodes).join(tried, ["a", "b"], "left_anti"), "near-cross")
-    if not cross.isEmpty():
-        more.append(verified(cross, nodes, docs))
-    if not large.isEmpty():
-        more.append(cross_links(large, nodes, docs))
-    if more:
-        for found in more:
-            links = links.unionByName(found)
-        links = written(links.distinct(), "near-all-links")
-        joined = written(components(links), "near-all-components")
-
-    ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     labelled = nodes.select("node", "copies_key", "id", "n_copies").join(joined, "node", "left").join(ends, "node", "left").withColumn("c", label)
     least = labelled.groupBy("c").agg(F.min("id").alias("class"))
     final = written(labelled.join(least, "c").select("copies_key", "c", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "near-classes")
