@@ -57,3 +57,28 @@ def test_wrappers_do_not_depend_on_how_pages_are_dealt():
     for k, t in enumerate(trees[2:]):
         halves[k % 2] = H.merge(halves[k % 2], t)
     assert H.expression(one) == H.expression(H.merge(*halves))
+
+
+def wrapper_of(pages):
+    whole = H.folded(H.Page(pages[0]).root)
+    for h in pages[1:]:
+        whole = H.merge(whole, H.folded(H.Page(h).root))
+    return json.dumps(whole)
+
+
+def test_wrapper_decides_for_pages_with_an_article():
+    own = lambda k: f"Headline {k}\nText {k} with many words of its own\nMore {k} of the text"
+    box = lambda k: f"<html><body><article><h1>Headline {k}</h1><div class='x-box'>Follow our channels</div><p>Text {k} with many words of its own</p><p>More {k} of the text</p></article></body></html>"
+    pages = [box(k) for k in range(5)]
+    for k, h in enumerate(pages):
+        assert H.main_text(h, wrapper_of(pages)) == own(k)
+        few = own(k).replace("\n", "\nFollow our channels\n", 1)
+        assert H.main_text(h, wrapper_of(pages[:2])) == few == H.main_text(h, None)
+    teaser = lambda k: page(k, f"<h1>Headline {k}</h1><p>Text {k} with many words of its own</p><p>More {k} of the text</p>").replace('<div class="end">', f'<article class="card"><p>Card {k}</p></article><div class="end">')
+    pages = [teaser(k) for k in range(5)]
+    for k, h in enumerate(pages):
+        assert H.main_text(h, wrapper_of(pages)) == own(k)
+    other = "<html><body><article><p>A page of another kind with an article that is long</p></article><div class='wrap'><div class='inner'><p>see also</p></div></div></body></html>"
+    assert H.main_text(other, wrapper_of(pages)) == "A page of another kind with an article that is long"
+    same = [box(1)] * 4
+    assert H.main_text(box(1), wrapper_of(same)) == H.main_text(box(1), None)

@@ -7,9 +7,9 @@ regular expression for the host, small however many pages it has seen, and wrapp
 wrappers; so each task folds its own pages, and only partial wrappers are shuffled, salted first.
 
 Extraction drops what markup itself names as no article (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments), keeps the text of `article` or `main`, and for
-pages without them the part of the host's wrapper whose slots hold the varying text, less its
-constant texts.
+adverts, forms, scripts, styles, reader comments), and keeps the part of the host's wrapper whose slots hold
+the varying text, within it the text of `article` or `main` where there is any, less the wrapper's constant
+texts. On hosts with too few pages for constants, `article` and `main` decide alone.
 """
 
 from __future__ import annotations
@@ -108,6 +108,8 @@ class Page:
                     end = re.compile(f"</{name}", re.I).search(html, at)
                     at = end.start() if end else len(html)
         self.flush()
+        # tells a host with copies of one page only, whose texts are no template
+        self.root["h"] = crc32("\n".join(b[2] for b in self.blocks).encode("utf-8", "replace"))
 
     def text(self, raw: str) -> None:
         if not self.stack[-1][2]:
@@ -183,6 +185,8 @@ def merge(a: dict, b: dict) -> dict:
     for q in ("q", "r"):
         if a.get(q) or b.get(q):
             out[q] = 1
+    if "h" in a:
+        out["h"] = a["h"] if a["h"] == b.get("h") else -1
     return out
 
 
@@ -255,20 +259,35 @@ def constants(wrapper: dict, path: tuple[str, ...] = ()) -> set[tuple[tuple[str,
     return out
 
 
+def is_main(label: str) -> bool:
+    return label.split(".")[0].split("@")[0] in MAIN or label.endswith("@main")
+
+
 @lru_cache(maxsize=4096)
-def rules(wrapper: str) -> tuple[tuple[str, ...], frozenset]:
+def rules(wrapper: str) -> tuple[tuple[str, ...], frozenset, bool]:
+    """(path to the main part, at most to its article or main; constant texts; are the pages enough)."""
     w = json.loads(wrapper)
-    return main_path(w), frozenset(constants(w)) if varying(w) else frozenset()
+    path = main_path(w)
+    end = next((k + 1 for k, label in enumerate(path) if is_main(label)), len(path))
+    return path[:end], frozenset(constants(w)) if varying(w) and w.get("h") == -1 else frozenset(), w["n"] >= CONSTANT_PAGES
 
 
 def main_text(html: str, wrapper: str | None) -> str:
     blocks = Page(html).blocks
-    kept = [t for _, inside, t in blocks if inside]
-    if not kept and blocks:
-        path, fixed = rules(wrapper) if wrapper else ((), frozenset())
-        own = [(p, t) for p, _, t in blocks if not fixed or (p, crc32(t.encode("utf-8", "replace"))) not in fixed]
-        kept = [t for p, t in own if p[: len(path)] == path] or [t for _, t in own] or [t for _, _, t in blocks]
-    return "\n".join(kept)
+    path, fixed, enough = rules(wrapper) if wrapper else ((), frozenset(), False)
+
+    def own(some: list[tuple]) -> list[tuple]:
+        return [b for b in some if (b[0], crc32(b[2].encode("utf-8", "replace"))) not in fixed] if fixed else some
+
+    inside = [b for b in blocks if b[1]]
+    part = [b for b in blocks if b[0][: len(path)] == path]
+    both = [b for b in part if b[1]] if enough else inside
+    if both:
+        kept = own(both) or both
+    else:
+        # an article outside the host's main part is a teaser, or the page is of another kind: the longer text
+        kept = max(own(part), own(inside) or inside, key=lambda some: sum(len(b[2]) for b in some)) or own(blocks) or blocks
+    return "\n".join(b[2] for b in kept)
 
 
 def host_of(url: F.Column) -> F.Column:
