@@ -38,6 +38,14 @@ def test_finds_verbatim_and_reparameterised_questions(spark):
     assert D.contaminated(docs.limit(0), bench).collect() == [] and D.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_values_behind_numbers_glued_to_letters(spark):
+    item = "The shop sold 5 apples to the first guest and 7 pears to the next, so of 5 apples and 7 pears 3 were bad and 3 sweet."
+    start = "Mail user34@mail7.org came on the 3rd day of covid19 with Anna5 and said this. "
+    docs = [(1, item), (2, start + item), (3, start + item.replace("5", "40").replace("7", "x8 9")), (4, start + item.replace("5", "61").replace("7", "12").replace("3", "8"))]
+    got = {r.doc_id: r for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert {k: (r.n_slots, r.n_consistent, r.same_values) for k, r in got.items() if k != 3} == {1: (3, 3, True), 2: (3, 3, True), 4: (3, 3, False)}
+
+
 def test_template(spark):
     df = spark.range(1).select(F.lit("He paid 3,50 euros to Jo Ann, then Bob ran 5km in 2024. Then End").alias("t"))
     r = df.select(D.template(F.col("t")).alias("w"), D.slot_values(F.col("t")).alias("v")).first()

@@ -106,9 +106,11 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, rules: TemplateRules
     both = enough.join(doc_side, [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("tk") == F.col("_k")]).join(item_side, [F.col("item_id").eqNullSafe(F.col("_i")), F.col("item_key") == F.col("_ik")])
 
     def value(words: Column, values: Column, at: Column) -> Column:
-        """What stands at a slot: the value whose number among its kind is the slot's."""
+        """What stands at a slot: the value whose number among its kind is the slot's. Each value is one character
+        of the template words, also where it is glued to letters ('covid0')."""
         kind = F.get(words, at)
-        nth = F.size(F.filter(F.slice(words, 1, at), lambda x: x == kind))
+        before = F.array_join(F.slice(words, 1, at), "")
+        nth = F.length(before) - F.length(F.replace(before, kind, F.lit("")))
         return F.when(kind == NUMBER, F.get(values["numbers"], nth)).otherwise(F.get(values["names"], nth))
 
     def slots(r: Column) -> Column:
