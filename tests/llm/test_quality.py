@@ -43,12 +43,33 @@ def test_cutoffs_follow_their_group_and_fall_back(spark):
     word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
     plain = lambda: " ".join(word(r.randrange(3, 8)) for _ in range(80))
     marked = lambda: " ".join(word(4) + r.choice(["", "", "#"]) for _ in range(80))
+    full = lambda: " ".join(word(4) + "#" for _ in range(80))
     rows = [(k, plain(), "en", "plain") for k in range(300)] + [(1000 + k, marked(), "en", "marked") for k in range(300)]
-    rows += [(2000, " ".join(word(5) + "###" for _ in range(80)), "en", "plain"), (2001, " ".join(word(5) + "###" for _ in range(80)), "en", "marked"), (2002, plain(), "xx", "few"), (2003, " ".join(word(30) for _ in range(80)), None, None)]
+    rows += [(2000, full(), "en", "plain"), (2001, full(), "en", "marked"), (2002, plain(), "xx", "few"), (2003, " ".join(word(30) for _ in range(80)), None, None), (2004, plain() + " # & #", "en", "plain"), (2005, marked(), "en", "plain")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    kept = {x.doc_id: x.kept for x in Q.quality_verdicts(df).collect()}
-    assert all(kept[k] for k in range(300)) and sum(kept[1000 + k] for k in range(300)) > 290
-    assert not kept[2000] and not kept[2001] and kept[2002] and not kept[2003]
+    got = {x.doc_id: x for x in Q.quality_verdicts(df).collect()}
+    kept = {k: x.kept for k, x in got.items()}
+    assert sum(kept[k] for k in range(300)) > 295 and sum(kept[1000 + k] for k in range(300)) > 290
+    assert not kept[2000] and not kept[2001] and kept[2002] and not kept[2003] and kept[2004]
+    assert [got[k].level for k in (0, 1000, 2002)] == ["source", "source", "corpus"]
+    few = Q.quality_verdicts(df.withColumn("source", F.when(F.col("doc_id") == 5, "rare").otherwise(F.col("source")))).filter("doc_id = 5").first()
+    assert few.level == "language" and few.kept
+    # where all texts hold as many marks, those of the marked source are nothing odd, and in a plain corpus they are
+    all_full = df.withColumn("text", F.when(F.col("doc_id") < 2000, F.regexp_replace("text", "([a-h])( |$)", "$1#$2")).otherwise(F.col("text")))
+    moved = {x.doc_id: x.kept for x in Q.quality_verdicts(all_full).collect()}
+    assert moved[2000] and moved[2001]
+    alone = {x.doc_id: x.kept for x in Q.quality_verdicts(df.filter("source = 'plain'")).collect()}
+    assert not alone[2000] and not alone[2005] and alone[2004]
+
+
+def test_keep_good_keeps_columns_of_any_name(spark):
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(r.choice(words) for _ in range(90)), "en", "s", k, "a", "b", 1) for k in range(30)] * 2 + [(99, "# " * 80, "en", "s", 9, None, None, None), (98, " ".join(r.choice(words) for _ in range(40000)), "en", "s", 9, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _q long, _kept string, _lang string, _doc long")
+    kept = Q.keep_good(df)
+    assert kept.columns == df.columns
+    assert sorted(x.doc_id for x in kept.collect()) == sorted([*range(30), *range(30), 98])
 
 
 def test_buckets_and_merging(spark):
@@ -58,8 +79,8 @@ def test_buckets_and_merging(spark):
         assert abs(r.b) <= abs(r.v) and abs(r.v) - abs(r.b) <= abs(r.v) / 32 and (abs(r.v) >= 64 or r.b == r.v)
     sketch = spark.createDataFrame([("en", "a", 0, 1, 2), ("en", "b", 0, 1, 3), ("en", "b", 0, 5, 1)], "lang string, source string, metric int, bucket long, n long")
     assert {(r.bucket, r.n) for r in Q.merged(sketch, ["lang"]).collect()} == {(1, 5), (5, 1)}
-    q = Q.quartiles(Q.merged(sketch, ["lang"]), ["lang"]).first()
-    assert (q.docs, q.q1, q.q3) == (6, 1, 1)
+    q = Q.eighths(Q.merged(sketch, ["lang"]), ["lang"], "x").first().x
+    assert (q.docs, q.high, q.spread) == (6, 5, 4)
 
 
 @pytest.mark.parametrize("name", ["op3_reply_trees", "op5_quality_rules", "op7_warc_transactions"])

@@ -1,10 +1,13 @@
 """Quality rules whose cutoffs come from the data.
 
-Every document gets integer metrics. A mergeable quantile sketch (a log-linear histogram:
-exact below 64, relative error 1/32 above) is kept per language, source and metric; sketches of
-one source add up to those of a language, and these to the corpus, by summing counts. Each group's
-cutoff is a Tukey fence over its own quartiles; groups with too few documents use their language's
-sketch, and languages with too few the corpus's. Documents are then joined with their group's cutoffs.
+Every document gets integer counts. A mergeable quantile sketch (a log-linear histogram: exact below 64,
+relative error 1/32 above) of each rate is kept per language, source and metric; sketches of one language
+add up to the language's, and these to the corpus's, by summing counts. A document is measured by the first
+level whose sketch holds enough documents: its source (in its language), its language, the corpus.
+
+The fence lies `fence` spreads above the upper eighth; the spread is the distance of the eighths, and for one
+document at least that of its own counting noise: a count of about c comes out as c give or take its root,
+so a short text may hold a few symbols where most hold none. No cutoff is fixed: all move with the sketches.
 
 All of it is DataFrame expressions: the sketch is one partial aggregation (a hot source shrinks to
 its few buckets before the shuffle), and a text is walked inside its own row.
@@ -23,21 +26,23 @@ WORD_BREAK = "[ \t-\r]+"
 #: Bits that hold a word's position next to its window's hash.
 POSITION_BITS = 31
 METRICS = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_size_high", "word_size_low")
+#: Rates are counts in so many words (lines), and how much one event adds to a count: a repeated window has 2 x 3 words.
+#: Plain chance repeats more of a long text than of a short one: repeats count in words x root of words.
+PER, EVENT = (1000, 1000, 10000, 100, 100), (1, 1, 6, 1, 1)
+#: Distance of the eighths of a count, in its standard deviations (those of the normal distribution).
+NOISE = 2.3
+LEVELS = ("source", "language", "corpus")
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """`fence`: quartile distances above the upper quartile that are still normal.
-
-    `slack` holds, per metric, the least cutoff (the fence never rejects below it), so that groups
-    without any spread keep their ordinary documents. `min_docs`: documents a group's sketch needs.
-    """
+    """`fence`: spreads above the upper eighth that are still normal. `min_docs`: documents that a sketch needs
+    to stand for its source or language."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    fence: int = 3
+    fence: int = 2
     min_docs: int = 200
-    slack: tuple[int, ...] = (150, 500, 450, 900, -200)
 
 
 def words_of(text: Column) -> Column:
@@ -103,28 +108,22 @@ def quality_metrics(docs: DataFrame, text: str = "text") -> Column:
     return let(F.coalesce(docs[text], F.lit("")), of_text)
 
 
-def with_metrics(docs: DataFrame, rules: QualityRules) -> DataFrame:
-    """`docs` with `_q` (counts, base verdict, rates). Extra input columns stay untouched."""
-    c = F.col("_q0")
-    rate = lambda n, of, k: F.floor(n * k / F.greatest(of, F.lit(1))).cast("long")
-    failed = (c["n_words"] < rules.min_words) | (100 * c["n_repeat_words"] > rules.max_repeat_percent * c["n_words"])
-    size = rate(c["word_chars"], c["n_words"], 100)
-    return docs.withColumn("_q0", quality_metrics(docs)).withColumn(
-        "_q",
-        F.struct(
+def measures(docs: DataFrame, rules: QualityRules) -> Column:
+    """Counts of a document's text, its base verdict, its group, and per metric the count, what it is of, and the rate."""
+
+    def of_counts(c: Column) -> Column:
+        counts = (c["n_symbols"], c["n_dup_lines"], c["n_repeat_words"], c["word_chars"], -c["word_chars"])
+        bases = (c["n_words"], c["n_lines"], c["n_words"] * F.floor(F.sqrt(c["n_words"])).cast("long"), c["n_words"], c["n_words"])
+        rate = lambda n, of, k: F.signum(n).cast("long") * F.floor(F.abs(n) * k / F.greatest(of, F.lit(1))).cast("long")
+        return F.struct(
             *[c[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-            failed.alias("base_failed"),
-            F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
-            F.coalesce(F.col("source"), F.lit("")).alias("source"),
-            F.array(
-                rate(c["n_symbols"], c["n_words"], 1000),
-                rate(c["n_dup_lines"], c["n_lines"], 1000),
-                rate(c["n_repeat_words"], c["n_words"], 1000),
-                size,
-                -size,
-            ).alias("rates"),
-        ),
-    ).drop("_q0")
+            ((c["n_words"] < rules.min_words) | (100 * c["n_repeat_words"] > rules.max_repeat_percent * c["n_words"])).alias("base_failed"),
+            F.coalesce(docs["lang"], F.lit("")).alias("lang"),
+            F.coalesce(docs["source"], F.lit("")).alias("source"),
+            F.array(*[F.struct(n.alias("n"), of.alias("of"), rate(n, of, k).alias("rate")) for n, of, k in zip(counts, bases, PER)]).alias("metrics"),
+        )
+
+    return let(quality_metrics(docs), of_counts)
 
 
 def bucket(v: Column) -> Column:
@@ -135,9 +134,14 @@ def bucket(v: Column) -> Column:
     return F.when(v < 0, -edge).otherwise(edge)
 
 
+def width(edge: Column) -> Column:
+    """Values of the bucket with this edge, less one."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(F.abs(edge))) - 6, F.lit(0))) - 1
+
+
 def quantile_sketch(measured: DataFrame) -> DataFrame:
-    """(lang, source, metric, bucket, n). Sketches merge by adding n."""
-    rows = measured.filter(~F.col("_q.base_failed")).select(F.col("_q.lang").alias("lang"), F.col("_q.source").alias("source"), F.posexplode("_q.rates").alias("metric", "v"))
+    """(lang, source, metric, bucket, n) of `_q`. Sketches merge by adding n."""
+    rows = measured.filter(~F.col("_q.base_failed")).select(F.col("_q.lang").alias("lang"), F.col("_q.source").alias("source"), F.posexplode("_q.metrics.rate").alias("metric", "v"))
     return rows.groupBy("lang", "source", "metric", bucket(F.col("v")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -145,51 +149,61 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Size and quartiles (lower bucket edges) of every group's metrics."""
+def eighths(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Keys, metric and a struct `name`: documents, upper eighth, and distance of the eighths. Each lies
+    anywhere in its bucket, so the outer edges are taken."""
     group = Window.partitionBy(*keys, "metric")
     ranked = sketch.withColumn("below", F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(group))
-    at = lambda k: F.min(F.when(4 * F.col("below") >= k * F.col("total"), F.col("bucket")))
-    return ranked.groupBy(*keys, "metric").agg(F.first("total").alias("docs"), at(1).alias("q1"), at(3).alias("q3"))
+    at = lambda k: F.min(F.when(8 * F.col("below") >= k * F.col("total"), F.col("bucket")))
+    found = ranked.groupBy(*keys, "metric").agg(F.first("total").alias("docs"), at(1).alias("low"), at(7).alias("high"))
+    low = F.col("low") - F.when(F.col("low") < 0, width(F.col("low"))).otherwise(0)
+    high = F.col("high") + F.when(F.col("high") > 0, width(F.col("high"))).otherwise(0)
+    return found.select(*keys, "metric", F.struct("docs", high.alias("high"), F.when(F.col("low") == F.col("high"), 0).otherwise(high - low).alias("spread")).alias(name))
 
 
 def cutoffs(sketch: DataFrame, rules: QualityRules) -> DataFrame:
-    """One row per (lang, source): an array with the cutoff of each metric."""
-    corpus = quartiles(merged(sketch, []), []).select("metric", F.struct("docs", "q1", "q3").alias("c"))
-    lang = quartiles(merged(sketch, ["lang"]), ["lang"]).select("lang", "metric", F.struct("docs", "q1", "q3").alias("l"))
-    own = quartiles(sketch, ["lang", "source"]).select("lang", "source", "metric", F.struct("docs", "q1", "q3").alias("s"))
-    used = F.when(F.col("s.docs") >= rules.min_docs, F.col("s")).when(F.col("l.docs") >= rules.min_docs, F.col("l")).otherwise(F.col("c"))
-    slack = F.array(*[F.lit(x) for x in rules.slack])
-    fence = F.col("u.q3") + rules.fence * (F.col("u.q3") - F.col("u.q1"))
-    return (
-        own.join(lang, ["lang", "metric"])
-        .join(corpus, "metric")
-        .withColumn("u", used)
-        .groupBy("lang", "source")
-        .agg(F.sort_array(F.collect_list(F.struct("metric", F.greatest(fence, F.get(slack, F.col("metric"))).alias("cut")))).alias("cuts"))
-    )
-
-
-def judged(measured: DataFrame, sketched: DataFrame, rules: QualityRules) -> DataFrame:
-    """`measured` with `_kept`, by cutoffs from the sketches of `sketched`."""
-    sketch = written(quantile_sketch(sketched), "sketch")
-    cuts = written(cutoffs(sketch, rules), "cutoffs").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "cuts")
-    over = F.exists(F.arrays_zip(F.col("_q.rates").alias("rates"), F.transform("cuts", lambda x: x["cut"]).alias("cut")), lambda x: x["rates"] > x["cut"])
-    return measured.join(cuts, (F.col("_q.lang") == F.col("_lang")) & (F.col("_q.source") == F.col("_source")), "left").withColumn("_kept", ~F.col("_q.base_failed") & F.coalesce(~over, F.lit(False)))
+    """One row per (lang, source): the level that measures it, and per metric that level's upper eighth and its spread."""
+    own, lang, corpus = eighths(sketch, ["lang", "source"], "s"), eighths(merged(sketch, ["lang"]), ["lang"], "l"), eighths(merged(sketch, []), [], "c")
+    fit = lambda c: F.col(f"{c}.docs") >= rules.min_docs
+    by = lambda c: F.struct("metric", F.col(f"{c}.high").alias("high"), F.col(f"{c}.spread").alias("spread"))
+    pick = lambda f: F.when(fit("s"), f("s", 0)).when(fit("l"), f("l", 1)).otherwise(f("c", 2))
+    both = own.join(lang, ["lang", "metric"]).join(corpus, "metric")
+    return both.groupBy("lang", "source").agg(F.sort_array(F.collect_list(pick(lambda c, k: by(c)))).alias("cuts"), F.first(pick(lambda c, k: F.lit(LEVELS[k]))).alias("level"))
+
+
+def judged(measured: DataFrame, rules: QualityRules) -> DataFrame:
+    """`measured` with `_kept` and `_level` (what measured it), by cutoffs from its own sketches."""
+    sketch = written(quantile_sketch(measured), "sketch")
+    cuts = written(cutoffs(sketch, rules), "cutoffs").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "cuts", F.col("level").alias("_level"))
+
+    def beyond(x: Column, i: Column) -> Column:
+        k, event = F.get(F.array(*map(F.lit, PER)), i), F.get(F.array(*map(F.lit, EVENT)), i)
+        m, cut = x["metrics"], x["cuts"]
+        expected, spread = cut["high"] * m["of"] / k, cut["spread"] * m["of"] / k
+        noise = NOISE * F.sqrt(event * F.greatest(F.abs(expected), event.cast("double")))
+        return F.when(m["n"] > expected + rules.fence * F.greatest(spread, noise), True).otherwise(False)
+
+    over = F.exists(F.transform(F.arrays_zip(F.col("_q.metrics").alias("metrics"), "cuts"), beyond), lambda x: x)
+    joined = measured.join(cuts, (F.col("_q.lang") == F.col("_lang")) & (F.col("_q.source") == F.col("_source")), "left")
+    return joined.withColumn("_kept", ~F.col("_q.base_failed") & F.coalesce(~over, F.lit(False)))
 
 
 def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Counts, base verdict and adaptive verdict for every document.
+    """Counts, base verdict and adaptive verdict for every document; `level` names the sketches that measured it.
 
     Defined cases: null or empty text has no words and fails the base rule; null lang or source form
-    groups of their own (as ''); repeated rows are judged alike; an empty table gives an empty result;
-    extra columns are ignored.
+    groups of their own (as ''); a group without a document past the base rule has no level (null); repeated
+    rows are judged alike; an empty table gives an empty result; extra columns are ignored.
     """
-    measured = written(with_metrics(docs.select("doc_id", "text", "lang", "source"), rules).select("doc_id", "_q"), "quality")
-    return judged(measured, measured, rules).select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", F.col("_kept").alias("kept"))
+    measured = written(docs.select("doc_id", measures(docs, rules).alias("_q")), "quality")
+    return judged(measured, rules).select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", F.col("_kept").alias("kept"), F.col("_level").alias("level"))
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that pass, with their own columns. Texts are measured twice rather than written once more."""
-    measured = with_metrics(docs, rules)
-    return judged(measured, with_metrics(docs.select("text", "lang", "source"), rules), rules).filter("_kept").select(*docs.columns)
+    """The documents that pass, with their own columns. Texts are measured once: documents are written
+    with their measures, which the sketches and the filter then read.
+
+    Defined cases: as in `quality_verdicts`; repeated rows stay or go together; columns of any name stay as they are.
+    """
+    measured = written(docs.select(F.struct(*docs.columns).alias("_doc"), measures(docs, rules).alias("_q")), "quality")
+    return judged(measured, rules).filter("_kept").select("_doc.*")

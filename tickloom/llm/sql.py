@@ -69,20 +69,23 @@ m AS (SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CA
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines
       FROM w LEFT JOIN cov ON cov.rid = w.rid),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-r AS (SELECT rid, lang, source, unnest([0, 1, 2, 3, 4]) AS metric,
-             unnest([n_symbols * 1000 // greatest(n_words, 1), n_dup_lines * 1000 // greatest(n_lines, 1), n_repeat_words * 1000 // greatest(n_words, 1),
-                     word_chars * 100 // greatest(n_words, 1), -(word_chars * 100 // greatest(n_words, 1))]) AS v FROM b WHERE NOT base_failed),
-k AS (SELECT *, CASE WHEN v < 0 THEN -1 ELSE 1 END * ((abs(v) // (1 << greatest(length(bin(abs(v))) - 6, 0))) * (1 << greatest(length(bin(abs(v))) - 6, 0))) AS bucket FROM r),
-own AS (SELECT lang, source, metric, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM k GROUP BY ALL),
-lng AS (SELECT lang, metric, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM k GROUP BY ALL),
-tot AS (SELECT metric, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM k GROUP BY ALL),
-cut AS (SELECT own.lang, own.source, own.metric,
-               greatest(CASE WHEN own.n >= 200 THEN 4 * own.q3 - 3 * own.q1 WHEN lng.n >= 200 THEN 4 * lng.q3 - 3 * lng.q1 ELSE 4 * tot.q3 - 3 * tot.q1 END,
-                        [150, 500, 450, 900, -200][own.metric + 1]) AS c
-        FROM own JOIN lng ON lng.lang = own.lang AND lng.metric = own.metric JOIN tot ON tot.metric = own.metric),
-bad AS (SELECT DISTINCT r.rid FROM r JOIN cut ON cut.lang = r.lang AND cut.source = r.source AND cut.metric = r.metric WHERE r.v > cut.c)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept
-FROM b LEFT JOIN bad ON bad.rid = b.rid
+r AS (SELECT rid, lang, source, unnest([0, 1, 2, 3, 4]) AS metric, unnest([n_symbols, n_dup_lines, n_repeat_words, word_chars, -word_chars]) AS c,
+             unnest([n_words, n_lines, n_words * CAST(floor(sqrt(n_words)) AS BIGINT), n_words, n_words]) AS o, unnest([1000, 1000, 10000, 100, 100]) AS per, unnest([1, 1, 6, 1, 1]) AS event FROM b WHERE NOT base_failed),
+v AS (SELECT *, CASE WHEN c < 0 THEN -1 ELSE 1 END * (abs(c) * per // greatest(o, 1)) AS v FROM r),
+x AS (SELECT *, 1 << greatest(length(bin(abs(v))) - 6, 0) AS w FROM v),
+k AS (SELECT *, CASE WHEN v < 0 THEN -1 ELSE 1 END * (abs(v) // w * w) AS bucket FROM x),
+g AS (SELECT 's' AS level, lang, source, metric, bucket, w FROM k UNION ALL SELECT 'l', lang, NULL, metric, bucket, w FROM k UNION ALL SELECT 'c', NULL, NULL, metric, bucket, w FROM k),
+e AS (SELECT level, lang, source, metric, count(*) AS n, quantile_disc(bucket, 0.125) AS lo, quantile_disc(bucket, 0.875) AS hi FROM g GROUP BY ALL),
+f AS (SELECT *, hi + CASE WHEN hi > 0 THEN (1 << greatest(length(bin(abs(hi))) - 6, 0)) - 1 ELSE 0 END AS high, lo - CASE WHEN lo < 0 THEN (1 << greatest(length(bin(abs(lo))) - 6, 0)) - 1 ELSE 0 END AS low FROM e),
+q AS (SELECT level, lang, source, metric, n, high, CASE WHEN lo = hi THEN 0 ELSE high - low END AS spread FROM f),
+u AS (SELECT s.lang, s.source, s.metric, s.n >= 200 AS own, l.n >= 200 AS lng, s.high AS sh, s.spread AS ss, l.high AS lh, l.spread AS ls, c.high AS ch, c.spread AS cs
+      FROM q s JOIN q l ON l.level = 'l' AND l.lang = s.lang AND l.metric = s.metric JOIN q c ON c.level = 'c' AND c.metric = s.metric WHERE s.level = 's'),
+cut AS (SELECT lang, source, metric, CASE WHEN own THEN 'source' WHEN lng THEN 'language' ELSE 'corpus' END AS level, CASE WHEN own THEN sh WHEN lng THEN lh ELSE ch END AS high, CASE WHEN own THEN ss WHEN lng THEN ls ELSE cs END AS spread FROM u),
+lv AS (SELECT DISTINCT lang, source, level FROM cut),
+bad AS (SELECT DISTINCT r.rid FROM r JOIN cut ON cut.lang = r.lang AND cut.source = r.source AND cut.metric = r.metric
+        WHERE r.c > high * r.o / per + 2 * greatest(spread * r.o / per, 2.3 * sqrt(event * greatest(abs(high * r.o / per), event))))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept, lv.level
+FROM b LEFT JOIN bad ON bad.rid = b.rid LEFT JOIN lv ON lv.lang = b.lang AND lv.source = b.source
 """
 
 OP7 = r"""
