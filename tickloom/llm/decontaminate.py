@@ -19,9 +19,10 @@ from .common import let, text_key, written
 #: Units that follow a number; a fixed list.
 UNITS = "km|m|cm|mm|kg|g|mg|l|ml|s|ms|h|min|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|inch(?:es)?|pounds?|euros?|dollars?|cents?|percent|mph|kmh"
 NUMBER, UNIT, NAME = "0", "2", "1"
-NUMBER_PATTERN = r"\p{N}+(?:[.,:]\p{N}+)*"
+#: Repetitions are possessive: nothing behind them asks for less, and Java walks them without its stack, however long.
+NUMBER_PATTERN = r"\p{N}++(?:[.,:]\p{N}++)*+"
 #: A capital inside a sentence: after a small letter and at most a comma (texts in capitals have no names).
-NAME_PATTERN = r"(\p{Ll}[,;]? )\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*"
+NAME_PATTERN = r"(\p{Ll}[,;]? )\p{Lu}\p{L}*+(?: \p{Lu}\p{L}*+)*+"
 
 
 @dataclass(frozen=True)
