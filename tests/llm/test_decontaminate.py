@@ -7,6 +7,9 @@ ITEMS = [
     (2, "all words of this plain question are written without any number or name at all"),
     (3, "too short"),
     (4, None),
+    (5, "What is 3 plus 4 apples?"),
+    (6, "Who wrote this long famous book?"),
+    (7, "1 2 3 4 5 6 7 8 9 10"),
 ]
 FILL = "some ordinary opening words stand here and go on for a while. "
 DOCS = [
@@ -22,6 +25,13 @@ DOCS = [
     (10, FILL + ITEMS[0][1] + " " + FILL),
     (None, ITEMS[1][1]),
     (19, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"),
+    (20, "9 1 2 3 4 5 6 7 8 9 11 12"),
+    (21, FILL + "What is 5 plus 6 apples? And user34, what is 3 plus 4 apples? What is 7 plus 8 apples?"),
+    (22, "What is 5 plus 6 apples? What is 3 plus 4 pears?"),
+    (23, FILL + "who wrote this long, famous book"),
+    (24, "Who wrote this long book?"),
+    (25, FILL + "Xy34 on the 3rd. " + ITEMS[0][1]),
+    (26, "so " + "Ab Cd " * 8000 + "1.2" * 30000 + FILL + ITEMS[1][1]),
 ]
 
 
@@ -29,12 +39,13 @@ def test_finds_verbatim_and_reparameterised_questions(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string").withColumns({"h": F.lit("clash"), "item_id": F.lit(0), "w": F.lit(1)})
     bench = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("n_item", F.lit("clash"))
     got = {(r.doc_id, r.item_id): r for r in D.contaminated(docs, bench).collect()}
-    assert set(got) == {(10, 1), (11, 1), (13, 2), (None, 2)}
+    assert set(got) == {(10, 1), (11, 1), (13, 2), (None, 2), (19, 7), (21, 5), (23, 6), (25, 1), (26, 2)}
+    assert got[21, 5].same_values and got[21, 5].n_slots == 2 and got[25, 1].same_values
     assert got[10, 1].same_values and not got[11, 1].same_values and got[11, 1].n_slots == 3
     shuffled = {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench, D.TemplateRules(small=0)).collect()}
     assert shuffled == set(got)
     kept = D.without_benchmark(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [12, 14, 15, 16, 17, 18, 19]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [12, 14, 15, 16, 17, 18, 20, 22, 24]
     assert D.contaminated(docs.limit(0), bench).collect() == [] and D.contaminated(docs, bench.limit(0)).collect() == []
 
 

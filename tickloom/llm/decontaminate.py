@@ -4,7 +4,8 @@ Numbers, units and names become typed placeholders, everything else lower-case w
 other values keeps its template. Windows of template words of documents and benchmark items are joined
 by hash. Where enough of an item's windows are found in a document on one alignment, the values in the
 slots are compared: each value of the item must stand for one value of the document wherever it
-occurs. DataFrame expressions only.
+occurs. An item that has no window with enough literal words (a short one, or one of numbers) is looked for
+as a whole, with its own values. DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -29,10 +30,14 @@ NAME_PATTERN = r"(\p{Ll}[,;]? )\p{Lu}\p{L}*+(?: \p{Lu}\p{L}*+)*+"
 class TemplateRules:
     """`window`: words a window has; `literal`: words of it that are no placeholders, at least.
     `share`: part of an item's windows that a document must hold; `consistent`: part of an item's
-    distinct values that must map to one value. `small`: benchmark windows that are broadcast at most."""
+    distinct values that must map to one value. Items without such a window are found by all their words, in
+    windows of that size or of their own if they are shorter, and with the same values only if their literal words
+    are fewer than `literal`; of fewer than `least` words an item says nothing ("yes", "Part one").
+    `small`: benchmark windows that are broadcast at most."""
 
     window: int = 8
     literal: int = 5
+    least: int = 4
     share: float = 0.5
     consistent: float = 0.8
     small: int = 200_000
@@ -55,30 +60,36 @@ def slot_values(text: Column) -> Column:
     )
 
 
-def windows_of(words: Column, size: int) -> Column:
-    """Array of (at, hash) of every window."""
+def windows_of(words: Column, sizes: list[int]) -> Column:
+    """Array of (at, hash) of every window of the given sizes."""
 
-    def all_of(w: Column) -> Column:
+    def of_size(w: Column, size: int) -> Column:
         return F.transform(
             F.slice(w, 1, F.greatest(F.size(w) - (size - 1), F.lit(0))),
             lambda x, i: F.struct(i.alias("at"), F.xxhash64(x, *[F.get(w, i + k) for k in range(1, size)]).alias("h")),
         )
 
-    return let(words, all_of)
+    return let(words, lambda w: of_size(w, sizes[0]) if len(sizes) == 1 else F.concat(*[of_size(w, size) for size in sizes]))
 
 
 def is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
 
+def literals(words: Column) -> Column:
+    return F.size(F.filter(words, lambda v: ~is_slot(v)))
+
+
 def benchmark_windows(benchmark: DataFrame, rules: TemplateRules) -> DataFrame:
-    """(item_id, at, h, n_item): windows with enough literal words; n_item counts them per item. Items that
-    share an id are kept apart by their text; items shorter than a window have none and never match."""
-    size = rules.window
+    """(item_id, item_key, size, item_at, h, n_item, whole, strict): windows with enough literal words, or all windows
+    of an item that has none such (`whole`: all must be found; `strict`: with the same values). n_item counts an
+    item's windows. Items that share an id are kept apart by their text."""
     items = benchmark.select("item_id", text_key(F.col("text")).alias("item_key"), F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("w", template(F.col("text")))
-    rows = items.select("item_id", "item_key", "w", F.explode(windows_of(F.col("w"), size)).alias("x")).select("item_id", "item_key", F.col("x.at").alias("item_at"), F.col("x.h").alias("h"), F.slice("w", F.col("x.at") + 1, size).alias("part"))
-    rows = rows.filter(F.size(F.filter("part", lambda v: ~is_slot(v))) >= rules.literal).drop("part")
-    return rows.join(rows.groupBy("item_id", "item_key").agg(F.count(F.lit(1)).alias("n_item")), ["item_id", "item_key"])
+    rich = lambda w: F.filter(F.transform(w, lambda x, i: F.when(literals(F.slice(w, i + 1, rules.window)) >= rules.literal, i)), lambda i: i.isNotNull() & (i + rules.window <= F.size(w)))
+    sized = items.filter(F.size("w") >= rules.least).withColumns({"size": F.least(F.size("w"), F.lit(rules.window)), "at": rich(F.col("w"))})
+    sized = sized.withColumn("whole", F.size("at") == 0).withColumns({"at": F.when(F.col("whole"), F.sequence(F.lit(0), F.size("w") - F.col("size"))).otherwise(F.col("at")), "strict": F.col("whole") & (literals(F.col("w")) < rules.literal)})
+    hashed = F.coalesce(*[F.when(F.col("size") == k, F.transform(windows_of(F.col("w"), [k]), lambda x: x["h"])) for k in range(rules.least, rules.window + 1)])
+    return sized.withColumn("hs", hashed).select("item_id", "item_key", "size", F.size("at").cast("long").alias("n_item"), "whole", "strict", "hs", F.explode("at").alias("item_at")).withColumn("h", F.get("hs", F.col("item_at"))).drop("hs")
 
 
 def template_matches(docs: DataFrame, benchmark: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
@@ -89,14 +100,17 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, rules: TemplateRules
     empty tables give no row; other columns are not read.
     """
     bench = written(benchmark_windows(benchmark, rules), "benchmark-windows")
-    side = F.broadcast(bench) if bench.count() <= rules.small else bench
+    counted = bench.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("size")).alias("sizes")).first()
+    side = F.broadcast(bench) if counted.n <= rules.small else bench
+    sizes = counted.sizes or [rules.window]  # of few different ones: `least` to `window`
     texts = docs.select("doc_id", text_key(F.col("text")).alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.select("doc_id", "tk", F.explode(windows_of(template(F.col("text")), rules.window)).alias("x")).select("doc_id", "tk", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
-    hits = written(found.join(side, "h").select("doc_id", "tk", "item_id", "item_key", "n_item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at").distinct(), "template-hits")
+    found = texts.select("doc_id", "tk", F.explode(windows_of(template(F.col("text")), sizes)).alias("x")).select("doc_id", "tk", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
+    of_item = ["item_id", "item_key", "n_item", "whole", "strict"]
+    hits = written(found.join(side, "h").select("doc_id", "tk", *of_item, (F.col("at") - F.col("item_at")).alias("shift"), "item_at").distinct(), "template-hits")
     # an alignment of at least two windows, or the one window an item has
-    runs = hits.groupBy("doc_id", "tk", "item_id", "item_key", "n_item", "shift").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("item_at")).alias("places")).filter("n >= least(2, n_item)")
-    enough = runs.groupBy("doc_id", "tk", "item_id", "item_key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("distinct_windows"), F.first("n_item").alias("n_item"), F.max(F.struct("n", "shift")).alias("best"))
-    enough = written(enough.filter(F.col("distinct_windows") >= rules.share * F.col("n_item")), "template-candidates")
+    runs = hits.groupBy("doc_id", "tk", *of_item, "shift").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("item_at")).alias("places")).filter("n >= least(2, n_item) AND (n = n_item OR NOT whole)")
+    enough = runs.groupBy("doc_id", "tk", *of_item).agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("distinct_windows"), F.max(F.struct("n", "shift")).alias("best"), F.collect_list(F.when(F.col("whole"), F.col("shift"))).alias("shifts"))
+    enough = written(enough.filter(F.col("distinct_windows") >= rules.share * F.col("n_item")).withColumn("shifts", F.when(F.col("whole"), F.col("shifts")).otherwise(F.array("best.shift"))).drop("best"), "template-candidates")
 
     named = written(enough.select("doc_id", "tk").distinct(), "template-documents")
     same = [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("tk") == F.col("_k")]
@@ -119,12 +133,16 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, rules: TemplateRules
         at = F.filter(F.transform(r["iw"], lambda x, i: F.when(x.isin(NUMBER, NAME) & (F.get(r["dw"], F.greatest(i + shift, F.lit(0))) == x) & (i + shift >= 0), i)), lambda x: x.isNotNull())
         return F.transform(at, lambda i: F.struct(F.concat(F.get(r["iw"], i), F.lit(" "), value(r["iw"], r["iv"], i)).alias("a"), value(r["dw"], r["dv"], i + shift).alias("b")))
 
-    paired = both.withColumn("slots", let(F.struct("iw", "iv", "dw", "dv", F.col("best.shift").alias("shift")), slots))
+    # a short item may stand at several places, and one with the right values is enough
+    paired = both.withColumn("shift", F.explode("shifts")).withColumn("slots", let(F.struct("iw", "iv", "dw", "dv", "shift"), slots))
     distinct = F.array_distinct(F.transform("slots", lambda s: s["a"]))
     single = F.filter(distinct, lambda a: F.size(F.array_distinct(F.transform(F.filter("slots", lambda s: s["a"] == a), lambda s: s["b"]))) == 1)
     equal = F.forall("slots", lambda s: F.coalesce(F.substr(s["a"], F.lit(3)) == s["b"], F.lit(False)))
-    judged = paired.select("doc_id", "tk", "item_id", F.col("distinct_windows").cast("long").alias("n_windows"), (F.col("distinct_windows") / F.col("n_item")).alias("share"), F.size(distinct).cast("long").alias("n_slots"), F.size(single).cast("long").alias("n_consistent"), equal.alias("same_values"))
-    return judged.filter(F.col("n_consistent") >= rules.consistent * F.col("n_slots"))
+    judged = paired.select(
+        "doc_id", "tk", "item_id", "item_key", "shift", "strict", F.col("distinct_windows").cast("long").alias("n_windows"), (F.col("distinct_windows") / F.col("n_item")).alias("share"), F.size(distinct).cast("long").alias("n_slots"), F.size(single).cast("long").alias("n_consistent"), equal.alias("same_values"),
+    ).filter((F.col("n_consistent") >= rules.consistent * F.col("n_slots")) & (F.col("same_values") | ~F.col("strict")))
+    shown = F.struct("n_windows", "share", "n_slots", "n_consistent", "same_values")
+    return judged.groupBy("doc_id", "tk", "item_id", "item_key").agg(F.max_by(shown, F.struct("same_values", "shift")).alias("m")).select("doc_id", "tk", "item_id", "m.*")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:

@@ -19,31 +19,37 @@ def values(text: str) -> str:
 
 
 def slot(w: str, numbers: str, names: str, at: str) -> str:
-    """The value behind the placeholder at a position from 0."""
-    nth = f"len(list_filter({w}[1:{at}], lambda x: x = {w}[{at} + 1])) + 1"
+    """The value behind the placeholder at a position from 0: placeholders are counted also inside of words."""
+    nth = f"len(string_split(array_to_string({w}[1:{at}], ''), {w}[{at} + 1]))"
     return f"CASE WHEN {w}[{at} + 1] = '0' THEN {numbers}[{nth}] ELSE {names}[{nth}] END"
 
 
+RICH = "len(list_filter(w[p + 1:p + 8], lambda x: x NOT IN ('0', '1', '2'))) >= 5"
 OP2 = rf"""
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
 i AS (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark),
 dw AS (SELECT row_number() OVER () AS d, doc_id, text, {words('text')} AS w FROM d),
-iw AS (SELECT row_number() OVER () AS i, item_id, text, {words('text')} AS w FROM i),
-dg AS (SELECT d, pos, array_to_string(w[pos + 1:pos + 8], ' ') AS g FROM (SELECT d, w, unnest(range(0, greatest(len(w) - 7, 0))) AS pos FROM dw)),
-ig AS (SELECT i, pos, array_to_string(part, ' ') AS g FROM (SELECT i, pos, w[pos + 1:pos + 8] AS part FROM (SELECT i, w, unnest(range(0, greatest(len(w) - 7, 0))) AS pos FROM iw)) WHERE len(list_filter(part, lambda x: x NOT IN ('0', '1', '2'))) >= 5),
-n AS (SELECT i, count(*) AS n_item FROM ig GROUP BY i),
-h AS (SELECT DISTINCT dg.d, ig.i, dg.pos - ig.pos AS shift, ig.pos FROM dg JOIN ig ON ig.g = dg.g),
-r AS (SELECT d, h.i, n_item, shift, count(*) AS n, list(h.pos) AS places FROM h JOIN n ON n.i = h.i GROUP BY ALL HAVING count(*) >= least(2, n_item)),
-e AS (SELECT d, i, n_item, len(list_distinct(flatten(list(places)))) AS n_windows, arg_max(shift, row(n, shift)) AS shift FROM r GROUP BY d, i, n_item),
-c AS (SELECT e.d, e.i, n_windows, n_item, shift FROM e WHERE n_windows >= 0.5 * n_item),
+i0 AS (SELECT row_number() OVER () AS i, item_id, text, {words('text')} AS w FROM i),
+i1 AS (SELECT *, least(len(w), 8) AS size, list_filter(range(0, greatest(len(w) - 7, 0)), lambda p: {RICH}) AS rich FROM i0 WHERE len(w) >= 4),
+iw AS (SELECT i, item_id, text, w, size, len(rich) = 0 AS whole, len(rich) = 0 AND len(list_filter(w, lambda x: x NOT IN ('0', '1', '2'))) < 5 AS strict,
+              CASE WHEN len(rich) = 0 THEN range(0, len(w) - size + 1) ELSE rich END AS places FROM i1),
+ig AS (SELECT i, size, pos, array_to_string(w[pos + 1:pos + size], ' ') AS g FROM (SELECT i, w, size, unnest(places) AS pos FROM iw)),
+dg AS (SELECT d, size, pos, array_to_string(w[pos + 1:pos + size], ' ') AS g FROM (SELECT d, w, size, unnest(range(0, greatest(len(w) - size + 1, 0))) AS pos FROM dw, (SELECT DISTINCT size FROM iw))),
+n AS (SELECT i, whole, strict, len(places) AS n_item FROM iw),
+h AS (SELECT DISTINCT dg.d, ig.i, dg.pos - ig.pos AS shift, ig.pos FROM dg JOIN ig ON ig.g = dg.g AND ig.size = dg.size),
+r AS (SELECT d, h.i, n_item, whole, strict, shift, count(*) AS n, list(h.pos) AS places FROM h JOIN n ON n.i = h.i GROUP BY ALL HAVING count(*) >= least(2, n_item) AND (NOT whole OR count(*) = n_item)),
+e AS (SELECT d, i, n_item, strict, len(list_distinct(flatten(list(places)))) AS n_windows, CASE WHEN whole THEN list(shift) ELSE [arg_max(shift, row(n, shift))] END AS shifts FROM r GROUP BY d, i, n_item, whole, strict),
+c AS (SELECT d, i, n_windows, n_item, strict, unnest(shifts) AS shift FROM e WHERE n_windows >= 0.5 * n_item),
 v AS (SELECT c.*, dw.doc_id, iw.item_id, dw.w AS a, iw.w AS b, dv.numbers AS dn, dv.names AS dm, iv.numbers AS bn, iv.names AS bm FROM c JOIN dw ON dw.d = c.d JOIN iw ON iw.i = c.i
       JOIN (SELECT d, {values('text')} FROM dw) dv ON dv.d = c.d JOIN (SELECT i, {values('text')} FROM iw) iv ON iv.i = c.i),
-s AS (SELECT d, i, unnest(list_filter(range(0, len(b)), lambda k: b[k + 1] IN ('0', '1') AND k + shift >= 0 AND k + shift < len(a) AND a[greatest(k + shift, 0) + 1] = b[k + 1])) AS k FROM v),
-p AS (SELECT s.d, s.i, b[k + 1] AS kind, {slot('b', 'bn', 'bm', 'k')} AS x, {slot('a', 'dn', 'dm', '(k + shift)')} AS y FROM s JOIN v ON v.d = s.d AND v.i = s.i),
-q AS (SELECT d, i, kind, x, count(DISTINCT y) + max(CASE WHEN y IS NULL THEN 1 ELSE 0 END) AS images, bool_and(coalesce(x = y, false)) AS same FROM p GROUP BY ALL),
-t AS (SELECT d, i, count(*) AS n_slots, count(*) FILTER (images = 1) AS n_consistent, bool_and(same) AS same FROM q GROUP BY ALL)
-SELECT doc_id, item_id, CAST(n_windows AS BIGINT) AS n_windows, n_windows / n_item AS share, coalesce(n_slots, 0) AS n_slots, coalesce(n_consistent, 0) AS n_consistent, coalesce(same, true) AS same_values
-FROM v LEFT JOIN t ON t.d = v.d AND t.i = v.i WHERE coalesce(n_consistent, 0) >= 0.8 * coalesce(n_slots, 0)
+s AS (SELECT d, i, shift, unnest(list_filter(range(0, len(b)), lambda k: b[k + 1] IN ('0', '1') AND k + shift >= 0 AND k + shift < len(a) AND a[greatest(k + shift, 0) + 1] = b[k + 1])) AS k FROM v),
+p AS (SELECT s.d, s.i, s.shift, b[k + 1] AS kind, {slot('b', 'bn', 'bm', 'k')} AS x, {slot('a', 'dn', 'dm', '(k + s.shift)')} AS y FROM s JOIN v ON v.d = s.d AND v.i = s.i AND v.shift = s.shift),
+q AS (SELECT d, i, shift, kind, x, count(DISTINCT y) + max(CASE WHEN y IS NULL THEN 1 ELSE 0 END) AS images, bool_and(coalesce(x = y, false)) AS same FROM p GROUP BY ALL),
+t AS (SELECT d, i, shift, count(*) AS n_slots, count(*) FILTER (images = 1) AS n_consistent, bool_and(same) AS same FROM q GROUP BY ALL),
+f AS (SELECT v.d, v.i, v.shift, doc_id, item_id, CAST(n_windows AS BIGINT) AS n_windows, n_windows / n_item AS share, coalesce(n_slots, 0) AS n_slots, coalesce(n_consistent, 0) AS n_consistent, coalesce(same, true) AS same_values, strict
+      FROM v LEFT JOIN t ON t.d = v.d AND t.i = v.i AND t.shift = v.shift)
+SELECT doc_id, item_id, n_windows, share, n_slots, n_consistent, same_values FROM f WHERE n_consistent >= 0.8 * n_slots AND (same_values OR NOT strict)
+QUALIFY row_number() OVER (PARTITION BY d, i ORDER BY same_values DESC, shift DESC) = 1
 """
 
 OP3 = r"""
