@@ -59,15 +59,44 @@ def test_round_trip_over_odd_rows(spark, docs):
 @pytest.mark.parametrize("vocab", [50, 49408, 70000])
 def test_repair_blocks_expand_to_the_same_ids(vocab):
     r = np.random.default_rng(3)
-    docs = [r.zipf(1.5, r.integers(0, 400)) % vocab for _ in range(80)] + [np.full(1000, 7), np.zeros(0, int)]
+    docs = [r.zipf(1.5, r.integers(0, 400)) % vocab for _ in range(80)] + [np.full(1000, 7), np.zeros(0, int), np.arange(vocab), np.tile(np.arange(40), 90)]
     starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    packed = token_shards.pack(np.concatenate(docs).astype(np.uint32), starts, vocab)
+    packed = token_shards.pack(np.concatenate(docs).astype(np.uint32), starts)
     b = token_shards.Block(packed)
     ids, at = b.documents()
     assert (ids == np.concatenate(docs)).all() and (at == starts).all()
     for k, d in enumerate(docs):
         assert (b.document(k) == d).all()
     assert len(b.rules) > 0 and len(b.symbols) < len(ids)
+    # the grammar is at its end: what is still frequent has too few occurrences that do not overlap
+    inner = np.setdiff1d(np.arange(len(b.symbols) - 1), b.starts[1:] - 1)
+    pairs, n = np.unique(np.stack([b.symbols[inner], b.symbols[inner + 1]], 1), axis=0, return_counts=True)
+    assert n.max() < token_shards.LEAST
+    assert b.symbols.itemsize == (4 if vocab == 70000 else 2)
+
+
+def test_a_grammar_that_outgrows_two_bytes():
+    # 60,000 ids and more frequent pairs than two bytes can name besides
+    pairs = np.random.default_rng(1).permutation(60000).reshape(-1, 2)
+    docs = [pairs[np.random.default_rng(k).permutation(30000)].ravel() for k in range(14)]
+    starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    b = token_shards.Block(token_shards.pack(np.concatenate(docs).astype(np.uint32), starts))
+    assert b.symbols.itemsize == 4 and len(b.rules) >= 30000
+    assert (b.documents()[0] == np.concatenate(docs)).all() and (b.document(3) == docs[3]).all()
+
+
+def test_documents_are_read_from_the_files_one_by_one(spark, tmp_path):
+    path = P.path("word_bpe_49k.json")
+    r = random.Random(2)
+    rows = [(k % 70, " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(r.randrange(300)))) for k in range(80)] + [(None, "no key"), (100, None), (101, "one two " * 20000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    token_shards.write_shards(df, f"{tmp_path}/shards", path, 2)
+    shards = spark.read.parquet(f"{tmp_path}/shards")
+    got = token_shards.read_documents(shards, spark.createDataFrame([(3,), (3,), (69,), (100,), (101,), (999,)], "doc_id long")).collect()
+    e = token_shards.word_encoder(path)
+    want = [(i, e.model.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in rows if i in (3, 69, 100, 101)]
+    assert sorted((r.doc_id, r.ids) for r in got) == sorted(want)
+    assert token_shards.read_documents(shards, df.limit(0)).collect() == []
 
 
 def test_words_encode_as_the_whole_text_does():

@@ -2,13 +2,14 @@
 
 Documents are dealt to shards by ranges of doc_id. Each shard is a run of blocks; a block holds whole
 documents and is one binary row of a table that Spark's own writer commits (a lost executor leaves no
-half-written shard, and any file system that Spark can write will do). Inside a block frequent pairs
-of ids are replaced by nonterminals, again and again. The block keeps the rules, their expansion
-lengths, and for each document its place in the symbol sequence, so one document is decoded alone.
-
-Block layout, little-endian: 7 int64 (documents, symbols, rules, first nonterminal, bytes per symbol, ids,
-0), documents' first symbol (int64 each, and the end), rule sides (2 x symbol type each), expansion
-lengths (uint32 each), symbols. Keys of the documents are in the row beside it.
+half-written shard, and any file system that Spark can write will do). Inside a block the ids that occur are its
+alphabet. All pairs of symbols that occur often enough are replaced by nonterminals, round after round, until
+none does. The block keeps the rules, their expansion lengths, and for each document its place in the
+symbol sequence, so one document is decoded alone.
+
+Block layout, little-endian: 7 int64 (documents, symbols, ids of the alphabet, rules, rounds, bytes per symbol,
+ids), documents' first symbol (int64 each, and the end), rules of each round (int64), alphabet (uint32), rule
+sides (2 x symbol type each), expansion lengths (uint32 each), symbols. Keys of the documents are in the row beside it.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ from .common import scratch
 
 #: A block is closed at the first document end after so many ids.
 BLOCK_IDS = 1_000_000
-#: Rounds of pair replacement, pairs replaced in a round at most, and how often a pair must occur.
-ROUNDS, PAIRS, LEAST = 5, 1500, 24
+#: How often a pair must occur, and how many replacements a rule needs for its 8 bytes. Rarer pairs stay: on 2.8 MB of
+#: text 12 gives 1.197 bytes an id, 24 gives 1.234, 8 gives 1.202 (more rules, shorter sequence), and 6 with fewer pairs
+#: a round 1.194 at twice the time, so what is forgone is under one percent.
+LEAST, PAYS = 12, 5
 #: Runs and pieces that a worker remembers before it starts anew; only speed depends on them.
 REMEMBERED_RUNS, REMEMBERED_PIECES = 1_000_000, 800_000
 #: Slots of the table that finds chosen pairs; a pair whose slot is taken waits for the next round.
-SLOT_BITS = 18
+SLOT_BITS = 20
 
 
 def slot(keys: np.ndarray) -> np.ndarray:
@@ -45,91 +48,111 @@ def slot(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
 
-def compress(ids: np.ndarray, first_symbols: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, documents' first symbols, rules, expansion lengths) of concatenated documents.
-
-    No pair crosses a document. Of overlapping occurrences the left one is replaced.
+def replaced(symbols: np.ndarray, last: np.ndarray, following: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """One round: (symbols, documents' last symbols, rules), or None if no pair occurs often enough."""
+    wide, bits = (np.uint32, 16) if symbols.itemsize == 2 else (np.uint64, 32)
+    if len(symbols) < LEAST:
+        return None
+    keys = (symbols[:-1].astype(wide) << wide(bits)) | symbols[1:]
+    inner = ~last[:-1]
+    ordered = np.sort(keys[inner])
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(ordered)))
+    frequent = counts >= LEAST
+    if not frequent.any():
+        return None
+    chosen = ordered[starts[frequent]]
+    slots = np.full(1 << SLOT_BITS, -1, np.int32)
+    by_count = np.argsort(counts[frequent], kind="stable")  # of pairs in one slot the most frequent goes first
+    slots[slot(chosen[by_count])] = by_count
+    rank = slots[slot(keys)]
+    at = np.flatnonzero((rank >= 0) & inner)
+    rank = rank[at]
+    hit = chosen[rank] == keys[at]
+    at, rank = at[hit], rank[hit]
+    run = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
+    taken = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
+    at, rank = at[taken], rank[taken]
+    pays = np.bincount(rank, minlength=len(chosen)) >= PAYS
+    if not pays.any():
+        return None
+    at, rank = at[pays[rank]], (np.cumsum(pays) - 1)[rank[pays[rank]]]
+    chosen = chosen[pays]
+    sides = np.stack([chosen >> wide(bits), chosen & wide((1 << bits) - 1)], axis=1)
+    if symbols.itemsize == 2 and following + len(chosen) > 1 << 16:
+        symbols = symbols.astype(np.uint32)
+    else:
+        symbols = symbols.copy()
+    symbols[at] = following + rank
+    last = last.copy()
+    last[at] |= last[at + 1]
+    stays = np.ones(len(symbols), bool)
+    stays[at + 1] = False
+    return symbols[stays], last[stays], sides.astype(np.uint32)
+
+
+def compress(ids: np.ndarray, first_symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(alphabet, symbols, documents' first symbols, rules of each round) of concatenated documents.
+
+    No pair crosses a document. Of overlapping occurrences the left one is replaced; the rest wait for the next round.
     """
-    small = vocab + ROUNDS * PAIRS < 1 << 16
-    narrow, wide, bits = (np.uint16, np.uint32, 16) if small else (np.uint32, np.uint64, 32)
-    symbols = ids.astype(narrow)
+    seen = np.zeros(int(ids.max()) + 1 if len(ids) else 0, bool)
+    seen[ids] = True
+    alphabet = np.flatnonzero(seen).astype(np.uint32)
+    symbols = (np.cumsum(seen) - 1)[ids].astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
     last = np.zeros(len(symbols), bool)
     last[first_symbols[1:] - 1] = len(symbols) > 0
-    rules, lengths, following = [], [], vocab
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        keys = (symbols[:-1].astype(wide) << wide(bits)) | symbols[1:]
-        inner = ~last[:-1]
-        ordered = np.sort(keys[inner])
-        if not len(ordered):
-            break
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(starts, len(ordered)))
-        frequent = np.flatnonzero(counts >= LEAST)
-        if not len(frequent):
-            break
-        best = frequent[np.argsort(-counts[frequent], kind="stable")[:PAIRS]]
-        chosen = np.sort(ordered[starts[best]])
-        left, right = (chosen >> wide(bits)).astype(narrow), (chosen & wide((1 << bits) - 1)).astype(narrow)
-        slots = np.full(1 << SLOT_BITS, -1, np.int32)
-        slots[slot(chosen)] = np.arange(len(chosen))
-        own = slots[slot(chosen)] == np.arange(len(chosen))
-        chosen, left, right = chosen[own], left[own], right[own]
-        slots[:] = -1
-        slots[slot(chosen)] = np.arange(len(chosen))
-        rank = slots[slot(keys)]
-        at = np.flatnonzero((rank >= 0) & inner)
-        rank = rank[at]
-        hit = chosen[rank] == keys[at]
-        at, rank = at[hit], rank[hit]
-        run = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
-        place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-        taken = place % 2 == 0
-        at, rank = at[taken], rank[taken]
-        symbols[at] = (following + rank).astype(narrow)
-        last[at] |= last[at + 1]
-        stays = np.ones(len(symbols), bool)
-        stays[at + 1] = False
-        symbols, last = symbols[stays], last[stays]
-        rules.append(np.stack([left, right], axis=1))
-        following += len(chosen)
-    rules = np.concatenate(rules) if rules else np.zeros((0, 2), narrow)
-    lengths = np.ones(following, np.int64)
-    for k in range(len(rules)):
-        lengths[vocab + k] = lengths[rules[k, 0]] + lengths[rules[k, 1]]
+    rules, following = [], len(alphabet)
+    while (found := replaced(symbols, last, following)) is not None:
+        symbols, last, sides = found
+        rules.append(sides)
+        following += len(sides)
     # a document's first symbol follows the last one before it; empty documents start where the next does
     sizes = np.diff(first_symbols)
     ends = np.concatenate(([0], np.flatnonzero(last) + 1))
-    return symbols, ends[np.concatenate(([0], np.cumsum(sizes > 0)))], rules, lengths[vocab:].astype(np.uint32)
+    return alphabet, symbols, ends[np.concatenate(([0], np.cumsum(sizes > 0)))], rules
+
 
+def joined_lengths(n: int, rules: list[np.ndarray]) -> np.ndarray:
+    """Expansion lengths of n terminals and all rules; a rule's sides come from earlier rounds."""
+    lengths = np.ones(n + sum(map(len, rules)), np.int64)
+    for sides in rules:
+        lengths[n : n + len(sides)] = lengths[sides].sum(axis=1)
+        n += len(sides)
+    return lengths
 
-def pack(ids: np.ndarray, first_symbols: np.ndarray, vocab: int) -> bytes:
-    symbols, starts, rules, lengths = compress(ids, first_symbols, vocab)
-    head = np.array([len(starts) - 1, len(symbols), len(rules), vocab, symbols.itemsize, len(ids), 0], "<i8")
-    return b"".join(x.tobytes() for x in (head, starts.astype("<i8"), rules, lengths, symbols))
+
+def pack(ids: np.ndarray, first_symbols: np.ndarray) -> bytes:
+    alphabet, symbols, starts, rules = compress(ids, first_symbols)
+    lengths, kind, rounds = joined_lengths(len(alphabet), rules)[len(alphabet) :], symbols.dtype, [len(r) for r in rules]
+    head = np.array([len(starts) - 1, len(symbols), len(alphabet), sum(rounds), len(rounds), symbols.itemsize, len(ids)], "<i8")
+    return b"".join(x.tobytes() for x in (head, starts.astype("<i8"), np.array(rounds, "<i8"), alphabet, *[r.astype(kind) for r in rules], lengths.astype("<u4"), symbols))
 
 
 class Block:
     """Random access to a packed block."""
 
     def __init__(self, packed: bytes) -> None:
-        docs, n, n_rules, self.vocab, size, self.n_ids, _ = map(int, np.frombuffer(packed, "<i8", 7))
-        kind, at = np.dtype(f"<u{size}"), 56
-        self.starts = np.frombuffer(packed, "<i8", docs + 1, at)
-        at += 8 * (docs + 1)
-        self.rules = np.frombuffer(packed, kind, 2 * n_rules, at).reshape(-1, 2)
-        at += 2 * n_rules * size
-        self.lengths = np.concatenate([np.ones(self.vocab, np.int64), np.frombuffer(packed, "<u4", n_rules, at)])
-        at += 4 * n_rules
-        self.symbols = np.frombuffer(packed, kind, n, at)
-        parts = [np.arange(self.vocab, dtype=np.uint32)]
-        grown: list[np.ndarray] = []
-        side = lambda s: parts[0][s : s + 1] if s < self.vocab else grown[s - self.vocab]
-        for a, b in self.rules.tolist():
-            grown.append(np.concatenate([side(a), side(b)]))
-        self.flat = np.concatenate(parts + grown)
-        self.place = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
+        docs, n, n_alphabet, n_rules, n_rounds, size, self.n_ids = map(int, np.frombuffer(packed, "<i8", 7))
+        at = 56
+
+        def read(kind: str, n: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(packed, kind, n, at)
+            at += out.nbytes
+            return out
+
+        self.starts, rounds = read("<i8", docs + 1), read("<i8", n_rounds)
+        alphabet, self.rules = read("<u4", n_alphabet), read(f"<u{size}", 2 * n_rules).reshape(-1, 2)
+        self.lengths = np.concatenate([np.ones(n_alphabet, np.int64), read("<u4", n_rules)])
+        self.symbols = read(f"<u{size}", n)
+        self.place = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.flat = np.empty(self.place[-1], np.uint32)
+        self.flat[:n_alphabet] = alphabet
+        k = 0
+        for m in rounds.tolist():
+            self.flat[self.place[n_alphabet + k] : self.place[n_alphabet + k + m]] = self.expand(self.rules[k : k + m].ravel())
+            k += m
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         lengths = self.lengths[symbols]
@@ -175,16 +198,20 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.vocab = self.model.get_vocab_size(with_added_tokens=True)
         self.words = regex.compile(r"\P{White_Space}+").findall
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
         if [s["type"] for s in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"]:
             raise ValueError("the tokenizer's pieces must be a pattern's matches, as bytes")
-        self.cut = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
+        pattern = steps[0]["pattern"]["Regex"]
+        self.cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
+        # a run of letters is one piece if the pattern takes letters, and before them only what starts with an apostrophe
+        before, letters, _ = f"|{pattern}|".partition(r"|[\p{L}]+|")
+        self.whole = bool(letters) and all(x.startswith("'") for x in before.split("|")[1:])
         self.chars = byte_characters()
         self.known = Learned(self.word)
-        self.pieces = Learned(lambda p: self.piece("".join(map(self.chars.__getitem__, p.encode("utf-8")))))
+        # printable ASCII stands for itself in the byte table
+        self.pieces = Learned(lambda p: self.piece(p if p.isascii() and p.isprintable() else "".join(map(self.chars.__getitem__, p.encode("utf-8")))))
 
     def split(self, text: str) -> list[str]:
         # str.split also breaks at these four, which are no white space in Unicode
@@ -195,7 +222,8 @@ class WordEncoder:
 
     def word(self, word: str) -> bytes:
         if word.isascii():
-            return b"".join(map(self.pieces.__getitem__, self.cut(word.lower())))
+            low = word.lower()
+            return self.pieces[low] if self.whole and low.isalpha() else b"".join(map(self.pieces.__getitem__, self.cut(low)))
         plain = self.model.normalizer.normalize_str(word)
         if max(plain) > self.ORDINARY:
             return b"".join(self.piece(p) for p, _ in self.model.pre_tokenizer.pre_tokenize_str(plain))
@@ -227,7 +255,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, key: st
         def closed() -> pa.RecordBatch:
             starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int64()), pa.array([block], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([n], pa.int64()), pa.array([pack(np.concatenate(parts), starts, encoder.vocab)], pa.binary())],
+                [pa.array([shard], pa.int64()), pa.array([block], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([n], pa.int64()), pa.array([pack(np.concatenate(parts), starts)], pa.binary())],
                 names=["shard", "block", "keys", "n_ids", "packed"],
             )
 
@@ -264,6 +292,22 @@ def read_shards(df: DataFrame) -> DataFrame:
     return df.select("shard", "block", "keys", "packed").mapInArrow(run, "doc_id long, shard long, block long, start_in_block long, n_tokens long, ids_crc32 long")
 
 
+def read_documents(shards: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, ids) of the documents whose keys `wanted` names: only their blocks are read, and of these only they
+    are expanded. Documents that share a key come all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, at, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                block = Block(packed)
+                for k in at:
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[k]], pa.int64()), pa.array([block.document(k)], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    places = shards.select("shard", "block", F.posexplode("keys").alias("at", "k"))
+    chosen = places.join(wanted.select(F.col(key).cast("long").alias("k")).distinct(), "k").groupBy("shard", "block").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    return shards.join(chosen, ["shard", "block"]).select("keys", "at", "packed").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def block_starts(shards: DataFrame) -> DataFrame:
     """Ids before each block: sums over the few shards, then over the blocks of one shard."""
     per_shard = shards.groupBy("shard").agg(F.sum("n_ids").alias("n"))
