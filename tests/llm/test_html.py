@@ -1,5 +1,7 @@
-import json
+import os
+from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.llm import html as H
@@ -36,7 +38,7 @@ def test_wrapper_finds_slots_repeats_and_optionals(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
     w = {r.host: r.wrapper for r in H.host_wrappers(df.repartition(3)).collect()}
     assert set(w) == {"h.example.org", "", "one.example.org"}
-    assert H.expression(json.loads(w["h.example.org"])) == (
+    assert H.expression(H.loaded(w["h.example.org"])) == (
         "<html><body><div.top>'</><div.wrap><div.inner><h1>#</>(<p>#</>)+(<div.extra>#</>)?</></><div.end>'</></></>"
     )
     got = {(r.page_id, r.text, r.n_chars) for r in H.extract_main_text(df).collect()}
@@ -63,7 +65,7 @@ def wrapper_of(pages):
     whole = H.folded(H.Page(pages[0]).root)
     for h in pages[1:]:
         whole = H.merge(whole, H.folded(H.Page(h).root))
-    return json.dumps(whole)
+    return H.dumped(whole)
 
 
 def test_wrapper_decides_for_pages_with_an_article():
@@ -82,3 +84,68 @@ def test_wrapper_decides_for_pages_with_an_article():
     assert H.main_text(other, wrapper_of(pages)) == "A page of another kind with an article that is long"
     same = [box(1)] * 4
     assert H.main_text(box(1), wrapper_of(same)) == H.main_text(box(1), None)
+
+
+def test_names_inside_an_article_that_only_hold_such_words_stay():
+    h = "<article><div class='social-history'><p>one</p></div><section id='share-prices'><p>two</p></section><p class='noticeable ad-hoc'>three</p><div class='share-buttons big'>no</div><div id='cookie_notice'>no</div><p class='comment'>no</p><div class='related-posts'>no</div><p>end</p></article>"
+    assert H.main_text(h, None) == "one\ntwo\nthree\nend"
+
+
+def test_deep_and_long_pages(spark):
+    n = 5000
+    deep = "<article>" + "<div>" * n + "core of the page" + "</div>" * n + "<p>end</p></article>"
+    long = "<body><nav>menu</nav><article>" + "".join(f"<p>Line {k} of it &amp; more.</p></span></section>" for k in range(120_000)) + "</article></body>"
+    unclosed = "<div>" * 20_000 + "</section></li>" * 20_000 + "text"
+    assert len(long) > 5_000_000
+    pages = [(1, "https://deep.example.org/1", deep), (2, "https://deep.example.org/2", deep.replace("core", "heart")), (3, "https://deep.example.org/3", deep.replace("core", "rest")), (4, "https://long.example.org", long), (5, "https://u.example.org", unclosed)]
+    got = {r.page_id: r.text for r in H.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in (1, 2, 3)] == ["core of the page", "heart of the page", "rest of the page"]  # "end" is the same on all
+    assert got[4].split("\n") == [f"Line {k} of it & more." for k in range(120_000)] and got[5] == "text"
+
+
+class Article(HTMLParser):
+    """Blocks of text inside `article`, by the standard library's parser: what the given pages' texts must be."""
+
+    BREAKS = {"article", "p", "div", "h1", "h2", "h3", "h4", "ul", "ol", "li", "table", "tr", "td", "th", "blockquote", "pre", "section", "header", "figure", "figcaption", "aside", "nav", "footer", "form"}
+    SKIPPED = {"nav", "footer", "aside", "form", "script", "style"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skipped, self.blocks = 0, [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            return self.handle_data(" ")
+        if tag in self.BREAKS:
+            self.blocks.append("")
+        self.inside += tag == "article"
+        if tag in self.SKIPPED or ("class", "ad") in attrs or self.skipped and tag == self.skipped[0]:
+            self.skipped.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.BREAKS:
+            self.blocks.append("")
+        self.inside -= tag == "article"
+        if self.skipped and self.skipped[-1] == tag:
+            self.skipped.pop()
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.blocks[-1] += data
+
+    @classmethod
+    def text(cls, html):
+        p = cls()
+        p.feed(html or "")
+        p.close()
+        return "\n".join(x for x in (" ".join(b.split()) for b in p.blocks) if x)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
+def test_given_pages_equal_the_standard_parser(spark):
+    from tickloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    want = {(r.page_id, r.url, Article.text(r.html)) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = queries.QUERIES["op10_wrapper_induction"](spark, sf).collect()
+    assert {(r.page_id, r.url, r.text) for r in got} == want and all(r.n_chars == len(r.text) for r in got)

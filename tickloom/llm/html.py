@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
 from html import unescape
@@ -36,15 +38,17 @@ BLOCKS = frozenset("address article aside blockquote body button canvas center d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template title textarea iframe svg math object xmp".split())
 DROPPED = frozenset("head nav footer aside form script style noscript template title textarea iframe svg math object select option button dialog menu search".split())
-#: Words in class or id, and values of role, that name parts outside the article.
+#: Names in class or id of parts outside the article. A name of several words ("cookie-notice", "ad_box") is meant if
+#: they all stand here or in NEUTRAL_WORDS: "share-buttons" is one, "share-prices" and "social-history" are none.
 DROPPED_WORDS = frozenset(
     "ad ads adsense adslot advert adverts advertisement advertising adbox banner promo promotion sponsor sponsored sidebar menu nav navbar navigation navi breadcrumb breadcrumbs footer masthead "
     "topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall subscribe subscription newsletter signup login share sharing social related recommended "
     "recommendations comment comments commentlist disqus reply replies respond widget toolbar pagination pager skip".split()
 )
+NEUTRAL_WORDS = frozenset("a area bar block body bottom box button buttons center container content form group head icons inner item items left link links list main outer panel part posts right row section site slot text thread top unit user wrap wrapper".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 #: Dropped outside an article only: an article has its own header.
-OUTER_WORDS = frozenset(["header"])
+OUTER_WORDS = frozenset(["header", "site", "page"])
 MAIN = frozenset(["article", "main"])
 #: What an opening tag closes, and where the search for it ends.
 CLOSES = {
@@ -55,36 +59,60 @@ CLOSES = {
 CONSTANT_PAGES = 3
 
 
-def attributes(raw: str) -> tuple[str, set[str], bool]:
-    """(label part, words of class and id, hidden) of an opening tag."""
-    classes, words, role, hidden = "", set(), "", False
+def names_outside(name: str) -> bool:
+    """Whether a class or id names a part outside the article."""
+    words = WORD.findall(name)
+    return any(w in DROPPED_WORDS for w in words) and all(w in DROPPED_WORDS or w in NEUTRAL_WORDS for w in words)
+
+
+def attributes(raw: str) -> tuple[str, list[str], bool]:
+    """(label part, names in class and id, hidden) of an opening tag."""
+    label, names, role, hidden = "", [], "", False
     for m in ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
+            names += value.split()
             found = WORD.findall(value)
-            words.update(found)
-            classes += "." + "-".join(found) if found else ""
+            label += "." + "-".join(found) if found else ""
         elif name == "role":
             role = value
         else:
             hidden |= name == "hidden" or value == "true"
     if role in DROPPED_ROLES:
         hidden = True
-    return classes + ("@main" if role == "main" else ""), words, hidden
+    return label + ("@main" if role == "main" else ""), names, hidden
 
 
 def node(label: str) -> dict:
     return {"l": label, "n": 1, "c": 0, "t": None, "k": []}
 
 
+def bounced(work: Generator):
+    """The result of a recursive generator that yields its calls, kept on a list: pages may be nested at any depth."""
+    calls, value = [work], None
+    while calls:
+        try:
+            calls.append(calls[-1].send(value))
+            value = None
+        except StopIteration as end:
+            calls.pop()
+            value = end.value
+    return value
+
+
 class Page:
-    """Blocks of text, (labels of the open block elements, in an article or main, text), and the tree."""
+    """Blocks of text, (path of open block elements, in an article or main, text), and the tree.
+
+    A path is a number: `paths` gives that of a path and one more label, from 0, the page, on.
+    """
 
     def __init__(self, html: str) -> None:
-        self.blocks: list[tuple[tuple[str, ...], bool, str]] = []
+        self.blocks: list[tuple[int, bool, str]] = []
         self.root = node("")
-        # name, is block, dropped, in main, tree node, labels
-        self.stack: list[tuple] = [("", True, False, False, self.root, ())]
+        self.paths: dict[tuple[int, str], int] = {}
+        # name, is block, dropped, in main, tree node, path
+        self.stack: list[tuple] = [("", True, False, False, self.root, 0)]
+        self.opened: Counter[str] = Counter()
         self.buffer: list[str] = []
         at = 0
         while at < len(html):
@@ -121,18 +149,21 @@ class Page:
         text = " ".join("".join(self.buffer).split())
         self.buffer.clear()
         if text:
-            _, _, _, in_main, tree, labels = next(s for s in reversed(self.stack) if s[1])
-            self.blocks.append((labels, in_main, text))
+            _, _, _, in_main, tree, path = next(s for s in reversed(self.stack) if s[1])
+            self.blocks.append((path, in_main, text))
             tree["t"] = crc32(text.encode("utf-8", "replace")) if not tree["c"] else -1
             tree["c"] += len(text)
 
     def pop_to(self, k: int) -> None:
         if any(s[1] for s in self.stack[k:]):
             self.flush()
+        self.opened.subtract(s[0] for s in self.stack[k:])
         del self.stack[k:]
 
     def close(self, name: str) -> None:
         block = name in BLOCKS
+        if not self.opened[name]:
+            return None
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == name:
                 return self.pop_to(k)
@@ -154,7 +185,7 @@ class Page:
                     break
             if name in CLOSES:
                 what, until = CLOSES[name]
-                for k in range(len(self.stack) - 1, 0, -1):
+                for k in range(len(self.stack) - 1, 0, -1) if any(self.opened[x] for x in what) else ():
                     if self.stack[k][0] in what:
                         self.pop_to(k)
                         break
@@ -163,25 +194,26 @@ class Page:
             self.flush()
         if name in VOID:
             return
-        _, _, dropped, in_main, tree, labels = self.stack[-1]
-        extra, words, hidden = attributes(raw) if raw and not raw.isspace() else ("", set(), False)
-        root = name in ("html", "body") or name in MAIN and not words & {"comment", "comments", "reply"}
-        dropped = dropped or hidden or name in DROPPED or (not root and bool(words & DROPPED_WORDS)) or (not in_main and (name == "header" or (not root and bool(words & OUTER_WORDS))))
+        _, _, dropped, in_main, tree, path = self.stack[-1]
+        extra, names, hidden = attributes(raw) if raw and not raw.isspace() else ("", [], False)
+        root = name in ("html", "body") or name in MAIN and not any(w in ("comment", "comments", "reply") for x in names for w in WORD.findall(x))
+        dropped = dropped or hidden or name in DROPPED or (not root and any(map(names_outside, names))) or (not in_main and (name == "header" or (not root and any(OUTER_WORDS.issuperset(WORD.findall(x)) for x in names))))
         in_main = in_main or name in MAIN or extra.endswith("@main")
         if block:
             label = name + extra
-            labels = (*labels, label)
+            path = self.paths.setdefault((path, label), len(self.paths) + 1)
             if not dropped:
                 child = node(label)
                 tree["k"].append(child)
                 tree = child
-        self.stack.append((name, block, dropped, in_main, tree, labels))
+        self.opened[name] += 1
+        self.stack.append((name, block, dropped, in_main, tree, path))
 
 
-def merge(a: dict, b: dict) -> dict:
+def merging(a: dict, b: dict) -> Generator:
     """Two nodes with one label: texts that differ become a slot (-1), children are aligned."""
     text = b["t"] if a["t"] is None else a["t"] if b["t"] is None or a["t"] == b["t"] else -1
-    out = {"l": a["l"], "n": a["n"] + b["n"], "c": a["c"] + b["c"], "t": text, "k": align(a["k"], b["k"])}
+    out = {"l": a["l"], "n": a["n"] + b["n"], "c": a["c"] + b["c"], "t": text, "k": (yield aligning(a["k"], b["k"]))}
     for q in ("q", "r"):
         if a.get(q) or b.get(q):
             out[q] = 1
@@ -190,22 +222,21 @@ def merge(a: dict, b: dict) -> dict:
     return out
 
 
-def align(a: list[dict], b: list[dict]) -> list[dict]:
+def aligning(a: list[dict], b: list[dict]) -> Generator:
     la, lb = [x["l"] for x in a], [x["l"] for x in b]
-    if la == lb:
-        return fold([merge(x, y) for x, y in zip(a, b)])
     out = []
-    for tag, i1, i2, j1, j2 in SequenceMatcher(None, la, lb, autojunk=False).get_opcodes():
+    for tag, i1, i2, j1, j2 in [("equal", 0, len(a), 0, len(b))] if la == lb else SequenceMatcher(None, la, lb, autojunk=False).get_opcodes():
         if tag == "equal":
-            out += [merge(x, y) for x, y in zip(a[i1:i2], b[j1:j2])]
+            for x, y in zip(a[i1:i2], b[j1:j2]):
+                out.append((yield merging(x, y)))
         else:
             out += [x | {"q": 1} for x in (*a[i1:i2], *b[j1:j2])]
-    return fold(out)
+    return (yield folding(out))
 
 
-def repeated(a: dict, b: dict) -> dict:
+def repeating(a: dict, b: dict) -> Generator:
     """Two siblings of one repeated group: pages are not counted twice, and the text is a slot."""
-    out = merge(a, b) | {"n": max(a["n"], b["n"]), "r": 1}
+    out = (yield merging(a, b)) | {"n": max(a["n"], b["n"]), "r": 1}
     if a["c"] or b["c"]:
         out["t"] = -1
     if not (a.get("q") and b.get("q")):
@@ -213,75 +244,137 @@ def repeated(a: dict, b: dict) -> dict:
     return out
 
 
-def fold(nodes: list[dict]) -> list[dict]:
+def folding(nodes: list[dict]) -> Generator:
     """Groups of one to three siblings that occur again right after themselves become repeated."""
     for size in (1, 2, 3):
-        k = 0
-        while k + 2 * size <= len(nodes):
-            if all(nodes[k + i]["l"] == nodes[k + size + i]["l"] for i in range(size)):
-                nodes = nodes[:k] + [repeated(nodes[k + i], nodes[k + size + i]) for i in range(size)] + nodes[k + 2 * size :]
-            else:
-                k += 1
+        done: list[dict] = []
+        for x in nodes:
+            done.append(x)
+            if len(done) >= 2 * size and all(done[k - 2 * size]["l"] == done[k - size]["l"] for k in range(size)):
+                again = [done.pop() for _ in range(size)][::-1]
+                for k in range(size):
+                    done[k - size] = yield repeating(done[k - size], again[k])
+        nodes = done
     return nodes
 
 
+def merge(a: dict, b: dict) -> dict:
+    return bounced(merging(a, b))
+
+
+def bottom_up(tree: dict) -> list[dict]:
+    """All nodes, children before their parents."""
+    out, left = [], [tree]
+    while left:
+        x = left.pop()
+        out.append(x)
+        left += x["k"]
+    return out[::-1]
+
+
 def folded(tree: dict) -> dict:
-    return tree | {"k": fold([folded(x) for x in tree["k"]])}
+    """The tree with its repeated siblings folded, in place."""
+    for x in bottom_up(tree):
+        x["k"] = bounced(folding(x["k"]))
+    return tree
 
 
-def expression(tree: dict) -> str:
-    """The wrapper as a regular expression over tags: `+` repeated, `?` optional, `#` a text slot."""
-    inner = ("#" if tree["t"] == -1 else "'" if tree["t"] is not None else "") + "".join(map(expression, tree["k"]))
-    own = f"<{tree['l']}>{inner}</>" if tree["l"] else inner
-    return f"({own}){'+' if tree.get('r') else ''}{'?' if tree.get('q') else ''}" if tree.get("r") or tree.get("q") else own
+def dumped(tree: dict) -> str:
+    """JSON of a tree as a list of nodes, parents before their children, each with its depth."""
+    out, left = [], [(0, tree)]
+    while left:
+        depth, x = left.pop()
+        out.append({"d": depth} | {a: b for a, b in x.items() if a != "k"})
+        left += [(depth + 1, y) for y in reversed(x["k"])]
+    return json.dumps(out)
 
 
-def varying(tree: dict) -> int:
-    return (tree["c"] if tree["t"] == -1 else 0) + sum(map(varying, tree["k"]))
+def loaded(raw: str) -> dict:
+    path: list[dict] = []
+    for x in json.loads(raw):
+        del path[x.pop("d") :]
+        x["k"] = []
+        if path:
+            path[-1]["k"].append(x)
+        path.append(x)
+    return path[0]
 
 
-def main_path(wrapper: dict) -> tuple[str, ...]:
-    """Labels down to the deepest element that holds most of the host's varying text."""
-    path, at = [], wrapper
-    while True:
-        total = varying(at)
-        best = max(at["k"], key=varying, default=None)
-        if best is None or not total or 10 * varying(best) < 7 * total or best.get("r"):
-            return tuple(path)
-        path.append(best["l"])
-        at = best
+def expression(tree: dict) -> str:
+    """The wrapper as a regular expression over tags: `+` repeated, `?` optional, `#` a text slot, `'` a constant text."""
 
+    def of(x: dict) -> Generator:
+        inner = "#" if x["t"] == -1 else "'" if x["t"] is not None else ""
+        for y in x["k"]:
+            inner += yield of(y)
+        own = f"<{x['l']}>{inner}</>" if x["l"] else inner
+        return f"({own}){'+' if x.get('r') else ''}{'?' if x.get('q') else ''}" if x.get("r") or x.get("q") else own
 
-def constants(wrapper: dict, path: tuple[str, ...] = ()) -> set[tuple[tuple[str, ...], int]]:
-    out = {(path, wrapper["t"])} if wrapper["t"] not in (None, -1) and wrapper["n"] >= CONSTANT_PAGES and not wrapper.get("r") else set()
-    for x in wrapper["k"]:
-        out |= constants(x, (*path, x["l"]))
-    return out
+    return bounced(of(tree))
+
+
+def with_varying(tree: dict) -> dict:
+    """Every node with `v`: characters of slot texts in it."""
+    for x in bottom_up(tree):
+        x["v"] = (x["c"] if x["t"] == -1 else 0) + sum(y["v"] for y in x["k"])
+    return tree
 
 
 def is_main(label: str) -> bool:
     return label.split(".")[0].split("@")[0] in MAIN or label.endswith("@main")
 
 
+@dataclass(frozen=True)
+class Rules:
+    """What a wrapper says of its host's pages. Paths are numbers, as in Page; `steps` holds (path, label) of path 1, 2, ..."""
+
+    steps: tuple[tuple[int, str], ...] = ()
+    main: int = 0
+    #: (path, hash) of texts that all pages share.
+    constants: tuple[tuple[int, int], ...] = ()
+    #: Are there pages enough to go by the wrapper alone?
+    enough: bool = False
+
+
 @lru_cache(maxsize=4096)
-def rules(wrapper: str) -> tuple[tuple[str, ...], frozenset, bool]:
-    """(path to the main part, at most to its article or main; constant texts; are the pages enough)."""
-    w = json.loads(wrapper)
-    path = main_path(w)
-    end = next((k + 1 for k, label in enumerate(path) if is_main(label)), len(path))
-    return path[:end], frozenset(constants(w)) if varying(w) and w.get("h") == -1 else frozenset(), w["n"] >= CONSTANT_PAGES
+def rules(wrapper: str) -> Rules:
+    """The main part is the deepest element that holds most of the varying text, and at most the article or main on the way to it."""
+    w = with_varying(loaded(wrapper))
+    paths: dict[tuple[int, str], int] = {}
+    below = lambda path, x: paths.setdefault((path, x["l"]), len(paths) + 1)
+    main, at = 0, w
+    while at["v"]:
+        best = max(at["k"], key=lambda x: x["v"], default=None)
+        if best is None or 10 * best["v"] < 7 * at["v"] or best.get("r"):
+            break
+        main, at = below(main, best), best
+        if is_main(best["l"]):
+            break
+    same, left = set(), [(0, w)] if w["v"] and w.get("h") == -1 else []
+    while left:
+        path, x = left.pop()
+        if x["t"] not in (None, -1) and x["n"] >= CONSTANT_PAGES and not x.get("r"):
+            same.add((path, x["t"]))
+        left += [(below(path, y), y) for y in x["k"]]
+    return Rules(tuple(paths), main, tuple(same), w["n"] >= CONSTANT_PAGES)
 
 
 def main_text(html: str, wrapper: str | None) -> str:
-    blocks = Page(html).blocks
-    path, fixed, enough = rules(wrapper) if wrapper else ((), frozenset(), False)
+    page, rule = Page(html), rules(wrapper) if wrapper else Rules()
+    blocks, here = page.blocks, [0]
+    for path, label in rule.steps:  # the wrapper's paths in this page, -1 if it has them not
+        here.append(page.paths.get((here[path], label), -1))
+    fixed = {(here[path], text) for path, text in rule.constants}
+    in_part = [here[rule.main] == 0]
+    for k, (path, _) in enumerate(page.paths, 1):
+        in_part.append(in_part[path] or k == here[rule.main])
 
     def own(some: list[tuple]) -> list[tuple]:
         return [b for b in some if (b[0], crc32(b[2].encode("utf-8", "replace"))) not in fixed] if fixed else some
 
     inside = [b for b in blocks if b[1]]
-    part = [b for b in blocks if b[0][: len(path)] == path]
-    both = [b for b in part if b[1]] if enough else inside
+    part = [b for b in blocks if in_part[b[0]]]
+    both = [b for b in part if b[1]] if rule.enough else inside
     if both:
         kept = own(both) or both
     else:
@@ -303,7 +396,7 @@ def host_wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())], names=["host", "wrapper"])
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(map(dumped, found.values()), pa.string())], names=["host", "wrapper"])
 
         found: dict[str, dict] = {}
         for batch in batches:
@@ -318,10 +411,10 @@ def host_wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
 
     def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts = sorted(table.column("wrapper").to_pylist())
-        whole = json.loads(parts[0])
+        whole = loaded(parts[0])
         for p in parts[1:]:
-            whole = merge(whole, json.loads(p))
-        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(whole)]})
+            whole = merge(whole, loaded(p))
+        return pa.table({"host": [key[0].as_py()], "wrapper": [dumped(whole)]})
 
     parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(partial, "host string, wrapper string")
     for keys in (["host", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).alias("salt")], ["host"]):
