@@ -48,53 +48,33 @@ def slot(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
 
-def replaced(symbols: np.ndarray, last: np.ndarray, following: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """One round: (symbols, documents' last symbols, rules), or None if no pair occurs often enough."""
-    wide, bits = (np.uint32, 16) if symbols.itemsize == 2 else (np.uint64, 32)
-    if len(symbols) < LEAST:
-        return None
-    keys = (symbols[:-1].astype(wide) << wide(bits)) | symbols[1:]
-    inner = ~last[:-1]
-    ordered = np.sort(keys[inner])
-    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(starts, len(ordered)))
-    frequent = counts >= LEAST
-    if not frequent.any():
-        return None
-    chosen = ordered[starts[frequent]]
+def places_of(keys: np.ndarray, chosen: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where `keys` holds one of the sorted `chosen`, which). Of pairs in one slot of the table the most frequent is
+    found there, the others by binary search among themselves."""
+    by_count = np.argsort(counts, kind="stable")
     slots = np.full(1 << SLOT_BITS, -1, np.int32)
-    by_count = np.argsort(counts[frequent], kind="stable")  # of pairs in one slot the most frequent goes first
     slots[slot(chosen[by_count])] = by_count
     rank = slots[slot(keys)]
-    at = np.flatnonzero((rank >= 0) & inner)
+    at = np.flatnonzero(rank >= 0)
     rank = rank[at]
-    hit = chosen[rank] == keys[at]
-    at, rank = at[hit], rank[hit]
-    run = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
-    taken = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
-    at, rank = at[taken], rank[taken]
-    pays = np.bincount(rank, minlength=len(chosen)) >= PAYS
-    if not pays.any():
-        return None
-    at, rank = at[pays[rank]], (np.cumsum(pays) - 1)[rank[pays[rank]]]
-    chosen = chosen[pays]
-    sides = np.stack([chosen >> wide(bits), chosen & wide((1 << bits) - 1)], axis=1)
-    if symbols.itemsize == 2 and following + len(chosen) > 1 << 16:
-        symbols = symbols.astype(np.uint32)
-    else:
-        symbols = symbols.copy()
-    symbols[at] = following + rank
-    last = last.copy()
-    last[at] |= last[at + 1]
-    stays = np.ones(len(symbols), bool)
-    stays[at + 1] = False
-    return symbols[stays], last[stays], sides.astype(np.uint32)
+    others = np.flatnonzero(slots[slot(chosen)] != np.arange(len(chosen)))
+    wrong = np.flatnonzero(chosen[rank] != keys[at])
+    if len(wrong):
+        rank[wrong] = -1
+        if len(others):
+            wanted = keys[at[wrong]]
+            found = np.minimum(np.searchsorted(chosen[others], wanted), len(others) - 1)
+            same = chosen[others[found]] == wanted
+            rank[wrong[same]] = others[found[same]]
+        at, rank = at[rank >= 0], rank[rank >= 0]
+    return at, rank
 
 
 def compress(ids: np.ndarray, first_symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """(alphabet, symbols, documents' first symbols, rules of each round) of concatenated documents.
 
-    No pair crosses a document. Of overlapping occurrences the left one is replaced; the rest wait for the next round.
+    No pair crosses a document. Of overlapping occurrences the left one is replaced, and the right one is gone with
+    its symbol; so after the first round only pairs with a new symbol can be frequent, and only these are counted.
     """
     seen = np.zeros(int(ids.max()) + 1 if len(ids) else 0, bool)
     seen[ids] = True
@@ -103,10 +83,41 @@ def compress(ids: np.ndarray, first_symbols: np.ndarray) -> tuple[np.ndarray, np
     last = np.zeros(len(symbols), bool)
     last[first_symbols[1:] - 1] = len(symbols) > 0
     rules, following = [], len(alphabet)
-    while (found := replaced(symbols, last, following)) is not None:
-        symbols, last, sides = found
-        rules.append(sides)
-        following += len(sides)
+    places = np.flatnonzero(~last[:-1])
+    while len(places) >= LEAST:
+        wide, bits = (np.uint32, 16) if symbols.itemsize == 2 else (np.uint64, 32)
+        keys = (symbols[places].astype(wide) << wide(bits)) | symbols[places + 1]
+        ordered = np.sort(keys)
+        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        counts = np.diff(starts, append=len(ordered))
+        frequent = counts >= LEAST
+        if not frequent.any():
+            break
+        chosen = ordered[starts[frequent]]
+        at, rank = places_of(keys, chosen, counts[frequent])
+        at = places[at]
+        run = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
+        taken = (np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0
+        at, rank = at[taken], rank[taken]
+        pays = np.bincount(rank, minlength=len(chosen)) >= PAYS
+        if not pays.any():
+            break
+        good = pays[rank]
+        at, rank, chosen = at[good], (np.cumsum(pays) - 1)[rank[good]], chosen[pays]
+        rules.append(np.stack([chosen >> wide(bits), chosen & wide((1 << bits) - 1)], axis=1).astype(np.uint32))
+        if symbols.itemsize == 2 and following + len(chosen) > 1 << 16:
+            symbols = symbols.astype(np.uint32)
+        symbols[at] = following + rank
+        following += len(chosen)
+        last[at] = last[at + 1]
+        stays = np.ones(len(symbols), bool)
+        stays[at + 1] = False
+        symbols, last = symbols[stays], last[stays]
+        at -= np.arange(len(at))  # one symbol went behind each of those before
+        near = np.zeros(len(symbols), bool)
+        near[at] = True
+        near[np.maximum(at - 1, 0)] = True
+        places = np.flatnonzero((near & ~last)[:-1])
     # a document's first symbol follows the last one before it; empty documents start where the next does
     sizes = np.diff(first_symbols)
     ends = np.concatenate(([0], np.flatnonzero(last) + 1))
