@@ -101,7 +101,8 @@ def test_documents_are_read_from_the_files_one_by_one(spark, tmp_path):
 
 def test_words_encode_as_the_whole_text_does():
     e = token_shards.word_encoder(P.path("word_bpe_49k.json"))
-    for text in odd_texts():
+    letters = [f"{chr(k)} a{chr(k)}b, {chr(k).upper()}{chr(k)}.x {chr(k)}\u0301" for k in range(0x21, 0x260)] + ["\u0130stanbul STRASSE \u1e9e \u03a3\u03a3 \u023a"]
+    for text in odd_texts() + letters:
         assert e.encode([text])[0].tolist() == e.model.encode(text, add_special_tokens=False).ids, repr(text)
 
 

@@ -232,13 +232,11 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.model.tokenize(mapped)]).tobytes()
 
     def word(self, word: str) -> bytes:
-        if word.isascii():
-            low = word.lower()
+        low = word.lower()
+        # letters up to ORDINARY are composed as they are, and the small ones among them are the library's
+        if word.isascii() or max(word) <= self.ORDINARY and max(low) <= self.ORDINARY:
             return self.pieces[low] if self.whole and low.isalpha() else b"".join(map(self.pieces.__getitem__, self.cut(low)))
-        plain = self.model.normalizer.normalize_str(word)
-        if max(plain) > self.ORDINARY:
-            return b"".join(self.piece(p) for p, _ in self.model.pre_tokenizer.pre_tokenize_str(plain))
-        return b"".join(map(self.pieces.__getitem__, self.cut(plain)))
+        return b"".join(self.piece(p) for p, _ in self.model.pre_tokenizer.pre_tokenize_str(self.model.normalizer.normalize_str(word)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED_RUNS:
