@@ -10,6 +10,7 @@ from tickloom.functions import durations, numbers
 from tickloom.functions import text as T
 from tickloom.operators import bars as B
 from tickloom.operators import features as W
+from tickloom.operators import ml as M
 from tickloom.operators import parse as P
 from tickloom.operators import rules as R
 from tickloom.operators import sentiment as S
@@ -223,10 +224,23 @@ def test_durations_and_weights():
         G.Weights(0.5, 0.5, 0.5)
 
 
-def test_blocks_change_nothing(spark):
+def test_blocks_change_nothing(spark, monkeypatch):
     rows = [("long", k, 10.0 + (k * 7919) % 101, 1.0 + k % 5, k % 3 == 0, T0 + dt.timedelta(minutes=7 * k)) for k in range(700)] + [("short", 1000 + k, 5.0 + k, 1.0, True, T0 + dt.timedelta(hours=k)) for k in range(5)]
-    bars = B.bar_features(trades(spark, rows), "1 minute")
-    for operator, back, ahead in ((W.time_series, 20, 0), (W.anomaly_features, 120, 0), (lambda df: W.labelled(df, 5), 0, 5)):
-        want = sorted(map(str, operator(bars).drop("volatility_change", "volatility").collect()))
-        blocks = W.in_blocks(bars, operator, back, ahead, size=150, chunk="hour").drop("volatility_change", "volatility").select(operator(bars).drop("volatility_change", "volatility").columns)
-        assert sorted(map(str, blocks.collect())) == want
+    bars = B.bar_features(trades(spark, rows), "1 minute").unionByName(B.bar_features(trades(spark, [(None, 1, 2.0, 1.0, True, T0)]), "1 minute"))
+    no_news = spark.createDataFrame([], "symbol string, window_start timestamp, sentiment_score double, sentiment_confidence double, article_count long")
+    found = {
+        "time_series": W.time_series, "labelled": lambda df: W.labelled(df, 5), "anomaly": W.anomaly_features, "changes": W.simple_changes, "rsi": W.rsi, "bands": W.bollinger, "z": lambda df: W.normalised(df, ["close"]),
+        "fused": lambda df: G.fused(df, no_news), "early": lambda df: M.chronological(df)[0],
+    }
+    shown = lambda df: sorted(str([x if not isinstance(x, float) else round(x, 9) for x in r]) for r in df.collect())
+    want = {name: shown(of(bars)) for name, of in found.items()}
+    monkeypatch.setattr(W, "BLOCK", 150)
+    for name, of in found.items():
+        assert shown(of(bars)) == want[name], name
+    assert len(want["time_series"]) == 706 and any("None" in x for x in want["time_series"])
+
+
+def test_early_rows_by_hand(spark):
+    early, late = M.chronological(series(spark, range(10)), 0.8)
+    assert [r.close for r in early.orderBy("close").collect()] == list(range(8)) and late.count() == 2
+    assert [r.fold for r in M.in_folds(series(spark, range(9)), 3).orderBy("close").collect()] == [0, 0, 0, 1, 1, 1, 2, 2, 2]

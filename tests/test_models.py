@@ -42,6 +42,10 @@ def test_boosted_and_tuned(spark):
     out = M.train(df, ["x"], classifier=M.boosted(iterations=5, depth=2)).transform(df)
     assert out.filter(F.col("predicted") == F.col("direction")).count() / out.count() > 0.9
     assert len(M.tuned(df, ["x"], [2], [5, 10]).avgMetrics) == 2
+    grid = M.tuned(df, ["x"], [1], iterations=[1], steps=[0.1, 0.3], folds=2)
+    assert len(grid.avgMetrics) == 2 and max(grid.avgMetrics) > 0.5
+    best = grid.bestModel.transform(df)
+    assert best.filter(F.col("predicted") == F.col("direction")).count() / best.count() > 0.5
 
 
 def test_isolation_forest_ranks_outliers_first(spark):

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.sources import feeds, files
@@ -73,5 +74,22 @@ def test_messages(spark):
 def test_schema_evolution_on_read(spark, tmp_path):
     spark.range(2).write.parquet(f"{tmp_path}/t/k=1")
     spark.range(2).withColumn("more", F.lit("x")).write.parquet(f"{tmp_path}/t/k=2")
-    df = spark.read.option("mergeSchema", "true").parquet(f"{tmp_path}/t")
+    df = files.read_table(spark, f"{tmp_path}/t", merge_schema=True)
     assert set(df.columns) == {"id", "more", "k"} and df.filter("more IS NULL").count() == 2
+
+
+def test_broker_settings_are_passed_on(spark):
+    """Without the broker's package Spark says so, and only then: all settings were taken."""
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException, match="(?i)kafka"):
+        files.kafka_stream(spark, "localhost:9", "trades", 10, startingOffsets="earliest")
+    with pytest.raises(AnalysisException, match="(?i)kafka"):
+        files.publish(files.messages(spark.range(3), F.col("id")), "localhost:9", "trades", {"kafka.security.protocol": "SASL_SSL"})
+
+
+def test_message_batches_are_bounded(spark):
+    sent = files.messages(spark.range(1000).withColumn("x", F.lit("y" * 50)), F.col("id"))
+    batches = files.in_batches(sent, 2000)
+    assert batches.agg(F.sum("n"), F.max("bytes")).first()[0] == 1000 and batches.agg(F.max("bytes")).first()[0] <= 2000
+    assert sorted(int(bytes(k)) for r in batches.collect() for k in r["keys"]) == list(range(1000))

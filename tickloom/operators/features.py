@@ -1,13 +1,18 @@
-"""Features over the bars of a symbol, all in one window order: symbol, window_start."""
+"""Features over the bars of a symbol, all in one window order: symbol, window_start.
+
+The operators cut long series into blocks (`in_blocks`), so a symbol with most of the bars is shared by many tasks.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numbers import change_pct, clip, direction, ratio
 
+
 def series():
     return Window.partitionBy("symbol").orderBy("window_start")
 
@@ -17,27 +22,41 @@ def rows(back: int):
     return series().rowsBetween(-back, 0)
 
 
-def in_blocks(bars: DataFrame, operator, back: int = 120, ahead: int = 0, size: int = 100_000, chunk: str = "day") -> DataFrame:
+def numbered(bars: DataFrame, chunk: str = "day") -> DataFrame:
+    """`bars` with `_at`, the place of a row in its symbol from 0 on, and `_n`, the rows of its symbol.
+
+    Rows are numbered by counts per symbol and chunk of time, never by one sort of a whole series: the only window over
+    a whole symbol runs over its counts, a row a chunk. NULL symbols and times are a series and a chunk of their own."""
+    part = bars.withColumn("_chunk", F.date_trunc(chunk, "window_start"))
+    counts = part.groupBy(F.col("symbol").alias("_s"), F.col("_chunk").alias("_c")).agg(F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy("_s")
+    before = counts.withColumns({"_before": F.sum("_rows").over(whole.orderBy("_c")) - F.col("_rows"), "_n": F.sum("_rows").over(whole)}).drop("_rows")
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("symbol", "_chunk").orderBy("window_start")) - 1
+    placed = part.join(before, F.col("symbol").eqNullSafe(F.col("_s")) & F.col("_chunk").eqNullSafe(F.col("_c")))
+    return placed.withColumn("_at", at).drop("_chunk", "_before", "_s", "_c")
+
+
+#: Rows of a block of a series.
+BLOCK = 100_000
+
+
+def in_blocks(bars: DataFrame, operator: Callable[[DataFrame], DataFrame], back: int = 120, ahead: int = 0, size: int | None = None, chunk: str = "day") -> DataFrame:
     """`operator(bars)`, with long series cut into blocks of `size` rows, so that a symbol with most of the rows is
     shared by many tasks. Each block also sees `back` rows before it and `ahead` rows after it, which is
-    exact for operators whose frames reach no further. Rows are numbered by counts per symbol and
-    chunk of time, never by one sort of a whole series."""
+    exact for operators whose frames reach no further."""
+    size = size or BLOCK
     if back > size or ahead > size:
         raise ValueError("a block must be longer than its surroundings")
-    part = bars.withColumn("_chunk", F.date_trunc(chunk, "window_start"))
-    counts = part.groupBy("symbol", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("symbol", "_chunk", (F.sum("_n").over(Window.partitionBy("symbol").orderBy("_chunk")) - F.col("_n")).alias("_before"))
-    at = F.col("_before") + F.row_number().over(Window.partitionBy("symbol", "_chunk").orderBy("window_start")) - 1
     own, place = F.floor(F.col("_at") / size), F.col("_at") % size
     copies = F.array_compact(
         F.array(
             F.struct(own.alias("b"), F.lit(True).alias("own")),
-            F.when(place >= size - back, F.struct((own + 1).alias("b"), F.lit(False).alias("own"))),
+            F.when((place >= size - back) & (F.col("_at") - place + size < F.col("_n")), F.struct((own + 1).alias("b"), F.lit(False).alias("own"))),
             F.when((place < ahead) & (own > 0), F.struct((own - 1).alias("b"), F.lit(False).alias("own"))),
         )
     )
-    dealt = part.join(before, ["symbol", "_chunk"]).withColumn("_at", at).withColumn("_to", F.explode(copies)).withColumn("symbol", F.struct(F.col("symbol").alias("s"), F.col("_to.b").alias("b")))
-    out = operator(dealt.withColumn("_own", F.col("_to.own")).drop("_chunk", "_before", "_at", "_to"))
+    dealt = numbered(bars, chunk).withColumn("_to", F.explode(copies)).withColumn("symbol", F.struct(F.col("symbol").alias("s"), F.col("_to.b").alias("b")))
+    out = operator(dealt.withColumn("_own", F.col("_to.own")).drop("_at", "_n", "_to"))
     return out.filter("_own").drop("_own").withColumn("symbol", F.col("symbol.s"))
 
 
@@ -67,40 +86,43 @@ def z_score(column: str | Column, back: int = 20) -> Column:
 def time_series(bars: DataFrame, fill: bool = True) -> DataFrame:
     """Lags, changes, averages, momentum. `ema_*` are simple means of 5 and 20 closes, by name only exponential."""
     short, long = F.avg("close").over(rows(4)), F.avg("close").over(rows(19))
-    out = bars.withColumns(
-        {
-            **lagged("price_change_pct", 1, 3, 5),
-            "volume_change_pct": change_from_previous("volume"),
-            "volatility_change": change_from_previous("volatility"),
-            "ema_short": short,
-            "ema_long": long,
-            "ema_crossover": F.when(short > long, F.lit(1.0)).otherwise(F.lit(-1.0)),
-            "rolling_mean_price": F.avg("close").over(rows(9)),
-            "rolling_std_price": F.stddev("close").over(rows(9)),
-            "momentum": momentum(),
-            "vwap_deviation": vwap_deviation(),
-        }
-    )
+    columns = {
+        **lagged("price_change_pct", 1, 3, 5),
+        "volume_change_pct": change_from_previous("volume"),
+        "volatility_change": change_from_previous("volatility"),
+        "ema_short": short,
+        "ema_long": long,
+        "ema_crossover": F.when(short > long, F.lit(1.0)).otherwise(F.lit(-1.0)),
+        "rolling_mean_price": F.avg("close").over(rows(9)),
+        "rolling_std_price": F.stddev("close").over(rows(9)),
+        "momentum": momentum(),
+        "vwap_deviation": vwap_deviation(),
+    }
+    out = in_blocks(bars, lambda b: b.withColumns(columns), back=19)
     return out.na.fill(0.0) if fill else out
 
 
 def labelled(bars: DataFrame, ahead: int = 5, threshold: float = 0.1) -> DataFrame:
     """Direction of the close `ahead` rows on; rows without that future go."""
     future = F.lead("close", ahead).over(series())
-    return bars.withColumn("_future", future).filter("_future IS NOT NULL").withColumn("direction", direction(change_pct(F.col("_future"), F.col("close")), threshold)).drop("_future")
+    return in_blocks(bars, lambda b: b.withColumn("_future", future), back=0, ahead=ahead).filter("_future IS NOT NULL").withColumn("direction", direction(change_pct(F.col("_future"), F.col("close")), threshold)).drop("_future")
 
 
 def simple_changes(bars: DataFrame) -> DataFrame:
     """Features of the single-node price model: lags 1 to 3, relative and absolute changes (NULL at the start)."""
     before = F.lag("volume").over(series())
-    return bars.withColumns(
-        {
-            "vwap_deviation": F.try_divide((F.col("close") - F.col("vwap")) * 100, F.col("vwap")),
-            **lagged("price_change_pct", 1, 2, 3, name="{c}_lag{k}"),
-            "volume_change_pct": F.try_divide((F.col("volume") - before) * 100, before),
-            "volatility_change": F.col("volatility") - F.lag("volatility").over(series()),
-        }
-    )
+    columns = {
+        "vwap_deviation": F.try_divide((F.col("close") - F.col("vwap")) * 100, F.col("vwap")),
+        **lagged("price_change_pct", 1, 2, 3, name="{c}_lag{k}"),
+        "volume_change_pct": F.try_divide((F.col("volume") - before) * 100, before),
+        "volatility_change": F.col("volatility") - F.lag("volatility").over(series()),
+    }
+    return in_blocks(bars, lambda b: b.withColumns(columns), back=3)
+
+
+def normalised(bars: DataFrame, columns: list[str], back: int = 20) -> DataFrame:
+    """Adds the rolling z-score of each column as `<column>_normalised`."""
+    return in_blocks(bars, lambda b: b.withColumns({f"{c}_normalised": z_score(c, back) for c in columns}), back=back)
 
 
 def rsi(prices: DataFrame, period: int = 14, column: str = "close") -> DataFrame:
@@ -110,57 +132,38 @@ def rsi(prices: DataFrame, period: int = 14, column: str = "close") -> DataFrame
     frame = rows(period - 1)
     gain, loss, n = F.avg(F.greatest("_d", F.lit(0.0))).over(frame), F.avg(F.greatest(-F.col("_d"), F.lit(0.0))).over(frame), F.count("_d").over(frame)
     value = F.when(n < period, F.lit(50.0)).when(gain + loss == 0, F.lit(50.0)).otherwise(100 * F.try_divide(gain, gain + loss))
-    return prices.withColumn("_d", step).withColumn("rsi", value).drop("_d")
+    return in_blocks(prices, lambda b: b.withColumn("_d", step).withColumn("rsi", value).drop("_d"), back=period)
 
 
 def bollinger(prices: DataFrame, period: int = 20, width: float = 2.0, column: str = "close") -> DataFrame:
     """Bands around the rolling mean by the population deviation, and their relative width."""
     middle, deviation = F.avg(column).over(rows(period - 1)), F.stddev_pop(column).over(rows(period - 1))
-    return prices.withColumns({"bb_middle": middle, "bb_upper": middle + width * deviation, "bb_lower": middle - width * deviation, "bb_bandwidth": ratio(2 * width * deviation, middle)})
+    columns = {"bb_middle": middle, "bb_upper": middle + width * deviation, "bb_lower": middle - width * deviation, "bb_bandwidth": ratio(2 * width * deviation, middle)}
+    return in_blocks(prices, lambda b: b.withColumns(columns), back=period - 1)
 
 
 def ema(prices: DataFrame, period: int, column: str = "close", chunk: str = "day") -> DataFrame:
-    """True exponential average, alpha = 2 / (period + 1), from the first value on.
+    """(symbol, window_start, ema): true exponential average, alpha = 2 / (period + 1), from the first value on.
 
-    A step is the map e -> (1 - alpha) e + alpha x. Each chunk of a series (a day, say) composes its steps
-    on its own; the few chunk results are carried from chunk to chunk; then each chunk fills in its
-    rows. No task holds more than one chunk of rows or one row per chunk of a series.
+    A step is the map e -> (1 - alpha) e + alpha x. A chunk of a series (a day, say) is one array in time order, whose
+    steps compose to one such map; the maps are composed from chunk to chunk, a row a chunk; then each chunk
+    fills in its rows. No row or task holds more than one chunk of values or one row per chunk of a series.
     """
     alpha = 2.0 / (period + 1)
-    part = prices.withColumn("_chunk", F.date_trunc(chunk, "window_start"))
-    kept = part.filter(F.col(column).isNotNull())
-
-    def last_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("window_start")["x"]
-        b = x.iloc[0]
-        for v in x.iloc[1:]:
-            b = (1 - alpha) * b + alpha * v
-        # the first value enters whole in the first chunk (b), and by alpha in any other (c)
-        c = alpha * x.iloc[0]
-        for v in x.iloc[1:]:
-            c = (1 - alpha) * c + alpha * v
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "_chunk": [pdf["_chunk"].iloc[0]], "a": [(1 - alpha) ** len(x)], "b": [b], "c": [c]})
-
-    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        before, e = [], None
-        for a, b, c in zip(pdf["a"], pdf["b"], pdf["c"]):
-            before.append(e)
-            e = b if e is None else a * e + c
-        return pd.DataFrame({"symbol": pdf["symbol"], "_chunk": pdf["_chunk"], "before": pd.array(before, dtype="Float64")})
-
-    def filled(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("window_start")
-        out, e = [], pdf["before"].iloc[0]
-        for x in pdf["x"]:
-            e = x if pd.isna(e) else (1 - alpha) * e + alpha * x
-            out.append(e)
-        return pd.DataFrame({"symbol": pdf["symbol"], "window_start": pdf["window_start"], "ema": out})
-
-    values = kept.select("symbol", "_chunk", "window_start", F.col(column).cast("double").alias("x"))
-    ends = values.groupBy("symbol", "_chunk").applyInPandas(last_of, "symbol string, _chunk timestamp, a double, b double, c double")
-    starts = ends.groupBy("symbol").applyInPandas(carried, "symbol string, _chunk timestamp, before double")
-    return values.join(starts, ["symbol", "_chunk"]).groupBy("symbol", "_chunk").applyInPandas(filled, "symbol string, window_start timestamp, ema double")
+    keep = F.lit(1 - alpha)
+    step = lambda e, x: keep * e + alpha * x
+    values = prices.filter(F.col(column).isNotNull()).select("symbol", F.date_trunc(chunk, "window_start").alias("_chunk"), F.struct("window_start", F.col(column).cast("double").alias("x")).alias("v"))
+    chunks = values.groupBy("symbol", "_chunk").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    # a chunk's map e -> scale e + shift; the series starts as if its first value had been its average for ever
+    maps = chunks.select("symbol", "_chunk", F.struct("_chunk", F.pow(keep, F.size("vs").cast("double")).alias("scale"), F.aggregate("vs", F.lit(0.0), lambda e, v: step(e, v["x"])).alias("shift"), F.get("vs", 0)["x"].alias("first")).alias("m"))
+    series_maps = maps.groupBy("symbol").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    start = F.struct(F.array().cast("array<struct<_chunk: timestamp, before: double>>").alias("out"), F.get("ms", 0)["first"].alias("e"))
+    carried = F.aggregate("ms", start, lambda s, m: F.struct(F.concat(s["out"], F.array(F.struct(m["_chunk"].alias("_chunk"), s["e"].alias("before")))).alias("out"), (m["scale"] * s["e"] + m["shift"]).alias("e")), lambda s: s["out"])
+    before = series_maps.select(F.col("symbol").alias("_s"), F.inline(carried)).withColumnRenamed("_chunk", "_c")
+    none = F.array().cast("array<struct<window_start: timestamp, ema: double>>")
+    filled = F.aggregate("vs", F.struct(none.alias("out"), F.col("before").alias("e")), lambda s, v: F.struct(F.concat(s["out"], F.array(F.struct(v["window_start"].alias("window_start"), step(s["e"], v["x"]).alias("ema")))).alias("out"), step(s["e"], v["x"]).alias("e")), lambda s: s["out"])
+    joined = chunks.join(before, F.col("symbol").eqNullSafe(F.col("_s")) & F.col("_chunk").eqNullSafe(F.col("_c")))
+    return joined.select("symbol", F.inline(filled))
 
 
 def anomaly_features(bars: DataFrame, window: int = 60) -> DataFrame:
@@ -168,18 +171,18 @@ def anomaly_features(bars: DataFrame, window: int = 60) -> DataFrame:
     frame = rows(window - 1)
     z = {f"{c}_zscore": (F.col(c) - F.avg(c).over(frame)) / (F.stddev(c).over(frame) + F.lit(1e-8)) for c in ("volume", "trade_count", "price_change_pct", "high_low_range")}
     size = F.col("volume") / (F.col("trade_count") + 1)
-    return bars.withColumns(
-        {
-            **z,
-            "buy_sell_imbalance": F.abs(F.col("buy_sell_ratio") - 0.5) * 2,
-            "trade_size_uniformity": 1 - clip(F.stddev("volume").over(frame) / (size + F.lit(1e-8)), 0.0, 1.0),
-            "trade_frequency_spike": clip(F.col("trade_count") / (F.avg("trade_count").over(rows(2 * window - 1)) + 1), 0.0, 10.0),
-        }
-    )
+    columns = {
+        **z,
+        "buy_sell_imbalance": F.abs(F.col("buy_sell_ratio") - 0.5) * 2,
+        "trade_size_uniformity": 1 - clip(F.stddev("volume").over(frame) / (size + F.lit(1e-8)), 0.0, 1.0),
+        "trade_frequency_spike": clip(F.col("trade_count") / (F.avg("trade_count").over(rows(2 * window - 1)) + 1), 0.0, 10.0),
+    }
+    return in_blocks(bars, lambda b: b.withColumns(columns), back=2 * window - 1)
 
 
 def profile(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """Mean, deviation, 95th and 99th percentile of each column, a row a column."""
+    """Mean, deviation, 95th and 99th percentile of each column, a row a column. Exact percentiles count all distinct
+    values in one place; `exact=False` takes sketches (rank error 1e-4) for columns with too many of them."""
     at = (lambda c, q: F.percentile(c, F.lit(q))) if exact else (lambda c, q: F.percentile_approx(c, q, 10000))
     stats = [F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), at(c, 0.95).cast("double").alias("q95"), at(c, 0.99).cast("double").alias("q99")) for c in columns]
     return df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")

@@ -15,8 +15,11 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.features import numbered
 from tickloom.operators.rules import anomaly_type
+from tickloom.session import scratch_path
 
+# The columns of the models.
 MARKET = ["open", "high", "low", "close", "volume", "vwap", "volatility", "buy_sell_ratio"]
 SERIES = ["price_change_pct", "price_change_pct_lag_1", "price_change_pct_lag_3", "price_change_pct_lag_5", "volume_change_pct", "volatility_change", "ema_crossover", "rolling_mean_price", "rolling_std_price", "momentum", "vwap_deviation"]
 SENTIMENT = ["sentiment_score", "sentiment_confidence", "sentiment_momentum", "article_count"]
@@ -25,14 +28,13 @@ ANOMALY = ["volume_zscore", "trade_count_zscore", "price_change_pct_zscore", "hi
 
 def chronological(df: DataFrame, part: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Earlier rows of each symbol train, later ones test: no future leaks into the past."""
-    at = F.percent_rank().over(Window.partitionBy("symbol").orderBy("window_start"))
-    ranked = df.withColumn("_at", at)
-    return ranked.filter(F.col("_at") < part).drop("_at"), ranked.filter(F.col("_at") >= part).drop("_at")
+    ranked = numbered(df).withColumn("_early", F.col("_at") < part * (F.col("_n") - 1)).drop("_at", "_n")
+    return ranked.filter("_early").drop("_early"), ranked.filter("NOT _early").drop("_early")
 
 
 def direction_pipeline(labels: list[str], features: list[str], label: str = "direction", classifier=None, seed: int = 7) -> Pipeline:
     """Index, assemble, scale, classify, name. Three classes need a forest or one boosted model a class."""
-    classifier = classifier or RandomForestClassifier(numTrees=30, maxDepth=6, seed=seed)
+    classifier = classifier or forest(seed=seed)
     classifier = classifier.copy().setFeaturesCol("features").setLabelCol("label_index")
     return Pipeline(
         stages=[
@@ -50,24 +52,42 @@ def labels_of(df: DataFrame, label: str = "direction") -> list[str]:
     return sorted(r[0] for r in df.select(label).distinct().collect() if r[0] is not None)
 
 
+def forest(trees: int = 30, depth: int = 6, seed: int = 7) -> RandomForestClassifier:
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
+
+
 def boosted(iterations: int = 50, depth: int = 5, step: float = 0.1, seed: int = 7) -> OneVsRest:
     return OneVsRest(classifier=GBTClassifier(maxIter=iterations, maxDepth=depth, stepSize=step, seed=seed))
 
 
+def price_model() -> OneVsRest:
+    """The single price model's boosted trees: 200 of depth 6, a class each."""
+    return boosted(iterations=200, depth=6)
+
+
 def train(df: DataFrame, features: list[str], label: str = "direction", classifier=None) -> PipelineModel:
     return direction_pipeline(labels_of(df, label), features, label, classifier).fit(df)
 
 
-def tuned(df: DataFrame, features: list[str], depths: list[int], trees: list[int], folds: int = 3, label: str = "direction", parallelism: int = 2) -> CrossValidatorModel:
-    """Grid search by F1 over folds that are stretches of time, not random rows."""
-    forest = RandomForestClassifier(seed=7)
-    pipeline = direction_pipeline(labels_of(df, label), features, label, forest)
-    forest = pipeline.getStages()[3]
-    grid = ParamGridBuilder().addGrid(forest.maxDepth, depths).addGrid(forest.numTrees, trees).build()
-    at = F.percent_rank().over(Window.partitionBy("symbol").orderBy("window_start"))
-    dealt = df.withColumn("fold", F.least(F.floor(at * folds), F.lit(folds - 1)).cast("int"))
+def in_folds(df: DataFrame, folds: int) -> DataFrame:
+    """`fold`: stretches of time of each symbol, not random rows."""
+    return numbered(df).withColumn("fold", F.least(F.floor(F.col("_at") * folds / F.greatest(F.col("_n") - 1, F.lit(1))), F.lit(folds - 1)).cast("int")).drop("_at", "_n")
+
+
+def tuned(df: DataFrame, features: list[str], depths: list[int], trees: list[int] = (), iterations: list[int] = (), steps: list[float] = (), folds: int = 3, label: str = "direction", parallelism: int = 2) -> CrossValidatorModel:
+    """Grid search by F1 over stretches of time: a forest's depths and trees, or with `iterations` and `steps` the depths,
+    iterations and steps of boosted models, one a class."""
+    classifier = boosted() if iterations or steps else forest()
+    pipeline = direction_pipeline(labels_of(df, label), features, label, classifier)
+    model, grid = pipeline.getStages()[3], ParamGridBuilder()
+    if iterations or steps:
+        # a class's model cannot be reached by the grid from outside: each point is a whole model
+        made = [GBTClassifier(maxDepth=d, maxIter=n, stepSize=x, seed=7) for d in depths for n in iterations or [50] for x in steps or [0.1]]
+        grid = grid.addGrid(model.classifier, made)
+    else:
+        grid = grid.addGrid(model.maxDepth, depths).addGrid(model.numTrees, trees or [30])
     scorer = MulticlassClassificationEvaluator(labelCol="label_index", metricName="f1")
-    return CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=scorer, numFolds=folds, foldCol="fold", parallelism=parallelism, seed=7).fit(dealt)
+    return CrossValidator(estimator=pipeline, estimatorParamMaps=grid.build(), evaluator=scorer, numFolds=folds, foldCol="fold", parallelism=parallelism, seed=7).fit(in_folds(df, folds))
 
 
 def predictions(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -91,10 +111,14 @@ def metrics(predicted: DataFrame, label: str = "label_index", prediction: str =
     )
 
 
+def ranked(features: DataFrame) -> DataFrame:
+    """`rank` of each feature by falling importance; a row a feature, so one window holds them all."""
+    return features.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
+
+
 def importances(names: list[str], values, spark) -> DataFrame:
-    """Feature importances with their rank."""
-    df = spark.createDataFrame([(n, float(v)) for n, v in zip(names, values, strict=True)], "feature string, importance double")
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
+    """A model's feature importances with their rank."""
+    return ranked(spark.createDataFrame([(n, float(v)) for n, v in zip(names, values, strict=True)], "feature string, importance double"))
 
 
 # --- isolation forest -------------------------------------------------------------------------------
@@ -134,8 +158,9 @@ def isolation_forest(df: DataFrame, features: list[str], trees: int = 100, sampl
     x = df.select(*[F.col(f).cast("double").alias(f) for f in features]).dropna()
     n = x.count()
     share = min(1.0, 2.0 * sample / max(n, 1))
-    own = F.pmod(F.xxhash64(*features, "tree", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = x.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("u", own).filter(F.col("u") < share)
+    own = lambda tree: F.pmod(F.xxhash64(*features, tree, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), own(t).alias("u"))), lambda d: d["u"] < share)
+    drawn = x.withColumn("d", F.explode(draws)).select(*features, "d.tree", "d.u")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["u", *features]).head(sample)
@@ -174,12 +199,18 @@ def isolation_scores(df: DataFrame, features: list[str], forest: list[tuple[int,
 
 
 def detected(df: DataFrame, features: list[str] = ANOMALY, contamination: float = 0.01, trees: int = 100, sample: int = 256) -> DataFrame:
-    """Anomaly flag, score (negative: anomalous), severity and type of every row, on standardised features."""
+    """Anomaly flag, score (negative: anomalous), severity and type of every row, on standardised features.
+
+    The rows are read five times (statistics, count, sample, cut, result), so they are written once before. The cut
+    is a sketch's percentile, with a rank error of 1e-5."""
+    path = scratch_path(df.sparkSession, "anomaly-features")
+    df.write.parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
     stats = df.agg(*[F.struct(F.avg(f), F.stddev_pop(f)).alias(f) for f in features]).first()
     scaled = {f"_s_{f}": (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - F.lit(stats[f][0] or 0.0)) / F.lit(stats[f][1] or 1.0) for f in features}
     x = df.withColumns(scaled)
     scored = isolation_scores(x, list(scaled), isolation_forest(x, list(scaled), trees, sample))
-    cut = scored.agg(F.percentile("isolation", F.lit(1 - contamination))).first()[0]
+    cut = scored.agg(F.percentile_approx("isolation", 1 - contamination, 100_000)).first()[0]
     flagged = scored.withColumns({"anomaly_score": F.lit(cut) - F.col("isolation"), "is_anomaly": F.col("isolation") > F.lit(cut)})
     kind, said = anomaly_type(F.col("is_anomaly"))
     return flagged.withColumns({"severity": F.greatest(F.lit(0.0), F.least(F.lit(1.0), -F.col("anomaly_score"))), "anomaly_type": kind, "description": said}).drop(*scaled)

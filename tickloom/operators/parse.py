@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import text as T
 from tickloom.schemas import MONEY, RAW_NEWS
-from tickloom.sources.feeds import TRADE_FIELDS, json_fields
+from tickloom.sources.feeds import TRADE_FIELDS, json_rows
 
 
 def broker_columns(df: DataFrame) -> list[Column]:
@@ -15,7 +15,7 @@ def broker_columns(df: DataFrame) -> list[Column]:
 
 
 def bronze_trades(messages: DataFrame) -> DataFrame:
-    rows = messages.select(*json_fields(F.col("value").cast("string"), TRADE_FIELDS), *broker_columns(messages))
+    rows = json_rows(messages, F.col("value").cast("string"), TRADE_FIELDS, *broker_columns(messages))
     return rows.withColumns({"ingested_at": F.current_timestamp(), "trade_date": F.to_date(F.timestamp_millis("trade_time_ms"))})
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numbers import direction, ratio
-from tickloom.operators.features import momentum, rows, series, vwap_deviation, z_score
+from tickloom.operators.features import in_blocks, momentum, rows, series, vwap_deviation, z_score
 from tickloom.operators.sentiment import with_sentiment
+from tickloom.sources.files import read_table, write_table
 
 
 @dataclass(frozen=True)
@@ -60,5 +61,23 @@ def simple_composite(df: DataFrame, weights: Weights = Weights()) -> DataFrame:
 
 
 def fused(bars: DataFrame, sentiment: DataFrame, weights: Weights = Weights(), back: int = 20) -> DataFrame:
-    """Join, three signals, composite: one shuffle by symbol serves all windows."""
-    return composite(timeseries_signal(sentiment_signal(market_signal(with_sentiment(bars, sentiment), back), back=back), back), weights)
+    """Join, three signals, composite: one shuffle by blocks of a symbol serves all windows. The longest reach is the
+    z-score's over `back` crossovers, which look at 19 more closes."""
+    signals = lambda b: timeseries_signal(sentiment_signal(market_signal(b, back), back=back), back)
+    return composite(in_blocks(with_sentiment(bars, sentiment), signals, back=back + 20), weights)
+
+
+def saved(fused_signals: DataFrame, path: str) -> None:
+    """Writes signals by day and symbol; a day that is written again is replaced."""
+    write_table(fused_signals.withColumn("signal_date", F.to_date("window_start")), path, ["signal_date", "symbol"], "overwrite")
+
+
+def run(bars: DataFrame, sentiment: DataFrame, path: str, weights: Weights = Weights()) -> DataFrame:
+    """Fuses, saves, and gives the saved table."""
+    saved(fused(bars, sentiment, weights), path)
+    return read_table(bars.sparkSession, path)
+
+
+def momenta(bars: DataFrame) -> DataFrame:
+    """Both momenta of the sentiment score: from the series' start on, and with a missing score as 0."""
+    return in_blocks(bars, lambda b: b.withColumns({"from_start": sentiment_momentum(), "from_zero": sentiment_momentum(True)}), back=1)

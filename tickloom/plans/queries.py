@@ -19,7 +19,9 @@ from tickloom.operators import serve as O
 from tickloom.operators import signals as G
 from tickloom.operators import tables as K
 from tickloom.sources import adapters as A
+from tickloom.session import scratch_path
 from tickloom.sources import feeds, files
+from tickloom.streaming import pipelines as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,7 +74,7 @@ def bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def silver_news(spark: SparkSession, d: str) -> DataFrame:
-    return P.silver_news(A.news(A.table(spark, d, "documents").filter("text IS NOT NULL")), SYMBOLS, NAMES)
+    return P.silver_news(A.news(A.table(spark, d, "documents")), SYMBOLS, NAMES)
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -197,12 +199,12 @@ def w12_labels(spark, d):
 
 @query("symbol", "window_start", "from_start", "from_zero")
 def w13_sentiment_momentum(spark, d):
-    return S.with_sentiment(bars(spark, d), bar_sentiment(spark, d)).withColumns({"from_start": G.sentiment_momentum(), "from_zero": G.sentiment_momentum(True)})
+    return G.momenta(S.with_sentiment(bars(spark, d), bar_sentiment(spark, d)))
 
 
 @query("symbol", "window_start", "close_normalised", "volume_normalised")
 def w14_z_score(spark, d):
-    return bars(spark, d).withColumns({"close_normalised": W.z_score("close"), "volume_normalised": W.z_score("volume")})
+    return W.normalised(bars(spark, d), ["close", "volume"])
 
 
 @query("symbol", "window_start", "vwap_deviation", "price_change_pct_lag1", "price_change_pct_lag2", "price_change_pct_lag3", "volume_change_pct", "volatility_change")
@@ -258,14 +260,19 @@ def c2_anomaly_type(spark, d):
 @query("symbol", "window_start", "trend", "outlook", "risk", "advice")
 def c3_c5_trend_and_risk(spark, d):
     risk = R.risk_level(F.when(F.col("trade_count") > 8, 1), F.col("volatility"))
-    return bars(spark, d).withColumns({"trend": R.trend(F.lit(50.0), F.col("price_change_pct")), "outlook": R.outlook(F.lit(None).cast("double"), F.col("buy_sell_ratio")), "risk": risk, "advice": R.position_advice(risk)})
+    rows = W.rsi(G.simple_composite(S.with_sentiment(W.time_series(bars(spark, d)), bar_sentiment(spark, d))), 2)
+    weighted = F.when(F.col("trade_count") % 3 > 0, F.round("weighted_composite_signal", 6) / 100)
+    return rows.withColumns({"trend": R.trend(F.round("rsi", 6), F.col("price_change_pct")), "outlook": R.outlook(weighted, F.col("buy_sell_ratio") - 0.5), "risk": risk, "advice": R.position_advice(risk)})
 
 
 @query()
 def c6_c7_stated(spark, d):
     said = F.concat(F.when(F.col("turn") % 3 == 0, "Buy ").when(F.col("turn") % 3 == 1, "sell ").otherwise(""), F.coalesce("text", F.lit("")))
-    percent = F.concat(F.lit("Confidence: "), (F.col("turn") * 7 % 100).cast("string"), F.lit("%"))
-    return A.table(spark, d, "conversations").select("conv_id", "turn", R.stated_direction(said).alias("direction"), R.confidence(percent).alias("confidence"))
+    n = (F.col("turn") * 7 % 100).cast("string")
+    percent = F.concat(F.lit("Confidence: "), n, F.lit("%"))
+    forms = [percent, F.concat(n, F.lit("%  confidence")), F.concat(F.lit("confidence 0."), n), F.lit("a STRONG buy"), F.lit("buy or hold"), F.lit("wait, do not sell"), F.lit("bearish"), F.lit("no word of it"), F.coalesce("text", F.lit(""))]
+    form = F.get(F.array(*forms), ((F.col("conv_id") + F.col("turn")) % len(forms)).cast("int"))
+    return A.table(spark, d, "conversations").select("conv_id", "turn", R.stated_direction(said).alias("direction"), R.confidence(percent).alias("confidence"), R.confidence(form).alias("worded"))
 
 
 # --- serving ----------------------------------------------------------------------------------------
@@ -294,7 +301,7 @@ def o4_of_symbols(spark, d):
 
 @query()
 def o6_newest_articles(spark, d):
-    news = A.news(A.table(spark, d, "documents").filter("text IS NOT NULL"))
+    news = A.news(A.table(spark, d, "documents"))
     return O.newest_articles(news.withColumn("published_at", F.col("published_at").cast("timestamp")))
 
 
@@ -304,7 +311,8 @@ def o6_newest_articles(spark, d):
 @query("content_hash", "article_id")
 def u1_first_seen_news(spark, d):
     news = silver_news(spark, d)
-    return P.first_seen_news([news.filter("source = 'src0'"), news.filter("source <> 'src0'")])
+    own = F.col("source").eqNullSafe("src0")
+    return P.first_seen_news([news.filter(own), news.filter(~own)])
 
 
 @query()
@@ -348,7 +356,7 @@ def p12_interval(spark, d):
 
 @query("article_id")
 def p18_published_since(spark, d):
-    news = A.news(A.table(spark, d, "documents").filter("text IS NOT NULL"))
+    news = A.news(A.table(spark, d, "documents"))
     return feeds.published_since(news.withColumn("published_at", F.col("published_at").cast("timestamp")), F.lit("2024-01-01 05:00:00").cast("timestamp"), "5 minutes")
 
 
@@ -362,11 +370,20 @@ def p20_checked(spark, d):
     return P.checked(events(spark, d), {"value": F.col("value") <= 400, "user": F.col("user_id") >= 10})
 
 
-@query("symbol", "best_bid", "best_ask", "bid_volume", "ask_volume", "imbalance")
-def p21_p22_book(spark, d):
+def books(spark: SparkSession, d: str) -> DataFrame:
+    """An order's lines as a book: odd ones bid, even ones ask."""
     level = lambda odd: F.when(F.col("l_linenumber") % 2 == odd, F.struct(F.col("l_extendedprice").cast("double").alias("price"), F.col("l_quantity").cast("double").alias("quantity")))
-    books = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("symbol")).agg(F.sort_array(F.collect_list(level(0)), False).alias("bids"), F.sort_array(F.collect_list(level(1))).alias("asks"))
-    return R.book_metrics(books)
+    return A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("symbol")).agg(F.sort_array(F.collect_list(level(0)), False).alias("bids"), F.sort_array(F.collect_list(level(1))).alias("asks"))
+
+
+@query("symbol", "best_bid", "best_ask", "bid_volume", "ask_volume", "imbalance")
+def p21_book(spark, d):
+    return R.book_metrics(books(spark, d))
+
+
+@query()
+def p22_depth(spark, d):
+    return R.depth_metrics(books(spark, d), 2)
 
 
 def tickers(spark: SparkSession, d: str) -> DataFrame:
@@ -429,8 +446,9 @@ def ud5_scored_articles(spark, d):
 
 
 def target_and_source(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = events(spark, d).select("event_id", "value", (F.col("user_id") % 2).alias("at"))
-    return e.filter("event_id % 2 = 0").withColumn("at", F.lit(0)), e.filter("event_id % 3 = 0").withColumns({"value": F.col("value") + 100, "at": F.when(F.col("event_id") % 2 == 0, F.col("at")).otherwise(0)}).select("event_id", "value", F.col("at").cast("int").alias("at"))
+    """All events, and all of them again, dearer and with doubled ids: some known, some new."""
+    e = events(spark, d)
+    return e.select("event_id", "value", F.lit(0).alias("at")), e.select((F.col("event_id") * 2).alias("event_id"), (F.col("value") + 100).alias("value"), (F.col("user_id") % 2).cast("int").alias("at"))
 
 
 @query("event_id", "value")
@@ -480,6 +498,179 @@ def t8_reprocessed(spark, d):
     return K.reprocessed(P.silver_trades(first), again)
 
 
+@query()
+def t7_compacted(spark, d):
+    """All events in many files, then in few, sorted by id."""
+    many, few = scratch_path(spark, "many"), scratch_path(spark, "few")
+    events(spark, d).select("event_id", "event_type", "value").repartition(16).write.parquet(many)
+    return K.compact(spark, many, few, ["event_id"], 2)
+
+
+# --- feeds, files and streams -----------------------------------------------------------------------
+
+
+@query("article_id", "source", "title", "n_chars", "published_at", "publish_date", "kafka_key")
+def p2_bronze_news(spark, d):
+    """Articles as broker messages, parsed again."""
+    news = A.news(A.table(spark, d, "documents"))
+    at = F.lit("2024-01-01").cast("timestamp")
+    sent = news.select(F.col("source").cast("binary").alias("key"), F.to_json(F.struct(*news.columns)).cast("binary").alias("value"), F.lit("news").alias("topic"), F.lit(0).alias("partition"), F.lit(0).cast("long").alias("offset"), at.alias("timestamp"))
+    return P.bronze_news(sent).withColumns({"n_chars": F.length("content").cast("long"), "publish_date": F.col("publish_date").cast("string")})
+
+
+def trade_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Wire records: those of views are no trades, odd ones are in the stream's envelope, and every ninth is broken."""
+    value = F.col("value").cast("string")
+    kind = F.when(F.col("key").cast("string") == "view", F.regexp_replace(value, '"e":"trade"', '"e":"depth"')).otherwise(value)
+    return A.raw_trades(events(spark, d)).select(F.when(F.col("offset") % 9 == 0, F.substring(kind, 1, 20)).when(F.col("offset") % 2 == 1, F.concat(F.lit('{"stream": "x@trade", "data": '), kind, F.lit("}"))).otherwise(kind).alias("value"))
+
+
+@query("trade_id", "symbol", "price", "quantity", "is_buyer_maker", "event_time_ms")
+def p13_stream_trades(spark, d):
+    return feeds.stream_trades(trade_payloads(spark, d))
+
+
+@query()
+def p14_rest_trades(spark, d):
+    rest = events(spark, d).select(
+        F.col("event_type").alias("symbol"), F.col("event_id").alias("id"), F.col("value").cast("string").alias("price"), F.lit("1").alias("qty"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time"),
+        (F.col("user_id") % 2 == 0).alias("isBuyerMaker"), F.when(F.col("user_id") % 3 == 0, False).alias("isBestMatch"),
+    )
+    return feeds.rest_trades(rest).drop("price")
+
+
+@query("article_id", "source", "title", "n_chars", "url", "published_at", "author", "tags")
+def p15_nested_articles(spark, d):
+    """Documents as items of a nested feed; every fifth has no date, every third no author."""
+    when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    item = F.struct(
+        F.col("doc_id").cast("string").alias("_id"), F.when(F.col("doc_id") % 5 > 0, when).alias("display_date"), F.concat(F.lit("/"), F.col("doc_id")).alias("canonical_url"), F.struct(F.concat_ws(" ", F.lit("T"), "source").alias("basic")).alias("headlines"),
+        F.struct(F.col("text").alias("basic")).alias("description"), F.struct(F.when(F.col("doc_id") % 3 > 0, F.array(F.struct(F.col("source").alias("name")))).alias("by")).alias("credits"),
+        F.struct(F.array(F.struct(F.col("lang").alias("text")), F.struct(F.col("source").alias("text"))).alias("tags")).alias("taxonomy"),
+    )
+    payloads = A.table(spark, d, "documents").select(F.to_json(F.struct(F.array(item).alias("content_elements"))).alias("value"))
+    return feeds.nested_articles(payloads, "nested", "https://n.example.org").withColumn("n_chars", F.length("content").cast("long"))
+
+
+@query("article_id", "source", "title", "content", "url", "published_at")
+def p16_rss_articles(spark, d):
+    """Documents as items of RSS channels; every seventh has a date that cannot be read."""
+    said = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
+    when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60), "d MMM yyyy HH:mm:ss")
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    date = F.when(F.col("doc_id") % 7 == 0, F.lit("yesterday")).otherwise(F.concat(F.lit("Mon, "), when, F.lit(" +0000")))
+    key = F.col("doc_id").cast("string")
+    item = tag("item", F.concat(tag("guid", key), tag("title", F.concat(F.lit("T&amp;A "), key)), tag("description", said), tag("link", F.concat(F.lit("https://r.example.org/"), key)), tag("pubDate", date)))
+    return feeds.rss_articles(A.table(spark, d, "documents").select(tag("rss", tag("channel", item)).alias("value")), "rss")
+
+
+@query("article_id", "source", "title", "n_chars", "url", "published_at", "tags")
+def p17_flat_articles(spark, d):
+    item = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("text").alias("body"), F.lit("u").alias("url"), (F.lit(1704067200) + F.col("doc_id") * 60).alias("published_on"), F.concat_ws("|", "lang", "source").alias("categories"))
+    payloads = A.table(spark, d, "documents").select(F.to_json(F.struct(F.array(item).alias("Data"))).alias("value"))
+    return feeds.flat_articles(payloads, "flat").withColumn("n_chars", F.length("content").cast("long"))
+
+
+@query("trade_id", "symbol", "price", "trade_time_ms", "trade_date")
+def s3_backfill(spark, d):
+    """Messages in files of JSON lines, read within dates."""
+    lines = scratch_path(spark, "lines")
+    A.raw_trades(events(spark, d)).select(F.col("value").cast("string")).write.text(lines)
+    return files.backfill_trades(spark, lines, None, "2024-01-05", "2024-01-20").withColumn("trade_date", F.col("trade_date").cast("string"))
+
+
+@query("event_id", "event_type", "value", "more")
+def s7_st6_partitions(spark, d):
+    """A table by event type; one type is written again with one more column, and old files have NULL there."""
+    path, e = scratch_path(spark, "by-type"), events(spark, d).select("event_id", "event_type", "value")
+    files.write_table(e, path, ["event_type"], "overwrite")
+    files.write_table(e.filter("event_type = 'click'").withColumns({"value": F.col("value") + 1, "more": F.col("event_id") + 1}), path, ["event_type"], "overwrite")
+    return files.read_table(spark, path, merge_schema=True)
+
+
+def trade_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of trades. A file's place is given as a pattern, as a stream reads folders or patterns."""
+    return A.trades(files.table_stream(spark, f"{d}/events.parque[t]", events(spark, d).schema))
+
+
+def streamed(spark: SparkSession, stream: DataFrame, by: str, trigger: str | None = None) -> DataFrame:
+    """All that a stream has now, by way of a partitioned table."""
+    path = scratch_path(spark, "streamed")
+    query = files.stream_to_table(stream, path, scratch_path(spark, "progress"), [by], trigger)
+    if trigger:
+        query.processAllAvailable()
+        query.stop()
+    query.awaitTermination()
+    return files.read_table(spark, path, schema=stream.schema)
+
+
+@query("symbol", "window_start", "open", "high", "low", "close", "volume", "vwap", "trade_count")
+def st1_st2_bars_stream(spark, d):
+    """Bars as a stream closes them: all but those that the watermark has not passed."""
+    return streamed(spark, streams.bars_stream(trade_stream(spark, d), HOUR), "symbol")
+
+
+@query("trade_id", "symbol", "price", "quantity")
+def s4_s6_st4_trades_to_table(spark, d):
+    return streamed(spark, trade_stream(spark, d), "symbol")
+
+
+@query("trade_id", "symbol", "price")
+def st3_processing_time(spark, d):
+    return streamed(spark, trade_stream(spark, d), "symbol", "1 second")
+
+
+@query("trade_id", "symbol")
+def st8_first_seen(spark, d):
+    """Every trade twice in one stream, each once in the table."""
+    twice = trade_stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return streamed(spark, streams.first_seen(twice, ["symbol", "trade_id"], "trade_timestamp", "1 hour"), "symbol")
+
+
+@query("symbol", "close")
+def st7_keep_latest(spark, d):
+    """The newest trade of each symbol, merged batch by batch."""
+    root, at = scratch_path(spark, "latest"), [0]
+
+    def read() -> DataFrame | None:
+        return spark.read.parquet(f"{root}/{at[0]}") if at[0] else None
+
+    def write(df: DataFrame, _: int) -> None:
+        df.write.parquet(f"{root}/{at[0] + 1}")
+        at[0] += 1
+
+    rows = trade_stream(spark, d).select("symbol", F.col("price").alias("close"), F.struct("trade_timestamp", "trade_id").alias("order"))
+    streams.keep_latest(rows, read, write, ["symbol"], "order", scratch_path(spark, "progress")).awaitTermination()
+    return read()
+
+
+@query("article_id", "symbol", "sentiment_label", "sentiment_score", "sentiment_confidence")
+def st10_news_stream(spark, d):
+    docs = files.table_stream(spark, f"{d}/documents.parque[t]", A.table(spark, d, "documents").schema)
+    return streamed(spark, S.scored_articles(P.silver_news(A.news(docs), SYMBOLS, NAMES), lexicon=LEXICON), "symbol")
+
+
+@query("symbol", "window_start", "weighted_composite_signal", "signal_direction", "signal_date")
+def g6_saved_fusion(spark, d):
+    saved = G.run(bars(spark, d), bar_sentiment(spark, d), scratch_path(spark, "signals"))
+    return saved.withColumn("signal_date", F.col("signal_date").cast("string"))
+
+
+@query()
+def o5_importances(spark, d):
+    """Importances with their ranks; each event type's share of all value stands for a feature's."""
+    e = events(spark, d)
+    share = e.groupBy(F.col("event_type").alias("feature")).agg(F.sum("value").alias("v"))
+    return M.ranked(share.crossJoin(F.broadcast(e.agg(F.sum("value").alias("total")))).select("feature", (F.col("v") / F.col("total")).alias("importance")))
+
+
+@query()
+def ml3_metrics(spark, d):
+    """Metrics of fixed predictions: direction classes by value, predicted by the neighbouring quantity."""
+    level = lambda c: F.when(c < 100, 0.0).when(c < 300, 1.0).otherwise(2.0)
+    return M.metrics(events(spark, d).select(level(F.col("value")).alias("label_index"), level(F.col("value") + F.col("user_id") % 7 * 20).alias("prediction")))
+
+
 # --- rows only: no SQL can give these ---------------------------------------------------------------
 
 
@@ -490,13 +681,13 @@ def ml7_ml8_anomalies(spark, d):
 
 @query()
 def a10_anomaly_summary(spark, d):
-    return M.run_summary(M.detected(W.anomaly_features(bars(spark, d)), trees=50))
+    return M.run_summary(M.detected(W.anomaly_features(bars(spark, d))))
 
 
 @query()
 def ml1_ml5_direction_model(spark, d):
     """Metrics of a forest that is trained on the earlier part of each symbol's bars."""
-    rows = W.labelled(G.simple_composite(S.with_sentiment(W.time_series(bars(spark, d)), bar_sentiment(spark, d)).withColumn("sentiment_momentum", G.sentiment_momentum())))
+    rows = W.labelled(G.momenta(G.simple_composite(S.with_sentiment(W.time_series(bars(spark, d)), bar_sentiment(spark, d)))).withColumn("sentiment_momentum", F.col("from_start")))
     features = [*M.MARKET, *M.SERIES, *M.SENTIMENT, "weighted_composite_signal"]
     early, late = M.chronological(rows)
     return M.metrics(M.train(early, features).transform(late))

@@ -47,7 +47,7 @@ def z(x: str) -> str:
 
 
 NEWS = r"""news AS (SELECT source, CAST(doc_id AS VARCHAR) AS article_id, substring(text, 1, 80) AS raw_title, text AS raw_content, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * doc_id AS published_at, lang,
- trim(regexp_replace(regexp_replace(substring(text, 1, 80), '<[^>]+>', '', 'g'), '\s+', ' ', 'g'), ' ') AS title, trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'), ' ') AS content FROM documents WHERE text IS NOT NULL),
+ trim(regexp_replace(regexp_replace(substring(text, 1, 80), '<[^>]+>', '', 'g'), '\s+', ' ', 'g'), ' ') AS title, trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'), ' ') AS content FROM documents),
 good AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(upper(title || ' ' || content), '\b(THAT|WITH|THIS|FROM|WERE)\b', 1), lambda x: CASE WHEN x = 'WERE' THEN 'THIS' ELSE x END))) AS mentioned,
  len(string_split_regex(content, '\s+')) AS word_count, sha256(title || ':' || substring(content, 1, 1000)) AS content_hash FROM news WHERE length(raw_title) > 10 AND length(raw_content) > 50)"""
 
@@ -91,6 +91,9 @@ def bars_query(columns: str, keep: str = "symbol", numbers: str = "", times: str
     return view(f"WITH {BARS}{extra} SELECT {columns} FROM {source} {tail}", keep, numbers, times)
 
 
+UPSERT = "tgt AS (SELECT event_id, value, 0 AS at FROM events), src AS (SELECT event_id * 2 AS event_id, value + 100 AS value, user_id % 2 AS at FROM events)"
+#: Documents as articles of feeds.
+ITEMS = "i AS (SELECT *, CAST(doc_id AS VARCHAR) AS article_id, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * doc_id AS published_at FROM documents)"
 SQL: dict[str, str] = {
     "a1_ohlc": bars_query("*", "symbol trade_count", "open high low close volume quote_volume", "window_start window_end", tail=""),
     "a2_vwap": view(f"WITH {BARS} SELECT symbol, window_start, window_end, CASE WHEN volume > 0 THEN quote_volume / volume END AS vwap, volume FROM bars", "symbol", "vwap volume", "window_start window_end"),
@@ -158,8 +161,28 @@ SQL: dict[str, str] = {
         f"WITH {BARS}, {ANOMALY}, x AS (SELECT *, coalesce(volume_zscore, 0) AS v, coalesce(price_change_pct_zscore, 0) AS p, coalesce(trade_size_uniformity, 0) AS u FROM anomaly) SELECT symbol, window_start, CASE WHEN NOT volume > 20 THEN NULL WHEN v > 3 AND abs(p) < 1 THEN 'wash_trade' WHEN p > 3 AND v > 2 THEN 'pump' WHEN p < -3 AND v > 2 THEN 'dump' WHEN u > 0.9 THEN 'wash_trade' WHEN buy_sell_imbalance > 0.8 THEN 'price_manipulation' WHEN v > 4 THEN 'volume_spike' ELSE 'unknown' END AS anomaly_type FROM x",
         "symbol anomaly_type", "", "window_start",
     ),
-    "c3_c5_trend_and_risk": bars_query("symbol, window_start, CASE WHEN price_change_pct > 0.5 THEN 'BULLISH' WHEN price_change_pct < -0.5 THEN 'BEARISH' ELSE 'NEUTRAL' END AS trend, CASE WHEN buy_sell_ratio > 0.3 THEN 'BULLISH' ELSE 'NEUTRAL' END AS outlook, CASE WHEN trade_count > 8 THEN 'HIGH' WHEN coalesce(volatility, 0) > 0.05 THEN 'MODERATE' ELSE 'LOW' END AS risk, CASE WHEN trade_count > 8 THEN 'Reduce position size' ELSE 'Standard position' END AS advice", "symbol trend outlook risk advice", tail=""),
-    "c6_c7_stated": view("SELECT conv_id, turn, CASE WHEN t LIKE '%BUY%' AND t NOT LIKE '%SELL%' THEN 'UP' WHEN t LIKE '%SELL%' AND t NOT LIKE '%BUY%' THEN 'DOWN' ELSE 'NEUTRAL' END AS direction, turn * 7 % 100 / CASE WHEN turn * 7 % 100 > 1 THEN 100.0 ELSE 1.0 END AS confidence FROM (SELECT conv_id, turn, upper(CASE turn % 3 WHEN 0 THEN 'Buy ' WHEN 1 THEN 'sell ' ELSE '' END || text) AS t FROM conversations)", "conv_id turn direction", "confidence"),
+    "c3_c5_trend_and_risk": view(
+        f"""WITH {BARS}, {BAR_SENTIMENT}, j AS (SELECT bars.*, coalesce(sent.sentiment_score, 0) AS score FROM bars LEFT JOIN sent USING (symbol, window_start)),
+ d AS (SELECT *, close - lag(close) OVER w AS d, lag(close, 5) OVER w AS c5 FROM j WINDOW w AS (PARTITION BY symbol ORDER BY window_start)),
+ g AS (SELECT *, avg(greatest(d, 0)) OVER two AS up, avg(greatest(-d, 0)) OVER two AS down, count(d) OVER two AS n FROM (SELECT *, d FROM d) WINDOW two AS (PARTITION BY symbol ORDER BY window_start ROWS 1 PRECEDING)),
+ x AS (SELECT *, round(CASE WHEN n < 2 OR up + down = 0 THEN 50 ELSE 100 * up / (up + down) END, 6) AS rsi,
+  CASE WHEN trade_count % 3 > 0 THEN round(0.5 * price_change_pct + 0.3 * score + 0.2 * {pct('close', 'c5')}, 6) / 100 END AS weighted FROM g)
+ SELECT symbol, window_start, CASE WHEN rsi > 70 THEN 'OVERBOUGHT' WHEN rsi < 30 THEN 'OVERSOLD' WHEN price_change_pct > 0.5 THEN 'BULLISH' WHEN price_change_pct < -0.5 THEN 'BEARISH' ELSE 'NEUTRAL' END AS trend,
+  CASE WHEN coalesce(weighted, buy_sell_ratio - 0.5) > 0.3 THEN 'BULLISH' WHEN coalesce(weighted, buy_sell_ratio - 0.5) < -0.3 THEN 'BEARISH' ELSE 'NEUTRAL' END AS outlook,
+  CASE WHEN trade_count > 8 THEN 'HIGH' WHEN coalesce(volatility, 0) > 0.05 THEN 'MODERATE' ELSE 'LOW' END AS risk, CASE WHEN trade_count > 8 THEN 'Reduce position size' ELSE 'Standard position' END AS advice FROM x""",
+        "symbol trend outlook risk advice", "", "window_start",
+    ),
+    "c6_c7_stated": view(
+        r"""WITH c AS (SELECT conv_id, turn, upper(CASE turn % 3 WHEN 0 THEN 'Buy ' WHEN 1 THEN 'sell ' ELSE '' END || coalesce(text, '')) AS t, turn * 7 % 100 AS n, (conv_id + turn) % 9 AS form, lower(coalesce(text, '')) AS low, coalesce(text, '') AS text FROM conversations),
+ o AS (SELECT *, CASE WHEN regexp_matches(text, '[Cc]onfidence[:\s]+\d{1,3}%') THEN regexp_extract(text, '[Cc]onfidence[:\s]+(\d{1,3})%', 1)::DOUBLE WHEN regexp_matches(text, '\d{1,3}%\s*[Cc]onfidence') THEN regexp_extract(text, '(\d{1,3})%\s*[Cc]onfidence', 1)::DOUBLE END AS p,
+  CASE WHEN regexp_matches(text, '[Cc]onfidence[:\s]+0\.\d{1,2}') THEN regexp_extract(text, '[Cc]onfidence[:\s]+(0\.\d{1,2})', 1)::DOUBLE END AS q,
+  CASE WHEN low LIKE '%strong buy%' OR low LIKE '%highly confident%' OR low LIKE '%very bullish%' THEN 0.85 WHEN low LIKE '%buy%' OR low LIKE '%bullish%' OR low LIKE '%confident%' THEN 0.7
+   WHEN low LIKE '%hold%' OR low LIKE '%neutral%' OR low LIKE '%wait%' THEN 0.5 WHEN low LIKE '%sell%' OR low LIKE '%bearish%' THEN 0.6 ELSE 0.5 END AS words FROM c)
+ SELECT conv_id, turn, CASE WHEN t LIKE '%BUY%' AND t NOT LIKE '%SELL%' THEN 'UP' WHEN t LIKE '%SELL%' AND t NOT LIKE '%BUY%' THEN 'DOWN' ELSE 'NEUTRAL' END AS direction, n / CASE WHEN n > 1 THEN 100.0 ELSE 1.0 END AS confidence,
+  CASE form WHEN 0 THEN n / CASE WHEN n > 1 THEN 100.0 ELSE 1.0 END WHEN 1 THEN n / CASE WHEN n > 1 THEN 100.0 ELSE 1.0 END WHEN 2 THEN n / CASE WHEN n > 9 THEN 100.0 ELSE 10.0 END WHEN 3 THEN 0.85 WHEN 4 THEN 0.7 WHEN 5 THEN 0.5 WHEN 6 THEN 0.6 WHEN 7 THEN 0.5
+   ELSE coalesce(CASE WHEN p > 1 THEN p / 100 ELSE p END, q, words) END AS worded FROM o""",
+        "conv_id turn direction", "confidence worded",
+    ),
     "c1_dominant_label": "SELECT user_id, CASE WHEN p >= n AND p >= u THEN 'positive' WHEN n > p AND n > u THEN 'negative' ELSE 'neutral' END AS label FROM (SELECT user_id, count(*) FILTER (value > 300) AS p, count(*) FILTER (value < 100) AS n, count(*) FILTER (value >= 100 AND value <= 300) AS u FROM events GROUP BY ALL)",
     "o1_latest": view(f"WITH {BARS} SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol, interval ORDER BY window_start DESC) = 1", "symbol interval trade_count", "close volume vwap", "window_start"),
     "o2_history": view(f"WITH {BARS} SELECT * FROM bars WHERE symbol = 'click' AND interval = '1h' ORDER BY window_start DESC LIMIT 60", "symbol interval", "close volume", "window_start"),
@@ -189,7 +212,7 @@ SQL: dict[str, str] = {
     "p25_from_source": "SELECT doc_id FROM documents WHERE contains(lower(source), 'rc1')",
     "p26_body_pct": bars_query("symbol, window_start, CASE WHEN open = 0 THEN 0 ELSE (close - open) * 100 / open END AS body_pct", numbers="body_pct", tail=""),
     "p12_interval": view(f"WITH {BARS} SELECT symbol, window_start FROM bars", "symbol", "", "window_start"),
-    "p21_p22_book": view(
+    "p21_book": view(
         "SELECT l_orderkey AS symbol, max(l_extendedprice) FILTER (l_linenumber % 2 = 0) AS best_bid, min(l_extendedprice) FILTER (l_linenumber % 2 = 1) AS best_ask, coalesce(sum(l_quantity) FILTER (l_linenumber % 2 = 0), 0) AS bid_volume, coalesce(sum(l_quantity) FILTER (l_linenumber % 2 = 1), 0) AS ask_volume, CASE WHEN sum(l_quantity) > 0 THEN (coalesce(sum(l_quantity) FILTER (l_linenumber % 2 = 0), 0) - coalesce(sum(l_quantity) FILTER (l_linenumber % 2 = 1), 0)) / sum(l_quantity) ELSE 0 END AS imbalance FROM lineitem GROUP BY l_orderkey",
         "symbol", "best_bid best_ask bid_volume ask_volume imbalance",
     ),
@@ -198,12 +221,45 @@ SQL: dict[str, str] = {
     "ud2_lexicon": view(f"WITH {NEWS}, {SCORED} SELECT article_id, CAST(score AS DOUBLE) AS score, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN score > 0.2 THEN 'positive' WHEN score < -0.2 THEN 'negative' ELSE 'neutral' END AS label FROM judged", "article_id label", "score confidence"),
     "ud4_majority": f"SELECT doc_id, CASE WHEN p > n THEN 'positive' WHEN n > p THEN 'negative' ELSE 'neutral' END AS sentiment FROM (SELECT doc_id, {hits('text', ('thing', 'with', 'from'))} AS p, {hits('text', ('tion', 'this'))} AS n FROM documents)",
     "ud5_scored_articles": view(f"WITH {NEWS}, {SCORED} SELECT article_id, symbol, sentiment_label, sentiment_score, sentiment_confidence FROM scored", "article_id symbol sentiment_label", "sentiment_score sentiment_confidence"),
-    "t1_upserted": view("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value + 100 ELSE value END AS value FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0", "event_id", "value"),
-    "t1_upsert_counts": "SELECT count(*) FILTER (event_id % 2 = 0) AS updated, count(*) FILTER (event_id % 2 <> 0) AS inserted FROM events WHERE event_id % 3 = 0",
-    "t2_merged_latest": view("SELECT event_id, CASE WHEN event_id % 6 = 0 AND user_id % 2 = 1 THEN value + 100 WHEN event_id % 2 = 0 THEN value ELSE value + 100 END AS value FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0", "event_id", "value"),
+    "t1_upserted": view(f"WITH {UPSERT} SELECT event_id, value FROM src UNION ALL SELECT event_id, value FROM tgt WHERE event_id NOT IN (SELECT event_id FROM src)", "event_id", "value"),
+    "t1_upsert_counts": f"WITH {UPSERT} SELECT count(t.event_id) AS updated, count(*) - count(t.event_id) AS inserted FROM src LEFT JOIN tgt t ON t.event_id = src.event_id",
+    "t2_merged_latest": view(f"WITH {UPSERT} SELECT event_id, CASE WHEN t.at IS NULL OR src.at > t.at THEN src.value ELSE t.value END AS value FROM src FULL JOIN tgt t USING (event_id)", "event_id", "value"),
     "t3_at_version": view(f"WITH {LOG} SELECT * FROM {as_of('version <= 10')}", "k", "v"),
     "t4_at_timestamp": view(f"WITH {LOG} SELECT * FROM {as_of(chr(99) + 'ommitted_at <= TIMESTAMP ' + chr(39) + '2024-01-01 00:05:00' + chr(39))}", "k", "v"),
     "t5_compared": f"WITH {LOG}, a AS {as_of('version <= 5')}, b AS {as_of('version <= 10')} SELECT (SELECT count(*) FROM a) AS rows_a, (SELECT count(*) FROM b) AS rows_b, (SELECT count(*) FROM b) - (SELECT count(*) FROM a) AS rows_added, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_in_b, (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_in_a, true AS same_schema",
     "t6_commit_history": view(f"WITH {LOG} SELECT version, max(committed_at) AS committed_at, count(*) AS changes, count(*) FILTER (op = 'delete') AS deletes FROM log GROUP BY version ORDER BY version DESC LIMIT 10", "version changes deletes", "", "committed_at"),
     "t8_reprocessed": view("SELECT event_type AS symbol, event_id AS trade_id, CASE WHEN event_id % 10 = 0 THEN value + 1 ELSE value END AS price FROM events", "symbol trade_id", "price"),
+    "g6_saved_fusion": view(f"WITH {BARS}, {BAR_SENTIMENT}, {FUSION} SELECT *, strftime(window_start, '%Y-%m-%d') AS signal_date FROM final", "symbol signal_direction signal_date", "weighted_composite_signal", "window_start"),
+    "t7_compacted": view("SELECT event_id, event_type, value FROM events", "event_id event_type", "value"),
+    "p22_depth": view(
+        """WITH l AS (SELECT l_orderkey AS symbol, l_extendedprice AS p, l_quantity AS q, l_linenumber % 2 AS side FROM lineitem),
+ r AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY CASE WHEN side = 0 THEN -p ELSE p END, CASE WHEN side = 0 THEN -q ELSE q END) AS k FROM l),
+ g AS (SELECT symbol, coalesce(max(p) FILTER (side = 0), 0) AS best_bid, coalesce(min(p) FILTER (side = 1), 0) AS best_ask, coalesce(sum(q) FILTER (side = 0 AND k <= 2), 0) AS bid_depth, coalesce(sum(q) FILTER (side = 1 AND k <= 2), 0) AS ask_depth FROM r GROUP BY symbol)
+ SELECT *, round(best_ask - best_bid, 2) AS spread, CASE WHEN best_bid > 0 THEN round((best_ask - best_bid) * 100 / best_bid, 6) ELSE 0 END AS spread_pct, round(bid_depth / greatest(ask_depth, 0.001), 4) AS bid_ask_ratio FROM g""",
+        "symbol", "best_bid best_ask spread spread_pct bid_depth ask_depth bid_ask_ratio",
+    ),
+    "p2_bronze_news": view("SELECT CAST(doc_id AS VARCHAR) AS article_id, source, substring(text, 1, 80) AS title, length(text) AS n_chars, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * doc_id, '%Y-%m-%d %H:%M:%S') AS published_at, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * doc_id, '%Y-%m-%d') AS publish_date, source AS kafka_key FROM documents", "article_id source title n_chars published_at publish_date kafka_key"),
+    "p13_stream_trades": "SELECT event_id AS trade_id, event_type AS symbol, CAST(value AS VARCHAR) AS price, CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) + 1 AS VARCHAR) AS quantity, user_id % 2 = 0 AS is_buyer_maker, epoch_ns(CAST(ts AS TIMESTAMP_NS)) // 1000000 AS event_time_ms FROM events WHERE event_id % 9 <> 0 AND event_type <> 'view'",
+    "p14_rest_trades": "SELECT 'trade' AS event_type, epoch_ns(CAST(ts AS TIMESTAMP_NS)) // 1000000 AS event_time_ms, event_type AS symbol, event_id AS trade_id, '1' AS quantity, CAST(0 AS BIGINT) AS buyer_order_id, CAST(0 AS BIGINT) AS seller_order_id, epoch_ns(CAST(ts AS TIMESTAMP_NS)) // 1000000 AS trade_time_ms, user_id % 2 = 0 AS is_buyer_maker, user_id % 3 <> 0 AS is_best_match FROM events",
+    "p15_nested_articles": view(f"WITH {ITEMS} SELECT article_id, 'nested' AS source, concat_ws(' ', 'T', source) AS title, length(coalesce(text, '')) AS n_chars, 'https://n.example.org/' || article_id AS url, published_at, CASE WHEN doc_id % 3 > 0 THEN source END AS author, [coalesce(lang, ''), coalesce(source, '')] AS tags FROM i WHERE doc_id % 5 > 0", "article_id source title n_chars url author", "", "published_at", "tags"),
+    "p16_rss_articles": view(f"WITH {ITEMS} SELECT article_id, 'rss' AS source, 'T&A ' || article_id AS title, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'), ' ') AS content, 'https://r.example.org/' || article_id AS url, published_at FROM i WHERE doc_id % 7 <> 0", "article_id source title content url", "", "published_at"),
+    "p17_flat_articles": view(f"WITH {ITEMS} SELECT article_id, 'flat' AS source, coalesce(source, '') AS title, length(coalesce(text, '')) AS n_chars, 'u' AS url, published_at, string_split(concat_ws('|', lang, source), '|') AS tags FROM i", "article_id source title n_chars url", "", "published_at", "tags"),
+    "s3_backfill": "SELECT event_id AS trade_id, event_type AS symbol, CAST(value AS VARCHAR) AS price, epoch_ns(CAST(ts AS TIMESTAMP_NS)) // 1000000 AS trade_time_ms, strftime(ts, '%Y-%m-%d') AS trade_date FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'",
+    "s7_st6_partitions": view("SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN value + 1 ELSE value END AS value, CASE WHEN event_type = 'click' THEN event_id + 1 END AS more FROM events", "event_id event_type more", "value"),
+    "st1_st2_bars_stream": view(f"WITH {BARS} SELECT * FROM bars WHERE window_end <= (SELECT max(trade_timestamp) FROM trades) - INTERVAL 10 SECOND", "symbol trade_count", "open high low close volume vwap", "window_start"),
+    "s4_s6_st4_trades_to_table": view(f"WITH {TRADES} SELECT * FROM trades", "trade_id symbol", "price quantity"),
+    "st3_processing_time": view(f"WITH {TRADES} SELECT * FROM trades", "trade_id symbol", "price"),
+    "st8_first_seen": f"WITH {TRADES} SELECT DISTINCT trade_id, symbol FROM trades",
+    "st7_keep_latest": view(f"WITH {TRADES} SELECT symbol, arg_max(price, row(trade_timestamp, trade_id)) AS close FROM trades GROUP BY symbol", "symbol", "close"),
+    "o5_importances": view("SELECT event_type AS feature, sum(value) / (SELECT sum(value) FROM events) AS importance, CAST(row_number() OVER (ORDER BY sum(value) DESC, event_type) AS INTEGER) AS rank FROM events GROUP BY event_type", "feature rank", "importance"),
+    "ml3_metrics": view(
+        """WITH p AS (SELECT CASE WHEN value < 100 THEN 0 WHEN value < 300 THEN 1 ELSE 2 END AS l, CASE WHEN value + user_id % 7 * 20 < 100 THEN 0 WHEN value + user_id % 7 * 20 < 300 THEN 1 ELSE 2 END AS p FROM events),
+ c AS (SELECT c, (SELECT count(*) FROM p WHERE l = c AND p.p = c) AS tp, (SELECT count(*) FROM p WHERE l = c) AS support, (SELECT count(*) FROM p WHERE p.p = c) AS named FROM (SELECT l AS c FROM p UNION SELECT p.p FROM p)),
+ m AS (SELECT *, coalesce(tp / nullif(named, 0), 0) AS prec, coalesce(tp / nullif(support, 0), 0) AS rec, coalesce(2 * tp / nullif(named + support, 0), 0) AS f FROM c)
+ SELECT sum(tp) / sum(support) AS accuracy, sum(prec * support) / sum(support) AS weighted_precision, sum(rec * support) / sum(support) AS weighted_recall, sum(f * support) / sum(support) AS weighted_f1,
+  avg(prec) AS macro_precision, avg(rec) AS macro_recall, avg(f) AS macro_f1, CAST(sum(support) AS BIGINT) AS rows FROM m""",
+        "rows", "accuracy weighted_precision weighted_recall weighted_f1 macro_precision macro_recall macro_f1",
+    ),
 }
+
+SQL["st10_news_stream"] = SQL["ud5_scored_articles"]

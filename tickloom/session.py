@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -29,3 +32,16 @@ def layer_path(root: str, layer: str, table: str) -> str:
 
 def checkpoint_path(root: str, pipeline: str) -> str:
     return f"{root.rstrip('/')}/checkpoints/{pipeline}"
+
+
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A fresh path for a table that driver and executors share, in the folder that `spark.checkpoint.dir` names.
+
+    Only a session on one machine may name none; it gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tickloom-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"

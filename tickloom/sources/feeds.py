@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from tickloom.schemas import RAW_TRADE, REST_TRADE
 
 
-def json_fields(value: Column, fields: dict[str, str]) -> list[Column]:
-    """Columns name: type out of a JSON object; keys that differ in case only stay apart."""
-    return [F.get_json_object(value, f"$.{k}").try_cast(kind).alias(name) for name, (k, kind) in fields.items()]
+def json_rows(rows: DataFrame, value: Column, fields: dict[str, tuple[str, str]], *keep: Column) -> DataFrame:
+    """Columns name: type out of a JSON object in each row, which is parsed once, and the `keep` columns. Keys that differ
+    in case only stay apart; what is no JSON gives NULLs."""
+    parsed = rows.select(*keep, F.json_tuple(value, *[k for k, _ in fields.values()]).alias(*fields))
+    kept = [c for c in parsed.columns if c not in fields]
+    return parsed.select(*[F.col(name).try_cast(kind).alias(name) for name, (_, kind) in fields.items()], *kept)
 
 
 #: Name: (key in the message, type).
@@ -24,7 +27,7 @@ def stream_trades(payloads: DataFrame) -> DataFrame:
     """Trade events, in the stream's envelope {"stream", "data"} or bare; others and broken ones go."""
     text = F.col("value").cast("string")
     body = F.coalesce(F.get_json_object(text, "$.data"), text)
-    rows = payloads.select(body.alias("_b")).select(*json_fields(F.col("_b"), TRADE_FIELDS))
+    rows = json_rows(payloads.select(body.alias("_b")), F.col("_b"), TRADE_FIELDS)
     return rows.filter((F.col("event_type") == "trade") & F.col("symbol").isNotNull() & F.col("trade_id").isNotNull() & F.col("price").isNotNull() & F.col("quantity").isNotNull())
 
 
