@@ -49,9 +49,10 @@ def test_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rid": F.lit("clash"), "bucket": F.lit(1), "did": F.lit("x")}).repartition(3)
     want = brute(rows)
     assert sum(w[2] for w in want) > 1000
-    for shard_bytes in (suffix.SHARD_BYTES, 700):
+    for shard_bytes in (suffix.SHARD_BYTES, 700, 150):  # of 150 bytes: the same 16 bytes in more contexts than fit, by all hashes
         got = sorted((tuple(r) for r in suffix.without_repeats(df, shard_bytes).collect()), key=str)
         assert got == want
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tickloom_texts")]
     assert suffix.without_repeats(df.limit(0)).collect() == []
 
 
@@ -61,9 +62,32 @@ def test_suffix_order():
     b = t.tobytes()
     heads = [b[k : k + 50] for k in order]
     assert heads == sorted(heads) and sorted(order) == list(range(len(b)))
-    inner = order[order <= len(b) - 50]
-    same = suffix.same_as_before(inner, keys)
-    assert same[1:].tolist() == [b[x : x + 50] == b[y : y + 50] for x, y in zip(inner, inner[1:])]
+
+
+def test_common_prefixes():
+    r = random.Random(7)
+    parts = [bytes(r.choice(b"ab") for _ in range(r.choice([50, 51, 60, 84]))) for _ in range(60)] + [b"x" * 84, b"x" * 70, b"ab" * 42, b"ab" * 42]
+    for _ in range(40):
+        parts.append(r.choice(parts)[r.randrange(20) :].ljust(50, b"c"))
+    t, lengths = np.frombuffer(b"".join(parts), np.uint8), [len(x) for x in parts]
+    offsets = np.concatenate([np.arange(n) for n in lengths])
+    room = np.concatenate([n - np.arange(n) for n in lengths])
+    order, keys = suffix.suffix_array(t)
+    order = order[room[order] >= 50]
+    b = t.tobytes()
+
+    def shared(x, y):
+        return next((k for k in range(50) if b[x + k] != b[y + k]), 50)
+
+    assert suffix.common_prefixes(order, keys, offsets).tolist() == [0] + [shared(x, y) for x, y in zip(order, order[1:])]
+
+
+def test_long_texts(spark):
+    r = random.Random(3)
+    long = "".join(r.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(1, long), (2, "start " + long[100_000:200_000] + " end"), (3, "y" * 200_000), (4, "z" + "y" * 100_000)]
+    got = sorted(tuple(x) for x in suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
 
 
 def test_equal_windows_name_equal_anchors():

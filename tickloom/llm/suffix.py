@@ -8,9 +8,10 @@ A byte goes if a 50-byte string over it also starts in a document with a smaller
 2. Contexts. Windows in a row with the same shared anchor form a context of at most 84 bytes. Equal contexts
    of a task are combined to one with its least doc_id before they are shuffled.
 3. Shards. Contexts meet in shards by anchor. A shard's suffix array is built by Larsson-Sadakane refinement (numpy,
-   whole arrays at a time), common prefixes of neighbours are extended as Kasai's are, up to 50, and every
-   group of equal windows gets its least doc_id. A bucket that is too large for a shard is split by
-   context, and its shards' sorted windows are merged pair by pair by binary search.
+   whole arrays at a time), Kasai's recurrence gives the common prefixes of neighbours, up to 50 bytes, and every
+   group of equal windows gets its least doc_id. Equal windows are in one shard unless an anchor is too common for
+   one: the contexts of such a bucket are cut again at second anchors, by another hash, and dealt by these. What even
+   then outgrows a shard is split by context, and its shards' sorted windows are merged by binary search.
 4. Every occurrence of a context learns which of its windows an earlier document has; the covered bytes of
    a document are removed.
 
@@ -20,8 +21,10 @@ Texts lie in a table that is bucketed by row, so they are not shuffled for the t
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,9 @@ LENGTH, ANCHOR = 50, 16
 PLACE_BITS = 31
 #: Bytes of text whose anchors are packed at once, and of contexts in one suffix array.
 SLICE_BYTES, SHARD_BYTES = 4_000_000, 8_000_000
-#: Buckets of contexts for each shuffle partition: so many that only a very common anchor fills more than a shard.
-CONTEXT_BUCKETS = 16
+#: Bytes of all texts that a bucket of anchors stands for, and buckets of contexts for each of these: so many that
+#: only a very common anchor fills more than a shard.
+BUCKET_BYTES, CONTEXT_BUCKETS = 64_000_000, 16
 NULL_ID = -(1 << 63)
 
 
@@ -259,15 +263,44 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.nda
     return order, keys
 
 
-def same_as_before(suffixes: np.ndarray, keys: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Whether each suffix and the one before it agree in `length` bytes. Prefixes of all neighbours are extended
-    together, eight bytes a step, and as in Kasai's method none is compared again from its start."""
-    alive = np.arange(1, len(suffixes))
-    for k in [*range(0, length - 8, 8), length - 8]:
-        alive = alive[keys[suffixes[alive] + k] == keys[suffixes[alive - 1] + k]]
-    out = np.zeros(len(suffixes), bool)
-    out[alive] = True
-    return out
+#: Numbers from which on a difference of eight bytes has two, three ... eight bytes.
+BYTES = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
+
+
+def common_prefixes(order: np.ndarray, keys: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Bytes, up to `length`, that each suffix in `order` shares with the one before it.
+
+    Kasai's recurrence: if suffix i shares h bytes with its neighbour j, then i + s shares at least h - s with its own,
+    as j + s lies before it too. Here it runs over whole arrays: suffixes at multiples of 8 bytes within their context
+    (`offsets`) are compared from their start, those half way between from what these leave, and so on to every
+    byte. Where j + s is no window or ties put it behind i + s, nothing is known and comparison starts anew.
+    """
+    n = len(keys)
+    place = np.full(n + 16, -1, np.int32)  # in `order`; -1: no window
+    place[order] = np.arange(len(order), dtype=np.int32)
+    before = np.zeros(n, np.int32)
+    before[order[1:]] = order[:-1]
+    shared = np.zeros(n, np.int8)
+    inner = np.sort(order)
+    for step in (8, 4, 2, 1):
+        at = inner[offsets[inner] % 8 == 0] if step == 8 else inner[offsets[inner] % (2 * step) == step]
+        at = at[place[at] > 0]
+        other, known = before[at].astype(np.int64), np.zeros(len(at), np.int64)
+        if step < 8:
+            left = at - step
+            beside = before[left].astype(np.int64) + step
+            valid = (place[left] > 0) & (place[beside] >= 0) & (place[beside] < place[at])
+            known[valid] = np.maximum(shared[left[valid]].astype(np.int64) - step, 0)
+        alive = np.flatnonzero(known < length)
+        while len(alive):
+            k = np.minimum(known[alive], length - 8)
+            different = keys[at[alive] + k] ^ keys[other[alive] + k]
+            same = different == 0
+            known[alive[~same]] = np.maximum(known[alive[~same]], k[~same] + 7 - np.searchsorted(BYTES, different[~same], side="right"))
+            known[alive[same]] = k[same] + 8
+            alive = alive[same & (k + 8 < length)]
+        shared[at] = np.minimum(known, length)
+    return shared[order]
 
 
 def shard_windows(texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -277,10 +310,10 @@ def shard_windows(texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.n
     lengths = np.array([len(x) for x in texts])
     owner = np.repeat(np.arange(len(texts)), lengths)
     ends = np.cumsum(lengths)
-    allowed = np.arange(len(t)) <= ends[owner] - LENGTH
+    offsets = np.arange(len(t)) - (ends - lengths)[owner]
     order, keys = suffix_array(t)
-    order = order[allowed[order]]
-    starts = np.flatnonzero(~same_as_before(order, keys))
+    order = order[offsets[order] <= (lengths - LENGTH)[owner[order]]]
+    starts = np.flatnonzero(common_prefixes(order, keys, offsets) < LENGTH)
     return order, starts, np.minimum.reduceat(ids[owner[order]], starts), owner
 
 
@@ -299,9 +332,13 @@ RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("least", pa.in
 ANSWER = "c1 long, c2 long, runs array<struct<a: int, b: int, least: long>>"
 
 
-def answer_table(c1: pa.Array, c2: pa.Array, least: np.ndarray, counts: np.ndarray) -> pa.Table:
+def answer_table(c1: pa.Array, c2: pa.Array, least: np.ndarray, counts: np.ndarray, at: np.ndarray) -> pa.Table:
+    """`at`: places of the texts in their contexts, from which windows count."""
+    if not len(counts):
+        return pa.table({"c1": c1, "c2": c2, "runs": pa.array([], RUNS)})
     first, a, b, v = runs_of(least, counts)
-    structs = pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(v, pa.int64())], names=["a", "b", "least"])
+    shift = np.repeat(at, np.diff(first))
+    structs = pa.StructArray.from_arrays([pa.array(a + shift, pa.int32()), pa.array(b + shift, pa.int32()), pa.array(v, pa.int64())], names=["a", "b", "least"])
     return pa.table({"c1": c1, "c2": c2, "runs": pa.ListArray.from_arrays(pa.array(first, pa.int32()), structs)})
 
 
@@ -309,21 +346,21 @@ def in_text_order(order: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.argsort(order, kind="stable")]
 
 
-def distinct_contexts(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, their least ids, c1, c2) without repeats."""
-    c1, c2, did = (table.column(x).to_numpy() for x in ("c1", "c2", "did"))
-    order = np.lexsort((c2, c1))
-    c1, c2 = c1[order], c2[order]
-    first = np.flatnonzero(np.concatenate(([True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))))
-    return table.column("context").take(pa.array(order[first])).to_pylist(), np.minimum.reduceat(did[order], first), c1[first], c2[first]
+def distinct_contexts(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, their least ids, c1, c2, place in the context) without repeats."""
+    c1, c2, at, did = (table.column(x).to_numpy() for x in ("c1", "c2", "at", "did"))
+    order = np.lexsort((at, c2, c1))
+    c1, c2, at = c1[order], c2[order], at[order]
+    first = np.flatnonzero(np.concatenate(([True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]) | (at[1:] != at[:-1]))))
+    return table.column("context").take(pa.array(order[first])).to_pylist(), np.minimum.reduceat(did[order], first), c1[first], c2[first], at[first]
 
 
 def shard_answers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    texts, ids, c1, c2 = distinct_contexts(table)
+    texts, ids, c1, c2, at = distinct_contexts(table)
     order, starts, least, _ = shard_windows(texts, ids)
     sizes = np.diff(np.append(starts, len(order)))
     counts = np.array([len(x) - LENGTH + 1 for x in texts])
-    return answer_table(pa.array(c1), pa.array(c2), in_text_order(order, np.repeat(least, sizes)), counts)
+    return answer_table(pa.array(c1), pa.array(c2), in_text_order(order, np.repeat(least, sizes)), counts, at)
 
 
 def sorted_windows(t: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -341,31 +378,76 @@ def merged_answers(a: tuple[list[bytes], np.ndarray], b: tuple[list[bytes], np.n
     return in_text_order(order_a, np.where(have[at] == wanted, least_b[at], np.iinfo(np.int64).max))
 
 
+def second_anchors(rows: DataFrame, level: int) -> DataFrame:
+    """(bucket, part, context, c1, c2, at, did): contexts cut where the anchor by the level's own hash changes. Equal
+    windows name equal second anchors, whose hash is `part`; `at` is the part's place in its context."""
+    names = ["bucket", "part", "context", "c1", "c2", "at", "did"]
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+    salt = np.uint64(0x9E3779B97F4A7C15 * (2 * level + 1) & (1 << 64) - 1)
+    width, bits = LENGTH - ANCHOR + 1, np.uint64(PLACE_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for bucket, raw, c1, c2, at, did in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                h = string_hashes(np.frombuffer(raw, np.uint8), ANCHOR)
+                h = (h ^ (h >> np.uint64(29))) * salt
+                keys = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
+                own = (sliding_min(keys, width) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+                begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                end = np.append(begin[1:], len(own))
+                for s, e, part in zip(begin.tolist(), end.tolist(), (h[own[begin]] >> bits).astype(np.int64).tolist(), strict=True):
+                    out.append((bucket, part, raw[s : e + LENGTH - 1], c1, c2, at + s, did))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds, strict=True)], names=names)
+
+    return rows.select("bucket", "context", "c1", "c2", "at", "did").mapInArrow(run, "bucket int, part long, context binary, c1 long, c2 long, at int, did long")
+
+
+#: Times that a bucket too large for a shard is cut at further anchors.
+LEVELS = 3
+
+
+def dealt_to_shards(rows: DataFrame, keys: list[str], shard_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """`rows` with `shards`, how many shards the rows of equal `keys` need, and those of the groups that need several."""
+    sizes = written(rows.groupBy(*keys).agg(F.ceil(F.sum(F.octet_length("context")) / shard_bytes).cast("int").alias("shards")), "shards")
+    return rows.join(sizes, keys), sizes.filter("shards > 1")
+
+
 def answers(found: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Which of a context's windows are how early: within its shard, and merged with the bucket's other shards."""
-    found = found.filter("context IS NOT NULL").select("bucket", "context", "c1", "c2", "did")
-    sizes = written(found.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("context")) / shard_bytes).cast("int").alias("shards")), "shards")
-    dealt = found.join(sizes, "bucket").withColumn("shard", F.pmod(F.col("c2"), F.col("shards")).cast("int"))
-    own = dealt.groupBy("bucket", "shard").applyInArrow(shard_answers, ANSWER)
-    if sizes.filter("shards > 1").isEmpty():
-        return own
-    # every pair of shards of a large bucket is one task; a shard goes to as many tasks as it has partners
-    large = dealt.filter("shards > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).filter("shard <> other")
-    paired = large.select("bucket", F.least("shard", "other").alias("s"), F.greatest("shard", "other").alias("t"), "shard", "context", "did", "c1", "c2")
+    """Which of a context's windows are how early. `found` has a bucket's contexts; see step 3 above."""
+    rows = found.filter("context IS NOT NULL").select("bucket", "context", "c1", "c2", F.lit(0).alias("at"), "did")
+    out, keys = [], ["bucket"]
+    for level in range(LEVELS + 1):
+        sized, large = dealt_to_shards(rows, keys, shard_bytes)
+        out.append(sized.filter("shards <= 1").groupBy(*keys).applyInArrow(shard_answers, ANSWER))
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        if level < LEVELS:
+            again = second_anchors(sized.filter("shards > 1"), level)
+            # as many parts of a bucket as it needs shards, with room
+            rows = written(again.join(large.groupBy("bucket").agg(F.sum("shards").alias("n")), "bucket").withColumn("part", F.pmod("part", 4 * F.col("n"))).drop("n"), "parts")
+            keys = ["bucket", "part"]
+    # one string of 16 bytes in too many contexts by all hashes: shards by context, merged pair by pair
+    hot = sized.filter("shards > 1").withColumn("shard", F.pmod(F.xxhash64("context"), F.col("shards")).cast("int"))
+    out.append(hot.groupBy(*keys, "shard").applyInArrow(shard_answers, ANSWER))
+    large = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).filter("shard <> other")
+    paired = large.select(*keys, F.least("shard", "other").alias("s"), F.greatest("shard", "other").alias("t"), "shard", "context", "did", "c1", "c2", "at")
 
     def pair(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         shard = table.column("shard").to_numpy()
-        sides = [table.filter(pa.array(shard == k.as_py())) for k in key[1:]]
+        sides = [table.filter(pa.array(shard == k.as_py())) for k in key[-2:]]
         if not all(s.num_rows for s in sides):
-            return pa.table({"c1": pa.array([], pa.int64()), "c2": pa.array([], pa.int64()), "runs": pa.array([], RUNS)})
+            return answer_table(pa.array([], pa.int64()), pa.array([], pa.int64()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         data = [distinct_contexts(s) for s in sides]
-        out = []
+        merged = []
         for k in (0, 1):
-            counts = np.array([len(x) - LENGTH + 1 for x in data[k][0]])
-            out.append(answer_table(pa.array(data[k][2]), pa.array(data[k][3]), merged_answers(data[k][:2], data[1 - k][:2]), counts))
-        return pa.concat_tables(out)
+            texts, ids, c1, c2, at = data[k]
+            counts = np.array([len(x) - LENGTH + 1 for x in texts])
+            merged.append(answer_table(pa.array(c1), pa.array(c2), merged_answers((texts, ids), data[1 - k][:2]), counts, at))
+        return pa.concat_tables(merged)
 
-    return own.unionByName(paired.groupBy("bucket", "s", "t").applyInArrow(pair, ANSWER))
+    return reduce(DataFrame.unionByName, [*out, paired.groupBy(*keys, "s", "t").applyInArrow(pair, ANSWER)])
 
 
 def remaining(texts: DataFrame, covered: DataFrame) -> DataFrame:
@@ -400,12 +482,13 @@ def without_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFram
     no row; other columns are not read.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"tickloom_texts_{uuid.uuid4().hex}"
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"tickloom_texts_{uuid.uuid4().hex}", scratch(spark, "texts")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.sha1(text)).alias("t2"))
-    rows.write.bucketBy(buckets, "rid").option("compression", "zstd").option("path", scratch(spark, "texts")).saveAsTable(name)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), text.alias("text"), F.octet_length(text).cast("long").alias("size"), F.xxhash64(text).alias("t1"), F.xxhash64(F.sha1(text)).alias("t2"))
+    rows.write.bucketBy(partitions, "rid").option("compression", "zstd").option("path", path).saveAsTable(name)
     texts = spark.table(name)
+    buckets = max(partitions, math.ceil((texts.agg(F.sum("size")).first()[0] or 0) / BUCKET_BYTES))
     firsts = written(texts.groupBy("t1", "t2").agg(F.min(F.struct("did", "rid")).alias("f")).select("t1", "t2", F.col("f.did").alias("first"), F.col("f.rid").alias("rid")), "first-texts")
     leading = texts.join(firsts.select("rid"), "rid", "left_semi")
     shared = shared_anchors(anchor_rows(leading, buckets), buckets)
@@ -414,6 +497,8 @@ def without_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFram
     hits = F.transform(F.filter("runs", lambda r: r["least"] < F.col("did")), lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + (LENGTH - 1)).alias("b")))
     covered = found.select("c1", "c2", "did", "rid", "start").join(known, ["c1", "c2"]).select("rid", hits.alias("h")).filter(F.size("h") > 0).groupBy("rid").agg(F.flatten(F.collect_list("h")).alias("ranges"))
     left = written(remaining(leading, covered).join(firsts.select("t1", "t2", "first"), ["t1", "t2"]), "remaining")
+    spark.sql(f"DROP TABLE {name}")  # the name only: its files are outside of the warehouse, and read below
+    texts = spark.read.schema(texts.schema).parquet(path)
     again = (F.col("did") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
     return texts.select("did", "t1", "t2").join(left, ["t1", "t2"]).select(
         F.nullif("did", F.lit(NULL_ID)).alias("doc_id"), "n_bytes", F.when(again, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
