@@ -3,6 +3,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -13,8 +14,6 @@ def test_run_equals_brute_force(spark):
     import duckdb
     import public_tokenizers as P
     import tiktoken
-    from pyspark.sql import functions as F
-
     from tickloom.llm import near, pii, sql
 
     con = duckdb.connect()
@@ -45,8 +44,25 @@ def test_run_equals_brute_force(spark):
 
 
 def test_stages_keep_the_columns_of_documents(spark, docs):
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns, name
-        assert [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
-        assert stage(spark, docs.limit(0), SF).collect() == [], name
+    clashing = docs.withColumns({c: F.lit(1) for c in ("_doc", "_own", "_q", "_kept", "_lang", "_source", "_level", "cuts", "node", "tk", "_near_id", "_near_tk", "_bad_id", "_bad_tk", "h", "w")})
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (docs, clashing):
+            out = stage(spark, some, SF)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == some.columns, name
+                assert [f.dataType for f in out.schema] == [f.dataType for f in some.schema], name
+            rows = out.collect()
+            if name in ("personal data", "byte-level BPE", "benchmark decontamination"):
+                assert len(rows) == some.count(), name
+            if name == "n-gram Jaccard join":
+                assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "4", "6", "7", "None"]
+            assert stage(spark, some.limit(0), SF).collect() == [], name
+
+
+def test_run_leaves_only_the_tables_that_are_still_read(spark):
+    from tickloom.llm.common import MADE
+
+    before = len(MADE)
+    corpus_pipeline.run(spark, SF)
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in MADE[before:]]
+    assert left == ["stage-0", "stage-1", "stage-2", "stage-3"]

@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Only where the session names none (tests, a single machine) a temporary one is made.
+    Only a session on one machine (tests) may name none; a temporary one is made then. A cluster's executors would
+    write to their own disks, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tickloom-"))
@@ -36,16 +39,30 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+#: Paths that this process has named in shared folders, and not removed.
+MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def removed(spark: SparkSession, made: list[str]) -> None:
+    """Deletes tables that `scratch` named, and that no frame still to be run reads."""
+    for path in made:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        MADE.remove(path)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df`, written as Parquet to the shared folder and read back.
 
     Cuts the lineage (a lost executor costs a re-read, not a re-computation) and gives
-    Spark the true size of the table, so that it picks broadcast or sort-merge joins by size.
+    Spark the true size of the table, so that it picks broadcast or sort-merge joins by size. While it
+    writes, the session's setting for shuffle files is changed; a query that runs beside it only drops its own sooner.
     """
     spark = df.sparkSession
     path = scratch(spark, what)

@@ -150,7 +150,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: TemplateRules = T
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
-    """The documents that hold no benchmark item, with their own columns."""
+    """The documents that hold no benchmark item, with their own columns.
+
+    Defined cases: null and empty texts stay; repeated rows stay or go together; an empty benchmark takes nothing;
+    an empty table stays empty; columns of any name stay as they are.
+    """
     bad = written(template_matches(docs, benchmark, rules).select(F.col("doc_id").alias("_bad_id"), F.col("tk").alias("_bad_tk")).distinct(), "contaminated")
-    keyed = docs.withColumn("_bad_own", text_key(F.col("text")))
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.col("_bad_own") == F.col("_bad_tk")), "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), text_key(F.col("text")).alias("_own"))
+    return keyed.join(bad, F.col("_doc.doc_id").eqNullSafe(F.col("_bad_id")) & (F.col("_own") == F.col("_bad_tk")), "left_anti").select("_doc.*")

@@ -291,8 +291,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class stays, the first by doc_id, then by text hash; columns as they were."""
+    """One document of each class stays, the first by doc_id, then by text hash; columns as they were.
+
+    Defined cases: null and empty texts, and texts without a word, are copies of each other, so one stays; of
+    repeated rows one stays, any of those that agree in doc_id and text; a null doc_id comes first; an empty table
+    stays empty; columns of any name and type stay as they are.
+    """
     first = classes(docs).groupBy("c").agg(F.min(F.struct("id", "tk")).alias("k"))
     kept = written(first.select(F.col("k.id").alias("_near_id"), F.col("k.tk").alias("_near_tk")), "near-kept")
-    keyed = docs.withColumns({"_near_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_near_tk": text_key(F.col("text"))})
-    return keyed.join(kept, ["_near_id", "_near_tk"], "left_semi").dropDuplicates(["_near_id", "_near_tk"]).select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_near_id"), text_key(F.col("text")).alias("_near_tk"))
+    return keyed.join(kept, ["_near_id", "_near_tk"], "left_semi").dropDuplicates(["_near_id", "_near_tk"]).select("_doc.*")

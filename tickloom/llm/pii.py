@@ -333,7 +333,7 @@ def field_spans(text: str, crf: SemiCRF, taken: list[Span], least: float = 0.5)
     out = []
     for a, b in windows(text):
         tokens, segments = candidates(text, a, b)
-        scored = [s for s in crf.scored(segments) if s[3] > -4.0]
+        scored = crf.scored(segments)
         best = crf.decode(len(tokens), scored)
         fresh = [x for x in best if all(tokens[x[1] - 1].end() <= s or e <= tokens[x[0]].start() for s, e, _ in taken)]
         if fresh:
@@ -404,7 +404,8 @@ def redacted(text: str, spans: list[Span]) -> str:
 def redact_pii(docs: DataFrame, crf: SemiCRF | None = None) -> DataFrame:
     """The same rows and columns, with personal data replaced in `text` and `n_chars` counted anew.
 
-    Texts without any (null ones too) stay as they are.
+    Defined cases: texts without any (null and empty ones too) stay as they are, with their n_chars; repeated rows
+    change alike; an empty table stays empty; a table may lack `n_chars`; other columns of any name stay as they are.
     """
     crf = crf or sample_field(docs)
     names = docs.columns
