@@ -39,3 +39,13 @@ def test_payloads_come_back_whole(spark, tmp_path):
     got = warc.transactions(warc.read_records(spark, f"file://{tmp_path}/a")).collect()
     assert sorted(r.response.payload.decode() for r in got) == sorted(h or "" for _, _, h in PAGES)
     assert all(r.response.record_type == "response" and r.request.block.startswith("GET /") and "payloadBytes" in r.metadata.block for r in got)
+
+
+def test_archives_of_several_members_and_long_records():
+    import gzip
+
+    long = b"x\r\n\r\ny" * 700_000
+    made = [b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(b) + b + b"\r\n\r\n" for b in (b"one", long, b"", "é".encode() * 100_000)]
+    for archive in (b"".join(made), b"".join(map(gzip.compress, made)), gzip.compress(b"".join(made)), gzip.compress(b"")):
+        got = [b for _, b in warc.records(archive)]
+        assert got == ([b"one", long, b"", "é".encode() * 100_000] if len(archive) > 100 else [])

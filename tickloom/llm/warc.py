@@ -9,8 +9,8 @@ records through WARC-Concurrent-To and gives one nested row a capture.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -97,19 +97,40 @@ def fields_of(head: bytes) -> dict[str, str]:
     return out
 
 
-def unpacked(archive: bytes) -> bytes:
-    return gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive
+#: Bytes of an archive that are unpacked at once, and of records that are passed on at once.
+CHUNK_BYTES, BATCH_BYTES = 1 << 20, 16 << 20
+
+
+def unpacked(archive: bytes) -> Iterator[bytes]:
+    """An archive's bytes in pieces, out of any number of gzip members or none."""
+    if archive[:2] != b"\x1f\x8b":
+        yield archive
+        return
+    member = zlib.decompressobj(31)
+    for at in range(0, len(archive), CHUNK_BYTES):
+        rest = archive[at : at + CHUNK_BYTES]
+        while rest:
+            yield member.decompress(rest)
+            rest = member.unused_data
+            if member.eof:
+                member = zlib.decompressobj(31)
 
 
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of every record."""
-    at = 0
-    while (end := archive.find(b"\r\n\r\n", at)) >= 0:
-        fields = fields_of(archive[at:end])
+    """Header fields and block of every record; one record and one piece of the archive are held at a time."""
+    held, pieces = bytearray(), unpacked(archive)
+    while True:
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if (piece := next(pieces, None)) is None:
+                return
+            held += piece
+        fields = fields_of(bytes(held[:end]))
         start = end + 4
-        at = start + int(fields["content-length"])
-        yield fields, archive[start:at]
-        at += len(RECORD_END)
+        stop = start + int(fields["content-length"])
+        while len(held) < stop + len(RECORD_END) and (piece := next(pieces, None)) is not None:
+            held += piece
+        yield fields, bytes(held[start:stop])
+        del held[: stop + len(RECORD_END)]
 
 
 RECORD_SCHEMA = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, payload_bytes long, payload_digest string, block string, payload binary"
@@ -122,10 +143,14 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in RECORD_SCHEMA.split(", ")]
         kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=names)
+
         for batch in batches:
             for archive in batch.column(0):
-                rows = []
-                for f, block in records(unpacked(archive.as_py())):
+                rows, size = [], 0
+                for f, block in records(archive.as_py()):
                     kind, n, digest, text, payload = f["warc-type"], None, None, None, None
                     if kind == "response":
                         body = block[block.index(b"\r\n\r\n") + 4 :]
@@ -136,8 +161,12 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
                     else:
                         text = block.decode("utf-8", "replace")
                     rows.append((f["warc-record-id"], kind, f.get("warc-concurrent-to"), f.get("warc-refers-to"), f.get("warc-target-uri"), n, digest, text, payload))
+                    size += 200 + len(text or "") + len(payload or b"")
+                    if size >= BATCH_BYTES:
+                        yield out(rows)
+                        rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=names)
+                    yield out(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SCHEMA)
 
