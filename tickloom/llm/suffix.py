@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import slices
-from .common import scratch, written
+from .common import STORED, scratch, trimmed, written
 
 LENGTH, ANCHOR = 50, 16
 #: Bits of a window's key that hold the position; the rest is hash.
@@ -140,6 +140,7 @@ def anchor_rows(texts: DataFrame, buckets: int) -> DataFrame:
                     rids, hashes, size = [], [], 0
         if rids:
             yield from pack(rids, hashes)
+        trimmed()
 
     return texts.select("rid", F.col("text").cast("binary")).mapInArrow(run, "bucket int, slice long, rest binary, row binary")
 
@@ -172,6 +173,7 @@ def shared_anchors(rows: DataFrame, buckets: int) -> DataFrame:
         order = np.lexsort((rest, rid))
         rid, rest = rid[order], rest[order]
         start = np.flatnonzero(np.concatenate(([True], rid[1:] != rid[:-1])))
+        trimmed()
         return pa.table({"rid": pa.array(rid[start], pa.int64()), "shared": pa.ListArray.from_arrays(pa.array(np.append(start, len(rid)), pa.int32()), pa.array(rest))})
 
     found = rows.groupBy("bucket").applyInArrow(of_bucket, "slice long, rest binary, row binary")
@@ -218,6 +220,7 @@ def contexts(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
                 halves = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
                 columns = (k, context, np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]), did, rid, start)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        trimmed()
 
     both = texts.join(shared, "rid").select("rid", "did", F.col("text").cast("binary").alias("text"), "shared")
     return both.mapInArrow(run, "bucket int, context binary, c1 long, c2 long, did long, rid long, start int")
@@ -360,7 +363,9 @@ def shard_answers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     order, starts, least, _ = shard_windows(texts, ids)
     sizes = np.diff(np.append(starts, len(order)))
     counts = np.array([len(x) - LENGTH + 1 for x in texts])
-    return answer_table(pa.array(c1), pa.array(c2), in_text_order(order, np.repeat(least, sizes)), counts, at)
+    out = answer_table(pa.array(c1), pa.array(c2), in_text_order(order, np.repeat(least, sizes)), counts, at)
+    trimmed()
+    return out
 
 
 def sorted_windows(t: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -486,7 +491,7 @@ def without_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFram
     name, path = f"tickloom_texts_{uuid.uuid4().hex}", scratch(spark, "texts")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), text.alias("text"), F.octet_length(text).cast("long").alias("size"), F.xxhash64(text).alias("t1"), F.xxhash64(F.sha1(text)).alias("t2"))
-    rows.write.bucketBy(partitions, "rid").option("compression", "zstd").option("path", path).saveAsTable(name)
+    rows.write.bucketBy(partitions, "rid").options(path=path, **STORED).saveAsTable(name)
     texts = spark.table(name)
     buckets = max(partitions, math.ceil((texts.agg(F.sum("size")).first()[0] or 0) / BUCKET_BYTES))
     firsts = written(texts.groupBy("t1", "t2").agg(F.min(F.struct("did", "rid")).alias("f")).select("t1", "t2", F.col("f.did").alias("first"), F.col("f.rid").alias("rid")), "first-texts")
