@@ -50,3 +50,11 @@ def test_best_branch_and_cycles(spark):
         (4, "<|im_start|>user\nm1<|im_end|>\n<|im_start|>user\nm3<|im_end|>\n<|im_start|>assistant\nm4<|im_end|>\n"),
     }
     assert [r.formatted[s.start : s.end] for r in out for s in r.loss] == ["m4"]
+
+
+def test_long_texts_and_long_conversations(spark):
+    long = "<|im_end|>\\n line é\U0001f600\n" * 20_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long + "x"), *[(2, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(3000)]]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.conversation_digest(df).collect()}
+    assert got == brute(rows)

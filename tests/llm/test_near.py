@@ -114,3 +114,18 @@ def test_components(spark):
 def test_least_matches_follow_the_posterior():
     bounds = near.least_matches()
     assert bounds == sorted(bounds) and 0 < bounds[-1] < near.COMPARED * 0.8
+
+
+def test_long_texts(spark):
+    r = random.Random(11)
+    base = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    other = list(base)
+    for k in range(0, 60_000, 60):  # 55 of 60 windows stay: 55 / 65 is over 0.8
+        other[k] = "new"
+    far = list(base)
+    for k in range(0, 60_000, 15):
+        far[k] = "new"
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(far)), (4, "  ".join(base))]
+    want = {i: sum(near.alike(near.ngrams(t), near.ngrams(o)) for o in {" ".join(x.split()) for _, x in rows} if o != " ".join(t.split())) for i, t in rows}
+    got = {x.doc_id: (x.class_id, x.n_links) for x in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: n for i, (_, n) in got.items()} == want and want[1] == 1 and got[4][0] == 1 and got[3][0] == 3
