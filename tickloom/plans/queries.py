@@ -519,10 +519,10 @@ def p2_bronze_news(spark, d):
 
 
 def trade_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """Wire records: those of views are no trades, odd ones are in the stream's envelope, and every ninth is broken."""
+    """Wire records of every event, bare or in the stream's envelope, each with a message of another kind and a broken one."""
     value = F.col("value").cast("string")
-    kind = F.when(F.col("key").cast("string") == "view", F.regexp_replace(value, '"e":"trade"', '"e":"depth"')).otherwise(value)
-    return A.raw_trades(events(spark, d)).select(F.when(F.col("offset") % 9 == 0, F.substring(kind, 1, 20)).when(F.col("offset") % 2 == 1, F.concat(F.lit('{"stream": "x@trade", "data": '), kind, F.lit("}"))).otherwise(kind).alias("value"))
+    sent = F.when(F.col("offset") % 2 == 1, F.concat(F.lit('{"stream": "x@trade", "data": '), value, F.lit("}"))).otherwise(value)
+    return A.raw_trades(events(spark, d)).select(F.explode(F.array(sent, F.regexp_replace(value, '"e":"trade"', '"e":"depth"'), F.substring(value, 1, 20))).alias("value"))
 
 
 @query("trade_id", "symbol", "price", "quantity", "is_buyer_maker", "event_time_ms")
@@ -541,27 +541,27 @@ def p14_rest_trades(spark, d):
 
 @query("article_id", "source", "title", "n_chars", "url", "published_at", "author", "tags")
 def p15_nested_articles(spark, d):
-    """Documents as items of a nested feed; every fifth has no date, every third no author."""
+    """Documents as items of a nested feed, each beside a copy without a date; every third has no author."""
     when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    item = F.struct(
-        F.col("doc_id").cast("string").alias("_id"), F.when(F.col("doc_id") % 5 > 0, when).alias("display_date"), F.concat(F.lit("/"), F.col("doc_id")).alias("canonical_url"), F.struct(F.concat_ws(" ", F.lit("T"), "source").alias("basic")).alias("headlines"),
+    item = lambda date: F.struct(
+        F.col("doc_id").cast("string").alias("_id"), date.alias("display_date"), F.concat(F.lit("/"), F.col("doc_id")).alias("canonical_url"), F.struct(F.concat_ws(" ", F.lit("T"), "source").alias("basic")).alias("headlines"),
         F.struct(F.col("text").alias("basic")).alias("description"), F.struct(F.when(F.col("doc_id") % 3 > 0, F.array(F.struct(F.col("source").alias("name")))).alias("by")).alias("credits"),
         F.struct(F.array(F.struct(F.col("lang").alias("text")), F.struct(F.col("source").alias("text"))).alias("tags")).alias("taxonomy"),
     )
-    payloads = A.table(spark, d, "documents").select(F.to_json(F.struct(F.array(item).alias("content_elements"))).alias("value"))
+    payloads = A.table(spark, d, "documents").select(F.to_json(F.struct(F.array(item(when), item(F.lit(None).cast("string"))).alias("content_elements"))).alias("value"))
     return feeds.nested_articles(payloads, "nested", "https://n.example.org").withColumn("n_chars", F.length("content").cast("long"))
 
 
 @query("article_id", "source", "title", "content", "url", "published_at")
 def p16_rss_articles(spark, d):
-    """Documents as items of RSS channels; every seventh has a date that cannot be read."""
+    """Documents as items of RSS channels, each beside a copy whose date cannot be read."""
     said = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
     when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60), "d MMM yyyy HH:mm:ss")
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
-    date = F.when(F.col("doc_id") % 7 == 0, F.lit("yesterday")).otherwise(F.concat(F.lit("Mon, "), when, F.lit(" +0000")))
+    date = F.concat(F.lit("Mon, "), when, F.lit(" +0000"))
     key = F.col("doc_id").cast("string")
-    item = tag("item", F.concat(tag("guid", key), tag("title", F.concat(F.lit("T&amp;A "), key)), tag("description", said), tag("link", F.concat(F.lit("https://r.example.org/"), key)), tag("pubDate", date)))
-    return feeds.rss_articles(A.table(spark, d, "documents").select(tag("rss", tag("channel", item)).alias("value")), "rss")
+    item = lambda at: tag("item", F.concat(tag("guid", key), tag("title", F.concat(F.lit("T&amp;A "), key)), tag("description", said), tag("link", F.concat(F.lit("https://r.example.org/"), key)), tag("pubDate", at)))
+    return feeds.rss_articles(A.table(spark, d, "documents").select(tag("rss", tag("channel", F.concat(item(F.lit("yesterday")), item(date)))).alias("value")), "rss")
 
 
 @query("article_id", "source", "title", "n_chars", "url", "published_at", "tags")

@@ -239,10 +239,10 @@ SQL: dict[str, str] = {
         "symbol", "best_bid best_ask spread spread_pct bid_depth ask_depth bid_ask_ratio",
     ),
     "p2_bronze_news": view("SELECT CAST(doc_id AS VARCHAR) AS article_id, source, substring(text, 1, 80) AS title, length(text) AS n_chars, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * doc_id, '%Y-%m-%d %H:%M:%S') AS published_at, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * doc_id, '%Y-%m-%d') AS publish_date, source AS kafka_key FROM documents", "article_id source title n_chars published_at publish_date kafka_key"),
-    "p13_stream_trades": "SELECT event_id AS trade_id, event_type AS symbol, CAST(value AS VARCHAR) AS price, CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) + 1 AS VARCHAR) AS quantity, user_id % 2 = 0 AS is_buyer_maker, epoch_ns(CAST(ts AS TIMESTAMP_NS)) // 1000000 AS event_time_ms FROM events WHERE event_id % 9 <> 0 AND event_type <> 'view'",
+    "p13_stream_trades": "SELECT event_id AS trade_id, event_type AS symbol, CAST(value AS VARCHAR) AS price, CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) + 1 AS VARCHAR) AS quantity, user_id % 2 = 0 AS is_buyer_maker, epoch_ns(CAST(ts AS TIMESTAMP_NS)) // 1000000 AS event_time_ms FROM events",
     "p14_rest_trades": "SELECT 'trade' AS event_type, epoch_ns(CAST(ts AS TIMESTAMP_NS)) // 1000000 AS event_time_ms, event_type AS symbol, event_id AS trade_id, '1' AS quantity, CAST(0 AS BIGINT) AS buyer_order_id, CAST(0 AS BIGINT) AS seller_order_id, epoch_ns(CAST(ts AS TIMESTAMP_NS)) // 1000000 AS trade_time_ms, user_id % 2 = 0 AS is_buyer_maker, user_id % 3 <> 0 AS is_best_match FROM events",
-    "p15_nested_articles": view(f"WITH {ITEMS} SELECT article_id, 'nested' AS source, concat_ws(' ', 'T', source) AS title, length(coalesce(text, '')) AS n_chars, 'https://n.example.org/' || article_id AS url, published_at, CASE WHEN doc_id % 3 > 0 THEN source END AS author, [coalesce(lang, ''), coalesce(source, '')] AS tags FROM i WHERE doc_id % 5 > 0", "article_id source title n_chars url author", "", "published_at", "tags"),
-    "p16_rss_articles": view(f"WITH {ITEMS} SELECT article_id, 'rss' AS source, 'T&A ' || article_id AS title, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'), ' ') AS content, 'https://r.example.org/' || article_id AS url, published_at FROM i WHERE doc_id % 7 <> 0", "article_id source title content url", "", "published_at"),
+    "p15_nested_articles": view(f"WITH {ITEMS} SELECT article_id, 'nested' AS source, concat_ws(' ', 'T', source) AS title, length(coalesce(text, '')) AS n_chars, 'https://n.example.org/' || article_id AS url, published_at, CASE WHEN doc_id % 3 > 0 THEN source END AS author, [coalesce(lang, ''), coalesce(source, '')] AS tags FROM i", "article_id source title n_chars url author", "", "published_at", "tags"),
+    "p16_rss_articles": view(f"WITH {ITEMS} SELECT article_id, 'rss' AS source, 'T&A ' || article_id AS title, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'), ' ') AS content, 'https://r.example.org/' || article_id AS url, published_at FROM i", "article_id source title content url", "", "published_at"),
     "p17_flat_articles": view(f"WITH {ITEMS} SELECT article_id, 'flat' AS source, coalesce(source, '') AS title, length(coalesce(text, '')) AS n_chars, 'u' AS url, published_at, string_split(concat_ws('|', lang, source), '|') AS tags FROM i", "article_id source title n_chars url", "", "published_at", "tags"),
     "s3_backfill": "SELECT event_id AS trade_id, event_type AS symbol, CAST(value AS VARCHAR) AS price, epoch_ns(CAST(ts AS TIMESTAMP_NS)) // 1000000 AS trade_time_ms, strftime(ts, '%Y-%m-%d') AS trade_date FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'",
     "s7_st6_partitions": view("SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN value + 1 ELSE value END AS value, CASE WHEN event_type = 'click' THEN event_id + 1 END AS more FROM events", "event_id event_type more", "value"),
