@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, html, near, pii, sql, suffix, token_shards, warc
+from . import byte_bpe, chat, decontaminate, html, language, near, negatives, pii, spelling, sql, suffix, token_shards, warc
 from .common import table
 from .quality import quality_verdicts
 
@@ -60,6 +61,20 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), dropped_of=199)
+
+
+def op13_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, label = F.col("vec_id"), F.col("label")
+    moved = F.when(key % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), key % 100 == 0, label=moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_semi_markov_pii": op1_semi_markov_pii,
     "op2_template_decontamination": op2_template_decontamination,
@@ -71,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_wrapper_induction": op10_wrapper_induction,
+    "op11_hyperdimensional_language": op11_hyperdimensional_language,
+    "op12_spelling_trie": op12_spelling_trie,
+    "op13_kronecker_negatives": op13_kronecker_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -78,4 +96,6 @@ SQL: dict[str, str] = {
     "op3_reply_trees": sql.OP3,
     "op5_quality_rules": sql.OP5,
     "op7_warc_transactions": sql.OP7,
+    "op12_spelling_trie": sql.OP12,
+    "op13_kronecker_negatives": sql.OP13,
 }
