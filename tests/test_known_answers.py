@@ -1,8 +1,11 @@
 """Numbers that are known beforehand, and one small frame per trap."""
 
 import datetime as dt
+import time
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +43,44 @@ def test_ema(spark):
     assert last(W.ema(series(spark, [100] * 10 + [200] * 10), 5), "ema") > 150
 
 
+def test_ema_equals_the_recurrence_at_any_length(spark):
+    rng = np.random.default_rng(5)
+    for period, n in ((1, 50), (2, 900), (7, 3000), (20, 5000), (300, 2000)):
+        closes = rng.normal(100, 20, n)
+        want, e = [], closes[0]
+        for x in closes:
+            e = e * (1 - 2 / (period + 1)) + x * 2 / (period + 1)
+            want.append(e)
+        df = spark.createDataFrame(pd.DataFrame({"symbol": "s", "k": np.arange(n), "close": closes})).withColumn("window_start", F.timestamp_seconds(F.col("k") * 37))
+        got = [r.ema for r in W.ema(df, period).orderBy("window_start").collect()]
+        assert np.allclose(got, want, rtol=1e-12, atol=0)
+
+
+def test_ema_of_a_day_of_seconds_is_quick(spark):
+    df = spark.range(86_400).select(F.lit("s").alias("symbol"), F.timestamp_seconds("id").alias("window_start"), (F.col("id") % 97).cast("double").alias("close"))
+    W.ema(df.limit(10), 20).count()
+    began = time.perf_counter()
+    assert W.ema(df, 20).agg(F.count("ema")).first()[0] == 86_400
+    assert time.perf_counter() - began < 10
+
+
+def test_bars_at_equal_bars_of_each_interval(spark):
+    rows = spark.range(4000).select(
+        F.concat(F.lit("s"), F.col("id") % 3).alias("symbol"), F.col("id").alias("trade_id"), (100 + F.col("id") * 7919 % 101 / 10).alias("price"), (F.col("id") % 5).cast("double").alias("quantity"),
+        F.when(F.col("id") % 7 > 0, F.col("id") % 2 == 0).alias("is_buyer_maker"), F.timestamp_seconds(F.lit(1704067200) + F.floor(F.col("id") * 53 / 10) * 3).alias("trade_timestamp"),
+    )
+    durations = ["5 minutes", "7 minutes", "1 hour", "1 day"]
+    got = B.bars_at(rows, durations)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Range (") <= 2  # of one plan, and its initial form
+    want = [r for d in durations for r in B.bar_features(rows, d).collect()]
+    key = lambda r: (r.interval, r.symbol, r.window_start)
+    got = sorted(got.collect(), key=key)
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want, key=key), strict=True):
+        for x, y in zip(a, b, strict=True):
+            assert x == y or (isinstance(x, float) and abs(x - y) <= 1e-9 * max(1, abs(y))), (a, b)
+
+
 def test_ema_does_not_depend_on_chunks(spark):
     closes = [100 + (k * 37 % 17) for k in range(150)]
     day = {r.window_start: r.ema for r in W.ema(series(spark, closes), 7, chunk="day").collect()}

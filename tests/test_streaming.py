@@ -2,9 +2,13 @@
 
 import datetime as dt
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
+from tickloom.operators import features as W
+from tickloom.operators import stored
 from tickloom.sources import files
 from tickloom.streaming import pipelines as S
 
@@ -34,17 +38,70 @@ def test_first_and_latest(spark, tmp_path):
     stream = files.table_stream(spark, f"{tmp_path}/t", batch.schema)
     first = S.drained(S.first_seen(stream, ["symbol", "trade_id"], "trade_timestamp", "2 hours"), "first_out")
     assert first.count() == 300
-    n = [0]
-
-    def read():
-        return spark.read.parquet(f"{tmp_path}/out{n[0]}") if n[0] else None
-
-    def write(df, _):
-        df.write.parquet(f"{tmp_path}/out{n[0] + 1}")
-        n[0] += 1
-
-    S.keep_latest(stream.withColumn("order", F.col("price")), read, write, ["symbol", "trade_id"], "order", f"{tmp_path}/c").awaitTermination()
-    assert sorted((r.trade_id, r.price) for r in read().collect()) == sorted((r.trade_id, r.price) for r in again.collect())
+    S.keep_latest(stream.withColumn("order", F.col("price")), f"{tmp_path}/latest", ["symbol", "trade_id"], "order", f"{tmp_path}/c", buckets=3).awaitTermination()
+    got = stored.read_stored(spark, f"{tmp_path}/latest")
+    assert sorted((r.trade_id, r.price) for r in got.collect()) == sorted((r.trade_id, r.price) for r in again.collect())
+
+
+def parts_of(spark, tmp_path, n=3):
+    """The trades in stretches of time, and a function that lets the next of them arrive."""
+    batch = trades(spark, f"{tmp_path}/all")
+    edges = [T0 + dt.timedelta(seconds=17 * 300 * k // n) for k in range(n + 1)]
+    arrive = lambda k: batch.filter((F.col("trade_timestamp") >= F.lit(edges[k])) & (F.col("trade_timestamp") < F.lit(edges[k + 1]))).write.parquet(f"{tmp_path}/in/{k}")
+    return batch, arrive
+
+
+def series_run(spark, tmp_path, batch, operator, back, ahead=0):
+    stream = files.table_stream(spark, f"{tmp_path}/in/*", batch.schema)
+    S.series_stream(S.bars_stream(stream, "5 minutes"), operator, f"{tmp_path}/out", f"{tmp_path}/progress", back, ahead, buckets=2).awaitTermination()
+
+
+def same_rows(got, want):
+    key = lambda r: (r[0], r[2])
+    plain = lambda df: sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(got.columns).collect()], key=key)
+    assert got.columns[:3] == ["symbol", "interval", "window_start"] and plain(got) == plain(want)
+
+
+@pytest.mark.parametrize("name,operator,back,ahead", [("rsi", lambda b: W.rsi(b, 3), 3, 0), ("labels", lambda b: W.labelled(b, ahead=2), 0, 2), ("both", lambda b: W.labelled(W.rsi(b, 2), ahead=1), 2, 1)])
+def test_series_with_restarts(spark, tmp_path, name, operator, back, ahead):
+    batch, arrive = parts_of(spark, tmp_path)
+    for k in range(3):
+        arrive(k)
+        series_run(spark, tmp_path, batch, operator, back, ahead)
+    series_run(spark, tmp_path, batch, operator, back, ahead)  # nothing new, nothing twice
+    bars = S.closed(B.bar_features(batch, "5 minutes"), batch, "10 seconds")
+    assert bars.count() > 20
+    same_rows(S.series_rows(spark, f"{tmp_path}/out"), operator(bars))
+
+
+@pytest.mark.parametrize("broken", ["merge_batch", "numbered", "removed"])
+def test_series_after_a_failure(spark, tmp_path, monkeypatch, broken):
+    """A batch that dies before its rows, between rows and tail, or behind both, and comes again."""
+    batch, arrive = parts_of(spark, tmp_path, 2)
+    arrive(0)
+    series_run(spark, tmp_path, batch, lambda b: W.rsi(b, 3), 3)
+    arrive(1)
+
+    def fail(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(S, broken, fail)
+        with pytest.raises(StreamingQueryException):
+            series_run(spark, tmp_path, batch, lambda b: W.rsi(b, 3), 3)
+    series_run(spark, tmp_path, batch, lambda b: W.rsi(b, 3), 3)
+    same_rows(S.series_rows(spark, f"{tmp_path}/out"), W.rsi(S.closed(B.bar_features(batch, "5 minutes"), batch, "10 seconds"), 3))
+
+
+def test_seen_once_is_bounded_by_count(spark, tmp_path):
+    rows = lambda ids: spark.createDataFrame([("a", k, f"x{k}") for k in ids] + [("b", 1, "y"), ("b", None, "z")], "symbol string, id long, text string")
+    run = lambda: files.stream_to_table(S.seen_once(files.table_stream(spark, f"{tmp_path}/in/*", rows([]).schema), ["symbol"], "id", 3), f"{tmp_path}/out", f"{tmp_path}/c", ["symbol"]).awaitTermination()
+    for k, ids in enumerate([[1, 2, 2, 3, 4, 5], [5, 4, 3, 2, 1, 6], [6, 2]]):
+        rows(ids).write.parquet(f"{tmp_path}/in/{k}")
+        run()
+    got = sorted((r.symbol, r.id is None, r.id or 0) for r in files.read_table(spark, f"{tmp_path}/out").collect())
+    # the group keeps 3, 4, 5, then 4, 5, 6
+    assert got == sorted([("a", False, k) for k in [1, 2, 3, 4, 5, 1, 2, 6, 2]] + [("b", False, 1)] + [("b", True, 0)] * 3)
 
 
 def test_sink_recovers_from_its_checkpoint(spark, tmp_path):

@@ -6,9 +6,10 @@ a batch frame it has no effect.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.durations import seconds, short
@@ -27,6 +28,10 @@ def bounds() -> list[Column]:
     return [F.col("symbol"), F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end")]
 
 
+def edges() -> dict[str, Column]:
+    return {"window_start": F.col("w.start"), "window_end": F.col("w.end")}
+
+
 def opening() -> Column:
     return F.min_by("price", F.struct(TIME, "trade_id"))
 
@@ -70,15 +75,19 @@ BAR = [
 
 
 def finished(made: DataFrame, duration: str) -> DataFrame:
-    """Derived columns of a bar out of its sums."""
+    return derived(made, F.lit(short(duration)), F.lit(seconds(duration)))
+
+
+def derived(made: DataFrame, interval: Column, length: Column) -> DataFrame:
+    """Derived columns of a bar out of its sums; `length` in seconds."""
     return made.withColumns(
         {
-            "interval": F.lit(short(duration)),
+            "interval": interval,
             "buy_sell_ratio": ratio(F.col("buy_volume"), F.col("volume"), 0.5),
             "price_change": F.col("close") - F.col("open"),
             "price_change_pct": change_pct(F.col("close"), F.col("open")),
             "high_low_range": change_pct(F.col("high"), F.col("low")),
-            "trade_intensity": F.col("trade_count") / seconds(duration),
+            "trade_intensity": F.col("trade_count") / length,
         }
     ).select(*BAR)
 
@@ -92,7 +101,7 @@ def bar_features(trades: DataFrame, duration: str = "1 minute", watermark: str =
         F.sum(F.col("price") * F.col("quantity")).alias("quote_volume"), F.sum(F.when(~sell, F.col("quantity")).otherwise(F.lit(0.0))).alias("buy_volume"),
         F.sum(F.when(sell, F.col("quantity")).otherwise(F.lit(0.0))).alias("sell_volume"), F.count(F.lit(1)).alias("trade_count"), F.avg("price").alias("mean"), F.stddev("price").alias("deviation"),
     )
-    made = made.select(*bounds(), "*").drop("w").withColumns({"vwap": ratio(F.col("quote_volume"), F.col("volume"), F.col("close")), "volatility": F.when(F.col("mean") > 0, F.try_divide(F.col("deviation") * 100, F.col("mean"))).otherwise(F.lit(0.0))})
+    made = made.withColumns(edges()).drop("w").withColumns({"vwap": ratio(F.col("quote_volume"), F.col("volume"), F.col("close")), "volatility": F.when(F.col("mean") > 0, F.try_divide(F.col("deviation") * 100, F.col("mean"))).otherwise(F.lit(0.0))})
     return finished(made, duration)
 
 
@@ -103,13 +112,45 @@ def rolled_up(bars: DataFrame, duration: str) -> DataFrame:
         first("open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), last("close").alias("close"), *[F.sum(c).alias(c) for c in ("volume", "quote_volume", "buy_volume", "sell_volume", "trade_count")],
         F.sum(F.col("vwap") * F.col("volume")).alias("weighted"), F.avg("volatility").alias("volatility"),
     )
-    made = made.select(*bounds(), "*").drop("w").withColumn("vwap", ratio(F.col("weighted"), F.col("volume"), F.col("close")))
+    made = made.withColumns(edges()).drop("w").withColumn("vwap", ratio(F.col("weighted"), F.col("volume"), F.col("close")))
     return finished(made, duration)
 
 
+def bar_states(trades: DataFrame, duration: str) -> DataFrame:
+    """What bars are made of, a row a symbol and window, in a form that merges: first and last trade, extremes, sums, and the
+    squared deviation of prices from their own mean."""
+    sell = F.coalesce(F.col("is_buyer_maker"), F.lit(False))
+    part = lambda kind: F.sum(F.when(kind, F.col("quantity")).otherwise(F.lit(0.0)))
+    trade = F.struct(TIME, "trade_id", "price")
+    return trades.groupBy("symbol", F.window(TIME, duration).alias("w")).agg(
+        F.min(trade).alias("first"), F.max(trade).alias("last"), F.max("price").alias("high"), F.min("price").alias("low"), F.sum("quantity").alias("volume"), F.sum(F.col("price") * F.col("quantity")).alias("quote_volume"),
+        part(~sell).alias("buy_volume"), part(sell).alias("sell_volume"), F.count(F.lit(1)).alias("trade_count"), F.count("price").alias("n"), F.avg("price").alias("mean"), (F.var_pop("price") * F.count("price")).alias("squares"),
+    ).withColumn("start", F.col("w.start")).drop("w")
+
+
 def bars_at(trades: DataFrame, durations: list[str]) -> DataFrame:
-    """Bars at several intervals, in one table."""
-    return reduce(DataFrame.unionByName, [bar_features(trades, d) for d in durations])
+    """Bars at several intervals, in one table, from one scan and one shuffle of the trades.
+
+    States of the longest interval that divides all of them are made first; each state goes to its window of every interval,
+    where states merge: bars are the same as `bar_features` gives, volatility included, up to rounding. A stream has an
+    aggregate an interval."""
+    if trades.isStreaming:  # windows close one by one: an aggregate an interval
+        return reduce(DataFrame.unionByName, [bar_features(trades, d) for d in durations])
+    lengths = [seconds(d) for d in durations]
+    states = bar_states(trades, f"{math.gcd(*lengths)} seconds")
+    begin = lambda n: F.timestamp_seconds(F.floor(F.unix_timestamp("start") / n) * n)
+    targets = F.array(*[F.struct(F.lit(short(d)).alias("interval"), F.lit(n).alias("length"), begin(n).alias("at")) for d, n in zip(durations, lengths, strict=True)])
+    dealt = states.withColumn("t", F.explode(targets)).select("*", "t.*").drop("t")
+    own = Window.partitionBy("symbol", "interval", "length", "at")
+    centred = dealt.withColumn("centre", F.try_divide(F.sum(F.col("mean") * F.col("n")).over(own), F.sum("n").over(own)))
+    made = centred.groupBy("symbol", "interval", "length", "at").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), *[F.sum(c).alias(c) for c in ("volume", "quote_volume", "buy_volume", "sell_volume", "trade_count", "n")],
+        F.max("centre").alias("mean"), F.sum(F.col("squares") + F.col("n") * (F.col("mean") - F.col("centre")) * (F.col("mean") - F.col("centre"))).alias("squares"),
+    )
+    deviation = F.sqrt(F.try_divide(F.col("squares"), F.col("n") - 1))
+    out = made.withColumns({"open": F.col("first.price"), "close": F.col("last.price"), "window_start": F.col("at"), "window_end": F.timestamp_seconds(F.unix_timestamp("at") + F.col("length"))})
+    out = out.withColumns({"vwap": ratio(F.col("quote_volume"), F.col("volume"), F.col("close")), "volatility": F.when(F.col("mean") > 0, F.try_divide(deviation * 100, F.col("mean"))).otherwise(F.lit(0.0))})
+    return derived(out, F.col("interval"), F.col("length"))
 
 
 def body_pct(open_: Column, close: Column) -> Column:

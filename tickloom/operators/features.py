@@ -5,6 +5,7 @@ The operators cut long series into blocks (`in_blocks`), so a symbol with most o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -145,25 +146,32 @@ def bollinger(prices: DataFrame, period: int = 20, width: float = 2.0, column: s
 def ema(prices: DataFrame, period: int, column: str = "close", chunk: str = "day") -> DataFrame:
     """(symbol, window_start, ema): true exponential average, alpha = 2 / (period + 1), from the first value on.
 
-    A step is the map e -> (1 - alpha) e + alpha x. A chunk of a series (a day, say) is one array in time order, whose
-    steps compose to one such map; the maps are composed from chunk to chunk, a row a chunk; then each chunk
-    fills in its rows. No row or task holds more than one chunk of values or one row per chunk of a series.
-    """
+    A step is the map e -> keep e + alpha x with keep = 1 - alpha. A series is cut into blocks of so many rows that keep to
+    the power of a block is 1e-100, some 115 a period: inside one, e is a running sum of alpha x / keep^k, scaled back by keep^k,
+    and what a block starts with is the sum of the block before and, for what little is left of them, of the three before
+    that. So every row costs the same however long a series is, and a symbol with most of the rows is shared by many tasks."""
     alpha = 2.0 / (period + 1)
+    values = prices.filter(F.col(column).isNotNull()).select("symbol", "window_start", F.col(column).cast("double").alias("_x"))
+    if alpha >= 1:
+        return values.withColumnRenamed("_x", "ema")
+    size = math.ceil(100 * math.log(10) / -math.log1p(-alpha))
     keep = F.lit(1 - alpha)
-    step = lambda e, x: keep * e + alpha * x
-    values = prices.filter(F.col(column).isNotNull()).select("symbol", F.date_trunc(chunk, "window_start").alias("_chunk"), F.struct("window_start", F.col(column).cast("double").alias("x")).alias("v"))
-    chunks = values.groupBy("symbol", "_chunk").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    # a chunk's map e -> scale e + shift; the series starts as if its first value had been its average for ever
-    maps = chunks.select("symbol", "_chunk", F.struct("_chunk", F.pow(keep, F.size("vs").cast("double")).alias("scale"), F.aggregate("vs", F.lit(0.0), lambda e, v: step(e, v["x"])).alias("shift"), F.get("vs", 0)["x"].alias("first")).alias("m"))
-    series_maps = maps.groupBy("symbol").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    start = F.struct(F.array().cast("array<struct<_chunk: timestamp, before: double>>").alias("out"), F.get("ms", 0)["first"].alias("e"))
-    carried = F.aggregate("ms", start, lambda s, m: F.struct(F.concat(s["out"], F.array(F.struct(m["_chunk"].alias("_chunk"), s["e"].alias("before")))).alias("out"), (m["scale"] * s["e"] + m["shift"]).alias("e")), lambda s: s["out"])
-    before = series_maps.select(F.col("symbol").alias("_s"), F.inline(carried)).withColumnRenamed("_chunk", "_c")
-    none = F.array().cast("array<struct<window_start: timestamp, ema: double>>")
-    filled = F.aggregate("vs", F.struct(none.alias("out"), F.col("before").alias("e")), lambda s, v: F.struct(F.concat(s["out"], F.array(F.struct(v["window_start"].alias("window_start"), step(s["e"], v["x"]).alias("ema")))).alias("out"), step(s["e"], v["x"]).alias("e")), lambda s: s["out"])
-    joined = chunks.join(before, F.col("symbol").eqNullSafe(F.col("_s")) & F.col("_chunk").eqNullSafe(F.col("_c")))
-    return joined.select("symbol", F.inline(filled))
+    power = lambda k: F.pow(keep, k.cast("double"))
+    placed = numbered(values, chunk).withColumns({"_b": F.floor(F.col("_at") / size), "_k": F.col("_at") % size})
+    inside = Window.partitionBy("symbol", "_b").orderBy("_k")
+    summed = placed.withColumn("_e", power(F.col("_k")) * F.sum(F.lit(alpha) * F.col("_x") / power(F.col("_k"))).over(inside))
+    # one row a block: its own sum, and the first value of the series
+    blocks = summed.groupBy(F.col("symbol").alias("_s"), F.col("_b").alias("_c")).agg(F.max_by("_e", "_k").alias("_sum"), F.min_by("_x", "_k").alias("_first"))
+    order = Window.partitionBy("_s").orderBy("_c")
+    whole = power(F.lit(size))
+    before = F.lit(0.0)
+    for back in (3, 2, 1):
+        own = F.lag("_sum", back).over(order)
+        before = F.when(F.col("_c") >= back, own + whole * before).otherwise(F.col("_start"))
+    start = F.first("_first").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    starts = blocks.withColumn("_start", start).withColumn("_before", before).select("_s", "_c", "_before")
+    joined = summed.join(starts, F.col("symbol").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
+    return joined.select("symbol", "window_start", (power(F.col("_k") + 1) * F.col("_before") + F.col("_e")).alias("ema"))
 
 
 def anomaly_features(bars: DataFrame, window: int = 60) -> DataFrame:

@@ -6,7 +6,7 @@ table as it was. A versioned table is its change log: keys, columns, `version`,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.parse import distinct_trades, silver_trades
@@ -70,11 +70,53 @@ def table_details(df: DataFrame) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("bytes"), F.sum("rows").alias("rows"))
 
 
-def compact(spark: SparkSession, path: str, to: str, cluster_by: list[str] | None = None, files: int | None = None) -> DataFrame:
-    """Rewrites a table in fewer files, sorted and ranged by the clustering columns, to a new path."""
+def as_number(df: DataFrame, column: str) -> Column:
+    """A double that keeps the column's order, roughly for text: its first seven bytes."""
+    kind = dict(df.dtypes)[column]
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
+    if kind == "date":
+        return F.unix_date(column).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double")
+
+
+def with_z_value(df: DataFrame, columns: list[str], bits: int = 8) -> DataFrame:
+    """Adds `_z`, the place of a row on a space-filling curve through several columns: each value becomes one of 2^bits ranges of
+    about equal rows, and the bits of the ranges' numbers are interleaved. NULL lies in the first range. Bounds come from one
+    pass of sketches; the driver holds 2^bits - 1 of them a column."""
+    if not 1 <= bits * len(columns) <= 62:
+        raise ValueError("bits of all columns must fit a long")
+    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
+    bounds = df.agg(*[F.percentile_approx(as_number(df, c), shares, 10_000).alias(f"b{k}") for k, c in enumerate(columns)]).first()
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(bits))])
+
+    def place(column: str, edges: list[float] | None) -> Column:
+        """How many bounds are below the value, by binary search."""
+        x, e = as_number(df, column), F.array(*[F.lit(float(v)) for v in edges or [0.0] * len(shares)])
+        return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(e, low + step - 1) < x, low + step).otherwise(low))
+
+    placed = df.withColumns({f"_z{k}": place(c, bounds[k]) for k, c in enumerate(columns)})
+    value = F.lit(0).cast("long")
+    for k in range(len(columns)):
+        for bit in range(bits):
+            own = F.shiftright(f"_z{k}", bit).bitwiseAND(F.lit(1)).cast("long")
+            value = value + F.shiftleft(own, bit * len(columns) + len(columns) - 1 - k)
+    return placed.withColumn("_z", value).drop(*[f"_z{k}" for k in range(len(columns))])
+
+
+def compact(spark: SparkSession, path: str, to: str, cluster_by: list[str] | None = None, files: int | None = None, interleave: bool = False) -> DataFrame:
+    """Rewrites a table in fewer files to a new path, sorted and ranged by the clustering columns.
+
+    Without `interleave` a file holds a range of the first column; with it files are cells of all of them, so that a filter on
+    any of the columns leaves most files out."""
     df = spark.read.parquet(path)
     if cluster_by:
-        df = (df.repartitionByRange(files, *cluster_by) if files else df.repartitionByRange(*cluster_by)).sortWithinPartitions(*cluster_by)
+        by = ["_z"] if interleave else cluster_by
+        df = with_z_value(df, cluster_by) if interleave else df
+        df = (df.repartitionByRange(files, *by) if files else df.repartitionByRange(*by)).sortWithinPartitions(*by)
+        df = df.drop("_z") if interleave else df
     elif files:
         df = df.repartition(files)
     else:
@@ -83,6 +125,14 @@ def compact(spark: SparkSession, path: str, to: str, cluster_by: list[str] | Non
     return spark.read.parquet(to)
 
 
+def files_matching(df: DataFrame, column: str, cells: DataFrame) -> DataFrame:
+    """For each row (low, high) of `cells`: the files whose range of `column` meets it, as a reader with file statistics would
+    open them. A row a file is compared with the few cells."""
+    ranges = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.min(column).alias("_least"), F.max(column).alias("_most"))
+    met = ranges.join(F.broadcast(cells), (F.col("_least") < F.col("high")) & (F.col("_most") >= F.col("low")))
+    return cells.join(met.groupBy("low", "high").agg(F.count(F.lit(1)).alias("files")), ["low", "high"], "left").na.fill(0, ["files"])
+
+
 def reprocessed(target: DataFrame, bronze: DataFrame) -> DataFrame:
     """A batch of bronze trades through silver into the target, latest ingestion first."""
     return merged_latest(target, distinct_trades(silver_trades(bronze)), ["symbol", "trade_id"], "ingested_at")

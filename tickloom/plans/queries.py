@@ -17,6 +17,7 @@ from tickloom.operators import rules as R
 from tickloom.operators import sentiment as S
 from tickloom.operators import serve as O
 from tickloom.operators import signals as G
+from tickloom.operators import stored
 from tickloom.operators import tables as K
 from tickloom.sources import adapters as A
 from tickloom.session import scratch_path
@@ -627,21 +628,128 @@ def st8_first_seen(spark, d):
     return streamed(spark, streams.first_seen(twice, ["symbol", "trade_id"], "trade_timestamp", "1 hour"), "symbol")
 
 
+def slices(spark: SparkSession, d: str, n: int = 4) -> list[DataFrame]:
+    """The trades in stretches of time, which arrive one after the other."""
+    t = trades(spark, d)
+    low, high = t.agg(F.min(F.unix_micros("trade_timestamp")), F.max(F.unix_micros("trade_timestamp"))).first()
+    place = F.least(F.floor((F.unix_micros("trade_timestamp") - low) * n / F.lit(max(high - low, 1))), F.lit(n - 1))
+    return [t.filter(place == k) for k in range(n)]
+
+
+def arriving(spark: SparkSession, parts: list[DataFrame], stops: list[int], run: Callable[[DataFrame], object]) -> None:
+    """Runs a stream that ends when it has read all that is there, and starts it again on its checkpoint when more of `parts`
+    have arrived, up to each of `stops`."""
+    root, at = scratch_path(spark, "arriving"), 0
+    for stop in stops:
+        for k in range(at, stop):
+            parts[k].write.parquet(f"{root}/{k}")
+        run(files.table_stream(spark, f"{root}/*", parts[0].schema))
+        at = stop
+
+
+def series_stream(spark: SparkSession, d: str, operator: Callable[[DataFrame], DataFrame], back: int, ahead: int = 0) -> DataFrame:
+    """A series operator over the bars of a stream of trades that stops after half of them and starts again on its checkpoint."""
+    path, progress = scratch_path(spark, "series"), scratch_path(spark, "progress")
+    arriving(spark, slices(spark, d), [2, 4], lambda t: streams.series_stream(streams.bars_stream(t, HOUR), operator, path, progress, back, ahead).awaitTermination())
+    return streams.series_rows(spark, path)
+
+
+@query("symbol", "window_start", "rsi")
+def st9_rsi_stream(spark, d):
+    return series_stream(spark, d, W.rsi, back=14)
+
+
+@query("symbol", "window_start", "close_normalised", "volume_normalised")
+def st9_z_score_stream(spark, d):
+    return series_stream(spark, d, lambda b: W.normalised(b, ["close", "volume"]), back=20)
+
+
+@query("symbol", "window_start", "price_change_pct_lag_1", "price_change_pct_lag_3", "price_change_pct_lag_5", "volume_change_pct", "volatility_change", "ema_short", "ema_long", "ema_crossover", "rolling_mean_price", "rolling_std_price", "momentum", "vwap_deviation", "volatility")
+def st9_time_series_stream(spark, d):
+    return series_stream(spark, d, W.time_series, back=19)
+
+
+@query("symbol", "window_start", *M.ANOMALY)
+def st9_anomaly_features_stream(spark, d):
+    return series_stream(spark, d, W.anomaly_features, back=119)
+
+
+@query("symbol", "window_start", "direction")
+def st9_labels_stream(spark, d):
+    """Labels look five bars ahead: a bar waits until they are there."""
+    return series_stream(spark, d, W.labelled, back=0, ahead=5)
+
+
+@query("symbol", "window_start", "market_signal", "sentiment_momentum", "sentiment_signal", "sentiment_signal_normalised", "timeseries_signal", "weighted_composite_signal", "signal_strength", "signal_direction")
+def st9_fusion_stream(spark, d):
+    news = bar_sentiment(spark, d)
+    return series_stream(spark, d, lambda b: G.fused(b, news), back=40)
+
+
+@query("trade_id", "symbol", "price", "quantity")
+def st4_restarted(spark, d):
+    """A sink that stops after half of the trades and starts again on its checkpoint: each trade once."""
+    path, progress = scratch_path(spark, "restarted"), scratch_path(spark, "progress")
+    arriving(spark, slices(spark, d), [2, 4], lambda t: files.stream_to_table(t, path, progress, ["symbol"]).awaitTermination())
+    return files.read_table(spark, path)
+
+
 @query("symbol", "close")
 def st7_keep_latest(spark, d):
-    """The newest trade of each symbol, merged batch by batch."""
-    root, at = scratch_path(spark, "latest"), [0]
+    """The newest trade of each symbol, merged batch by batch into a stored table."""
+    path, progress = scratch_path(spark, "latest"), scratch_path(spark, "progress")
+    rows = lambda t: t.select("symbol", F.col("price").alias("close"), F.struct("trade_timestamp", "trade_id").alias("order"))
+    arriving(spark, slices(spark, d), [2, 4], lambda t: streams.keep_latest(rows(t), path, ["symbol"], "order", progress).awaitTermination())
+    return stored.read_stored(spark, path)
+
+
+@query()
+def st8_bounded_by_count(spark, d):
+    """All trades, and then all of them again, past a memory of the 50 newest ids of each quarter of a symbol: how often each came out."""
+    path, progress, t = scratch_path(spark, "seen"), scratch_path(spark, "progress"), trades(spark, d)
+    part = F.col("trade_id") % 4
+    arriving(spark, [t, t], [1, 2], lambda s: files.stream_to_table(streams.seen_once(s.withColumn("part", part), ["symbol", "part"], "trade_id", 50), path, progress, ["symbol"]).awaitTermination())
+    return files.read_table(spark, path).groupBy("symbol", "trade_id").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("event_id", "event_type", "value", "kept", "same_again")
+def t1_stored_upsert(spark, d):
+    """All events in a stored table by type, and dearer clicks upserted, twice as the same batch. `kept`: the row's file is the one
+    it was before the batch; `same_again`: it is the same after the batch came again."""
+    path, e = scratch_path(spark, "stored"), events(spark, d).select("event_id", "event_type", "value")
+    place = lambda name: spark.read.parquet(path).select("event_id", F.col("_metadata.file_name").alias(name))
+    again = e.filter("event_type = 'click'").withColumn("value", F.col("value") + 1)
+    stored.upsert_batch(e, path, 0, ["event_id"], by="event_type")
+    first = scratch_path(spark, "files")
+    place("first").write.parquet(first)
+    stored.upsert_batch(again, path, 1, ["event_id"], by="event_type")
+    second = scratch_path(spark, "files")
+    place("second").write.parquet(second)
+    stored.upsert_batch(again, path, 1, ["event_id"], by="event_type")
+    rows = stored.read_stored(spark, path).join(place("third"), "event_id").join(spark.read.parquet(first), "event_id").join(spark.read.parquet(second), "event_id")
+    return rows.withColumns({"kept": F.col("first") == F.col("second"), "same_again": F.col("second") == F.col("third")})
 
-    def read() -> DataFrame | None:
-        return spark.read.parquet(f"{root}/{at[0]}") if at[0] else None
 
-    def write(df: DataFrame, _: int) -> None:
-        df.write.parquet(f"{root}/{at[0] + 1}")
-        at[0] += 1
+@query("event_id", "value")
+def t2_stored_latest(spark, d):
+    """The merge of `t2_merged_latest` into a stored table, in two batches."""
+    path, (target, source) = scratch_path(spark, "stored"), target_and_source(spark, d)
+    stored.latest_batch(target, path, 0, ["event_id"], "at")
+    stored.latest_batch(source, path, 1, ["event_id"], "at")
+    return stored.read_stored(spark, path)
 
-    rows = trade_stream(spark, d).select("symbol", F.col("price").alias("close"), F.struct("trade_timestamp", "trade_id").alias("order"))
-    streams.keep_latest(rows, read, write, ["symbol"], "order", scratch_path(spark, "progress")).awaitTermination()
-    return read()
+
+@query()
+def t7_interleaved(spark, d):
+    """All events clustered by id and value together: the rows of each step of values in the rewritten table, and whether filters on
+    each step meet fewer files, in sum, than in the table sorted by id alone."""
+    many, by_id, by_both = scratch_path(spark, "many"), scratch_path(spark, "by-id"), scratch_path(spark, "by-both")
+    events(spark, d).select("event_id", "event_type", "value").repartition(16).write.parquet(many)
+    one, both = K.compact(spark, many, by_id, ["event_id"], 16), K.compact(spark, many, by_both, ["event_id", "value"], 16, interleave=True)
+    cells = spark.range(0, 500, 10).select(F.col("id").alias("low"), (F.col("id") + 10).alias("high"))
+    rows = both.groupBy((F.floor(F.col("value") / 10) * 10).alias("low")).agg(F.count(F.lit(1)).alias("n"))
+    before, after = (K.files_matching(t, "value", cells).agg(F.sum("files")).first()[0] for t in (one, both))
+    return rows.withColumn("fewer", F.lit(after < before))
 
 
 @query("article_id", "symbol", "sentiment_label", "sentiment_score", "sentiment_confidence")

@@ -263,3 +263,23 @@ SQL: dict[str, str] = {
 }
 
 SQL["st10_news_stream"] = SQL["ud5_scored_articles"]
+
+
+def closed(name: str) -> str:
+    """Of hourly bars' rows, those whose bar a stream of the trades has closed."""
+    return f"SELECT * FROM ({SQL[name]}) WHERE CAST(window_start AS TIMESTAMP) + INTERVAL 1 HOUR <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events) - INTERVAL 10 SECOND"
+
+
+SQL["st9_rsi_stream"] = closed("w22_rsi")
+SQL["st9_z_score_stream"] = closed("w14_z_score")
+SQL["st9_time_series_stream"] = closed("w3_w11_time_series")
+SQL["st9_anomaly_features_stream"] = closed("w18_w21_anomaly_features")
+SQL["st9_fusion_stream"] = closed("g1_g4_fusion")
+SQL["st9_labels_stream"] = f"""SELECT symbol, window_start, direction FROM ({SQL["w12_labels"]}) JOIN (
+  SELECT symbol, window_start, lead(window_start, 5) OVER (PARTITION BY symbol ORDER BY window_start) AS future FROM ({SQL["p12_interval"]})) USING (symbol, window_start)
+  WHERE CAST(future AS TIMESTAMP) + INTERVAL 1 HOUR <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events) - INTERVAL 10 SECOND"""
+SQL["st4_restarted"] = SQL["s4_s6_st4_trades_to_table"]
+SQL["st8_bounded_by_count"] = "SELECT event_type AS symbol, event_id AS trade_id, CASE WHEN row_number() OVER (PARTITION BY event_type, event_id % 4 ORDER BY event_id DESC) > 50 THEN 2 ELSE 1 END AS times FROM events"
+SQL["t1_stored_upsert"] = view("SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN value + 1 ELSE value END AS value, event_type <> 'click' AS kept, TRUE AS same_again FROM events", "event_id event_type kept same_again", "value")
+SQL["t2_stored_latest"] = SQL["t2_merged_latest"]
+SQL["t7_interleaved"] = "SELECT CAST(floor(value / 10) * 10 AS BIGINT) AS low, count(*) AS n, TRUE AS fewer FROM events GROUP BY ALL"

@@ -45,3 +45,19 @@ def scratch_path(spark: SparkSession, what: str) -> str:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tickloom-"))
         named = spark.sparkContext.getCheckpointDir()
     return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def _place(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names; it may be a pattern."""
+    store, there = _place(spark, path)
+    return bool(store.globStatus(there))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    store, there = _place(spark, path)
+    store.delete(there, True)
