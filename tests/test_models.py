@@ -64,3 +64,44 @@ def test_isolation_forest_ranks_outliers_first(spark):
 def test_importances(spark):
     got = M.importances(["a", "b"], [0.2, 0.8], spark).orderBy("rank").collect()
     assert [(x.feature, x.rank) for x in got] == [("b", 1), ("a", 2)]
+
+
+def test_permuted_features_lose_what_they_are_worth(spark):
+    rows = spark.range(600).select(F.when(F.col("id") * 7919 % 1000 > 500, "up").otherwise("down").alias("direction"), (F.col("id") * 7919 % 1000).cast("double").alias("tells"), (F.col("id") % 13).cast("double").alias("idle"), F.lit(1.0).alias("same"))
+    features = ["tells", "idle", "same"]
+    model = M.train(rows, features, classifier=M.forest(5, 3))
+    got = {r.feature: r for r in M.permutation_importances(model, rows, features, rows=100).collect()}
+    assert got["tells"].importance > 0.3 and got["tells"].rank == 1
+    assert abs(got["idle"].importance) < 0.05 and got["same"].importance == 0
+    again = {r.feature: r.importance for r in M.permutation_importances(model, rows.repartition(5), features, rows=100).collect()}
+    assert again == {k: r.importance for k, r in got.items()}
+
+
+def test_text_model_learns_words_and_equals_a_direct_score(spark):
+    import numpy as np
+
+    from tickloom.operators import sentiment as S
+
+    rows = [(k, " ".join(["good fine" if k % 2 else "bad awful", f"word{k % 7}", "and so on"]), k % 2) for k in range(200)]
+    df = spark.createDataFrame([*rows, (300, None, 1), (301, "short", None)], "article_id long, content string, y int")
+    load = S.text_model(df, "content", F.col("y") == 1, sample=100)
+    got = {r.article_id: r for r in S.model_scored(df, load, longest=None).collect()}
+    assert all(got[k].label == ("positive" if y else "negative") for k, _, y in rows)
+    assert got[300].label == got[301].label == "neutral"
+    for k, text, _ in rows[:9]:
+        (label, confidence), = load()([text])
+        assert (got[k].label, got[k].confidence) == (label, confidence) and np.sign(got[k].score) == (1 if label == "positive" else -1)
+    empty = S.text_model(df.limit(0), "content", F.col("y") == 1)
+    assert empty()(["some text"]) == [("positive", 0.5)]
+
+
+@pytest.mark.parametrize("few", [1, 3, 40, 10_000])
+def test_order_statistics_equal_a_sort(spark, few):
+    from tickloom.operators import features as W
+
+    values = [float(k * 7919 % 997) for k in range(3000)] + [5.0] * 4000 + [1e300, -1e300, 0.1]
+    df = spark.createDataFrame([(v, None if k % 3 else v) for k, v in enumerate(values)], "x double, y double")
+    xs, ys = sorted(values), sorted(v for k, v in enumerate(values) if k % 3 == 0)
+    ranks = {"x": [0, 1, 2500, 6650, 6652, len(xs) - 1], "y": [0, 17, len(ys) - 1]}
+    got = W.order_statistics(df, ranks, few)
+    assert got == {(c, k): v[k] for c, v in (("x", xs), ("y", ys)) for k in ranks[c]}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numbers import change_pct, clip, direction, ratio
+from tickloom.session import scratch_path
 
 
 def series():
@@ -188,9 +189,90 @@ def anomaly_features(bars: DataFrame, window: int = 60) -> DataFrame:
     return in_blocks(bars, lambda b: b.withColumns(columns), back=2 * window - 1)
 
 
+#: Values of an interval that are sorted in one place.
+FEW = 10_000
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]], few: int | None = None) -> dict[tuple[str, int], float]:
+    """The values at these ranks (from 0) among each column's non-null values, exactly, without a sort or a buffer of them.
+
+    A rank lies in an open interval, at first all values. A sketch of the values inside brackets it, one pass counts what is
+    below, at and between the two bounds, and so moves the rank to a bound, which is the answer, or to a smaller interval,
+    of some thousandth of the values; once `few` are left they are sorted. All ranks of all columns share the passes, and
+    the driver holds a few numbers a rank."""
+    few, error = few or FEW, 1e-3
+    found: dict[tuple[str, int], float] = {}
+    open_: dict[tuple[str, int], tuple] = {(c, k): (None, None, k) for c, ks in ranks.items() for k in ks}
+
+    def inside(column: str, low, high) -> Column:
+        x = F.col(column).cast("double")
+        fits = x.isNotNull()
+        fits = fits if low is None else fits & (x > F.lit(low))
+        return fits if high is None else fits & (x < F.lit(high))
+
+    while open_:
+        targets = list(open_.items())
+        sizes = df.agg(*[F.count_if(inside(c, low, high)).alias(f"n{i}") for i, ((c, _), (low, high, _)) in enumerate(targets)]).first()
+        for (key, _), n in zip(targets, sizes, strict=True):
+            if not n:
+                raise ValueError(f"no value of rank {key[1]} in {key[0]}")
+        small = [i for i, n in enumerate(sizes) if n <= few]
+        large = [i for i, n in enumerate(sizes) if n > few]
+        own = lambda i: (targets[i][0][0], *targets[i][1])  # noqa: E731  column, low, high, rank
+        value = lambda i: F.when(inside(*own(i)[:3]), F.col(own(i)[0]).cast("double"))
+        if small:
+            lists = df.agg(*[F.sort_array(F.collect_list(value(i))).alias(f"v{i}") for i in small])
+            picked = lists.select(*[F.get(f"v{i}", F.lit(own(i)[3])).alias(f"v{i}") for i in small]).first()
+            found |= {targets[i][0]: v for i, v in zip(small, picked, strict=True)}
+        left = {}
+        if large:
+            shares = [[max(0.0, own(i)[3] / sizes[i] - error), min(1.0, (own(i)[3] + 1) / sizes[i] + error)] for i in large]
+            sketched = df.agg(*[F.percentile_approx(value(i), s, 10_000).alias(f"b{i}") for i, s in zip(large, shares, strict=True)]).first()
+            parts = []
+            for i, (a, b) in zip(large, sketched, strict=True):
+                x = value(i)
+                parts += [F.count_if(x < a), F.count_if(x == a), F.count_if((x > a) & (x < b)), F.count_if((x == b) & (x > a))]
+            counts = df.agg(*[p.alias(f"c{k}") for k, p in enumerate(parts)]).first()
+            for at, (i, (a, b)) in enumerate(zip(large, sketched, strict=True)):
+                _, low, high, k = own(i)
+                below, first, between, last = counts[4 * at : 4 * at + 4]
+                if k < below:
+                    left[targets[i][0]] = (low, a, k)
+                elif k < below + first:
+                    found[targets[i][0]] = a
+                elif k < below + first + between:
+                    left[targets[i][0]] = (a, b, k - below - first)
+                elif k < below + first + between + last:
+                    found[targets[i][0]] = b
+                else:
+                    left[targets[i][0]] = (b, high, k - below - first - between - last)
+        open_ = left
+    return found
+
+
 def profile(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """Mean, deviation, 95th and 99th percentile of each column, a row a column. Exact percentiles count all distinct
-    values in one place; `exact=False` takes sketches (rank error 1e-4) for columns with too many of them."""
-    at = (lambda c, q: F.percentile(c, F.lit(q))) if exact else (lambda c, q: F.percentile_approx(c, q, 10000))
-    stats = [F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), at(c, 0.95).cast("double").alias("q95"), at(c, 0.99).cast("double").alias("q99")) for c in columns]
-    return df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    """Mean, deviation, 95th and 99th percentile of each column, a row a column.
+
+    Exact percentiles come from `order_statistics`, which reads the columns several times, so they are written once before;
+    `exact=False` takes sketches (rank error 1e-4) in one pass."""
+    moments = lambda c: [F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.stddev(c).alias("std")]
+    if not exact:
+        at = lambda c, q: F.percentile_approx(c, q, 10000).cast("double")
+        stats = [F.struct(*moments(c), at(c, 0.95).alias("q95"), at(c, 0.99).alias("q99")) for c in columns]
+        return df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "profile")
+    df.select(*columns).write.parquet(path)
+    df = spark.read.parquet(path)
+    rows = df.agg(*[F.struct(*moments(c), F.count(c).alias("n")).alias(f"s{k}") for k, c in enumerate(columns)]).first()
+    place = lambda n, q: q * (n - 1)
+    ranks = {c: sorted({r for q in (0.95, 0.99) for r in (math.floor(place(s.n, q)), math.ceil(place(s.n, q)))}) for c, s in zip(columns, rows, strict=True) if s.n}
+    found = order_statistics(df, ranks)
+
+    def percentile(c: str, n: int, q: float) -> float | None:
+        if not n:
+            return None
+        low, high = math.floor(place(n, q)), math.ceil(place(n, q))
+        return found[c, low] if low == high else (high - place(n, q)) * found[c, low] + (place(n, q) - low) * found[c, high]
+
+    made = [(s.feature, s["mean"], s["std"], percentile(c, s.n, 0.95), percentile(c, s.n, 0.99)) for c, s in zip(columns, rows, strict=True)]
+    return spark.createDataFrame(made, "feature string, mean double, std double, q95 double, q99 double")

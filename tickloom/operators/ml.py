@@ -121,6 +121,25 @@ def importances(names: list[str], values, spark) -> DataFrame:
     return ranked(spark.createDataFrame([(n, float(v)) for n, v in zip(names, values, strict=True)], "feature string, importance double"))
 
 
+def permutation_importances(model: PipelineModel, df: DataFrame, features: list[str], label: str = "direction", seed: int = 7, rows: int = 10_000) -> DataFrame:
+    """(feature, importance, rank): the accuracy that a fitted model loses on `df` when one feature's values change rows.
+
+    Rows are dealt by a seeded hash into buckets of about `rows`; within one, each feature takes the value of the next row in an
+    order of its own, so one shuffle serves all features. The row as it is and its variants, one a feature, are scored together."""
+    complete = df.dropna(subset=[*features, label])
+    buckets = max(1, math.ceil(complete.count() / rows))
+    dealt = complete.withColumn("_h", F.xxhash64(*complete.columns, F.lit(seed))).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
+    order = lambda k: Window.partitionBy("_bucket").orderBy(F.xxhash64("_h", F.lit(k)), "_h")
+    moved = dealt.withColumns({f"_p{k}": F.coalesce(F.lead(f).over(order(k)), F.first(f).over(order(k).rowsBetween(Window.unboundedPreceding, 0))) for k, f in enumerate(features)})
+    as_is = [F.col(f).cast("double").alias(f) for f in features]
+    variants = [F.struct(F.lit(-1).alias("_v"), *as_is)] + [F.struct(F.lit(k).alias("_v"), *as_is[:k], F.col(f"_p{k}").cast("double").alias(f), *as_is[k + 1 :]) for k, f in enumerate(features)]
+    scored = model.transform(moved.select(label, F.explode(F.array(*variants)).alias("r")).select(label, "r.*"))
+    accuracy = scored.groupBy("_v").agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("a"))
+    names = F.array(*[F.lit(f) for f in features])
+    whole = F.max(F.when(F.col("_v") == -1, F.col("a"))).over(Window.partitionBy())  # a row a feature and one more
+    return ranked(accuracy.withColumn("importance", whole - F.col("a")).filter("_v >= 0").select(F.get(names, F.col("_v")).alias("feature"), "importance"))
+
+
 # --- isolation forest -------------------------------------------------------------------------------
 
 

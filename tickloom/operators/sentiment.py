@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +23,10 @@ def scored_articles(news: DataFrame, score: Column | None = None, keep_without_s
     return rows.select("article_id", "source", "title", "symbol", F.col("_s.label").alias("sentiment_label"), F.col("_s.score").alias("sentiment_score"), F.col("_s.confidence").alias("sentiment_confidence"), "published_timestamp", "word_count", "content_hash")
 
 
-def model_scored(news: DataFrame, load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]], key: str = "article_id", text: str = "content", shortest: int = 10, longest: int = 512) -> DataFrame:
+def model_scored(news: DataFrame, load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]], key: str = "article_id", text: str = "content", shortest: int = 10, longest: int | None = 512) -> DataFrame:
     """(key, label, score, confidence) by a model that is loaded once a worker and scores batches of texts.
 
-    Texts under `shortest` characters are neutral; the model sees the first `longest`, as many as it reads.
+    Texts under `shortest` characters are neutral; the model sees the first `longest`, as many as it reads, or all of a text.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,6 +44,44 @@ def model_scored(news: DataFrame, load: Callable[[], Callable[[list[str]], list[
     return news.select(key, text).mapInPandas(run, f"{key} {dict(news.dtypes)[key]}, label string, score double, confidence double")
 
 
+def word_counts(texts: list[str], width: int) -> np.ndarray:
+    """Rows of log counts of words, hashed into `width` columns, each row of length one."""
+    out = np.zeros((len(texts), width), np.float32)
+    for row, text in zip(out, texts, strict=True):
+        places = [zlib.crc32(w.encode()) % width for w in re.findall(r"\w+", text.lower())]
+        np.add.at(row, places, 1.0)
+    out = np.log1p(out)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def text_model(labelled: DataFrame, text: str, positive: Column, sample: int = 2000, width: int = 4096, rounds: int = 300, seed: int = 7) -> Callable[[], Callable[[list[str]], list[tuple[str, float]]]]:
+    """A small model for `model_scored`: logistic regression on hashed words, both classes with equal weight.
+
+    It is fitted on at most `sample` labelled rows, those with the least seeded hashes; these come to the driver, and so
+    does nothing else. Rows without a text or a label teach nothing; with one class only, every text is of that class."""
+    rows = labelled.select(F.col(text).alias("t"), positive.cast("double").alias("y")).dropna()
+    taken = rows.orderBy(F.xxhash64("t", F.lit(seed)), "t", "y").limit(sample).collect()
+    x, y = word_counts([r.t for r in taken], width), np.array([r.y for r in taken])
+    weight = np.where(y > 0, 1 / max(y.sum(), 1), 1 / max((1 - y).sum(), 1))
+    w, b, speed = np.zeros(width), 0.0, np.zeros(width + 1)
+    for _ in range(rounds if taken else 0):
+        error = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        speed = 0.9 * speed + np.append(x.T @ error + 1e-4 * w, error.sum())
+        w, b = w - 2.0 * speed[:-1], b - 2.0 * speed[-1]
+
+    def load() -> Callable[[list[str]], list[tuple[str, float]]]:
+        def score(texts: list[str]) -> list[tuple[str, float]]:
+            out: list[tuple[str, float]] = []
+            for low in range(0, len(texts), 256):
+                p = 1 / (1 + np.exp(-(word_counts(texts[low : low + 256], width) @ w + b)))
+                out += [("positive", float(v)) if v >= 0.5 else ("negative", float(1 - v)) for v in p]
+            return out
+
+        return score
+
+    return load
+
+
 def dominant(positive: Column, negative: Column, neutral: Column) -> Column:
     """Positive if no other has more; negative if it has more than both; else neutral."""
     return F.when((positive >= negative) & (positive >= neutral), "positive").when((negative > positive) & (negative > neutral), "negative").otherwise("neutral")

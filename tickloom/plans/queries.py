@@ -792,10 +792,31 @@ def a10_anomaly_summary(spark, d):
     return M.run_summary(M.detected(W.anomaly_features(bars(spark, d))))
 
 
+def direction_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Labelled bars with all features, earlier and later ones, and the features' names."""
+    rows = W.labelled(G.momenta(G.simple_composite(S.with_sentiment(W.time_series(bars(spark, d)), bar_sentiment(spark, d)))).withColumn("sentiment_momentum", F.col("from_start")))
+    features, path = [*M.MARKET, *M.SERIES, *M.SENTIMENT, "weighted_composite_signal"], scratch_path(spark, "features")
+    rows.select("symbol", "window_start", "direction", *features).write.parquet(path)  # training reads them many times
+    return *M.chronological(spark.read.parquet(path)), features
+
+
+@query()
+def o5_permutation_importances(spark, d):
+    """What each feature of a forest is worth on the later bars."""
+    early, late, features = direction_rows(spark, d)
+    return M.permutation_importances(M.train(early, features, classifier=M.forest(10)), late, features)
+
+
+@query("doc_id", "label", "score", "confidence")
+def ud3_text_model(spark, d):
+    """Sentiment of all documents, whole texts, by a model of good and bad ones that is fitted on their labels."""
+    docs = A.table(spark, d, "documents")
+    labelled = docs.join(A.table(spark, d, "labels"), "doc_id")
+    return S.model_scored(docs, S.text_model(labelled, "text", F.col("quality") == 1), key="doc_id", text="text", longest=None)
+
+
 @query()
 def ml1_ml5_direction_model(spark, d):
     """Metrics of a forest that is trained on the earlier part of each symbol's bars."""
-    rows = W.labelled(G.momenta(G.simple_composite(S.with_sentiment(W.time_series(bars(spark, d)), bar_sentiment(spark, d)))).withColumn("sentiment_momentum", F.col("from_start")))
-    features = [*M.MARKET, *M.SERIES, *M.SENTIMENT, "weighted_composite_signal"]
-    early, late = M.chronological(rows)
+    early, late, features = direction_rows(spark, d)
     return M.metrics(M.train(early, features).transform(late))
