@@ -1,7 +1,10 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.llm import pii
@@ -74,3 +77,55 @@ def test_queries_over_odd_rows(spark, docs):
     assert len(red) == docs.count() and red[0].__fields__ == docs.columns
     text = next(r for r in red if r.doc_id == 4)
     assert text.text.endswith("Mail me: [EMAIL], [PHONE].") and text.n_chars == len(text.text)
+
+
+def all_at_once(text, crf, taken, least=0.5):
+    """The field's spans by whole lists of segments with their features."""
+    out = []
+    for a, b in pii.windows(text):
+        tokens, segments = pii.candidates(text, a, b)
+        scored = crf.scored(segments)
+        best = crf.decode(len(tokens), scored)
+        sure, _ = crf.marginals(len(tokens), scored)
+        for i, j, y in best:
+            start, end = tokens[i].start(), tokens[j - 1].end()
+            if all(end <= s or e <= start for s, e, _ in taken) and sure.get((i, j, y), 0.0) >= least:
+                out.append((start, end, y))
+    return out
+
+
+def test_flat_windows_equal_lists_of_features():
+    crf = pii.train_field(["Mail a.b12@mail3.example.com or call +1 (974) 555-3436 now", "It 2353820953013749 is", "ring 646-555-0199"])
+    r, found = random.Random(5), 0
+    parts = ["12", "4111 1111", " ", "a", "é", "²", "٣", ".", "@", "(at)", " [at] ", " at ", "+", "-", "\n", "  ", "tel ", "_", "IP: ", "255.1.2.3", "[.]", "x", "mail5", " [dot] ", "(646) 555-0199", "a_longer_word"]
+    for _ in range(1200):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(50)))
+        base = pii.rule_spans(text)
+        want = all_at_once(text, crf, base)
+        assert pii.field_spans(text, crf, base) == want, repr(text)
+        found += len(want)
+    assert found > 30
+
+
+@pytest.mark.parametrize("kind", ["numbers", "addresses"])
+def test_very_long_texts_with_triggers(kind):
+    """One window as long as the text: memory and time in proportion to it."""
+    crf = pii.train_field(["Mail a.b12@mail3.example.com or call +1 (974) 555-3436 now"])
+    r = random.Random(1)
+    text = " ".join(str(r.randrange(10 ** r.randrange(1, 9))) for _ in range(20_000)) if kind == "numbers" else " ".join(f"user{k}@host{k % 97}.example.org" for k in range(4_000))
+    began = time.perf_counter()
+    base, spans = pii.all_spans(text, crf)
+    assert set(base) <= set(spans) and time.perf_counter() - began < 30
+    tracemalloc.start()
+    pii.Window(text[:10_000], 0, 10_000, pii.Scores(crf))
+    assert tracemalloc.get_traced_memory()[1] < 10 << 20
+    tracemalloc.stop()
+
+
+def test_long_texts_in_query_and_stage(spark):
+    text = "12 345 6789 " * 2500 + "a@b.example.org"
+    df = spark.createDataFrame([(1, text), (2, "x@y.example.org " * 2000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    assert (got[1].n_email, got[2].n_email) == (1, 2000)
+    red = {r.doc_id: r.text for r in pii.redact_pii(df).collect()}
+    assert red[1].endswith("[EMAIL]") and red[2] == "[EMAIL] " * 2000

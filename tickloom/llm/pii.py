@@ -16,6 +16,8 @@ import hashlib
 import math
 import random
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,6 +40,7 @@ DIGIT = re.compile(r"[0-9]")
 SEGMENT_TOKENS, SEGMENT_CHARS = 20, 80
 TRIGGER = re.compile(r"[0-9@]|[\[(]\s?at\s?[\])]", re.I)
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
+LETTER = re.compile(r"[^\W\d_]")
 CUES = frozenset("tel telephone phone call fax mobile cell card visa credit ip host address mail email contact e".split())
 Span = tuple[int, int, str]
 
@@ -328,17 +331,220 @@ def train_field(texts: list[str], examples_at_most: int = 150) -> SemiCRF:
     return crf
 
 
-def field_spans(text: str, crf: SemiCRF, taken: list[Span], least: float = 0.5) -> list[Span]:
-    """Decoded segments with a posterior of `least` or more (the likeliest reading by far, as rivals share the rest) that no span in `taken` overlaps."""
+class Window:
+    """A window of a text for decoding: tokens and segments as flat arrays of numbers, so that a window may be as long as a text.
+
+    What `features` says of a segment follows from a few properties that grow token by token; segments with equal
+    properties share a line of scores, one a kind, that `Scores` keeps."""
+
+    def __init__(self, text: str, a: int, b: int, scores: Scores):
+        self.starts, self.ends = array("q"), array("q")
+        pieces, plain, trigger, opens, closes, low = [], [], bytearray(), bytearray(), bytearray(), []
+        for m in TOKEN.finditer(text, a, b):
+            said = m[0]
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+            digit, letter = "0" <= said[0] <= "9", bool(LETTER.match(said))
+            pieces.append("9" if digit else "a" if said[0].isalnum() else said)
+            plain.append(digit or said in ".[]()")
+            trigger.append(bool(TRIGGER.match(text, m.start())))
+            opens.append(said[0].isalnum() or said in "+(")
+            closes.append(said[0].isalnum())
+            low.append(said.lower() if letter and len(said) <= 12 else "" if letter else said)
+        self.first, self.to, self.line = array("q", [0]), array("i"), array("i")
+        n = len(self.starts)
+        for i in range(n):
+            if opens[i]:
+                self._from(text, i, n, pieces, plain, trigger, closes, low, scores)
+            self.first.append(len(self.to))
+
+    def _from(self, text, i, n, pieces, plain, trigger, closes, low, scores) -> None:
+        starts, ends = self.starts, self.ends
+        start = starts[i]
+        before = text[start - 1 : start] if start else ""
+        glued = before.isalnum() or before in "+@#_."  # a text's start too
+        cue = low[i - 1] if i else ""
+        if cue and cue in ":.(" and i > 1:
+            cue = low[i - 2]
+        cue = cue if cue in CUES else ""
+        seen = letters = worded = False
+        plus = text[start] == "+"
+        shape = loose = ""
+        digits, words, ats, dotted, quads, bare, large = 0, 1, 0, False, 0, True, False
+        for j in range(i, min(i + SEGMENT_TOKENS, n)):
+            end, at = ends[j], starts[j]
+            if end - start > SEGMENT_CHARS:
+                break
+            piece = pieces[j]
+            if j > i and (gap := at - ends[j - 1]):
+                shape, loose, words = shape + " " * gap, loose + " " * gap, words + 1
+                bare = bare and text[ends[j - 1] : at].count(" ") == gap
+            if not (piece in "9a" and shape.endswith(piece)):
+                shape += piece
+            wide = "x" if piece in "9ax" else piece
+            if not (wide == "x" and loose.endswith("x")):
+                loose += wide
+            bare = bare and plain[j]
+            if piece == "9":
+                quads, digits = quads + 1, digits + end - at
+                large = large or end - at > 3 or int(text[at:end]) > 255
+            elif piece == "a":
+                letters = letters or bool(low[j] == "" or LETTER.match(low[j]))
+                worded = worded or low[j] == "at"
+            elif piece == "@":
+                ats += 1
+            elif piece == "." and ats:
+                dotted = True
+            seen = seen or bool(trigger[j])
+            if not (seen and closes[j]):
+                continue
+            after = text[end : end + 1]
+            right = after.isalnum() or (after != "" and after in "@_")
+            if worded:  # an "at" in words: rare, and its surroundings count
+                found = tuple(features(text[start:end], before, cue, text[end : end + 6]))
+                line = scores.line(found, found)
+            else:
+                check = (1 if luhn(only_digits(text[start:end])) else 2) if 12 <= digits <= 19 and not letters else 0
+                quad = (2 if large else 1) if quads == 4 and bare else 0
+                short, wide = shape if len(shape) <= 24 else None, loose if len(loose) <= 24 else None
+                line = scores.line((min(digits, 20), short, wide, min(words, 6), ats, dotted, plus, check, quad, letters, glued, right, cue))
+            self.to.append(j + 1)
+            self.line.append(line)
+
+
+class Scores:
+    """Scores of segments by their properties: a line of one score a kind, and the number of each line."""
+
+    def __init__(self, crf: SemiCRF):
+        self.get, self.lines, self.numbers = crf.weights.get, [], {}
+
+    def line(self, key: tuple, found: tuple[str, ...] | None = None) -> int:
+        at = self.numbers.get(key)
+        if at is None:
+            names = found or self.names(*key)
+            at = self.numbers[key] = len(self.lines)
+            self.lines.append(tuple(sum(self.get((y, f), 0.0) for f in names) for y in KINDS))
+        return at
+
+    @staticmethod
+    def names(digits, shape, loose, words, ats, dotted, plus, check, quad, letters, glued, right, cue) -> list[str]:
+        """The features, in the order of `features`."""
+        out = ["bias", f"digits{digits}", "shape long" if shape is None else f"shape {shape}", "loose long" if loose is None else f"loose {loose}", f"words{words}"]
+        out += [f"at{ats}{dotted}"] * bool(ats) + ["plus"] * plus + [("", "luhn", "no luhn")[check]] * bool(check) + [("", "quad", "large quad")[quad]] * bool(quad)
+        return out + ["letters"] * letters + ["glued left"] * glued + ["glued right"] * right + [f"cue {cue}"] * bool(cue)
+
+
+STATES = ("", *KINDS)
+
+
+def decoded(window: Window, crf: SemiCRF, lines: list[tuple[float, ...]]) -> list[tuple[int, int, str]]:
+    """The best segmentation of a window, as `SemiCRF.decode` gives it, with two small numbers a token and state to walk back by."""
+    n, first, to, line = len(window.starts), window.first, window.to, window.line
+    move = [[crf.moves.get((p, y), 0.0) for p in STATES] for y in STATES]
+    none = -math.inf
+    ring = [[none] * 5 for _ in range(SEGMENT_TOKENS + 1)]  # best scores of the places that segments can still reach
+    ring[0][0] = 0.0
+    length, came = bytearray(5 * (n + 1)), bytearray(5 * (n + 1))
+    for i in range(n):
+        here = ring[i % (SEGMENT_TOKENS + 1)]
+        enter = []
+        for y in range(5):
+            m = move[y]
+            totals = [here[p] + m[p] for p in range(5)]
+            top = max(totals)
+            enter.append((top, totals.index(top)))
+        out = ring[(i + 1) % (SEGMENT_TOKENS + 1)]
+        if enter[0][0] > out[0]:
+            out[0], length[5 * (i + 1)], came[5 * (i + 1)] = enter[0][0], 1, enter[0][1]
+        for k in range(first[i], first[i + 1]):
+            j, score = to[k], lines[line[k]]
+            out = ring[j % (SEGMENT_TOKENS + 1)]
+            for y in (1, 2, 3, 4):
+                total = enter[y][0] + score[y - 1]
+                if total > out[y]:
+                    out[y], length[5 * j + y], came[5 * j + y] = total, j - i, enter[y][1]
+        if i + 1 < n:
+            ring[i % (SEGMENT_TOKENS + 1)] = [none] * 5
+    last = ring[n % (SEGMENT_TOKENS + 1)]
+    k, y, found = n, last.index(max(last)), []
+    while k:
+        i, p = k - length[5 * k + y], came[5 * k + y]
+        if y:
+            found.append((i, k, STATES[y]))
+        k, y = i, p
+    return found[::-1]
+
+
+def posteriors(window: Window, crf: SemiCRF, lines: list[tuple[float, ...]], asked: list[tuple[int, int, str]]) -> list[float]:
+    """The posterior probability of each asked segment, as `SemiCRF.marginals` gives it, with one number a token and state."""
+    n, first, to, line = len(window.starts), window.first, window.to, window.line
+    move = [[crf.moves.get((p, y), 0.0) for p in STATES] for y in STATES]
+    none = -math.inf
+
+    def both(a: float, b: float) -> float:
+        if a < b:
+            a, b = b, a
+        return a if b == none else a + math.log1p(math.exp(b - a))
+
+    def into(y: int, i: int) -> float:
+        total, m = none, move[y]
+        for p in range(5):
+            if forward[5 * i + p] > none:
+                total = both(total, forward[5 * i + p] + m[p])
+        return total
+
+    forward = array("d", [none]) * (5 * (n + 1))
+    forward[0] = 0.0
+    for i in range(n):
+        enter = [into(y, i) for y in range(5)]
+        forward[5 * i + 5] = both(forward[5 * i + 5], enter[0])
+        for k in range(first[i], first[i + 1]):
+            at, score = 5 * to[k], lines[line[k]]
+            for y in (1, 2, 3, 4):
+                forward[at + y] = both(forward[at + y], enter[y] + score[y - 1])
+    z = none
+    for v in forward[5 * n :]:
+        z = both(z, v)
+    backward = array("d", [none]) * (5 * (n + 1))
+    for y in range(5):
+        backward[5 * n + y] = 0.0
+    for i in range(n - 1, -1, -1):
+        rest = [backward[5 * i + 5], none, none, none, none]
+        for k in range(first[i], first[i + 1]):
+            at, score = 5 * to[k], lines[line[k]]
+            for y in (1, 2, 3, 4):
+                rest[y] = both(rest[y], score[y - 1] + backward[at + y])
+        for p in range(5):
+            total = none
+            for y in range(5):
+                if rest[y] > none:
+                    total = both(total, move[y][p] + rest[y])
+            backward[5 * i + p] = total
     out = []
+    for i, j, kind in asked:
+        y = STATES.index(kind)
+        score = next((lines[line[k]][y - 1] for k in range(first[i], first[i + 1]) if to[k] == j), none)
+        out.append(math.exp(min(0.0, into(y, i) + score + backward[5 * j + y] - z)))
+    return out
+
+
+def field_spans(text: str, crf: SemiCRF, taken: list[Span], least: float = 0.5) -> list[Span]:
+    """Decoded segments with a posterior of `least` or more (the likeliest reading by far, as rivals share the rest) that no span in
+    `taken` (sorted by start) overlaps. Time and memory grow in proportion to a window's tokens."""
+    out, begins, reach = [], [s for s, _, _ in taken], []
+    for _, e, _ in taken:
+        reach.append(max(e, reach[-1]) if reach else e)
+    scores = Scores(crf)
     for a, b in windows(text):
-        tokens, segments = candidates(text, a, b)
-        scored = crf.scored(segments)
-        best = crf.decode(len(tokens), scored)
-        fresh = [x for x in best if all(tokens[x[1] - 1].end() <= s or e <= tokens[x[0]].start() for s, e, _ in taken)]
+        window = Window(text, a, b, scores)
+        fresh = []
+        for i, j, y in decoded(window, crf, scores.lines):
+            before = bisect_left(begins, window.ends[j - 1])  # spans that start before the segment ends
+            if not before or reach[before - 1] <= window.starts[i]:
+                fresh.append((i, j, y))
         if fresh:
-            sure, _ = crf.marginals(len(tokens), scored)
-            out += [(tokens[i].start(), tokens[j - 1].end(), y) for i, j, y in fresh if sure.get((i, j, y), 0.0) >= least]
+            sure = posteriors(window, crf, scores.lines, fresh)
+            out += [(window.starts[i], window.ends[j - 1], y) for (i, j, y), p in zip(fresh, sure, strict=True) if p >= least]
     return out
 
 
