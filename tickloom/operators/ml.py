@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.features import numbered
@@ -150,48 +151,58 @@ def average_path(n):
         return np.where(n > 2, 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def grow(x: np.ndarray, r: np.random.Generator) -> list[list[float]]:
-    """One tree as rows (feature or -1, cut, left, right, points): random cuts until points are alone or deep enough."""
-    limit, tree = math.ceil(math.log2(max(len(x), 2))), []
+def unit(*parts) -> float:
+    """A number from 0 to 1 out of a hash of the parts; the same in any engine that knows MD5."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
 
-    def add(points: np.ndarray, depth: int) -> int:
-        at = len(tree)
-        tree.append([-1.0, 0.0, 0.0, 0.0, float(len(points))])
+
+def grow(x: np.ndarray, tree: int, seed: int) -> list[list[float]]:
+    """One tree as rows (feature or -1, cut, left, right, points): random cuts until points are alone or deep enough. What a
+    node draws depends on the seed, the tree and the node's number (children of k: 2 k and 2 k + 1) alone."""
+    limit, made = math.ceil(math.log2(max(len(x), 2))), []
+
+    def add(points: np.ndarray, node: int, depth: int) -> int:
+        at = len(made)
+        made.append([-1.0, 0.0, 0.0, 0.0, float(len(points))])
         varying = np.flatnonzero(points.max(axis=0) > points.min(axis=0)) if len(points) else []
         if depth >= limit or len(points) <= 1 or not len(varying):
             return at
-        f = int(r.choice(varying))
-        cut = r.uniform(points[:, f].min(), points[:, f].max())
-        low = points[:, f] < cut
-        left, right = add(points[low], depth + 1), add(points[~low], depth + 1)
-        tree[at][:4] = [float(f), float(cut), float(left), float(right)]
+        f = int(varying[int(unit(seed, tree, node, "feature") * len(varying))])
+        low, high = points[:, f].min(), points[:, f].max()
+        cut = low + unit(seed, tree, node, "cut") * (high - low)
+        left = points[:, f] < cut
+        made[at][:4] = [float(f), float(cut), float(add(points[left], 2 * node, depth + 1)), float(add(points[~left], 2 * node + 1, depth + 1))]
         return at
 
-    add(x, 0)
-    return tree
+    add(x, 1, 0)
+    return made
+
 
+def isolation_forest(df: DataFrame, features: list[str], trees: int = 100, sample: int = 256, seed: int = 42, keys: list[Column] | None = None) -> list[tuple[int, list[list[float]]]]:
+    """Trees of the forest. Each is grown by a task on its own bounded sample; the driver receives only finished trees.
 
-def isolation_forest(df: DataFrame, features: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> list[tuple[int, list[list[float]]]]:
-    """Trees of the forest. Each is grown by a task on its own bounded sample (rows by a seeded hash, so
-    the sample does not depend on how rows are dealt); the driver receives only finished trees."""
-    x = df.select(*[F.col(f).cast("double").alias(f) for f in features]).dropna()
+    A row is drawn for a tree by a number of its `keys` (its features, if none are named): one hash a row gives two numbers,
+    and these the number for each tree. So samples depend on the rows alone, not on how they are dealt."""
+    named = keys or [F.col(f).cast("double") for f in features]
+    x = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in named])).alias("_m")).dropna()
     n = x.count()
-    share = min(1.0, 2.0 * sample / max(n, 1))
-    own = lambda tree: F.pmod(F.xxhash64(*features, tree, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    share, span = min(1.0, 2.0 * sample / max(n, 1)), 1 << 31
+    half = lambda k: F.conv(F.substring("_m", k, 8), 16, 10).cast("long") % span
+    own = lambda tree: ((F.col("_a") + tree * F.col("_b")) % span) / float(span)
     draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), own(t).alias("u"))), lambda d: d["u"] < share)
-    drawn = x.withColumn("d", F.explode(draws)).select(*features, "d.tree", "d.u")
+    drawn = x.withColumns({"_a": half(1), "_b": half(9)}).withColumn("d", F.explode(draws)).select(*features, "d.tree", "d.u")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["u", *features]).head(sample)
         k = int(pdf["tree"].iloc[0])
-        return pd.DataFrame({"tree": [k], "n": [len(pdf)], "nodes": [grow(pdf[features].to_numpy(float), np.random.default_rng([seed, k]))]})
+        return pd.DataFrame({"tree": [k], "n": [len(pdf)], "nodes": [grow(pdf[features].to_numpy(float), k, seed)]})
 
     grown = drawn.groupBy("tree").applyInPandas(one, "tree int, n int, nodes array<array<double>>").collect()
     return [(r.n, r.nodes) for r in sorted(grown, key=lambda r: r.tree)]
 
 
 def isolation_scores(df: DataFrame, features: list[str], forest: list[tuple[int, list[list[float]]]], out: str = "isolation") -> DataFrame:
-    """Adds 2 ** (-mean path / expected path): near 1 for outliers. Rows with a NULL feature get NULL."""
+    """Adds 2 ** (-mean path / expected path), to 9 digits: near 1 for outliers. Rows with a NULL feature get NULL."""
     trees = [(average_path(n), np.array(nodes)) for n, nodes in forest]
 
     @F.pandas_udf("double")
@@ -212,13 +223,13 @@ def isolation_scores(df: DataFrame, features: list[str], forest: list[tuple[int,
                 depth += inner
             depths += depth + average_path(t[at][:, 4])
         s = 2.0 ** (-(depths / max(len(trees), 1)) / max(expected, 1e-9))
-        return pd.Series(np.where(np.isnan(x).any(axis=1), np.nan, s)).astype("Float64")
+        return pd.Series(np.where(np.isnan(x).any(axis=1), np.nan, np.round(s, 9))).astype("Float64")
 
     return df.withColumn(out, score(*[F.col(f).cast("double") for f in features]))
 
 
-def detected(df: DataFrame, features: list[str] = ANOMALY, contamination: float = 0.01, trees: int = 100, sample: int = 256) -> DataFrame:
-    """Anomaly flag, score (negative: anomalous), severity and type of every row, on standardised features.
+def detected(df: DataFrame, features: list[str] = ANOMALY, contamination: float = 0.01, trees: int = 100, sample: int = 256, keys: list[Column] | None = None) -> DataFrame:
+    """Anomaly flag, score (negative: anomalous), severity and type of every row, on standardised features (to 6 digits).
 
     The rows are read five times (statistics, count, sample, cut, result), so they are written once before. The cut
     is a sketch's percentile, with a rank error of 1e-5."""
@@ -226,9 +237,9 @@ def detected(df: DataFrame, features: list[str] = ANOMALY, contamination: float
     df.write.parquet(path)
     df = df.sparkSession.read.schema(df.schema).parquet(path)
     stats = df.agg(*[F.struct(F.avg(f), F.stddev_pop(f)).alias(f) for f in features]).first()
-    scaled = {f"_s_{f}": (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - F.lit(stats[f][0] or 0.0)) / F.lit(stats[f][1] or 1.0) for f in features}
+    scaled = {f"_s_{f}": F.round((F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - F.lit(stats[f][0] or 0.0)) / F.lit(stats[f][1] or 1.0), 6) for f in features}
     x = df.withColumns(scaled)
-    scored = isolation_scores(x, list(scaled), isolation_forest(x, list(scaled), trees, sample))
+    scored = isolation_scores(x, list(scaled), isolation_forest(x, list(scaled), trees, sample, keys=keys))
     cut = scored.agg(F.percentile_approx("isolation", 1 - contamination, 100_000)).first()[0]
     flagged = scored.withColumns({"anomaly_score": F.lit(cut) - F.col("isolation"), "is_anomaly": F.col("isolation") > F.lit(cut)})
     kind, said = anomaly_type(F.col("is_anomaly"))

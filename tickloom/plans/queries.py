@@ -782,14 +782,18 @@ def ml3_metrics(spark, d):
 # --- rows only: no SQL can give these ---------------------------------------------------------------
 
 
+def anomalies(spark: SparkSession, d: str) -> DataFrame:
+    return M.detected(W.anomaly_features(bars(spark, d)), keys=[F.col("symbol"), F.unix_seconds("window_start")])
+
+
 @query("symbol", "window_start", "is_anomaly", "severity", "anomaly_score", "anomaly_type")
 def ml7_ml8_anomalies(spark, d):
-    return M.detected(W.anomaly_features(bars(spark, d)))
+    return anomalies(spark, d)
 
 
 @query()
 def a10_anomaly_summary(spark, d):
-    return M.run_summary(M.detected(W.anomaly_features(bars(spark, d))))
+    return M.run_summary(anomalies(spark, d))
 
 
 def direction_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:

@@ -283,3 +283,48 @@ SQL["st8_bounded_by_count"] = "SELECT event_type AS symbol, event_id AS trade_id
 SQL["t1_stored_upsert"] = view("SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN value + 1 ELSE value END AS value, event_type <> 'click' AS kept, TRUE AS same_again FROM events", "event_id event_type kept same_again", "value")
 SQL["t2_stored_latest"] = SQL["t2_merged_latest"]
 SQL["t7_interleaved"] = "SELECT CAST(floor(value / 10) * 10 AS BIGINT) AS low, count(*) AS n, TRUE AS fewer FROM events GROUP BY ALL"
+
+
+def isolation(trees: int = 100, sample: int = 256, levels: int = 8, seed: int = 42) -> str:
+    """The isolation forest over `anomaly`, grown level by level out of hashes of (seed, tree, node): CTEs up to `found`."""
+    names = ["volume_zscore", "trade_count_zscore", "price_change_pct_zscore", "high_low_range_zscore", "buy_sell_imbalance", "trade_size_uniformity", "trade_frequency_spike"]
+    fs = ", ".join(f"round((coalesce({c}, 0) - (SELECT coalesce(avg({c}), 0) FROM anomaly)) / (SELECT coalesce(nullif(stddev_pop({c}), 0), 1) FROM anomaly), 6)" for c in names)
+    unit = lambda what: f"('0x' || substr(md5('{seed}|' || tree || '|' || node || '|{what}'), 1, 13))::BIGINT / 4503599627370496.0"
+    out = [
+        f"x AS MATERIALIZED (SELECT *, [{fs}] AS fs, md5('{seed}|' || symbol || '|' || epoch(window_start)::BIGINT) AS m FROM anomaly)",
+        "hx AS (SELECT fs, ('0x' || substr(m, 1, 8))::BIGINT % 2147483648 AS a, ('0x' || substr(m, 9, 8))::BIGINT % 2147483648 AS b FROM x)",
+        f"drawn AS (SELECT tree, fs, (a + tree * b) % 2147483648 / 2147483648.0 AS u FROM hx, range({trees}) t(tree))",
+        f"p0 AS MATERIALIZED (SELECT tree, 1::BIGINT AS node, fs FROM drawn WHERE u < least(1.0, 2.0 * {sample} / (SELECT count(*) FROM x)) QUALIFY row_number() OVER (PARTITION BY tree ORDER BY u, fs) <= {sample})",
+        "sizes AS MATERIALIZED (SELECT tree, count(*) AS n FROM p0 GROUP BY tree)",
+    ]
+    low, high = (", ".join(f"{f}(fs[{k}])" for k in range(1, len(names) + 1)) for f in ("min", "max"))
+    for at in range(levels + 1):
+        out += [
+            f"r{at} AS (SELECT tree, node, count(*) AS n, [{low}] AS lo, [{high}] AS hi FROM p{at} GROUP BY tree, node)",
+            f"v{at} AS (SELECT r{at}.*, list_filter(range(1, {len(names) + 1}), lambda k: hi[k] > lo[k]) AS vs, {at} < ceil(log2(greatest(sizes.n, 2))) AND r{at}.n > 1 AS deep FROM r{at} JOIN sizes USING (tree))",
+            f"k{at} AS (SELECT *, deep AND len(vs) > 0 AS inside, vs[floor({unit('feature')} * len(vs))::INT + 1] AS k FROM v{at})",
+            f"n{at} AS MATERIALIZED (SELECT tree, node, n, inside, k, CASE WHEN inside THEN lo[k] + {unit('cut')} * (hi[k] - lo[k]) END AS cut FROM k{at})",
+        ]
+        if at < levels:
+            out.append(f"p{at + 1} AS MATERIALIZED (SELECT p.tree, 2 * p.node + CASE WHEN fs[k] < cut THEN 0 ELSE 1 END AS node, fs FROM p{at} p JOIN n{at} n ON n.tree = p.tree AND n.node = p.node WHERE inside)")
+    path = "CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329) - 2.0 * ({n} - 1) / {n} WHEN {n} = 2 THEN 1.0 ELSE 0.0 END"
+    out += [
+        "nodes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM n{at}" for at in range(levels + 1)) + ")",
+        f"w0 AS (SELECT symbol, window_start, fs, tree, 1::BIGINT AS node FROM x, range({trees}) t(tree))",
+    ]
+    for at in range(levels):
+        out.append(f"w{at + 1} AS (SELECT symbol, window_start, fs, w.tree, CASE WHEN inside THEN 2 * w.node + CASE WHEN fs[k] < cut THEN 0 ELSE 1 END ELSE w.node END AS node FROM w{at} w JOIN nodes n ON n.tree = w.tree AND n.node = w.node)")
+    out += [
+        f"depths AS (SELECT symbol, window_start, sum(floor(log2(w.node)) + {path.format(n='n.n')}) AS depth FROM w{levels} w JOIN nodes n ON n.tree = w.tree AND n.node = w.node GROUP BY ALL)",
+        f"scores AS MATERIALIZED (SELECT symbol, window_start, round(pow(2.0, -(depth / {trees}) / (SELECT avg({path.format(n='n')}) FROM sizes)), 9) AS isolation FROM depths)",
+        "cut AS (SELECT isolation AS c FROM scores QUALIFY row_number() OVER (ORDER BY isolation) = (SELECT ceil(0.99 * count(*)) FROM scores))",
+        "found AS (SELECT x.*, isolation > c AS is_anomaly, c - isolation AS anomaly_score, greatest(0, least(1, isolation - c)) AS severity FROM x JOIN scores USING (symbol, window_start), cut)",
+    ]
+    return f"WITH {BARS}, {ANOMALY}, " + ", ".join(out)
+
+
+SQL["ml7_ml8_anomalies"] = view(
+    isolation() + ", y AS (SELECT *, coalesce(volume_zscore, 0) AS v, coalesce(price_change_pct_zscore, 0) AS p, coalesce(trade_size_uniformity, 0) AS u FROM found) SELECT symbol, window_start, is_anomaly, severity, anomaly_score, CASE WHEN NOT is_anomaly THEN NULL WHEN v > 3 AND abs(p) < 1 THEN 'wash_trade' WHEN p > 3 AND v > 2 THEN 'pump' WHEN p < -3 AND v > 2 THEN 'dump' WHEN u > 0.9 THEN 'wash_trade' WHEN buy_sell_imbalance > 0.8 THEN 'price_manipulation' WHEN v > 4 THEN 'volume_spike' ELSE 'unknown' END AS anomaly_type FROM y",
+    "symbol is_anomaly anomaly_type", "severity anomaly_score", "window_start",
+)
+SQL["a10_anomaly_summary"] = view(isolation() + " SELECT count(*) AS n, count(*) FILTER (is_anomaly) AS flagged, avg(is_anomaly::INT) AS rate, avg(anomaly_score) AS mean_score, stddev_samp(anomaly_score) AS std_score FROM found", "n flagged", "rate mean_score std_score")
