@@ -694,6 +694,27 @@ def st4_restarted(spark, d):
     return files.read_table(spark, path)
 
 
+@query()
+def st5_files_per_trigger(spark, d):
+    """Four files of trades, of which a trigger takes one: the rows of each micro-batch."""
+    root, path = scratch_path(spark, "files"), scratch_path(spark, "batches")
+    parts = slices(spark, d)
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{root}/{k}")
+    stream = files.table_stream(spark, f"{root}/*", parts[0].schema, files_per_trigger=1)
+    count = lambda df, n: df.agg(F.lit(n).alias("batch"), F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/rows/{n}")
+    streams.each_batch(stream, count, path, scratch_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(f"{path}/rows/*")
+
+
+@query()
+def s9_in_batches(spark, d):
+    """All events as messages, in batches of 10,000 bytes at most: how many messages by key they hold, and whether all batches keep to it."""
+    packed = files.in_batches(files.messages(events(spark, d), F.col("event_type")), 10_000)
+    key = F.explode("keys").alias("key")
+    return packed.select("bytes", key).groupBy(F.col("key").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"), (F.max("bytes") <= 10_000).alias("bounded"))
+
+
 @query("symbol", "close")
 def st7_keep_latest(spark, d):
     """The newest trade of each symbol, merged batch by batch into a stored table."""

@@ -328,3 +328,7 @@ SQL["ml7_ml8_anomalies"] = view(
     "symbol is_anomaly anomaly_type", "severity anomaly_score", "window_start",
 )
 SQL["a10_anomaly_summary"] = view(isolation() + " SELECT count(*) AS n, count(*) FILTER (is_anomaly) AS flagged, avg(is_anomaly::INT) AS rate, avg(anomaly_score) AS mean_score, stddev_samp(anomaly_score) AS std_score FROM found", "n flagged", "rate mean_score std_score")
+
+SQL["st5_files_per_trigger"] = """WITH t AS (SELECT epoch_us(CAST(ts AS TIMESTAMP)) AS u FROM events), e AS (SELECT min(u) AS lo, max(u) AS hi FROM t)
+ SELECT least(floor((u - lo) * 4 / greatest(hi - lo, 1)::DOUBLE), 3)::INT AS batch, count(*) AS n FROM t, e GROUP BY ALL"""
+SQL["s9_in_batches"] = "SELECT event_type AS key, count(*) AS n, TRUE AS bounded FROM events GROUP BY ALL"
