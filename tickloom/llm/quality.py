@@ -7,7 +7,9 @@ level whose sketch holds enough documents: its source (in its language), its lan
 
 The fence lies `fence` spreads above the upper eighth; the spread is the distance of the eighths, and for one
 document at least that of its own counting noise: a count of about c comes out as c give or take its root,
-so a short text may hold a few symbols where most hold none. No cutoff is fixed: all move with the sketches.
+so a short text may hold a few symbols where most hold none. Where a group's eighths are both zero, as they are
+for symbols and repeated lines in the given tables, that noise alone decides, and the cutoff is the same for all such
+groups: more than 4 events (2 fences x 2.3 x the root of one event). Elsewhere cutoffs move with the sketches.
 
 All of it is DataFrame expressions: the sketch is one partial aggregation (a hot source shrinks to
 its few buckets before the shuffle), and a text is walked inside its own row.
