@@ -93,6 +93,22 @@ def test_series_after_a_failure(spark, tmp_path, monkeypatch, broken):
     same_rows(S.series_rows(spark, f"{tmp_path}/out"), W.rsi(S.closed(B.bar_features(batch, "5 minutes"), batch, "10 seconds"), 3))
 
 
+def test_ema_goes_on_from_batch_to_batch(spark, tmp_path, monkeypatch):
+    batch, arrive = parts_of(spark, tmp_path)
+    run = lambda: S.ema_stream(S.bars_stream(files.table_stream(spark, f"{tmp_path}/in/*", batch.schema), "5 minutes"), 4, f"{tmp_path}/out", f"{tmp_path}/c", buckets=2).awaitTermination()
+    arrive(0)
+    run()
+    arrive(1)
+    with monkeypatch.context() as m:  # dies behind its rows, and comes again
+        m.setattr(S, "latest_batch", lambda *a: 1 / 0)
+        with pytest.raises(StreamingQueryException):
+            run()
+    arrive(2)
+    run()
+    plain = lambda df: sorted((r.symbol, r.window_start, round(r.ema, 9)) for r in df.collect())
+    assert plain(S.series_rows(spark, f"{tmp_path}/out")) == plain(W.ema(S.closed(B.bar_features(batch, "5 minutes"), batch, "10 seconds"), 4))
+
+
 def test_seen_once_is_bounded_by_count(spark, tmp_path):
     rows = lambda ids: spark.createDataFrame([("a", k, f"x{k}") for k in ids] + [("b", 1, "y"), ("b", None, "z")], "symbol string, id long, text string")
     run = lambda: files.stream_to_table(S.seen_once(files.table_stream(spark, f"{tmp_path}/in/*", rows([]).schema), ["symbol"], "id", 3), f"{tmp_path}/out", f"{tmp_path}/c", ["symbol"]).awaitTermination()

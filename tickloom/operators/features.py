@@ -144,8 +144,9 @@ def bollinger(prices: DataFrame, period: int = 20, width: float = 2.0, column: s
     return in_blocks(prices, lambda b: b.withColumns(columns), back=period - 1)
 
 
-def ema(prices: DataFrame, period: int, column: str = "close", chunk: str = "day") -> DataFrame:
-    """(symbol, window_start, ema): true exponential average, alpha = 2 / (period + 1), from the first value on.
+def ema(prices: DataFrame, period: int, column: str = "close", chunk: str = "day", before: DataFrame | None = None) -> DataFrame:
+    """(symbol, window_start, ema): true exponential average, alpha = 2 / (period + 1), from the first value on, or from a
+    symbol's average in `before` (symbol, ema) on, where it has one.
 
     A step is the map e -> keep e + alpha x with keep = 1 - alpha. A series is cut into blocks of so many rows that keep to
     the power of a block is 1e-100, some 115 a period: inside one, e is a running sum of alpha x / keep^k, scaled back by keep^k,
@@ -165,12 +166,15 @@ def ema(prices: DataFrame, period: int, column: str = "close", chunk: str = "day
     blocks = summed.groupBy(F.col("symbol").alias("_s"), F.col("_b").alias("_c")).agg(F.max_by("_e", "_k").alias("_sum"), F.min_by("_x", "_k").alias("_first"))
     order = Window.partitionBy("_s").orderBy("_c")
     whole = power(F.lit(size))
-    before = F.lit(0.0)
+    carried = F.lit(0.0)
     for back in (3, 2, 1):
         own = F.lag("_sum", back).over(order)
-        before = F.when(F.col("_c") >= back, own + whole * before).otherwise(F.col("_start"))
+        carried = F.when(F.col("_c") >= back, own + whole * carried).otherwise(F.col("_start"))
     start = F.first("_first").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    starts = blocks.withColumn("_start", start).withColumn("_before", before).select("_s", "_c", "_before")
+    if before is not None:
+        blocks = blocks.join(before.select(F.col("symbol").alias("_q"), F.col("ema").alias("_seed")), F.col("_s").eqNullSafe(F.col("_q")), "left")
+        start = F.coalesce("_seed", start)
+    starts = blocks.withColumn("_start", start).withColumn("_before", carried).select("_s", "_c", "_before")
     joined = summed.join(starts, F.col("symbol").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
     return joined.select("symbol", "window_start", (power(F.col("_k") + 1) * F.col("_before") + F.col("_e")).alias("ema"))
 

@@ -28,6 +28,9 @@ def anomaly_type(is_anomaly: Column) -> tuple[Column, Column]:
     return kind.otherwise(UNKNOWN), said.otherwise("Unclassified anomaly pattern")
 
 
+# The levels, words and thresholds of the rules below.
+
+
 def trend(rsi: Column, change: Column) -> Column:
     return F.when(rsi > 70, "OVERBOUGHT").when(rsi < 30, "OVERSOLD").when(change > 0.5, "BULLISH").when(change < -0.5, "BEARISH").otherwise("NEUTRAL")
 

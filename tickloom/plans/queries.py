@@ -659,6 +659,13 @@ def st9_rsi_stream(spark, d):
     return series_stream(spark, d, W.rsi, back=14)
 
 
+@query()
+def st9_ema_stream(spark, d):
+    path, progress = scratch_path(spark, "series"), scratch_path(spark, "progress")
+    arriving(spark, slices(spark, d), [2, 4], lambda t: streams.ema_stream(streams.bars_stream(t, HOUR), 20, path, progress).awaitTermination())
+    return streams.series_rows(spark, path)
+
+
 @query("symbol", "window_start", "close_normalised", "volume_normalised")
 def st9_z_score_stream(spark, d):
     return series_stream(spark, d, lambda b: W.normalised(b, ["close", "volume"]), back=20)

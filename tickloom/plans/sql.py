@@ -270,6 +270,7 @@ def closed(name: str) -> str:
     return f"SELECT * FROM ({SQL[name]}) WHERE CAST(window_start AS TIMESTAMP) + INTERVAL 1 HOUR <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events) - INTERVAL 10 SECOND"
 
 
+SQL["st9_ema_stream"] = closed("w23_ema")
 SQL["st9_rsi_stream"] = closed("w22_rsi")
 SQL["st9_z_score_stream"] = closed("w14_z_score")
 SQL["st9_time_series_stream"] = closed("w3_w11_time_series")

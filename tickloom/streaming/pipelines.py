@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from tickloom.operators.bars import TIME, bar_features
-from tickloom.operators.features import numbered
+from tickloom.operators.features import ema, numbered
 from tickloom.operators.parse import bronze_trades, silver_trades
 from tickloom.operators.sentiment import scored_articles
 from tickloom.operators.stored import latest_batch, merge_batch, touched_rows, upsert_batch
@@ -95,6 +95,22 @@ def series_stream(bars: DataFrame, operator: Callable[[DataFrame], DataFrame], p
     return each_batch(bars, batch, path, checkpoint, trigger)
 
 
+def ema_stream(bars: DataFrame, period: int, path: str, checkpoint: str, column: str = "close", buckets: int = 16, trigger: str | None = None) -> StreamingQuery:
+    """The exponential average of a stream of bars, with the results of the batch: each symbol goes on from its last average,
+    which a stored table under `path` keeps. Rows come out as in `series_stream`."""
+    rows, tail = f"{path}/rows", f"{path}/tail"
+
+    def batch(df: DataFrame, n: int) -> None:
+        spark, own = df.sparkSession, f"{rows}/batch_id={n}"
+        if df.isEmpty():
+            return
+        if not exists(spark, f"{own}/_SUCCESS"):
+            ema(df, period, column, before=touched_rows(df, tail, ["symbol"], buckets)).write.mode("overwrite").parquet(own)
+        latest_batch(spark.read.parquet(own), tail, n, ["symbol"], "window_start", buckets)
+
+    return each_batch(bars, batch, path, checkpoint, trigger)
+
+
 def last_rows(bars: DataFrame, n: int) -> DataFrame:
     """The last `n` bars of each symbol."""
     return numbered(bars).filter(F.col("_n") - F.col("_at") <= n).drop("_at", "_n")
