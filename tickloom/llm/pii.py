@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import slices, texts_of
+from .common import trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed by the contract.
@@ -566,6 +567,7 @@ def sample_field(docs: DataFrame, sample: int = 300, text: str = "text") -> Semi
         for batch in batches:
             near = ["\n".join(t[a:b] for a, b in windows(t))[:4000] for t in texts_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], names=["t"])
+        trimmed()
 
     chosen = docs.select(F.col(text).alias("t")).filter(F.col("t").rlike("[0-9@]")).select(F.xxhash64("t").alias("h"), "t").orderBy("h", "t").limit(sample)
     return train_field(sorted(r.t for r in chosen.select("t").mapInArrow(cut, "t string").collect()))
@@ -590,6 +592,7 @@ def find_pii(docs: DataFrame, crf: SemiCRF | None = None) -> DataFrame:
             counts = [pa.array([sum(s[2] == k for s in base) for base, _ in rows], pa.int64()) for k in KINDS]
             digests = pa.array([hashlib.sha256(listed(base).encode("ascii")).hexdigest() for base, _ in rows], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([listed(s) for _, s in rows], pa.string()), pa.array([len(s) - len(base) for base, s in rows], pa.int64())], names=names)
+        trimmed()
 
     schema = docs.select("doc_id").schema
     for name in names[1:]:
@@ -627,5 +630,6 @@ def redact_pii(docs: DataFrame, crf: SemiCRF | None = None) -> DataFrame:
                 kept = columns[chars].to_pylist()
                 columns[chars] = pa.array([n if a == b else len(b) for n, a, b in zip(kept, old, new, strict=True)], columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        trimmed()
 
     return docs.mapInArrow(run, docs.schema)
