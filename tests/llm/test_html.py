@@ -86,6 +86,16 @@ def test_wrapper_decides_for_pages_with_an_article():
     assert H.main_text(box(1), wrapper_of(same)) == H.main_text(box(1), None)
 
 
+def test_headline_and_lead_beside_the_main_part_stay():
+    body = lambda k: "".join(f"<p>Paragraph {j} of text {k}, which is long enough to be most of it</p>" for j in range(6))
+    post = lambda k: f"<html><body><div class=post><h1>Headline {k}</h1><p class=lead>Lead {k}</p><div class=body>{body(k)}</div><div class=more><p>See {k}</p></div></div></body></html>"
+    pages = [post(k) for k in range(5)]
+    for k, h in enumerate(pages):
+        assert H.main_text(h, wrapper_of(pages)).split("\n") == [f"Headline {k}", f"Lead {k}", *(f"Paragraph {j} of text {k}, which is long enough to be most of it" for j in range(6))]
+    other = "<html><body><div class=post><h1>Alone</h1><section><p>A page without the main part of the others</p></section></div></body></html>"
+    assert H.main_text(other, wrapper_of(pages)) == "Alone\nA page without the main part of the others"
+
+
 def test_names_inside_an_article_that_only_hold_such_words_stay():
     h = "<article><div class='social-history'><p>one</p></div><section id='share-prices'><p>two</p></section><p class='noticeable ad-hoc'>three</p><div class='share-buttons big'>no</div><div id='cookie_notice'>no</div><p class='comment'>no</p><div class='related-posts'>no</div><p>end</p></article>"
     assert H.main_text(h, None) == "one\ntwo\nthree\nend"

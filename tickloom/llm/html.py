@@ -3,7 +3,7 @@
 A page's block elements form a token stream, kept as an ordered tree. Streams of one host are aligned
 one after another: equal siblings in a row (or groups of two or three) fold into repeated groups,
 elements that one side lacks become optional, texts that differ become slots. The outcome is a union-free
-regular expression for the host, small however many pages it has seen, and wrappers merge with
+regular expression for the host, which grows with the kinds of pages and not with equal ones, and wrappers merge with
 wrappers; so each task folds its own pages, and only partial wrappers are shuffled, salted first.
 
 Extraction drops what markup itself names as no article (menus, headers, footers, sidebars, notices,
@@ -50,6 +50,8 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 #: Dropped outside an article only: an article has its own header.
 OUTER_WORDS = frozenset(["header", "site", "page"])
 MAIN = frozenset(["article", "main"])
+#: Elements that are text rather than parts of a page.
+TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure".split())
 #: What an opening tag closes, and where the search for it ends.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -330,6 +332,8 @@ class Rules:
 
     steps: tuple[tuple[int, str], ...] = ()
     main: int = 0
+    #: Headings, paragraphs, lists and tables with varying text that stand beside the main part or a part around it.
+    beside: tuple[int, ...] = ()
     #: (path, hash) of texts that all pages share.
     constants: tuple[tuple[int, int], ...] = ()
     #: Are there pages enough to go by the wrapper alone?
@@ -338,15 +342,17 @@ class Rules:
 
 @lru_cache(maxsize=4096)
 def rules(wrapper: str) -> Rules:
-    """The main part is the deepest element that holds most of the varying text, and at most the article or main on the way to it."""
+    """The main part is the deepest element that holds most of the varying text, and at most the article or main on the way to it.
+    A headline or lead beside it, or beside a part around it, belongs to it where it varies from page to page."""
     w = with_varying(loaded(wrapper))
     paths: dict[tuple[int, str], int] = {}
     below = lambda path, x: paths.setdefault((path, x["l"]), len(paths) + 1)
-    main, at = 0, w
+    main, at, beside = 0, w, []
     while at["v"]:
         best = max(at["k"], key=lambda x: x["v"], default=None)
         if best is None or 10 * best["v"] < 7 * at["v"] or best.get("r"):
             break
+        beside += [below(main, x) for x in at["k"] if x is not best and x["v"] and x["l"].split(".")[0].split("@")[0] in TEXT_BLOCKS]
         main, at = below(main, best), best
         if is_main(best["l"]):
             break
@@ -356,7 +362,7 @@ def rules(wrapper: str) -> Rules:
         if x["t"] not in (None, -1) and x["n"] >= CONSTANT_PAGES and not x.get("r"):
             same.add((path, x["t"]))
         left += [(below(path, y), y) for y in x["k"]]
-    return Rules(tuple(paths), main, tuple(same), w["n"] >= CONSTANT_PAGES)
+    return Rules(tuple(paths), main, tuple(beside), tuple(same), w["n"] >= CONSTANT_PAGES)
 
 
 def main_text(html: str, wrapper: str | None) -> str:
@@ -365,9 +371,10 @@ def main_text(html: str, wrapper: str | None) -> str:
     for path, label in rule.steps:  # the wrapper's paths in this page, -1 if it has them not
         here.append(page.paths.get((here[path], label), -1))
     fixed = {(here[path], text) for path, text in rule.constants}
-    in_part = [here[rule.main] == 0]
+    parts = {here[rule.main], *(here[k] for k in rule.beside)} if here[rule.main] >= 0 else set()
+    in_part = [0 in parts]
     for k, (path, _) in enumerate(page.paths, 1):
-        in_part.append(in_part[path] or k == here[rule.main])
+        in_part.append(in_part[path] or k in parts)
 
     def own(some: list[tuple]) -> list[tuple]:
         return [b for b in some if (b[0], crc32(b[2].encode("utf-8", "replace"))) not in fixed] if fixed else some
