@@ -105,3 +105,23 @@ def test_order_statistics_equal_a_sort(spark, few):
     ranks = {"x": [0, 1, 2500, 6650, 6652, len(xs) - 1], "y": [0, 17, len(ys) - 1]}
     got = W.order_statistics(df, ranks, few)
     assert got == {(c, k): v[k] for c, v in (("x", xs), ("y", ys)) for k in ranks[c]}
+
+
+def test_stages_of_one_fit_equal_fits_of_fewer_iterations(spark):
+    df = frame(spark, 90)
+    features = ["x", "noise"]
+    long, short = (M.train(df, features, classifier=M.boosted(n, 2)) for n in (4, 2))
+    rows = df
+    for stage in long.stages[:3]:
+        rows = stage.transform(rows)
+    pick = lambda model: [r.prediction for r in model.transform(rows).orderBy("symbol", "window_start").collect()]
+    assert pick(M.first_trees(long.stages[3], 2)) == pick(short.stages[3]) and pick(M.first_trees(long.stages[3], 9)) == pick(long.stages[3])
+    grid = M.staged_f1(df, features, [2], [1, 3], [0.1], folds=2).collect()
+    assert sorted(r.iterations for r in grid) == [1, 3] and all(0 < r.f1 <= 1 for r in grid) and grid[0].f1 == max(r.f1 for r in grid)
+
+
+def test_weighted_f1_equals_the_metrics_of_spark(spark):
+    pairs = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (2.0, 2.0), (1.0, 3.0)]
+    cells = {p: pairs.count(p) for p in pairs}
+    df = spark.createDataFrame(pairs, "label_index double, prediction double")
+    assert M.weighted_f1(cells) == pytest.approx(M.metrics(df).first().weighted_f1)

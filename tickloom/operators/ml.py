@@ -8,12 +8,12 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.features import numbered
@@ -91,6 +91,58 @@ def tuned(df: DataFrame, features: list[str], depths: list[int], trees: list[int
     return CrossValidator(estimator=pipeline, estimatorParamMaps=grid.build(), evaluator=scorer, numFolds=folds, foldCol="fold", parallelism=parallelism, seed=7).fit(in_folds(df, folds))
 
 
+def first_trees(model: OneVsRestModel, iterations: int) -> OneVsRestModel:
+    """The boosted models as they were after so many iterations: each of their first trees, with its weight."""
+
+    def cut(one: GBTClassificationModel) -> GBTClassificationModel:
+        gateway, java = SparkSession.active().sparkContext._gateway, one._java_obj
+        trees, weights = list(java.trees())[:iterations], list(java.treeWeights())[:iterations]
+        kind = gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+        some, own = gateway.new_array(kind, len(trees)), gateway.new_array(gateway.jvm.double, len(trees))
+        for k, (t, w) in enumerate(zip(trees, weights, strict=True)):
+            some[k], own[k] = t, w
+        made = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{one.uid}-{iterations}", some, own)
+        return one._copyValues(GBTClassificationModel(made))
+
+    return model._copyValues(OneVsRestModel([cut(m) for m in model.models]))
+
+
+def staged_f1(df: DataFrame, features: list[str], depths: list[int], iterations: list[int], steps: list[float], folds: int = 3, label: str = "direction", seed: int = 7) -> DataFrame:
+    """(depth, step, iterations, f1): the grid of boosted models, one a class, by weighted F1 over stretches of time, best first.
+
+    A model of few iterations is the beginning of one of many, so each depth and step is fitted once a fold, for the most
+    iterations, and its predictions at every stage are scored in one pass. The rows are read by every tree, so they should
+    come from a table."""
+    labels, rows = labels_of(df, label), in_folds(df, folds)
+    found: list[tuple[int, float, int, float]] = []
+    for depth in depths:
+        for step in steps:
+            totals = dict.fromkeys(iterations, 0.0)
+            for k in range(folds):
+                model = direction_pipeline(labels, features, label, boosted(max(iterations), depth, step, seed)).fit(rows.filter(F.col("fold") != k))
+                held = rows.filter(F.col("fold") == k)
+                for stage in model.stages[:3]:
+                    held = stage.transform(held)
+                for n in iterations:
+                    held = first_trees(model.stages[3], n).setPredictionCol(f"at_{n}").setRawPredictionCol(f"raw_{n}").transform(held)
+                stages = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"at_{n}").alias("prediction")) for n in iterations]))
+                scored = held.select("label_index", stages.alias("s")).select("label_index", "s.*")
+                cells = scored.groupBy("n", "label_index", "prediction").agg(F.count(F.lit(1)).alias("rows")).collect()  # classes by classes
+                for n in iterations:
+                    totals[n] += weighted_f1({(r.label_index, r.prediction): r.rows for r in cells if r.n == n}) / folds
+            found += [(depth, step, n, f1) for n, f1 in totals.items()]
+    return df.sparkSession.createDataFrame(sorted(found, key=lambda r: (-r[3], r[:3])), "depth int, step double, iterations int, f1 double")
+
+
+def weighted_f1(cells: dict[tuple[float, float], int]) -> float:
+    """F1 of each class, weighted by its rows, out of counts by (class, predicted class)."""
+    total, out = sum(cells.values()), 0.0
+    for c in {label for label, _ in cells}:
+        support, named = sum(n for (y, _), n in cells.items() if y == c), sum(n for (_, p), n in cells.items() if p == c)
+        out += support * 2 * cells.get((c, c), 0) / (support + named)
+    return out / total if total else 0.0
+
+
 def predictions(model: PipelineModel, df: DataFrame) -> DataFrame:
     out = model.transform(df)
     return out.withColumn("probabilities", vector_to_array("probability")) if "probability" in out.columns else out
