@@ -124,7 +124,7 @@ def staged_f1(df: DataFrame, features: list[str], depths: list[int], iterations:
                 for stage in model.stages[:3]:
                     held = stage.transform(held)
                 for n in iterations:
-                    held = first_trees(model.stages[3], n).setPredictionCol(f"at_{n}").setRawPredictionCol(f"raw_{n}").transform(held)
+                    held = first_trees(model.stages[3], n).setPredictionCol(f"at_{n}").transform(held).drop("rawPrediction")
                 stages = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"at_{n}").alias("prediction")) for n in iterations]))
                 scored = held.select("label_index", stages.alias("s")).select("label_index", "s.*")
                 cells = scored.groupBy("n", "label_index", "prediction").agg(F.count(F.lit(1)).alias("rows")).collect()  # classes by classes
