@@ -1,4 +1,6 @@
 import os
+import random
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -70,18 +72,19 @@ def wrapper_of(pages):
 
 def test_wrapper_decides_for_pages_with_an_article():
     own = lambda k: f"Headline {k}\nText {k} with many words of its own\nMore {k} of the text"
+    with_box = lambda k: own(k).replace("\n", "\nFollow our channels\n", 1)
     box = lambda k: f"<html><body><article><h1>Headline {k}</h1><div class='x-box'>Follow our channels</div><p>Text {k} with many words of its own</p><p>More {k} of the text</p></article></body></html>"
     pages = [box(k) for k in range(5)]
     for k, h in enumerate(pages):
-        assert H.main_text(h, wrapper_of(pages)) == own(k)
-        few = own(k).replace("\n", "\nFollow our channels\n", 1)
-        assert H.main_text(h, wrapper_of(pages[:2])) == few == H.main_text(h, None)
+        # an article keeps what all pages share
+        assert H.main_text(h, wrapper_of(pages)) == H.main_text(h, wrapper_of(pages[:2])) == H.main_text(h, None) == with_box(k)
     teaser = lambda k: page(k, f"<h1>Headline {k}</h1><p>Text {k} with many words of its own</p><p>More {k} of the text</p>").replace('<div class="end">', f'<article class="card"><p>Card {k}</p></article><div class="end">')
     pages = [teaser(k) for k in range(5)]
     for k, h in enumerate(pages):
         assert H.main_text(h, wrapper_of(pages)) == own(k)
     other = "<html><body><article><p>A page of another kind with an article that is long</p></article><div class='wrap'><div class='inner'><p>see also</p></div></div></body></html>"
-    assert H.main_text(other, wrapper_of(pages)) == "A page of another kind with an article that is long"
+    for pages in (pages, [*pages, other]):  # no choice between the host's main part and an article of another kind
+        assert H.main_text(other, wrapper_of(pages)) == "A page of another kind with an article that is long\nsee also"
     same = [box(1)] * 4
     assert H.main_text(box(1), wrapper_of(same)) == H.main_text(box(1), None)
 
@@ -96,6 +99,42 @@ def test_headline_and_lead_beside_the_main_part_stay():
     assert H.main_text(other, wrapper_of(pages)) == "Alone\nA page without the main part of the others"
 
 
+def test_constant_texts_inside_an_article_or_main_part_stay():
+    five = lambda k: f"<p>Opening {k} of a text with some words</p><h2>Conclusion</h2><p>Closing {k} of a text with some words</p><h2>Sources</h2>"
+    want = lambda k: f"Opening {k} of a text with some words\nConclusion\nClosing {k} of a text with some words\nSources"
+    article = [f"<body><div class=top>Daily</div><article>{five(k)}</article><div class=end>Imprint</div></body>" for k in range(5)]
+    part = [page(k, five(k)) for k in range(5)]
+    # a page as a whole: the constants around its text are the template's, those inside are not
+    whole = [f"<body><div class=top>Daily</div><div class=tag>Read us</div>{five(k)}<div class=end>Imprint</div></body>" for k in range(5)]
+    for k in range(5):
+        assert H.main_text(article[k], wrapper_of(article)) == want(k) == H.main_text(part[k], wrapper_of(part))
+        assert H.main_text(whole[k], wrapper_of(whole)) == want(k)
+
+
+def test_lead_in_any_element_stays():
+    lead = [f"<body><div class=post><h1>Headline {k}</h1><div class=lead>Lead {k}</div><div class=body>" + "".join(f"<p>Paragraph {j} of text {k}, which is long enough</p>" for j in range(5)) + "</div></div></body>" for k in range(4)]
+    for k in range(4):
+        assert H.main_text(lead[k], wrapper_of(lead)).startswith(f"Headline {k}\nLead {k}\nParagraph 0 of text {k}")
+
+
+def test_irregular_pages_keep_wrappers_small():
+    r = random.Random(5)
+    irregular = lambda k, n: "<body><div class=top>Daily</div><article>" + "".join(f"<{(t := r.choice(['p', 'h2', 'div class=a', 'div class=b', 'ul', 'pre', 'blockquote', 'section']))}>text {k} {j}</{t.split()[0]}>" for j in range(n)) + "</article></body>"
+    pages = [irregular(k, 60) for k in range(1000)]
+    whole, sizes = H.folded(H.Page(pages[0]).root), []
+    for h in pages[1:]:
+        whole = H.merge(whole, H.folded(H.Page(h).root))
+        sizes.append(len(H.dumped(whole)))
+    assert max(sizes) < 50_000 and sizes[-1] < 20_000
+    for k in (0, 500, 999):
+        assert H.main_text(pages[k], H.dumped(whole)).split("\n") == [f"text {k} {j}" for j in range(60)]
+    a, b = (H.folded(H.Page(irregular(k, 8000)).root) for k in (1, 2))
+    at = time.monotonic()
+    assert len(H.dumped(H.merge(a, b))) < 50_000 and time.monotonic() - at < 1
+    some = [irregular(k, 40) for k in range(60)]  # short enough to be aligned
+    assert len(wrapper_of(some)) < 50_000
+
+
 def test_names_inside_an_article_that_only_hold_such_words_stay():
     h = "<article><div class='social-history'><p>one</p></div><section id='share-prices'><p>two</p></section><p class='noticeable ad-hoc'>three</p><div class='share-buttons big'>no</div><div id='cookie_notice'>no</div><p class='comment'>no</p><div class='related-posts'>no</div><p>end</p></article>"
     assert H.main_text(h, None) == "one\ntwo\nthree\nend"
@@ -109,7 +148,7 @@ def test_deep_and_long_pages(spark):
     assert len(long) > 5_000_000
     pages = [(1, "https://deep.example.org/1", deep), (2, "https://deep.example.org/2", deep.replace("core", "heart")), (3, "https://deep.example.org/3", deep.replace("core", "rest")), (4, "https://long.example.org", long), (5, "https://u.example.org", unclosed)]
     got = {r.page_id: r.text for r in H.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert [got[k] for k in (1, 2, 3)] == ["core of the page", "heart of the page", "rest of the page"]  # "end" is the same on all
+    assert [got[k] for k in (1, 2, 3)] == ["core of the page\nend", "heart of the page\nend", "rest of the page\nend"]
     assert got[4].split("\n") == [f"Line {k} of it & more." for k in range(120_000)] and got[5] == "text"
 
 

@@ -3,13 +3,16 @@
 A page's block elements form a token stream, kept as an ordered tree. Streams of one host are aligned
 one after another: equal siblings in a row (or groups of two or three) fold into repeated groups,
 elements that one side lacks become optional, texts that differ become slots. The outcome is a union-free
-regular expression for the host, which grows with the kinds of pages and not with equal ones, and wrappers merge with
-wrappers; so each task folds its own pages, and only partial wrappers are shuffled, salted first.
+regular expression for the host, which grows with the kinds of elements and not with pages: a row of siblings that stays
+long becomes a group of optional members, one a kind. Wrappers merge with wrappers; so each task folds its own pages,
+and only partial wrappers are shuffled, salted first.
 
 Extraction drops what markup itself names as no article (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments), and keeps the part of the host's wrapper whose slots hold
-the varying text, within it the text of `article` or `main` where there is any, less the wrapper's constant
-texts. On hosts with too few pages for constants, `article` and `main` decide alone.
+the varying text, within it the text of `article` or `main` where there is any. An article elsewhere stays too, unless
+most pages of the host have it beside their main part, as a teaser. Constant texts inside an article or a main part stay.
+Where the main part is the whole page, or a page has none, constant texts before and after all others go.
+On hosts with too few pages for constants, `article` and `main` decide alone.
 """
 
 from __future__ import annotations
@@ -59,6 +62,8 @@ CLOSES = {
 }
 #: Pages a host must have before its constant texts count as its own.
 CONSTANT_PAGES = 3
+#: Siblings in a wrapper, after folding, beyond which their order is given up.
+SIBLINGS = 48
 
 
 def names_outside(name: str) -> bool:
@@ -227,6 +232,13 @@ def merging(a: dict, b: dict) -> Generator:
 def aligning(a: list[dict], b: list[dict]) -> Generator:
     la, lb = [x["l"] for x in a], [x["l"] for x in b]
     out = []
+    if la != lb and max(len(a), len(b)) > SIBLINGS:
+        a, b = (yield gathering(a)), (yield gathering(b))
+        there = {x["l"]: x for x in b}
+        for x in a:
+            y = there.pop(x["l"], None)
+            out.append((yield merging(x, y)) if y else x | {"q": 1})
+        return out + [x | {"q": 1} for x in there.values()]
     for tag, i1, i2, j1, j2 in [("equal", 0, len(a), 0, len(b))] if la == lb else SequenceMatcher(None, la, lb, autojunk=False).get_opcodes():
         if tag == "equal":
             for x, y in zip(a[i1:i2], b[j1:j2]):
@@ -257,7 +269,15 @@ def folding(nodes: list[dict]) -> Generator:
                 for k in range(size):
                     done[k - size] = yield repeating(done[k - size], again[k])
         nodes = done
-    return nodes
+    return (yield gathering(nodes)) if len(nodes) > SIBLINGS else nodes
+
+
+def gathering(nodes: list[dict]) -> Generator:
+    """A long row of siblings as a group of optional members, one a label. Paths are by label, so none is lost."""
+    found: dict[str, dict] = {}
+    for x in nodes:
+        found[x["l"]] = ((yield repeating(found[x["l"]], x)) if x["l"] in found else x) | {"q": 1}
+    return list(found.values())
 
 
 def merge(a: dict, b: dict) -> dict:
@@ -332,8 +352,12 @@ class Rules:
 
     steps: tuple[tuple[int, str], ...] = ()
     main: int = 0
-    #: Headings, paragraphs, lists and tables with varying text that stand beside the main part or a part around it.
+    #: Headings, paragraphs, lists, tables and whatever itself holds varying text, beside the main part or a part around it.
     beside: tuple[int, ...] = ()
+    #: Is the main part the whole page?
+    whole: bool = True
+    #: Articles of half the pages or more that stand outside the main part.
+    teasers: tuple[int, ...] = ()
     #: (path, hash) of texts that all pages share.
     constants: tuple[tuple[int, int], ...] = ()
     #: Are there pages enough to go by the wrapper alone?
@@ -347,22 +371,26 @@ def rules(wrapper: str) -> Rules:
     w = with_varying(loaded(wrapper))
     paths: dict[tuple[int, str], int] = {}
     below = lambda path, x: paths.setdefault((path, x["l"]), len(paths) + 1)
-    main, at, beside = 0, w, []
+    main, at, beside, around = 0, w, [], [0]
     while at["v"]:
         best = max(at["k"], key=lambda x: x["v"], default=None)
         if best is None or 10 * best["v"] < 7 * at["v"] or best.get("r"):
             break
-        beside += [below(main, x) for x in at["k"] if x is not best and x["v"] and x["l"].split(".")[0].split("@")[0] in TEXT_BLOCKS]
+        beside += [below(main, x) for x in at["k"] if x is not best and (x["t"] == -1 or x["v"] and x["l"].split(".")[0].split("@")[0] in TEXT_BLOCKS)]
         main, at = below(main, best), best
+        around.append(main)
         if is_main(best["l"]):
             break
-    same, left = set(), [(0, w)] if w["v"] and w.get("h") == -1 else []
+    whole = at["l"].split(".")[0] in ("", "html", "body")
+    same, teasers, left = set(), set(), [(0, w)] if w["v"] and w.get("h") == -1 else []
     while left:
         path, x = left.pop()
+        if is_main(x["l"]) and path not in around and 2 * x["n"] >= w["n"]:
+            teasers.add(path)
         if x["t"] not in (None, -1) and x["n"] >= CONSTANT_PAGES and not x.get("r"):
             same.add((path, x["t"]))
-        left += [(below(path, y), y) for y in x["k"]]
-    return Rules(tuple(paths), main, tuple(beside), tuple(same), w["n"] >= CONSTANT_PAGES)
+        left += [(below(path, y), y) for y in x["k"]] if whole or path != main else []
+    return Rules(tuple(paths), main, tuple(beside), whole, tuple(teasers), tuple(same), w["n"] >= CONSTANT_PAGES)
 
 
 def main_text(html: str, wrapper: str | None) -> str:
@@ -371,22 +399,30 @@ def main_text(html: str, wrapper: str | None) -> str:
     for path, label in rule.steps:  # the wrapper's paths in this page, -1 if it has them not
         here.append(page.paths.get((here[path], label), -1))
     fixed = {(here[path], text) for path, text in rule.constants}
-    parts = {here[rule.main], *(here[k] for k in rule.beside)} if here[rule.main] >= 0 else set()
-    in_part = [0 in parts]
-    for k, (path, _) in enumerate(page.paths, 1):
-        in_part.append(in_part[path] or k in parts)
 
-    def own(some: list[tuple]) -> list[tuple]:
-        return [b for b in some if (b[0], crc32(b[2].encode("utf-8", "replace"))) not in fixed] if fixed else some
+    def below(parts: set[int]) -> list[bool]:
+        """Of each path whether it is one of these or inside one."""
+        out = [0 in parts]
+        for k, (path, _) in enumerate(page.paths, 1):
+            out.append(out[path] or k in parts)
+        return out
+
+    def trimmed(some: list[tuple]) -> list[tuple]:
+        own = [k for k, b in enumerate(some) if (b[0], crc32(b[2].encode("utf-8", "replace"))) not in fixed] if fixed else []
+        return some[own[0] : own[-1] + 1] if own else some
 
+    in_part = below({here[rule.main], *(here[k] for k in rule.beside)} if here[rule.main] >= 0 else set())
     inside = [b for b in blocks if b[1]]
     part = [b for b in blocks if in_part[b[0]]]
-    both = [b for b in part if b[1]] if rule.enough else inside
-    if both:
-        kept = own(both) or both
+    if inside and not rule.enough:
+        kept = inside
+    elif part:
+        teaser = below({here[k] for k in rule.teasers})
+        marked = any(b[1] for b in part)
+        kept = [b for b in blocks if in_part[b[0]] and b[1] >= marked or b[1] and not teaser[b[0]]]
+        kept = kept if inside or not rule.whole else trimmed(kept)
     else:
-        # an article outside the host's main part is a teaser, or the page is of another kind: the longer text
-        kept = max(own(part), own(inside) or inside, key=lambda some: sum(len(b[2]) for b in some)) or own(blocks) or blocks
+        kept = inside or trimmed(blocks)
     return "\n".join(b[2] for b in kept)
 
 
