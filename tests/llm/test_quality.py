@@ -62,6 +62,37 @@ def test_cutoffs_follow_their_group_and_fall_back(spark):
     assert not alone[2000] and not alone[2005] and alone[2004]
 
 
+def test_where_most_have_none_the_tail_of_the_group_decides(spark):
+    """Seven eighths and more hold no symbol, as in the given tables: what the others hold sets the cutoff."""
+    r = random.Random(11)
+    text = lambda n, marks: " ".join(f"w{r.randrange(9999)}" + ("#" if k < marks else "") for k in range(n))
+    rows, few = [], {"heavy": 400, "light": 60}
+    for s, (source, rate) in enumerate(few.items()):
+        rows += [(1000 * s + k, text(100, 0), "en", source) for k in range(230)]
+        rows += [(1000 * s + 500 + k, text(1000, rate + k), "en", source) for k in range(20)]
+        rows += [(1000 * s + 600 + k, text(1000, n), "en", source) for k, n in enumerate((4, 5, 6, 7, 12, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cuts = {x.source: x.cuts[0] for x in Q.cutoffs(Q.quantile_sketch(df.select("*", Q.measures(df, Q.QualityRules()).alias("_q"))), Q.QualityRules()).collect()}
+    assert all(c.high == 0 and c.spread == 0 for c in cuts.values())
+    # 7.6 % are heavy: the 60th of 64 ranks is the first of them, the one below has none
+    for source, rate in few.items():
+        tail = sorted(Q_rate for Q_rate in (int(1000 * t.count("#") / len(t.split())) for _, t, _, x in rows if x == source))
+        at = [tail[-(-len(tail) * k // 64) - 1] for k in Q.TAIL]
+        at = [v if v < 64 else v >> v.bit_length() - 6 << v.bit_length() - 6 for v in at]
+        steps = [((1 + b) / (1 + a), -k, ((1 + a) * (1 + b)) ** 0.5 - 1) for k, (a, b) in enumerate(zip(at, at[1:]))]
+        assert cuts[source].tail == pytest.approx(max(steps)[2])
+    assert cuts["heavy"].tail > 1.5 * cuts["light"].tail > 0
+    kept = {x.doc_id: x.kept for x in Q.quality_verdicts(df).collect()}
+    for s, source in enumerate(few):
+        assert all(kept[1000 * s + k] for k in range(230)) and not any(kept[1000 * s + 500 + k] for k in range(20))
+        for k, n in enumerate((4, 5, 6, 7, 12, 30)):
+            assert kept[1000 * s + 600 + k] == (n <= 4 or n <= cuts[source].tail), (source, n)
+    assert kept[602] and not kept[1605]  # six symbols in a thousand words are no fault where others have hundreds
+    twice = df.union(df.withColumn("doc_id", F.col("doc_id") + 10**6))
+    again = {x.doc_id: x.kept for x in Q.quality_verdicts(twice).collect()}
+    assert all(again[k] == again[k + 10**6] == v for k, v in kept.items())  # ranks: the same whatever the size
+
+
 def test_keep_good_keeps_columns_of_any_name(spark):
     r = random.Random(9)
     words = [f"w{k}" for k in range(3000)]

@@ -7,9 +7,10 @@ level whose sketch holds enough documents: its source (in its language), its lan
 
 The fence lies `fence` spreads above the upper eighth; the spread is the distance of the eighths, and for one
 document at least that of its own counting noise: a count of about c comes out as c give or take its root,
-so a short text may hold a few symbols where most hold none. Where a group's eighths are both zero, as they are
-for symbols and repeated lines in the given tables, that noise alone decides, and the cutoff is the same for all such
-groups: more than 4 events (2 fences x 2.3 x the root of one event). Elsewhere cutoffs move with the sketches.
+so a short text may hold a few symbols where most hold none. Where a group's eighths are equal, as they are for symbols and
+repeated lines in the given tables, they say nothing of what lies above them: there a rate must pass the group's tail cutoff
+too, the middle (of logarithms) of the widest step between the group's upper 64ths. It comes from ranks, so it is the same
+for a group of any size, and parts what a few documents have from what the others have wherever that begins.
 
 All of it is DataFrame expressions: the sketch is one partial aggregation (a hot source shrinks to
 its few buckets before the shuffle), and a text is walked inside its own row.
@@ -33,6 +34,8 @@ METRICS = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_size_high", "wor
 PER, EVENT = (1000, 1000, 10000, 100, 100), (1, 1, 6, 1, 1)
 #: Distance of the eighths of a count, in its standard deviations (those of the normal distribution).
 NOISE = 2.3
+#: The ranks, of 64, between which the widest step is sought, and the metrics that are counts of faults, which may be 0 in most texts.
+TAIL, FAULTS = range(56, 65), 3
 LEVELS = ("source", "language", "corpus")
 
 
@@ -152,22 +155,33 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def eighths(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Keys, metric and a struct `name`: documents, upper eighth, and distance of the eighths. Each lies
-    anywhere in its bucket, so the outer edges are taken."""
+    """Keys, metric and a struct `name`: documents, upper eighth, distance of the eighths, and, where that is 0, the tail
+    cutoff (else null). An eighth lies anywhere in its bucket, so the outer edges are taken."""
     group = Window.partitionBy(*keys, "metric")
     ranked = sketch.withColumn("below", F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(group))
-    at = lambda k: F.min(F.when(8 * F.col("below") >= k * F.col("total"), F.col("bucket")))
-    found = ranked.groupBy(*keys, "metric").agg(F.first("total").alias("docs"), at(1).alias("low"), at(7).alias("high"))
+    at = lambda k: F.min(F.when(64 * F.col("below") >= k * F.col("total"), F.col("bucket")))
+    found = ranked.groupBy(*keys, "metric").agg(F.first("total").alias("docs"), at(8).alias("low"), at(56).alias("high"), F.array(*map(at, TAIL)).alias("tail"))
     low = F.col("low") - F.when(F.col("low") < 0, width(F.col("low"))).otherwise(0)
     high = F.col("high") + F.when(F.col("high") > 0, width(F.col("high"))).otherwise(0)
-    return found.select(*keys, "metric", F.struct("docs", high.alias("high"), F.when(F.col("low") == F.col("high"), 0).otherwise(high - low).alias("spread")).alias(name))
+    flat = F.col("low") == F.col("high")
+    return found.select(*keys, "metric", F.struct("docs", high.alias("high"), F.when(flat, 0).otherwise(high - low).alias("spread"), F.when(flat & (F.col("metric") < FAULTS), widest_step(F.col("tail"))).alias("tail")).alias(name))
+
+
+def widest_step(values: Column) -> Column:
+    """The middle of logarithms (of 1 + value) of the widest step between neighbours, the first of equal ones."""
+
+    def step(k: Column) -> Column:
+        a, b = (1 + F.get(values, x).cast("double") for x in (k, k + 1))
+        return F.struct((b / a).alias("ratio"), (-k).alias("k"), (F.sqrt(a * b) - 1).alias("middle"))
+
+    return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(len(TAIL) - 2)), step))["middle"]
 
 
 def cutoffs(sketch: DataFrame, rules: QualityRules) -> DataFrame:
-    """One row per (lang, source): the level that measures it, and per metric that level's upper eighth and its spread."""
+    """One row per (lang, source): the level that measures it, and per metric that level's upper eighth, spread and tail cutoff."""
     own, lang, corpus = eighths(sketch, ["lang", "source"], "s"), eighths(merged(sketch, ["lang"]), ["lang"], "l"), eighths(merged(sketch, []), [], "c")
     fit = lambda c: F.col(f"{c}.docs") >= rules.min_docs
-    by = lambda c: F.struct("metric", F.col(f"{c}.high").alias("high"), F.col(f"{c}.spread").alias("spread"))
+    by = lambda c: F.struct("metric", F.col(f"{c}.high").alias("high"), F.col(f"{c}.spread").alias("spread"), F.col(f"{c}.tail").alias("tail"))
     pick = lambda f: F.when(fit("s"), f("s", 0)).when(fit("l"), f("l", 1)).otherwise(f("c", 2))
     both = own.join(lang, ["lang", "metric"]).join(corpus, "metric")
     return both.groupBy("lang", "source").agg(F.sort_array(F.collect_list(pick(lambda c, k: by(c)))).alias("cuts"), F.first(pick(lambda c, k: F.lit(LEVELS[k]))).alias("level"))
@@ -183,7 +197,8 @@ def judged(measured: DataFrame, rules: QualityRules) -> DataFrame:
         m, cut = x["metrics"], x["cuts"]
         expected, spread = cut["high"] * m["of"] / k, cut["spread"] * m["of"] / k
         noise = NOISE * F.sqrt(event * F.greatest(F.abs(expected), event.cast("double")))
-        return F.when(m["n"] > expected + rules.fence * F.greatest(spread, noise), True).otherwise(False)
+        in_tail = cut["tail"].isNull() | (m["rate"] > cut["tail"])
+        return F.when(in_tail & (m["n"] > expected + rules.fence * F.greatest(spread, noise)), True).otherwise(False)
 
     over = F.exists(F.transform(F.arrays_zip(F.col("_q.metrics").alias("metrics"), "cuts"), beyond), lambda x: x)
     joined = measured.join(cuts, (F.col("_q.lang") == F.col("_lang")) & (F.col("_q.source") == F.col("_source")), "left")

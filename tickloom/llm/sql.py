@@ -81,15 +81,20 @@ v AS (SELECT *, CASE WHEN c < 0 THEN -1 ELSE 1 END * (abs(c) * per // greatest(o
 x AS (SELECT *, 1 << greatest(length(bin(abs(v))) - 6, 0) AS w FROM v),
 k AS (SELECT *, CASE WHEN v < 0 THEN -1 ELSE 1 END * (abs(v) // w * w) AS bucket FROM x),
 g AS (SELECT 's' AS level, lang, source, metric, bucket, w FROM k UNION ALL SELECT 'l', lang, NULL, metric, bucket, w FROM k UNION ALL SELECT 'c', NULL, NULL, metric, bucket, w FROM k),
-e AS (SELECT level, lang, source, metric, count(*) AS n, quantile_disc(bucket, 0.125) AS lo, quantile_disc(bucket, 0.875) AS hi FROM g GROUP BY ALL),
+e AS (SELECT level, lang, source, metric, count(*) AS n, quantile_disc(bucket, 0.125) AS lo, quantile_disc(bucket, 0.875) AS hi,
+             quantile_disc(bucket, [0.875, 0.890625, 0.90625, 0.921875, 0.9375, 0.953125, 0.96875, 0.984375, 1.0]) AS t FROM g GROUP BY ALL),
+st AS (SELECT level, lang, source, metric, unnest(range(1, 9)) AS i, t FROM e WHERE lo = hi AND metric < 3),
+tl AS (SELECT level, lang, source, metric, sqrt(CAST(1 + t[i] AS DOUBLE) * CAST(1 + t[i + 1] AS DOUBLE)) - 1 AS tail FROM st
+       QUALIFY row_number() OVER (PARTITION BY level, lang, source, metric ORDER BY CAST(1 + t[i + 1] AS DOUBLE) / CAST(1 + t[i] AS DOUBLE) DESC, i) = 1),
 f AS (SELECT *, hi + CASE WHEN hi > 0 THEN (1 << greatest(length(bin(abs(hi))) - 6, 0)) - 1 ELSE 0 END AS high, lo - CASE WHEN lo < 0 THEN (1 << greatest(length(bin(abs(lo))) - 6, 0)) - 1 ELSE 0 END AS low FROM e),
-q AS (SELECT level, lang, source, metric, n, high, CASE WHEN lo = hi THEN 0 ELSE high - low END AS spread FROM f),
-u AS (SELECT s.lang, s.source, s.metric, s.n >= 200 AS own, l.n >= 200 AS lng, s.high AS sh, s.spread AS ss, l.high AS lh, l.spread AS ls, c.high AS ch, c.spread AS cs
+q AS (SELECT f.level, f.lang, f.source, f.metric, n, high, CASE WHEN lo = hi THEN 0 ELSE high - low END AS spread, tail
+      FROM f LEFT JOIN tl ON tl.level = f.level AND tl.metric = f.metric AND tl.lang IS NOT DISTINCT FROM f.lang AND tl.source IS NOT DISTINCT FROM f.source),
+u AS (SELECT s.lang, s.source, s.metric, s.n >= 200 AS own, l.n >= 200 AS lng, s.high AS sh, s.spread AS ss, l.high AS lh, l.spread AS ls, c.high AS ch, c.spread AS cs, s.tail AS st, l.tail AS lt, c.tail AS ct
       FROM q s JOIN q l ON l.level = 'l' AND l.lang = s.lang AND l.metric = s.metric JOIN q c ON c.level = 'c' AND c.metric = s.metric WHERE s.level = 's'),
-cut AS (SELECT lang, source, metric, CASE WHEN own THEN 'source' WHEN lng THEN 'language' ELSE 'corpus' END AS level, CASE WHEN own THEN sh WHEN lng THEN lh ELSE ch END AS high, CASE WHEN own THEN ss WHEN lng THEN ls ELSE cs END AS spread FROM u),
+cut AS (SELECT lang, source, metric, CASE WHEN own THEN 'source' WHEN lng THEN 'language' ELSE 'corpus' END AS level, CASE WHEN own THEN sh WHEN lng THEN lh ELSE ch END AS high, CASE WHEN own THEN ss WHEN lng THEN ls ELSE cs END AS spread, CASE WHEN own THEN st WHEN lng THEN lt ELSE ct END AS tail FROM u),
 lv AS (SELECT DISTINCT lang, source, level FROM cut),
-bad AS (SELECT DISTINCT r.rid FROM r JOIN cut ON cut.lang = r.lang AND cut.source = r.source AND cut.metric = r.metric
-        WHERE r.c > high * r.o / per + 2 * greatest(spread * r.o / per, 2.3 * sqrt(event * greatest(abs(high * r.o / per), event))))
+bad AS (SELECT DISTINCT r.rid FROM v AS r JOIN cut ON cut.lang = r.lang AND cut.source = r.source AND cut.metric = r.metric
+        WHERE (tail IS NULL OR r.v > tail) AND r.c > high * r.o / per + 2 * greatest(spread * r.o / per, 2.3 * sqrt(event * greatest(abs(high * r.o / per), event))))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept, lv.level
 FROM b LEFT JOIN bad ON bad.rid = b.rid LEFT JOIN lv ON lv.lang = b.lang AND lv.source = b.source
 """
