@@ -55,8 +55,11 @@ def vwap(trades: DataFrame, duration: str = "5 minutes", watermark: str = "30 se
 
 
 def volatility(trades: DataFrame, duration: str = "5 minutes", watermark: str = "30 seconds") -> DataFrame:
-    """Relative deviation of prices in percent, and the deviation of their logarithms; NULL for one trade."""
-    made = windowed(trades, duration, watermark).agg(F.avg("price").alias("mean"), F.stddev("price").alias("deviation"), F.stddev(F.log("price")).alias("log_price_stddev"), F.count(F.lit(1)).alias("sample_count"))
+    """Relative deviation of prices in percent, and the deviation of their logarithms; NULL for one trade.
+
+    A price of zero or less has no logarithm (NULL): it counts in volatility and sample_count, but not in log_price_stddev."""
+    log_price = F.log(F.when(F.col("price") > 0, F.col("price")))
+    made = windowed(trades, duration, watermark).agg(F.avg("price").alias("mean"), F.stddev("price").alias("deviation"), F.stddev(log_price).alias("log_price_stddev"), F.count(F.lit(1)).alias("sample_count"))
     return made.select(*bounds(), ratio(F.col("deviation") * 100, F.col("mean"), None).alias("volatility"), "log_price_stddev", "sample_count")
 
 

@@ -98,7 +98,7 @@ SQL: dict[str, str] = {
     "a1_ohlc": bars_query("*", "symbol trade_count", "open high low close volume quote_volume", "window_start window_end", tail=""),
     "a2_vwap": view(f"WITH {BARS} SELECT symbol, window_start, window_end, CASE WHEN volume > 0 THEN quote_volume / volume END AS vwap, volume FROM bars", "symbol", "vwap volume", "window_start window_end"),
     "a3_volatility": view(
-        f"WITH {TRADES} SELECT symbol, date_trunc('hour', trade_timestamp) AS window_start, date_trunc('hour', trade_timestamp) + INTERVAL 1 HOUR AS window_end, CASE WHEN avg(price) > 0 THEN stddev_samp(price) * 100 / avg(price) END AS volatility, stddev_samp(ln(price)) AS log_price_stddev, count(*) AS sample_count FROM trades GROUP BY ALL",
+        f"WITH {TRADES} SELECT symbol, date_trunc('hour', trade_timestamp) AS window_start, date_trunc('hour', trade_timestamp) + INTERVAL 1 HOUR AS window_end, CASE WHEN avg(price) > 0 THEN stddev_samp(price) * 100 / avg(price) END AS volatility, stddev_samp(CASE WHEN price > 0 THEN ln(price) END) AS log_price_stddev, count(*) AS sample_count FROM trades GROUP BY ALL",
         "symbol sample_count", "volatility log_price_stddev", "window_start window_end",
     ),
     "a4_order_flow": view(f"WITH {BARS} SELECT *  FROM bars", "symbol", "buy_volume sell_volume buy_sell_ratio", "window_start window_end"),
