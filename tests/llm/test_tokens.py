@@ -118,3 +118,32 @@ def test_token_file_digest_over_odd_rows(spark, docs):
     got = token_shards.token_file_digest(docs, path).collect()
     assert sorted(map(tuple, got), key=lambda x: x[1]) == want
     assert token_shards.token_file_digest(docs.limit(0), path).collect() == []
+
+
+def test_only_distinct_runs_of_a_batch_become_objects():
+    import pyarrow as pa
+
+    e = token_shards.WordEncoder(P.path("word_bpe_49k.json"))
+    spaces = [chr(k) for k in range(0x3001) if chr(k).isspace()]
+    texts = ["The cat's, the dog!? It's 12.5% o'er." * 3, *[f"a{s}b,{s}{s}c." for s in spaces], "a..b ,c !'s?! x's' 9. é., İ., 中.,", *odd_texts()]
+    assert [x.tolist() for x in e.encode(pa.array(texts))] == [e.model.encode(t, add_special_tokens=False).ids for t in texts]
+    learned = []
+    e.learn = lambda words: learned.extend(words) or token_shards.WordEncoder.learn(e, words)
+    got = e.encode(pa.array(["newword other, newword"] * 500 + [""]))
+    assert len(learned) == len(set(learned)) <= 3 and len({x.tobytes() for x in got[:-1]}) == 1 and len(got[-1]) == 0
+    assert e.encode(pa.array([], pa.string())) == []
+
+
+def test_slices_by_bytes_keep_all_rows_and_mend_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_shards, "TEXT_AT_ONCE", 10)
+    texts = ["x" * n for n in (0, 3, 9, 40, 0, 1, 10, 11)] + [None] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+    cut = list(token_shards.by_bytes(iter([batch, batch.slice(0, 0)])))
+    assert [t for b in cut for t in b.column(1).to_pylist()] == texts and len(cut) > 5
+    assert all(sum(len(t or "") for t in b.column(1).to_pylist()[:-1]) <= 10 for b in cut)
+    # neither a broken sequence nor an overlong blank splits or loses a word
+    bad = pa.array([b"ab\xc0\xa0cd \xff", None, "é".encode()]).cast(pa.binary())
+    column = pa.Array.from_buffers(pa.string(), 3, bad.buffers(), 1)
+    assert token_shards.whole_texts(column).to_pylist() == ["ab��cd �", "", "é"]

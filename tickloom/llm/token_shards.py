@@ -17,16 +17,18 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
-from collections.abc import Iterator
+from codecs import charmap_decode
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import byte_characters, slices, texts_of
+from .byte_bpe import byte_characters, texts_of
 from .common import scratch
 
 #: A block is closed at the first document end after so many ids.
@@ -37,6 +39,8 @@ BLOCK_IDS = 1_000_000
 LEAST, PAYS = 12, 5
 #: Runs and pieces that a worker remembers before it starts anew; only speed depends on them.
 REMEMBERED_RUNS, REMEMBERED_PIECES = 1_000_000, 800_000
+#: Bytes of text whose distinct runs are looked up together.
+TEXT_AT_ONCE = 4 << 20
 #: Slots of the table that finds chosen pairs; a pair whose slot is taken waits for the next round.
 SLOT_BITS = 20
 
@@ -180,17 +184,6 @@ class Block:
         return self.expand(self.symbols), sums[self.starts]
 
 
-class Learned(dict):
-    """Computes what it lacks, and keeps it."""
-
-    def __init__(self, compute) -> None:
-        self.compute = compute
-
-    def __missing__(self, key):
-        value = self[key] = self.compute(key)
-        return value
-
-
 class WordEncoder:
     """Ids of whole texts by a tokenizer file whose pieces never cross white space.
 
@@ -198,6 +191,8 @@ class WordEncoder:
     of its ids; so is every distinct piece (in lower case, without the commas around it) of such runs. The
     library does all of it: normalization, and merges by its model. Only the cut into pieces of runs
     of ordinary letters is made here, by the file's own pattern; other runs are cut by the library.
+    Arrow cuts a batch into runs and numbers the distinct ones, so only these become Python objects, and
+    the ids of all runs are gathered by number.
     """
 
     #: Up to here the library's letters and the pattern's here are certainly the same.
@@ -217,33 +212,69 @@ class WordEncoder:
         pattern = steps[0]["pattern"]["Regex"]
         self.cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
         # a run of letters is one piece if the pattern takes letters, and before them only what starts with an apostrophe
-        before, letters, _ = f"|{pattern}|".partition(r"|[\p{L}]+|")
+        before, letters, after = f"|{pattern}|".partition(r"|[\p{L}]+|")
         self.whole = bool(letters) and all(x.startswith("'") for x in before.split("|")[1:])
-        self.chars = byte_characters()
-        self.known = Learned(self.word)
+        # and these marks behind them are the next piece, if digits are all that the pattern takes before signs
+        self.marks = ".,;:!?" if after == r"[\p{N}]|[^\s\p{L}\p{N}]+|" else ""
+        self.chars = "".join(byte_characters())
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def runs(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct runs, number of the run at each place, places where texts start, and the end)."""
+        # splitting at white space also breaks at these four, which are no white space in Unicode
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+            lists = pa.array([self.words(t) for t in texts.to_pylist()], pa.list_(texts.type))
+        else:
+            lists = pc.utf8_split_whitespace(texts)
+        found = lists.values.dictionary_encode()
+        return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), lists.offsets.to_numpy()
+
+    def piece(self, piece: str) -> bytes:
         # printable ASCII stands for itself in the byte table
-        self.pieces = Learned(lambda p: self.piece(p if p.isascii() and p.isprintable() else "".join(map(self.chars.__getitem__, p.encode("utf-8")))))
-
-    def split(self, text: str) -> list[str]:
-        # str.split also breaks at these four, which are no white space in Unicode
-        return self.words(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        mapped = piece if piece.isascii() and piece.isprintable() else charmap_decode(piece.encode("utf-8"), "strict", self.chars)[0]
+        return self.ids(mapped)
 
-    def piece(self, mapped: str) -> bytes:
+    def ids(self, mapped: str) -> bytes:
         return array("I", [t.id for t in self.model.model.tokenize(mapped)]).tobytes()
 
-    def word(self, word: str) -> bytes:
-        low = word.lower()
-        # letters up to ORDINARY are composed as they are, and the small ones among them are the library's
-        if word.isascii() or max(word) <= self.ORDINARY and max(low) <= self.ORDINARY:
-            return self.pieces[low] if self.whole and low.isalpha() else b"".join(map(self.pieces.__getitem__, self.cut(low)))
-        return b"".join(self.piece(p) for p, _ in self.model.pre_tokenizer.pre_tokenize_str(self.model.normalizer.normalize_str(word)))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def learn(self, words: Iterable[str]) -> None:
+        known, pieces, whole, marks, ordinary = self.known, self.pieces, self.whole, self.marks, self.ORDINARY
+        for word in words:
+            low = word.lower()
+            # letters up to ORDINARY are composed as they are, and the small ones among them are the library's
+            if not (word.isascii() or max(word) <= ordinary and max(low) <= ordinary):
+                cut = self.model.pre_tokenizer.pre_tokenize_str(self.model.normalizer.normalize_str(word))
+                known[word] = b"".join(self.ids(p) for p, _ in cut)
+                continue
+            stem = low.rstrip(marks)
+            if whole and stem.isalpha():
+                cut = (stem, low[len(stem) :]) if len(stem) < len(low) else (low,)
+            else:
+                cut = self.cut(low)
+            for p in cut:
+                if p not in pieces:
+                    pieces[p] = self.piece(p)
+            known[word] = pieces[cut[0]] if len(cut) == 1 else b"".join([pieces[p] for p in cut])
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text."""
         if len(self.known) > REMEMBERED_RUNS:
             self.known.clear()
         if len(self.pieces) > REMEMBERED_PIECES:
             self.pieces.clear()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, self.split(t))), "<u4") for t in texts]
+        words, at, bounds = self.runs(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        parts = list(map(self.known.get, words))
+        new = [k for k, part in enumerate(parts) if part is None]
+        self.learn([words[k] for k in new])
+        for k in new:
+            parts[k] = self.known[words[k]]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts, n = np.cumsum(lengths) - lengths, lengths[at]
+        before = np.concatenate(([0], np.cumsum(n)))
+        ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(starts[at] - before[:-1], n) + np.arange(before[-1])]
+        ends = before[bounds].tolist()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -251,6 +282,25 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of some TEXT_AT_ONCE bytes in the second column, a row at least."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64)
+        number = (np.cumsum(sizes) - sizes) // TEXT_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
+def whole_texts(column: pa.Array) -> pa.Array:
+    """A text column as `texts_of` reads it, in Arrow: null is empty, bytes that are no UTF-8 become U+FFFD."""
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array(texts_of(column), column.type)
+    return column.fill_null("")
+
+
 def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Writes (shard, block, keys, n_ids, packed) to `out`, keys ascending over shards and blocks.
 
@@ -269,8 +319,8 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, key: st
             )
 
         end = np.array([end_id], np.uint32)
-        for batch in slices(batches):
-            for k, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch.column(1))), strict=True):
+        for batch in by_bytes(batches):
+            for k, ids in zip(batch.column(0).to_pylist(), encoder.encode(whole_texts(batch.column(1))), strict=True):
                 keys.append(k)
                 parts.append(np.concatenate([ids, end]))
                 n += len(ids) + 1
